@@ -1,0 +1,16 @@
+"""Small plan helpers."""
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
+    """Broadcast ``df`` only after checking that it has at most ``max_rows`` rows.
+
+    The count is an action over an (expected) small side; above the bound the frame is
+    returned unchanged and Spark shuffles it like any other join side.
+    """
+    if df.limit(max_rows + 1).count() <= max_rows:
+        return F.broadcast(df)
+    return df
