@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from repograph.operators.ids import positional_ids
+from repograph.session import cut_lineage
 
 SRC_TYPES = ["economy", "small", "large"]
 ISO_FORMAT = "yyyy-MM-dd'T'HH:mm:ss'+00:00'"
@@ -162,4 +163,7 @@ class Repos:
 
 
 def corpus_d(spark: SparkSession, sf_dir: str) -> Repos:
-    return Repos(files=d_files(spark, sf_dir), commits=d_commits(spark, sf_dir))
+    """Generated once per call and written to the checkpoint folder, like the stored
+    ``files`` / ``commits`` tables a real deployment reads."""
+    return Repos(files=cut_lineage(d_files(spark, sf_dir)),
+                 commits=cut_lineage(d_commits(spark, sf_dir)))

@@ -13,7 +13,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from repograph.operators import history as H
+from repograph.operators import imports as M
 from repograph.operators import inventory as I
+from repograph.operators import resolve as R
 
 
 class Facts:
@@ -89,6 +91,39 @@ class Facts:
     def files_with_signals(self) -> DataFrame:
         return H.apply_git_signals(self.files, self.churn, self.last_modified)
 
+    # ------------------------------------------------------------ imports
+    @cached_property
+    def raw_stmt(self) -> DataFrame:
+        return M.python_imports_stmt(self.contents).unionByName(
+            M.js_imports_stmt(self.contents))
+
+    @cached_property
+    def raw_line(self) -> DataFrame:
+        return M.python_imports_line(self.contents).unionByName(
+            M.js_imports_line(self.contents))
+
+    @cached_property
+    def roots(self) -> DataFrame:
+        return R.package_roots(self.files)
+
+    @cached_property
+    def merged(self) -> DataFrame:
+        return M.merge_edges(self.raw_stmt, self.raw_line)
+
+    @cached_property
+    def resolved(self) -> DataFrame:
+        return R.resolve(self.merged, self.files, self.roots)
+
+    @cached_property
+    def edges(self) -> DataFrame:
+        """edges(repo_id, edge_id, type, from_id, to_id, file, line, raw, resolution,
+        extractor) plus the parsed module/level/lang."""
+        return M.edge_ids(self.resolved).select(
+            "repo_id", "edge_id", F.lit("import").alias("type"),
+            F.col("file_id").alias("from_id"), "to_id", F.col("path").alias("file"),
+            F.col("line").cast("bigint").alias("line"), "raw", "resolution", "extractor",
+            "module", "level", "lang", "hit_priority")
+
     @cached_property
     def totals(self) -> DataFrame:
         return I.repo_totals(self.files)

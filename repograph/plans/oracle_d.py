@@ -108,3 +108,33 @@ d_touch AS (
 """
 
 D_WITH = "WITH " + D_CTES.strip()
+
+# Structural import edges of D: one per line of a .py/.js/.ts file that refers to t.
+D_IMP_CTES = r"""
+d_imp0 AS (
+  SELECT l.*, 1 + row_number() OVER (PARTITION BY l.repo_id, l.f ORDER BY l.t) AS line,
+         CASE WHEN l.f_ext = '.py' AND l.t_ext = '.py' AND (l.f + l.t) % 3 = 2
+                   AND l.f_ptype = l.t_ptype THEN 2 ELSE 0 END AS lvl
+  FROM d_lines l),
+d_imp AS (
+  SELECT i.repo_id, fi.file_id AS from_id, i.f_path AS path, i.line, i.text AS raw, i.lvl AS level,
+         i.f, i.t, i.f_ext, i.t_ext, i.t_root,
+         CASE WHEN i.f_ext = '.py' THEN 'python' ELSE 'js' END AS lang,
+         CASE WHEN i.f_ext = '.py' AND i.t_ext = '.py' AND i.lvl = 2 THEN i.t_bdir || '.m' || i.t
+              WHEN i.f_ext = '.py' AND i.t_ext = '.py' THEN i.t_modname
+              WHEN i.f_ext = '.py' THEN 'ext_lib_' || (i.t % 10)
+              WHEN i.t_ext = '.py' THEN 'react'
+              ELSE i.spec END AS module,
+         CASE WHEN (i.f_ext = '.py' AND i.t_ext = '.py') OR (i.f_ext IN ('.js', '.ts') AND i.t_ext <> '.py')
+              THEN ti.file_id END AS to_id
+  FROM d_imp0 i
+  JOIN d_ids fi ON fi.repo_id = i.repo_id AND fi.path = i.f_path
+  JOIN d_ids ti ON ti.repo_id = i.repo_id AND ti.path = i.t_path
+  WHERE i.f_ext IN ('.py', '.js', '.ts')),
+d_edges AS (
+  SELECT *, CASE WHEN to_id IS NULL THEN 'unresolved' ELSE 'resolved' END AS resolution,
+         printf('e%04d', row_number() OVER (PARTITION BY repo_id ORDER BY path, line, raw)) AS edge_id
+  FROM d_imp)
+"""
+
+D_IMP = D_WITH + "," + D_IMP_CTES.rstrip()

@@ -128,3 +128,104 @@ FROM (SELECT repo_id, path,
       FROM d_files)
 WHERE sfx IN ('.py', '.pyi', '.js', '.jsx', '.mjs', '.cjs', '.ts', '.tsx')
 """
+
+# ------------------------------------------------------------------ imports
+from repograph.plans.oracle_d import D_IMP, D_IMP_CTES  # noqa: E402
+
+ORACLES["explode_lines"] = r"""
+WITH s AS (
+  SELECT doc_id, string_split_regex(replace(text, chr(13) || chr(10), chr(10)),
+                                    '[\n\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]') AS p
+  FROM documents),
+t AS (SELECT doc_id, CASE WHEN p[-1] = '' THEN p[1:len(p) - 1] ELSE p END AS p FROM s)
+SELECT doc_id, CAST(i AS INTEGER) AS line_no, p[i] AS text
+FROM t, range(1, len(p) + 1) r(i)
+"""
+
+_RAW = "SELECT repo_id, from_id AS file_id, CAST(line AS BIGINT) AS line, raw, " \
+       "CAST(level AS BIGINT) AS level, module FROM d_edges"
+ORACLES["python_imports_line"] = D_IMP + "\n" + _RAW + " WHERE lang = 'python'"
+ORACLES["js_imports_line"] = D_IMP + "\n" + _RAW + " WHERE lang = 'js'"
+ORACLES["python_imports_stmt"] = ORACLES["python_imports_line"]
+ORACLES["js_imports_stmt"] = ORACLES["js_imports_line"]
+
+ORACLES["merge_edges"] = D_IMP + """
+SELECT repo_id, from_id AS file_id, CAST(line AS BIGINT) AS line, raw, module,
+       CASE WHEN f % 2 = 0 THEN 'treesitter' ELSE 'heuristic' END AS extractor
+FROM d_edges
+"""
+
+ORACLES["package_roots"] = D_WITH + """
+SELECT DISTINCT repo_id, pkg AS name, CASE WHEN root = 'src/' THEN 'src' ELSE '' END AS prefixes
+FROM d_parts
+"""
+
+_EDGE = "SELECT repo_id, from_id, CAST(line AS BIGINT) AS line, module, to_id, resolution FROM d_edges"
+ORACLES["resolve_python_absolute"] = D_IMP + "\n" + _EDGE + " WHERE lang = 'python' AND level = 0"
+ORACLES["resolve_python_srclayout"] = D_IMP + "\n" + _EDGE + \
+    " WHERE lang = 'python' AND level = 0 AND to_id IS NOT NULL AND t_root = 'src/'"
+ORACLES["resolve_python_relative"] = D_IMP + "\n" + _EDGE + " WHERE lang = 'python' AND level > 0"
+ORACLES["resolve_js"] = D_IMP + "\n" + _EDGE + " WHERE lang = 'js'"
+
+ORACLES["normalize_path"] = r"""
+WITH p AS (
+  SELECT page_id, regexp_extract(url, '^[a-z]+://[^/]+(/[^?#]*)', 1) || '/../x/./y/../../z//w'
+         AS raw_path FROM pages)
+SELECT page_id, raw_path,
+       list_reduce(list_prepend('', string_split(raw_path, '/')),
+         lambda acc, s: CASE WHEN s = '' OR s = '.' THEN acc
+                             WHEN s = '..' THEN regexp_replace(acc, '/?[^/]*$', '')
+                             WHEN acc = '' THEN s ELSE acc || '/' || s END) AS norm_path
+FROM p
+"""
+
+ORACLES["edge_ids"] = D_IMP + """
+SELECT repo_id, edge_id, 'import' AS type, from_id, to_id, path AS file, CAST(line AS BIGINT) AS line,
+       raw, resolution, 'treesitter' AS extractor
+FROM d_edges
+"""
+
+ORACLES["resolution_counts"] = D_IMP + """
+SELECT repo_id, CAST(count(*) FILTER (WHERE resolution = 'resolved') AS BIGINT) AS edges_resolved,
+       CAST(count(*) FILTER (WHERE resolution = 'unresolved') AS BIGINT) AS edges_unresolved
+FROM d_edges GROUP BY 1
+"""
+
+ORACLES["extraction_report"] = D_IMP + f""",
+lg AS (SELECT repo_id, array_to_string(list_sort(list_distinct(list(lang))), ',') AS languages
+       FROM (SELECT repo_id, {lang_sql('path')} AS lang FROM d_files) WHERE lang <> 'unknown'
+       GROUP BY 1),
+rc AS (SELECT repo_id, count(*) FILTER (WHERE resolution = 'resolved') AS r,
+              count(*) FILTER (WHERE resolution = 'unresolved') AS u FROM d_edges GROUP BY 1)
+SELECT lg.repo_id, languages, CAST(coalesce(r, 0) AS BIGINT) AS edges_resolved,
+       CAST(coalesce(u, 0) AS BIGINT) AS edges_unresolved, '' AS tools,
+       '.explain-project,.git,.pytest_cache,.venv,__pycache__,build,dist,node_modules' AS skipped,
+       '' AS warnings
+FROM lg LEFT JOIN rc USING (repo_id)
+"""
+
+ORACLES["mutual_imports"] = D_IMP + """,
+p AS (SELECT DISTINCT repo_id, from_id AS src, to_id AS dst FROM d_edges WHERE to_id IS NOT NULL)
+SELECT p.repo_id, p.src AS a, p.dst AS b FROM p JOIN p q
+  ON q.repo_id = p.repo_id AND q.src = p.dst AND q.dst = p.src
+WHERE p.src < p.dst
+"""
+
+ORACLES["fan_in_out"] = D_IMP + """,
+r AS (SELECT * FROM d_edges WHERE to_id IS NOT NULL),
+i AS (SELECT repo_id, to_id AS file_id, count(*) AS n FROM r GROUP BY 1, 2),
+o AS (SELECT repo_id, from_id AS file_id, count(*) AS n FROM r GROUP BY 1, 2)
+SELECT d.repo_id, d.file_id, CAST(coalesce(i.n, 0) AS BIGINT) AS fan_in,
+       CAST(coalesce(o.n, 0) AS BIGINT) AS fan_out
+FROM d_ids d LEFT JOIN i USING (repo_id, file_id) LEFT JOIN o USING (repo_id, file_id)
+"""
+
+D_ALL = D_MODS.rstrip() + "," + D_IMP_CTES.rstrip()
+
+ORACLES["module_dependencies"] = D_ALL + """
+SELECT e.repo_id, a.module_id AS from_module, b.module_id AS to_module, count(*) AS n_edges
+FROM d_edges e
+JOIN d_modfiles a ON a.repo_id = e.repo_id AND a.file_id = e.from_id
+JOIN d_modfiles b ON b.repo_id = e.repo_id AND b.file_id = e.to_id
+GROUP BY 1, 2, 3
+"""

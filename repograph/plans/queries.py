@@ -164,3 +164,134 @@ def q_focus_subtree(spark, sf_dir):
 @query("scan_eligible")
 def q_scan_eligible(spark, sf_dir):
     return I.scan_eligible(facts_d(spark, sf_dir).files).select("repo_id", "path", "family")
+
+
+# ------------------------------------------------------------------ imports
+from repograph.operators import imports as M  # noqa: E402
+from repograph.operators import graph as G  # noqa: E402
+from repograph.operators import resolve as R  # noqa: E402
+
+
+@query("explode_lines")
+def q_explode_lines(spark, sf_dir):
+    docs = C.table(spark, sf_dir, "documents")
+    return M.explode_lines(docs, "text", ("doc_id",)).select("doc_id", "line_no", "text")
+
+
+def _raw_out(df: DataFrame) -> DataFrame:
+    return df.select("repo_id", "file_id", F.col("line").cast("bigint").alias("line"), "raw",
+                     F.col("level").cast("bigint").alias("level"), "module")
+
+
+@query("python_imports_line")
+def q_python_imports_line(spark, sf_dir):
+    return _raw_out(M.python_imports_line(facts_d(spark, sf_dir).contents))
+
+
+@query("js_imports_line")
+def q_js_imports_line(spark, sf_dir):
+    return _raw_out(M.js_imports_line(facts_d(spark, sf_dir).contents))
+
+
+@query("python_imports_stmt")
+def q_python_imports_stmt(spark, sf_dir):
+    return _raw_out(M.python_imports_stmt(facts_d(spark, sf_dir).contents))
+
+
+@query("js_imports_stmt")
+def q_js_imports_stmt(spark, sf_dir):
+    return _raw_out(M.js_imports_stmt(facts_d(spark, sf_dir).contents))
+
+
+@query("merge_edges")
+def q_merge_edges(spark, sf_dir):
+    """Statement edges for files of even part key only; the rest falls back to lines."""
+    f = facts_d(spark, sf_dir)
+    k = F.regexp_extract("path", r"/m(\d+)\.[a-z]+$", 1).cast("bigint")
+    stmt = f.raw_stmt.where(k % 2 == 0)
+    merged = M.merge_edges(stmt, f.raw_line)
+    return merged.select("repo_id", "file_id", F.col("line").cast("bigint").alias("line"),
+                         "raw", "module", "extractor")
+
+
+@query("package_roots")
+def q_package_roots(spark, sf_dir):
+    return facts_d(spark, sf_dir).roots.select(
+        "repo_id", "name", F.array_join("prefixes", ",").alias("prefixes"))
+
+
+def _edge_out(df: DataFrame) -> DataFrame:
+    return df.select("repo_id", F.col("from_id"), "line", "module", "to_id", "resolution")
+
+
+@query("resolve_python_absolute")
+def q_resolve_python_absolute(spark, sf_dir):
+    e = facts_d(spark, sf_dir).edges
+    return _edge_out(e.where((F.col("lang") == "python") & (F.col("level") == 0)))
+
+
+@query("resolve_python_srclayout")
+def q_resolve_python_srclayout(spark, sf_dir):
+    e = facts_d(spark, sf_dir).edges
+    return _edge_out(e.where((F.col("lang") == "python") & (F.col("level") == 0)
+                             & (F.col("hit_priority") >= 2)))
+
+
+@query("resolve_python_relative")
+def q_resolve_python_relative(spark, sf_dir):
+    e = facts_d(spark, sf_dir).edges
+    return _edge_out(e.where((F.col("lang") == "python") & (F.col("level") > 0)))
+
+
+@query("resolve_js")
+def q_resolve_js(spark, sf_dir):
+    return _edge_out(facts_d(spark, sf_dir).edges.where(F.col("lang") == "js"))
+
+
+@query("normalize_path")
+def q_normalize_path(spark, sf_dir):
+    pages = C.table(spark, sf_dir, "pages")
+    p = pages.select("page_id", F.concat(
+        F.regexp_extract("url", r"^[a-z]+://[^/]+(/[^?#]*)", 1),
+        F.lit("/../x/./y/../../z//w")).alias("raw_path"))
+    return p.select("page_id", "raw_path", T.normalize_path("raw_path").alias("norm_path"))
+
+
+@query("edge_ids")
+def q_edge_ids(spark, sf_dir):
+    return facts_d(spark, sf_dir).edges.select(
+        "repo_id", "edge_id", "type", "from_id", "to_id", "file", "line", "raw",
+        "resolution", "extractor")
+
+
+@query("resolution_counts")
+def q_resolution_counts(spark, sf_dir):
+    return G.resolution_counts(facts_d(spark, sf_dir).edges)
+
+
+@query("extraction_report")
+def q_extraction_report(spark, sf_dir):
+    f = facts_d(spark, sf_dir)
+    r = G.extraction_report(f.files, f.edges)
+    return r.select("repo_id", F.array_join("languages", ",").alias("languages"),
+                    "edges_resolved", "edges_unresolved",
+                    F.array_join("tools", ",").alias("tools"),
+                    F.array_join("skipped", ",").alias("skipped"),
+                    F.array_join("warnings", ",").alias("warnings"))
+
+
+@query("mutual_imports")
+def q_mutual_imports(spark, sf_dir):
+    return G.mutual_imports(facts_d(spark, sf_dir).edges)
+
+
+@query("fan_in_out")
+def q_fan_in_out(spark, sf_dir):
+    f = facts_d(spark, sf_dir)
+    return G.fan_in_out(f.files, f.edges)
+
+
+@query("module_dependencies")
+def q_module_dependencies(spark, sf_dir):
+    f = facts_d(spark, sf_dir)
+    return G.module_dependencies(f.edges, f.module_files)

@@ -19,6 +19,8 @@ DEFAULT_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.ui.enabled": "false",
     "spark.sql.ansi.enabled": "false",
+    "spark.driver.memory": "8g",
+    "spark.ui.showConsoleProgress": "false",
 }
 
 
