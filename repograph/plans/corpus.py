@@ -167,3 +167,105 @@ def corpus_d(spark: SparkSession, sf_dir: str) -> Repos:
     ``files`` / ``commits`` tables a real deployment reads."""
     return Repos(files=cut_lineage(d_files(spark, sf_dir)),
                  commits=cut_lineage(d_commits(spark, sf_dir)))
+
+
+# ---------------------------------------------------------------- M: manifests
+def _repo_picks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per repo: the first .js and .ts file (start / main), and the first two root-layout
+    Python modules (script targets)."""
+    p = d_parts(spark, sf_dir)
+    k = F.col("partkey")
+    root_py = (F.col("ext") == ".py") & (F.col("root") == "")
+    return p.groupBy("repo_id").agg(
+        F.min_by("path", F.when(F.col("ext") == ".js", k)).alias("start_path"),
+        F.min_by("path", F.when(F.col("ext") == ".ts", k)).alias("main_path"),
+        F.min_by("modname", F.when(root_py, k)).alias("mod1"),
+        F.max_by("modname", F.when(root_py, k)).alias("mod2"))
+
+
+def m_suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "supplier").select(
+        F.col("s_suppkey").alias("k"), "s_name", "s_nationkey",
+        F.concat(F.lit("repo"), F.col("s_suppkey") % 4).alias("repo_id"),
+        F.concat(F.lit("lib-"), F.col("s_suppkey")).alias("name"))
+
+
+REQ_HEAD = ["# pinned requirements", "", "-r base.txt"]
+REQ_TAIL = [f"ext_lib_{i}" for i in range(5)]
+
+
+def _joined(lines) -> F.Column:
+    return F.transform(F.array_sort(lines), lambda x: x["v"])
+
+
+def m_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Root manifests per repo: requirements.txt, package.json, pyproject.toml."""
+    s = m_suppliers(spark, sf_dir)
+    k = F.col("k")
+    req_line = (F.when(k % 3 == 0, F.concat("name", F.lit("==1."), k))
+                .when(k % 3 == 1, F.concat("name", F.lit(">=2.0"))).otherwise(F.col("name")))
+    npm_ver = (F.when(k % 7 == 0, k.cast("string"))
+               .when(k % 11 == 0, F.lit('""'))
+               .when(k % 2 == 1, F.concat(F.lit('"^1.'), k, F.lit('"')))
+               .otherwise(F.concat(F.lit('"~2.'), k, F.lit('"'))))
+    npm_entry = F.concat(F.lit('"'), "name", F.lit('": '), npm_ver)
+    pep_line = F.when(k % 10 == 0, F.concat(F.lit('    "'), "name", F.lit('==1.0",'))).otherwise(
+        F.concat(F.lit('    "'), "name", F.lit('>=1.0",')))
+    poe_line = F.when(k % 2 == 1, F.concat("name", F.lit(' = "^'), k, F.lit('.0"'))).otherwise(
+        F.concat("name", F.lit(' = { version = "^'), k, F.lit('.1", optional = true }')))
+    agg = s.groupBy("repo_id").agg(
+        _joined(F.collect_list(F.struct(k.alias("o"), req_line.alias("v")))).alias("req"),
+        _joined(F.collect_list(F.when(k % 2 == 1, F.struct(k.alias("o"), npm_entry.alias("v")))))
+        .alias("deps"),
+        _joined(F.collect_list(F.when(k % 2 == 0, F.struct(k.alias("o"), npm_entry.alias("v")))))
+        .alias("dev"),
+        _joined(F.collect_list(F.when(k % 5 == 0, F.struct(k.alias("o"), pep_line.alias("v")))))
+        .alias("pep"),
+        _joined(F.collect_list(F.when(k % 5 != 0, F.struct(k.alias("o"), poe_line.alias("v")))))
+        .alias("poe"),
+        F.min(F.when(k % 5 == 0, F.col("name"))).alias("repeated"))
+    a = agg.join(_repo_picks(spark, sf_dir), "repo_id")
+    lit_arr = lambda xs: F.array(*[F.lit(x) for x in xs])
+    req = F.concat(F.concat_ws("\n", lit_arr(REQ_HEAD), "req", lit_arr(REQ_TAIL)), F.lit("\n"))
+    serve = F.when(F.col("repo_id").isin("repo0", "repo2"), F.lit(" --serve")).otherwise(F.lit(""))
+    start = F.concat(F.lit("node "), "start_path", serve)
+    pkg = F.concat(
+        F.lit('{"name": "'), "repo_id", F.lit('", "main": "./'), "main_path",
+        F.lit('", "scripts": {"start": "'), start, F.lit('"}, "dependencies": {"react": "18.2.0"'),
+        F.when(F.size("deps") > 0, F.concat(F.lit(", "), F.array_join("deps", ", ")))
+        .otherwise(F.lit("")),
+        F.lit('}, "devDependencies": {'), F.array_join("dev", ", "), F.lit("}}\n"))
+    poetry_target = F.when(F.col("repo_id").isin("repo1", "repo3"), F.col("mod2")).otherwise(
+        F.col("mod1"))
+    pyproject = F.concat_ws(
+        "\n",
+        F.lit("[project]"), F.concat(F.lit('name = "'), "repo_id", F.lit('"')),
+        F.lit("dependencies = ["), F.concat_ws("\n", "pep"), F.lit("]"), F.lit(""),
+        F.lit("[project.scripts]"),
+        F.concat("repo_id", F.lit('-cli = "'), "mod1", F.lit(':main"')), F.lit(""),
+        F.lit("[tool.poetry.dependencies]"), F.lit('python = "^3.9"'), F.concat_ws("\n", "poe"),
+        F.when(F.col("repeated").isNotNull(), F.concat("repeated", F.lit(' = "^9.9"'))),
+        F.lit(""), F.lit("[tool.poetry.group.dev.dependencies]"), F.lit('pytest = "^8.0"'),
+        F.lit(""), F.lit("[tool.poetry.scripts]"),
+        F.concat("repo_id", F.lit(' = "'), poetry_target, F.lit(':run"')), F.lit(""))
+    pyproject = F.regexp_replace(pyproject, "\n\n+(?=\\])", "\n")
+    return (a.select("repo_id", F.lit("requirements.txt").alias("path"), req.alias("content"))
+            .unionByName(a.select("repo_id", F.lit("package.json").alias("path"),
+                                  pkg.alias("content")))
+            .unionByName(a.select("repo_id", F.lit("pyproject.toml").alias("path"),
+                                  pyproject.alias("content"))))
+
+
+def tech_stack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tech-stack items: one per supplier; factRef unknown when k % 9 = 0."""
+    s = m_suppliers(spark, sf_dir)
+    return s.select("repo_id", F.col("k").alias("ord"), F.col("s_name").alias("tech_name"),
+                    F.concat(F.lit("role-"), F.col("s_nationkey") % 4).alias("role"),
+                    F.when(F.col("k") % 9 == 0, F.concat(F.lit("nolib-"), "k"))
+                    .otherwise(F.col("name")).alias("fact_ref"))
+
+
+def corpus_dm(spark: SparkSession, sf_dir: str) -> Repos:
+    """D with the manifests of M at each repo root."""
+    d = d_files(spark, sf_dir).unionByName(m_files(spark, sf_dir))
+    return Repos(files=cut_lineage(d), commits=cut_lineage(d_commits(spark, sf_dir)))

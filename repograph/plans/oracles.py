@@ -229,3 +229,147 @@ JOIN d_modfiles a ON a.repo_id = e.repo_id AND a.file_id = e.from_id
 JOIN d_modfiles b ON b.repo_id = e.repo_id AND b.file_id = e.to_id
 GROUP BY 1, 2, 3
 """
+
+# ------------------------------------------------------------------ manifests (M on top of D)
+M_CTES = r"""
+m_s AS (SELECT s_suppkey AS k, s_name, s_nationkey, 'repo' || (s_suppkey % 4) AS repo_id,
+               'lib-' || s_suppkey AS name FROM supplier),
+m_repos AS (SELECT DISTINCT repo_id FROM m_s),
+dm_ids AS (
+  SELECT repo_id, path, printf('f%04d', row_number() OVER (PARTITION BY repo_id ORDER BY path)) AS file_id
+  FROM (SELECT repo_id, path FROM d_files
+        UNION ALL SELECT repo_id, unnest(['package.json', 'pyproject.toml', 'requirements.txt']) FROM m_repos)),
+m_picks AS (
+  SELECT repo_id,
+         arg_min(path, partkey) FILTER (WHERE ext = '.js') AS start_path,
+         arg_min(path, partkey) FILTER (WHERE ext = '.ts') AS main_path,
+         arg_min(modname, partkey) FILTER (WHERE ext = '.py' AND root = '') AS mod1,
+         arg_max(modname, partkey) FILTER (WHERE ext = '.py' AND root = '') AS mod2
+  FROM d_parts GROUP BY 1),
+m_deps AS (
+  SELECT repo_id, 'react' AS name, '18.2.0' AS version, 'npm' AS ecosystem, 'package.json' AS manifest FROM m_repos
+  UNION ALL SELECT repo_id, name, CASE WHEN k % 7 = 0 OR k % 11 = 0 THEN NULL WHEN k % 2 = 1 THEN '^1.' || k
+                                       ELSE '~2.' || k END, 'npm', 'package.json' FROM m_s
+  UNION ALL SELECT repo_id, name, CASE WHEN k % 10 = 0 THEN '1.0' END, 'pypi', 'pyproject.toml' FROM m_s WHERE k % 5 = 0
+  UNION ALL SELECT repo_id, name, CASE WHEN k % 2 = 1 THEN '^' || k || '.0' ELSE '^' || k || '.1' END,
+                   'pypi', 'pyproject.toml' FROM m_s WHERE k % 5 <> 0
+  UNION ALL SELECT repo_id, 'pytest', '^8.0', 'pypi', 'pyproject.toml' FROM m_repos
+  UNION ALL SELECT repo_id, name, CASE WHEN k % 3 = 0 THEN '1.' || k END, 'pypi', 'requirements.txt' FROM m_s
+  UNION ALL SELECT repo_id, 'ext_lib_' || i, NULL, 'pypi', 'requirements.txt' FROM m_repos, range(5) t(i)),
+m_entries AS (
+  SELECT p.repo_id, i.file_id, CASE WHEN p.repo_id IN ('repo0', 'repo2') THEN 'web' ELSE 'cli' END AS kind,
+         'package.json scripts.start: node ' || p.start_path
+           || CASE WHEN p.repo_id IN ('repo0', 'repo2') THEN ' --serve' ELSE '' END AS evidence,
+         'start' AS src
+  FROM m_picks p JOIN dm_ids i ON i.repo_id = p.repo_id AND i.path = p.start_path
+  UNION ALL
+  SELECT p.repo_id, i.file_id, 'lib', 'package.json main: ./' || p.main_path, 'main'
+  FROM m_picks p JOIN dm_ids i ON i.repo_id = p.repo_id AND i.path = p.main_path
+  UNION ALL
+  SELECT p.repo_id, i.file_id, 'cli', 'pyproject [project.scripts]: ' || p.mod1 || ':main', 'pep'
+  FROM m_picks p JOIN dm_ids i ON i.repo_id = p.repo_id AND i.path = replace(p.mod1, '.', '/') || '.py'
+  UNION ALL
+  SELECT p.repo_id, i.file_id, 'cli', 'pyproject [tool.poetry.scripts]: ' || p.mod2 || ':run', 'poetry'
+  FROM m_picks p JOIN dm_ids i ON i.repo_id = p.repo_id AND i.path = replace(p.mod2, '.', '/') || '.py'
+  WHERE p.repo_id IN ('repo1', 'repo3') AND p.mod2 <> p.mod1),
+m_web AS (
+  SELECT i.repo_id, i.file_id, 'web' AS kind,
+         CASE WHEN p.partkey % 97 = 0 THEN 'module-level FastAPI() app object: app'
+              ELSE 'module-level ''application'' bound to a Flask() application (factory pattern)' END AS evidence
+  FROM d_parts p JOIN dm_ids i ON i.repo_id = p.repo_id AND i.path = p.path
+  WHERE p.ext = '.py' AND (p.partkey % 97 = 0 OR p.partkey % 89 = 0)),
+m_tech AS (
+  SELECT repo_id, k AS ord, s_name AS tech_name, 'role-' || (s_nationkey % 4) AS role,
+         CASE WHEN k % 9 = 0 THEN 'nolib-' || k ELSE name END AS fact_ref FROM m_s)
+"""
+DM = D_WITH + "," + M_CTES.rstrip()
+DM_IMP = DM + "," + D_IMP_CTES.replace("d_ids", "dm_ids").rstrip()
+
+_DEP = "SELECT repo_id, name, version, ecosystem, manifest FROM m_deps"
+ORACLES["manifest_rows"] = DM + """
+SELECT repo_id, unnest(['package.json', 'pyproject.toml', 'requirements.txt']) AS path FROM m_repos
+"""
+ORACLES["requirement_token"] = DM + "\nSELECT repo_id, name, version FROM m_deps WHERE manifest = 'requirements.txt'"
+ORACLES["requirements_deps"] = DM + "\n" + _DEP + " WHERE manifest = 'requirements.txt'"
+ORACLES["npm_deps"] = DM + "\n" + _DEP + " WHERE manifest = 'package.json'"
+ORACLES["pep621_deps"] = DM + "\nSELECT repo_id, name, CASE WHEN k % 10 = 0 THEN '1.0' END AS version, " \
+    "'pypi' AS ecosystem, 'pyproject.toml' AS manifest FROM m_s WHERE k % 5 = 0"
+ORACLES["poetry_deps"] = DM + """
+SELECT repo_id, name, CASE WHEN k % 2 = 1 THEN '^' || k || '.0' ELSE '^' || k || '.1' END AS version,
+       'pypi' AS ecosystem, 'pyproject.toml' AS manifest FROM m_s WHERE k % 5 <> 0
+UNION ALL SELECT repo_id, 'pytest', '^8.0', 'pypi', 'pyproject.toml' FROM m_repos
+"""
+ORACLES["merge_deps"] = DM + """
+SELECT repo_id, name, version, ecosystem, manifest,
+       row_number() OVER (PARTITION BY repo_id ORDER BY name, ecosystem, manifest) AS dep_ord
+FROM m_deps
+"""
+_ENT = "SELECT repo_id, file_id, kind, evidence FROM m_entries"
+ORACLES["node_start_entry"] = DM + "\n" + _ENT + " WHERE src = 'start'"
+ORACLES["node_main_entry"] = DM + "\n" + _ENT + " WHERE src = 'main'"
+ORACLES["pyproject_script_entry"] = DM + "\n" + _ENT + " WHERE src = 'pep'"
+ORACLES["poetry_script_entry"] = DM + "\n" + _ENT + " WHERE src = 'poetry'"
+ORACLES["script_entry_join"] = DM + """
+SELECT p.repo_id, p.mod1 AS module, i.file_id AS target_id
+FROM m_picks p LEFT JOIN dm_ids i ON i.repo_id = p.repo_id AND i.path = replace(p.mod1, '.', '/') || '.py'
+UNION ALL
+SELECT p.repo_id, CASE WHEN p.repo_id IN ('repo1', 'repo3') THEN p.mod2 ELSE p.mod1 END,
+       i.file_id
+FROM m_picks p LEFT JOIN dm_ids i ON i.repo_id = p.repo_id
+  AND i.path = replace(CASE WHEN p.repo_id IN ('repo1', 'repo3') THEN p.mod2 ELSE p.mod1 END, '.', '/') || '.py'
+"""
+ORACLES["web_entrypoints"] = D_WITH + """
+SELECT i.repo_id, i.file_id, 'web' AS kind,
+       CASE WHEN p.partkey % 97 = 0 THEN 'module-level FastAPI() app object: app'
+            ELSE 'module-level ''application'' bound to a Flask() application (factory pattern)' END AS evidence
+FROM d_parts p JOIN d_ids i ON i.repo_id = p.repo_id AND i.path = p.path
+WHERE p.ext = '.py' AND (p.partkey % 97 = 0 OR p.partkey % 89 = 0)
+"""
+ORACLES["merge_entrypoints"] = DM + """
+SELECT repo_id, file_id, kind, evidence FROM m_entries
+UNION ALL
+SELECT w.repo_id, w.file_id, w.kind, w.evidence FROM m_web w
+WHERE NOT EXISTS (SELECT 1 FROM m_entries e WHERE e.repo_id = w.repo_id AND e.file_id = w.file_id)
+"""
+ORACLES["dependency_usage"] = DM_IMP + """
+SELECT DISTINCT e.repo_id, n.name, e.from_id AS file_id
+FROM d_edges e
+JOIN (SELECT DISTINCT repo_id, name FROM m_deps) n
+  ON n.repo_id = e.repo_id
+ AND n.name = CASE WHEN e.lang = 'python' THEN split_part(e.module, '.', 1) ELSE e.module END
+WHERE e.to_id IS NULL
+"""
+ORACLES["dep_lookup"] = DM + """,
+fd AS (SELECT repo_id, name, version FROM (
+         SELECT *, row_number() OVER (PARTITION BY repo_id, name ORDER BY ecosystem, manifest) AS r
+         FROM m_deps) WHERE r = 1)
+SELECT t.repo_id, t.ord, t.tech_name, t.role, t.fact_ref, fd.version
+FROM m_tech t LEFT JOIN fd ON fd.repo_id = t.repo_id AND fd.name = t.fact_ref
+"""
+ORACLES["tech_by_role"] = DM + """
+SELECT repo_id, role, min(ord) AS role_ord, count(*) AS n_items,
+       string_agg(tech_name, '|' ORDER BY ord) AS items
+FROM m_tech GROUP BY 1, 2
+"""
+ORACLES["stat_tiles"] = DM + f""",
+ms AS (SELECT repo_id, count(*) AS n, count(*) FILTER (WHERE k % 5 = 0) AS n_pep,
+              count(*) FILTER (WHERE k % 5 <> 0) AS n_poe FROM m_s GROUP BY 1),
+mloc AS (SELECT repo_id, (8 + n) + 1
+                + (CASE WHEN n_pep = 0 THEN 19 ELSE 20 END - 1 + greatest(n_pep - 1, 0)
+                   + greatest(n_poe - 1, 0) - CASE WHEN n_pep = 0 THEN 1 ELSE 0 END) AS loc
+         FROM ms),
+dl AS (SELECT repo_id, count(*) AS n_files, sum({LOC}) AS loc,
+              count(DISTINCT CASE WHEN contains(path, '/') THEN regexp_extract(path, '^(.*)/[^/]*$', 1) END) AS n_dirs,
+              count(DISTINCT {lang_sql('path')}) FILTER (WHERE {lang_sql('path')} <> 'unknown') AS n_lang
+       FROM d_files GROUP BY 1),
+ent AS (SELECT repo_id, count(*) AS n FROM (
+          SELECT repo_id, file_id FROM m_entries
+          UNION ALL SELECT w.repo_id, w.file_id FROM m_web w
+          WHERE NOT EXISTS (SELECT 1 FROM m_entries e WHERE e.repo_id = w.repo_id AND e.file_id = w.file_id))
+        GROUP BY 1),
+dep AS (SELECT repo_id, count(*) AS n FROM m_deps GROUP BY 1)
+SELECT dl.repo_id, dl.n_files + 3 AS n_files, CAST(dl.loc + mloc.loc AS BIGINT) AS total_loc,
+       dl.n_dirs + 1 AS n_modules, dl.n_lang + 2 AS n_languages, ent.n AS n_entrypoints,
+       dep.n AS n_dependencies
+FROM dl JOIN mloc USING (repo_id) JOIN ent USING (repo_id) JOIN dep USING (repo_id)
+"""

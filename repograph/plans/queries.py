@@ -295,3 +295,139 @@ def q_fan_in_out(spark, sf_dir):
 def q_module_dependencies(spark, sf_dir):
     f = facts_d(spark, sf_dir)
     return G.module_dependencies(f.edges, f.module_files)
+
+
+# ------------------------------------------------------------------ manifests, entrypoints
+from repograph.operators import entrypoints as EP  # noqa: E402
+from repograph.operators import manifests as MF  # noqa: E402
+from repograph.operators import report as RP  # noqa: E402
+
+
+def facts_dm(spark: SparkSession, sf_dir: str, **kw) -> Facts:
+    d = C.corpus_dm(spark, sf_dir)
+    return Facts(d.files, d.commits, **kw)
+
+
+DEP_OUT = ["repo_id", "name", "version", "ecosystem", "manifest"]
+
+
+@query("manifest_rows")
+def q_manifest_rows(spark, sf_dir):
+    d = C.corpus_dm(spark, sf_dir)
+    nested = d.files.where(F.col("path") == "package.json").withColumn(
+        "path", F.lit("web/package.json"))
+    return MF.manifest_rows(d.files.unionByName(nested)).select("repo_id", "path")
+
+
+@query("requirement_token")
+def q_requirement_token(spark, sf_dir):
+    return MF.requirements_deps(C.corpus_dm(spark, sf_dir).files).select(
+        "repo_id", "name", "version")
+
+
+@query("requirements_deps")
+def q_requirements_deps(spark, sf_dir):
+    return MF.requirements_deps(C.corpus_dm(spark, sf_dir).files).select(*DEP_OUT)
+
+
+@query("npm_deps")
+def q_npm_deps(spark, sf_dir):
+    return MF.npm_deps(C.corpus_dm(spark, sf_dir).files).select(*DEP_OUT)
+
+
+@query("pep621_deps")
+def q_pep621_deps(spark, sf_dir):
+    return MF.pep621_deps(C.corpus_dm(spark, sf_dir).files).select(*DEP_OUT)
+
+
+@query("poetry_deps")
+def q_poetry_deps(spark, sf_dir):
+    return MF.poetry_deps(C.corpus_dm(spark, sf_dir).files).select(*DEP_OUT)
+
+
+@query("merge_deps")
+def q_merge_deps(spark, sf_dir):
+    return MF.merge_deps(C.corpus_dm(spark, sf_dir).files).select(
+        *DEP_OUT, F.col("dep_ord").cast("bigint").alias("dep_ord"))
+
+
+ENTRY_OUT = ["repo_id", "file_id", "kind", "evidence"]
+
+
+@query("node_start_entry")
+def q_node_start_entry(spark, sf_dir):
+    f = facts_dm(spark, sf_dir)
+    return MF.node_entrypoints(f.raw_files, f.files).where(F.col("ord") == 0).select(*ENTRY_OUT)
+
+
+@query("node_main_entry")
+def q_node_main_entry(spark, sf_dir):
+    f = facts_dm(spark, sf_dir)
+    return MF.node_entrypoints(f.raw_files, f.files).where(F.col("ord") == 1).select(*ENTRY_OUT)
+
+
+@query("pyproject_script_entry")
+def q_pyproject_script_entry(spark, sf_dir):
+    f = facts_dm(spark, sf_dir)
+    e = MF.script_entrypoints(f.raw_files, f.files)
+    return e.where(F.col("evidence").startswith("pyproject [project.scripts]")).select(*ENTRY_OUT)
+
+
+@query("poetry_script_entry")
+def q_poetry_script_entry(spark, sf_dir):
+    f = facts_dm(spark, sf_dir)
+    e = MF.script_entrypoints(f.raw_files, f.files)
+    return e.where(F.col("evidence").startswith("pyproject [tool.poetry")).select(*ENTRY_OUT)
+
+
+@query("script_entry_join")
+def q_script_entry_join(spark, sf_dir):
+    f = facts_dm(spark, sf_dir)
+    lines = MF.toml_lines(f.raw_files)
+    vals = (lines.where(F.col("section").isin("project.scripts", "tool.poetry.scripts")
+                        & (F.col("key") != ""))
+            .withColumn("module", F.split(F.regexp_extract("value", r'^"(.*)"$', 1), ":")
+                        .getItem(0)))
+    return R.module_to_file(vals, f.files, "module", ["repo_id", "line_no"]).select(
+        "repo_id", "module", "target_id")
+
+
+@query("web_entrypoints")
+def q_web_entrypoints(spark, sf_dir):
+    return EP.web_entrypoints(facts_d(spark, sf_dir).contents).select(*ENTRY_OUT)
+
+
+@query("merge_entrypoints")
+def q_merge_entrypoints(spark, sf_dir):
+    f = facts_dm(spark, sf_dir)
+    declared = MF.declared_entrypoints(f.raw_files, f.files)
+    return EP.merge_entrypoints(declared, EP.web_entrypoints(f.contents)).select(*ENTRY_OUT)
+
+
+@query("dependency_usage")
+def q_dependency_usage(spark, sf_dir):
+    f = facts_dm(spark, sf_dir)
+    return RP.dependency_usage(f.edges, MF.merge_deps(f.raw_files)).select(
+        "repo_id", "name", "file_id")
+
+
+@query("dep_lookup")
+def q_dep_lookup(spark, sf_dir):
+    d = C.corpus_dm(spark, sf_dir)
+    return RP.dep_lookup(C.tech_stack(spark, sf_dir), MF.merge_deps(d.files)).select(
+        "repo_id", "ord", "tech_name", "role", "fact_ref", "version")
+
+
+@query("tech_by_role")
+def q_tech_by_role(spark, sf_dir):
+    return RP.tech_by_role(C.tech_stack(spark, sf_dir)).select(
+        "repo_id", "role", "role_ord", "n_items",
+        F.array_join(F.transform("items", lambda x: x["tech_name"]), "|").alias("items"))
+
+
+@query("stat_tiles")
+def q_stat_tiles(spark, sf_dir):
+    f = facts_dm(spark, sf_dir)
+    ent = EP.merge_entrypoints(MF.declared_entrypoints(f.raw_files, f.files),
+                               EP.web_entrypoints(f.contents))
+    return RP.stat_tiles(f.files, f.module_files, ent, MF.merge_deps(f.raw_files))
