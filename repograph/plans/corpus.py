@@ -269,3 +269,132 @@ def corpus_dm(spark: SparkSession, sf_dir: str) -> Repos:
     """D with the manifests of M at each repo root."""
     d = d_files(spark, sf_dir).unionByName(m_files(spark, sf_dir))
     return Repos(files=cut_lineage(d), commits=cut_lineage(d_commits(spark, sf_dir)))
+
+
+# ---------------------------------------------------------------- N: narrative
+N_REPO = "repo0"
+KINDS = ["structural", "functional", "dataflow", "runtime", "domain"]
+
+
+@dataclass
+class Narrative:
+    perspectives: DataFrame
+    nodes: DataFrame
+    node_refs: DataFrame
+    relationships: DataFrame
+    rel_edge_refs: DataFrame
+    node_children: DataFrame
+    brief_claims: DataFrame
+    brief_refs: DataFrame
+    briefs: DataFrame
+    narratives: DataFrame
+
+
+@dataclass
+class NFacts:
+    repos: DataFrame
+    files: DataFrame
+    modules: DataFrame
+    module_files: DataFrame
+    edges: DataFrame
+    present: DataFrame
+
+
+def _conf(c) -> F.Column:
+    return F.when(c % 3 == 0, F.lit("low")).when(c % 3 == 1, F.lit("medium")).otherwise(
+        F.lit("high"))
+
+
+def n_facts(spark: SparkSession, sf_dir: str) -> NFacts:
+    """Facts the narrative is checked against: parts with p_size > 3 are files (id
+    ``f%04d`` of the part key); modules ``pkg_<type>`` except promo; fact edges are the
+    even order keys; present paths are parts whose key is not a multiple of 3."""
+    p = d_parts(spark, sf_dir).where(F.col("p_size") > 3)
+    repo = F.lit(N_REPO).alias("repo_id")
+    files = p.select(repo, F.format_string("f%04d", "partkey").alias("file_id"), "path",
+                     F.lit("unknown").alias("lang"), F.lit(0).cast("bigint").alias("loc"))
+    mf = p.where(F.col("ptype") != "promo").select(
+        repo, F.col("pkg").alias("module_id"), F.format_string("f%04d", "partkey").alias("file_id"))
+    modules = mf.select("repo_id", "module_id").distinct()
+    o = table(spark, sf_dir, "orders")
+    edges = o.where(F.col("o_orderkey") % 2 == 0).select(
+        repo, F.concat(F.lit("e"), "o_orderkey").alias("edge_id"),
+        F.when(F.col("o_orderkey") % 3 == 0, F.lit("unresolved")).otherwise(F.lit("resolved"))
+        .alias("resolution"))
+    present = d_parts(spark, sf_dir).where(F.col("partkey") % 3 != 0).select(repo, "path")
+    repos = spark.range(1).select(repo, F.lit("head0").alias("head_commit"))
+    return NFacts(repos, files, modules, mf, edges, present)
+
+
+def corpus_n(spark: SparkSession, sf_dir: str) -> Narrative:
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber")
+    c = F.col("o_custkey")
+    repo = F.lit(N_REPO).alias("repo_id")
+    pid = F.col("o_orderpriority").alias("perspective_id")
+    nodes = o.select(repo, pid, F.col("o_orderkey").alias("ord"),
+                     F.concat(F.lit("n"), c).alias("node_id"), (c % 3).cast("int").alias("tier"),
+                     F.concat(F.lit("Customer "), c).alias("label"),
+                     F.when(c % 7 == 0, F.lit("")).otherwise(
+                         F.concat(F.lit("Order "), "o_orderkey")).alias("description"),
+                     _conf(c).alias("confidence"), (c % 2 == 0).alias("interpretation"))
+    kinds = F.array(*[F.lit(k) for k in KINDS])
+    prio = o.select("o_orderpriority").distinct()
+    perspectives = prio.select(
+        repo, F.regexp_extract("o_orderpriority", r"^(\d+)", 1).cast("int").alias("ord"),
+        pid, F.col("o_orderpriority").alias("name"),
+        F.element_at(kinds, F.regexp_extract("o_orderpriority", r"^(\d+)", 1).cast("int"))
+        .alias("kind"), F.concat(F.lit("Lens "), "o_orderpriority").alias("description"))
+    lines = li.join(o, F.col("l_orderkey") == F.col("o_orderkey"))
+    ptype = d_parts(spark, sf_dir).select(F.col("partkey").alias("l_partkey"), "pkg")
+    file_refs = lines.select(repo, pid, F.col("o_orderkey").alias("ord"),
+                             F.concat(F.lit("n"), c).alias("node_id"),
+                             F.lit("file").alias("ref_kind"),
+                             F.format_string("f%04d", "l_partkey").alias("ref_id"))
+    mod_refs = (lines.where(F.col("o_orderkey") % 10 == 0).join(ptype, "l_partkey")
+                .select(repo, pid, F.col("o_orderkey").alias("ord"),
+                        F.concat(F.lit("n"), c).alias("node_id"), F.lit("module").alias("ref_kind"),
+                        F.col("pkg").alias("ref_id")).distinct())
+    node_refs = file_refs.unionByName(mod_refs)
+    relationships = o.select(repo, pid, F.col("o_orderkey").alias("ord"),
+                             F.concat(F.lit("n"), c).alias("from_id"),
+                             F.concat(F.lit("n"), c + 1).alias("to_id"),
+                             F.lit("next").alias("label"), _conf(c).alias("confidence"))
+    rel_edge_refs = o.where(F.col("o_orderkey") % 17 != 0).select(
+        repo, pid, F.col("o_orderkey").alias("ord"),
+        F.concat(F.lit("e"), "o_orderkey").alias("edge_id"))
+    heads = o.where(c % 5 != 0).select(repo, pid, c).distinct()
+    node_children = heads.select(
+        "repo_id", "perspective_id", F.concat(F.lit("n"), c).alias("node_id"),
+        F.posexplode(F.array(F.concat(F.lit("n"), c + 1), F.concat(F.lit("n"), c + 2)))
+        .alias("pos", "child_id"))
+    # N-brief: per customer, its row with the smallest order key.
+    first = o.groupBy("o_custkey").agg(F.min("o_orderkey").alias("o_orderkey"))
+    fo = first.join(o.drop("o_custkey"), "o_orderkey")
+    where = F.element_at(F.array(*[F.lit(x) for x in
+                                   ["problem", "solution", "audience", "capability"]]),
+                         (c % 4 + 1).cast("int"))
+    pref = (F.when(c % 13 == 0, F.lit(None).cast("string"))
+            .when(c % 11 == 0, F.lit("none")).otherwise(F.col("o_orderpriority")))
+    is_cap = where == "capability"  # noqa: F841
+    brief_claims = fo.select(
+        repo, F.col("o_orderpriority").alias("brief_id"), where.alias("claim_kind"),
+        F.col("o_orderkey").alias("ord"), F.concat(F.lit("cap-"), c).alias("label"),
+        F.when(c % 7 == 0, F.lit("")).otherwise(F.concat(F.lit("Order "), "o_orderkey"))
+        .alias("text"),
+        _conf(c).alias("confidence"), (c % 2 == 0).alias("interpretation"),
+        F.when(is_cap, pref).alias("perspective_ref"),
+        F.when(is_cap, F.concat(F.lit("n"), c + 1)).alias("node_ref"))
+    brief_refs = (node_refs.join(fo.select(F.col("o_orderkey").alias("ord"),
+                                           F.col("o_orderpriority").alias("brief_id")), "ord")
+                  .select("repo_id", "brief_id", "ord", "ref_kind", "ref_id"))
+    briefs = prio.select(repo, F.col("o_orderpriority").alias("brief_id"),
+                         F.when(F.col("o_orderpriority") == "5-LOW", F.lit("")).otherwise(
+                             F.concat(F.lit("Brief "), "o_orderpriority")).alias("headline"))
+    narratives = prio.select(
+        repo, F.col("o_orderpriority").alias("narrative_id"),
+        F.when(F.col("o_orderpriority") == "1-URGENT", F.lit("abc123"))
+        .when(F.col("o_orderpriority") == "2-HIGH", F.lit(None).cast("string"))
+        .otherwise(F.lit("head0")).alias("based_on_facts_commit"))
+    return Narrative(perspectives, nodes, node_refs, relationships, rel_edge_refs,
+                     node_children, brief_claims, brief_refs, briefs, narratives)

@@ -373,3 +373,175 @@ SELECT dl.repo_id, dl.n_files + 3 AS n_files, CAST(dl.loc + mloc.loc AS BIGINT)
        dep.n AS n_dependencies
 FROM dl JOIN mloc USING (repo_id) JOIN ent USING (repo_id) JOIN dep USING (repo_id)
 """
+
+# ------------------------------------------------------------------ narrative N
+N_CTES = r"""
+n_files AS (SELECT 'repo0' AS repo_id, printf('f%04d', partkey) AS file_id, path FROM d_parts WHERE p_size > 3),
+n_modfiles AS (SELECT 'repo0' AS repo_id, pkg AS module_id, printf('f%04d', partkey) AS file_id
+               FROM d_parts WHERE p_size > 3 AND ptype <> 'promo'),
+n_modules AS (SELECT DISTINCT repo_id, module_id FROM n_modfiles),
+n_edges AS (SELECT 'repo0' AS repo_id, 'e' || o_orderkey AS edge_id,
+                   CASE WHEN o_orderkey % 3 = 0 THEN 'unresolved' ELSE 'resolved' END AS resolution
+            FROM orders WHERE o_orderkey % 2 = 0),
+n_present AS (SELECT 'repo0' AS repo_id, path FROM d_parts WHERE partkey % 3 <> 0),
+n_nodes AS (
+  SELECT 'repo0' AS repo_id, o_orderpriority AS perspective_id, o_orderkey AS ord, 'n' || o_custkey AS node_id,
+         CAST(o_custkey % 3 AS INTEGER) AS tier, 'Customer ' || o_custkey AS label,
+         CASE WHEN o_custkey % 7 = 0 THEN '' ELSE 'Order ' || o_orderkey END AS description,
+         CASE o_custkey % 3 WHEN 0 THEN 'low' WHEN 1 THEN 'medium' ELSE 'high' END AS confidence,
+         o_custkey % 2 = 0 AS interpretation, o_custkey AS c
+  FROM orders),
+n_refs AS (
+  SELECT 'repo0' AS repo_id, o.o_orderpriority AS perspective_id, o.o_orderkey AS ord, 'n' || o.o_custkey AS node_id,
+         'file' AS ref_kind, printf('f%04d', l.l_partkey) AS ref_id, l.l_linenumber AS lno, l.l_partkey AS lpk
+  FROM lineitem l JOIN orders o ON o.o_orderkey = l.l_orderkey
+  UNION ALL
+  SELECT DISTINCT 'repo0', o.o_orderpriority, o.o_orderkey, 'n' || o.o_custkey, 'module', p.pkg,
+         CAST(NULL AS INTEGER), CAST(NULL AS BIGINT)
+  FROM lineitem l JOIN orders o ON o.o_orderkey = l.l_orderkey JOIN d_parts p ON p.partkey = l.l_partkey
+  WHERE o.o_orderkey % 10 = 0),
+n_rels AS (SELECT 'repo0' AS repo_id, o_orderpriority AS perspective_id, o_orderkey AS ord,
+                  'n' || o_custkey AS from_id, 'n' || (o_custkey + 1) AS to_id, o_custkey AS c,
+                  CASE o_custkey % 3 WHEN 0 THEN 'low' WHEN 1 THEN 'medium' ELSE 'high' END AS confidence
+           FROM orders),
+n_relrefs AS (SELECT 'repo0' AS repo_id, o_orderpriority AS perspective_id, o_orderkey AS ord,
+                     'e' || o_orderkey AS edge_id FROM orders WHERE o_orderkey % 17 <> 0),
+n_heads AS (SELECT DISTINCT 'repo0' AS repo_id, o_orderpriority AS perspective_id, o_custkey AS c
+            FROM orders WHERE o_custkey % 5 <> 0),
+n_children AS (
+  SELECT repo_id, perspective_id, 'n' || c AS node_id, 0 AS pos, 'n' || (c + 1) AS child_id FROM n_heads
+  UNION ALL SELECT repo_id, perspective_id, 'n' || c, 1, 'n' || (c + 2) FROM n_heads),
+n_persp AS (SELECT DISTINCT 'repo0' AS repo_id, o_orderpriority AS perspective_id FROM orders),
+n_first AS (SELECT o_custkey AS c, min(o_orderkey) AS ord FROM orders GROUP BY 1),
+n_claims AS (
+  SELECT 'repo0' AS repo_id, o.o_orderpriority AS brief_id,
+         CASE f.c % 4 WHEN 0 THEN 'problem' WHEN 1 THEN 'solution' WHEN 2 THEN 'audience' ELSE 'capability' END
+           AS claim_kind,
+         f.ord, 'cap-' || f.c AS label, CASE WHEN f.c % 7 = 0 THEN '' ELSE 'Order ' || f.ord END AS text,
+         CASE f.c % 3 WHEN 0 THEN 'low' WHEN 1 THEN 'medium' ELSE 'high' END AS confidence,
+         f.c % 2 = 0 AS interpretation,
+         CASE WHEN f.c % 4 = 3 THEN (CASE WHEN f.c % 13 = 0 THEN NULL WHEN f.c % 11 = 0 THEN 'none'
+                                          ELSE o.o_orderpriority END) END AS perspective_ref,
+         CASE WHEN f.c % 4 = 3 THEN 'n' || (f.c + 1) END AS node_ref
+  FROM n_first f JOIN orders o ON o.o_orderkey = f.ord),
+n_brefs AS (SELECT r.repo_id, c.brief_id, r.ord, r.ref_kind, r.ref_id FROM n_refs r JOIN n_claims c ON c.ord = r.ord),
+n_briefs AS (SELECT repo_id, perspective_id AS brief_id,
+                    CASE WHEN perspective_id = '5-LOW' THEN '' ELSE 'Brief ' || perspective_id END AS headline
+             FROM n_persp),
+n_narr AS (SELECT repo_id, perspective_id AS narrative_id,
+                  CASE perspective_id WHEN '1-URGENT' THEN 'abc123' WHEN '2-HIGH' THEN NULL ELSE 'head0' END
+                    AS based_on
+           FROM n_persp)
+"""
+DN = D_WITH + "," + N_CTES.rstrip()
+
+_VSEL = "SELECT repo_id, '{sev}' AS severity, '{chk}' AS \"check\", CAST({scope} AS VARCHAR) AS scope, " \
+        "CAST({subj} AS VARCHAR) AS subject, CAST({ref} AS VARCHAR) AS ref FROM "
+
+
+def _vs(sev, chk, scope, subj, ref="NULL"):
+    return _VSEL.format(sev=sev, chk=chk, scope=scope, subj=subj, ref=ref)
+
+
+V_SQL = {
+    "dup_node_ids": _vs("error", "node-ids", "perspective_id", "node_id") +
+    "(SELECT * FROM n_nodes QUALIFY row_number() OVER (PARTITION BY perspective_id, node_id ORDER BY ord) > 1)",
+    "orphan_file_refs": _vs("error", "referential-integrity", "perspective_id", "node_id", "ref_id") +
+    "n_refs r WHERE ref_kind = 'file' AND NOT EXISTS (SELECT 1 FROM n_files f WHERE f.file_id = r.ref_id)",
+    "orphan_module_refs": _vs("error", "referential-integrity", "perspective_id", "node_id", "ref_id") +
+    "n_refs r WHERE ref_kind = 'module' AND NOT EXISTS (SELECT 1 FROM n_modules m WHERE m.module_id = r.ref_id)",
+    "orphan_edge_refs": _vs("error", "referential-integrity", "perspective_id", "ord", "edge_id") +
+    "n_relrefs r WHERE NOT EXISTS (SELECT 1 FROM n_edges e WHERE e.edge_id = r.edge_id)",
+    "relationship_endpoints": _vs("error", "relationship-endpoints", "perspective_id", "'from'", "from_id") +
+    "n_rels r WHERE NOT EXISTS (SELECT 1 FROM n_nodes n WHERE n.perspective_id = r.perspective_id "
+    "AND n.node_id = r.from_id) UNION ALL " +
+    _vs("error", "relationship-endpoints", "perspective_id", "'to'", "to_id") +
+    "n_rels r WHERE NOT EXISTS (SELECT 1 FROM n_nodes n WHERE n.perspective_id = r.perspective_id "
+    "AND n.node_id = r.to_id)",
+    "empty_grounding": _vs("error", "empty-grounding", "perspective_id", "node_id") +
+    "n_nodes n WHERE NOT EXISTS (SELECT 1 FROM n_refs r WHERE r.perspective_id = n.perspective_id "
+    "AND r.ord = n.ord) AND NOT (interpretation AND confidence = 'low' AND description <> '')",
+    "file_existence": _vs("error", "file-existence", "perspective_id", "file_id", "path") +
+    "(SELECT DISTINCT r.repo_id, r.perspective_id, f.file_id, f.path FROM n_refs r "
+    "JOIN n_files f ON f.file_id = r.ref_id WHERE r.ref_kind = 'file' "
+    "AND NOT EXISTS (SELECT 1 FROM n_present p WHERE p.path = f.path))",
+    "brief_grounding": _vs("error", "empty-grounding", "brief_id", "claim_kind", "ord") +
+    "n_claims c WHERE NOT EXISTS (SELECT 1 FROM n_brefs b WHERE b.brief_id = c.brief_id AND b.ord = c.ord) "
+    "AND NOT (interpretation AND confidence = 'low' AND text <> '')",
+    "brief_orphan_refs": _vs("error", "referential-integrity", "brief_id", "ord", "ref_id") +
+    "n_brefs b WHERE (ref_kind = 'file' AND NOT EXISTS (SELECT 1 FROM n_files f WHERE f.file_id = b.ref_id)) "
+    "OR (ref_kind = 'module' AND NOT EXISTS (SELECT 1 FROM n_modules m WHERE m.module_id = b.ref_id))",
+    "brief_file_existence": _vs("error", "file-existence", "brief_id", "ref_id", "path") +
+    "(SELECT b.repo_id, b.brief_id, b.ref_id, f.path FROM n_brefs b JOIN n_files f ON f.file_id = b.ref_id "
+    "WHERE b.ref_kind = 'file' AND NOT EXISTS (SELECT 1 FROM n_present p WHERE p.path = f.path))",
+    "capability_refs": _vs("error", "capability-ref", "brief_id", "label", "perspective_ref") +
+    "n_claims WHERE claim_kind = 'capability' AND perspective_ref IS NOT NULL "
+    "AND perspective_ref NOT IN (SELECT perspective_id FROM n_persp) UNION ALL " +
+    _vs("error", "capability-ref", "brief_id", "label", "node_ref") +
+    "n_claims WHERE claim_kind = 'capability' AND node_ref IS NOT NULL AND perspective_ref IS NULL UNION ALL " +
+    _vs("error", "capability-ref", "brief_id", "label", "node_ref") +
+    "n_claims c WHERE claim_kind = 'capability' AND node_ref IS NOT NULL AND perspective_ref IS NOT NULL "
+    "AND NOT EXISTS (SELECT 1 FROM n_nodes n WHERE n.perspective_id = c.perspective_ref AND n.node_id = c.node_ref)",
+    "headline_warning": _vs("warning", "headline", "brief_id", "brief_id") + "n_briefs WHERE headline = ''",
+    "commit_match": _vs("warning", "commit-match", "narrative_id", "based_on", "'head0'") +
+    "n_narr WHERE based_on IS DISTINCT FROM 'head0'",
+    "dangling_children": _vs("error", "dangling-child", "perspective_id", "node_id", "child_id") +
+    "n_children c WHERE NOT EXISTS (SELECT 1 FROM n_nodes n WHERE n.perspective_id = c.perspective_id "
+    "AND n.node_id = c.child_id)",
+    "ungrounded_relationships": _vs("error", "ungrounded-relationship", "perspective_id", "ord") +
+    "n_rels r WHERE NOT EXISTS (SELECT 1 FROM n_relrefs x WHERE x.perspective_id = r.perspective_id AND x.ord = r.ord)",
+    "tier_sizing": _vs("warning", "tier0-size", "perspective_id", "n") +
+    "(SELECT repo_id, perspective_id, count(*) AS n FROM n_nodes WHERE tier = 0 GROUP BY 1, 2 "
+    "HAVING count(*) < 3 OR count(*) > 7) UNION ALL " +
+    _vs("warning", "node-too-broad", "node_id", "ord", "n") +
+    "(SELECT repo_id, node_id, ord, count(DISTINCT ref_id) AS n FROM n_refs WHERE ref_kind = 'file' "
+    "GROUP BY 1, 2, 3 HAVING count(DISTINCT ref_id) > 15)",
+}
+for _k, _sql in V_SQL.items():
+    ORACLES[_k] = DN + "\n" + _sql
+
+ORACLES["dup_perspective_ids"] = DN + "\n" + _vs("error", "perspective-ids", "'3-MEDIUM'", "'3-MEDIUM'") + \
+    "n_persp WHERE perspective_id = '3-MEDIUM'"
+
+ORACLES["covered_files"] = DN + """,
+cov AS (
+  SELECT r.repo_id, r.perspective_id, r.ref_id AS file_id FROM n_refs r WHERE r.ref_kind = 'file'
+  UNION
+  SELECT r.repo_id, r.perspective_id, m.file_id FROM n_refs r JOIN n_modfiles m ON m.module_id = r.ref_id
+  WHERE r.ref_kind = 'module')
+SELECT DISTINCT c.repo_id, c.perspective_id, c.file_id FROM cov c JOIN n_files f ON f.file_id = c.file_id
+"""
+_COV = ORACLES["covered_files"].rsplit("SELECT DISTINCT", 1)[0].rstrip() + """,
+covered AS (SELECT DISTINCT c.repo_id, c.perspective_id, c.file_id FROM cov c JOIN n_files f ON f.file_id = c.file_id),
+tot AS (SELECT count(*) AS t FROM n_files)
+"""
+ORACLES["coverage_by_perspective"] = _COV + """
+SELECT p.repo_id, p.perspective_id,
+       (SELECT count(*) FROM n_nodes n WHERE n.perspective_id = p.perspective_id) AS node_count,
+       (SELECT count(*) FROM covered c WHERE c.perspective_id = p.perspective_id) AS files_covered,
+       CASE WHEN (SELECT t FROM tot) > 0 THEN round_even(100.0 * (SELECT count(*) FROM covered c
+            WHERE c.perspective_id = p.perspective_id) / (SELECT t FROM tot), 2) ELSE 0.0 END AS coverage_pct
+FROM n_persp p
+"""
+ORACLES["coverage_total"] = _COV + """
+SELECT 'repo0' AS repo_id, (SELECT count(*) FROM n_nodes) AS node_count,
+       (SELECT count(DISTINCT file_id) FROM covered) AS files_covered, (SELECT t FROM tot) AS total_files,
+       CASE WHEN (SELECT t FROM tot) > 0 THEN round_even(100.0 * (SELECT count(DISTINCT file_id) FROM covered)
+            / (SELECT t FROM tot), 2) ELSE 0.0 END AS coverage_pct,
+       (SELECT count(*) FROM n_edges WHERE resolution = 'unresolved') AS unresolved_edges
+"""
+_GATE_KEYS = ["dup_node_ids", "orphan_file_refs", "orphan_module_refs", "orphan_edge_refs",
+              "relationship_endpoints", "empty_grounding", "file_existence", "brief_grounding",
+              "brief_orphan_refs", "brief_file_existence", "capability_refs", "headline_warning",
+              "commit_match"]
+ORACLES["gate_status"] = DN + ",\nallv AS (" + " UNION ALL ".join(
+    "(" + V_SQL[k] + ")" for k in _GATE_KEYS) + """)
+SELECT p.repo_id, p.perspective_id AS scope,
+       CAST(count(*) FILTER (WHERE v.severity = 'error') AS BIGINT) AS n_errors,
+       CAST(count(*) FILTER (WHERE v.severity = 'warning') AS BIGINT) AS n_warnings,
+       CASE WHEN count(*) FILTER (WHERE v.severity = 'error') > 0 THEN 'FAIL' ELSE 'PASS' END AS status
+FROM n_persp p LEFT JOIN allv v ON v.scope = p.perspective_id
+GROUP BY 1, 2
+"""
+ORACLES["techstack_refs"] = DM + "\n" + _vs("error", "techstack-ref", "repo_id", "tech_name", "fact_ref") + \
+    "m_tech t WHERE NOT EXISTS (SELECT 1 FROM m_deps d WHERE d.repo_id = t.repo_id AND d.name = t.fact_ref)"

@@ -431,3 +431,164 @@ def q_stat_tiles(spark, sf_dir):
     ent = EP.merge_entrypoints(MF.declared_entrypoints(f.raw_files, f.files),
                                EP.web_entrypoints(f.contents))
     return RP.stat_tiles(f.files, f.module_files, ent, MF.merge_deps(f.raw_files))
+
+
+# ------------------------------------------------------------------ narrative gate (N)
+from repograph.operators import verify as V  # noqa: E402
+
+VCOLS = V.VIOLATION_COLS
+
+
+def _n(spark, sf_dir):
+    return C.corpus_n(spark, sf_dir), C.n_facts(spark, sf_dir)
+
+
+@query("dup_perspective_ids")
+def q_dup_perspective_ids(spark, sf_dir):
+    n, _ = _n(spark, sf_dir)
+    extra = n.perspectives.where(F.col("perspective_id") == "3-MEDIUM").withColumn(
+        "ord", F.lit(6))
+    return V.dup_perspective_ids(n.perspectives.unionByName(extra)).select(*VCOLS)
+
+
+@query("dup_node_ids")
+def q_dup_node_ids(spark, sf_dir):
+    return V.dup_node_ids(_n(spark, sf_dir)[0].nodes).select(*VCOLS)
+
+
+@query("orphan_file_refs")
+def q_orphan_file_refs(spark, sf_dir):
+    n, f = _n(spark, sf_dir)
+    return V.orphan_file_refs(n.node_refs, f.files).select(*VCOLS)
+
+
+@query("orphan_module_refs")
+def q_orphan_module_refs(spark, sf_dir):
+    n, f = _n(spark, sf_dir)
+    return V.orphan_module_refs(n.node_refs, f.modules).select(*VCOLS)
+
+
+@query("orphan_edge_refs")
+def q_orphan_edge_refs(spark, sf_dir):
+    n, f = _n(spark, sf_dir)
+    return V.orphan_edge_refs(n.rel_edge_refs, f.edges).select(*VCOLS)
+
+
+@query("relationship_endpoints")
+def q_relationship_endpoints(spark, sf_dir):
+    n, _ = _n(spark, sf_dir)
+    return V.relationship_endpoints(n.relationships, n.nodes).select(*VCOLS)
+
+
+@query("empty_grounding")
+def q_empty_grounding(spark, sf_dir):
+    n, _ = _n(spark, sf_dir)
+    return V.empty_grounding(n.nodes, n.node_refs).select(*VCOLS)
+
+
+@query("file_existence")
+def q_file_existence(spark, sf_dir):
+    n, f = _n(spark, sf_dir)
+    return V.file_existence(n.node_refs, f.files, f.present).select(*VCOLS)
+
+
+@query("covered_files")
+def q_covered_files(spark, sf_dir):
+    n, f = _n(spark, sf_dir)
+    return V.covered_files(n.node_refs, f.module_files, f.files).select(
+        "repo_id", "perspective_id", "file_id")
+
+
+@query("coverage_by_perspective")
+def q_coverage_by_perspective(spark, sf_dir):
+    n, f = _n(spark, sf_dir)
+    cov = V.covered_files(n.node_refs, f.module_files, f.files)
+    return V.coverage_by_perspective(n.perspectives, n.nodes, cov, f.files)
+
+
+@query("coverage_total")
+def q_coverage_total(spark, sf_dir):
+    n, f = _n(spark, sf_dir)
+    cov = V.covered_files(n.node_refs, f.module_files, f.files)
+    return V.coverage_total(f.repos, n.nodes, cov, f.files, f.edges)
+
+
+@query("commit_match")
+def q_commit_match(spark, sf_dir):
+    n, f = _n(spark, sf_dir)
+    return V.commit_match(n.narratives, f.repos).select(*VCOLS)
+
+
+@query("brief_grounding")
+def q_brief_grounding(spark, sf_dir):
+    n, _ = _n(spark, sf_dir)
+    return V.brief_grounding(n.brief_claims, n.brief_refs).select(*VCOLS)
+
+
+@query("brief_orphan_refs")
+def q_brief_orphan_refs(spark, sf_dir):
+    n, f = _n(spark, sf_dir)
+    return V.brief_orphan_refs(n.brief_refs, f.files, f.modules).select(*VCOLS)
+
+
+@query("brief_file_existence")
+def q_brief_file_existence(spark, sf_dir):
+    n, f = _n(spark, sf_dir)
+    return V.brief_file_existence(n.brief_refs, f.files, f.present).select(*VCOLS)
+
+
+@query("capability_refs")
+def q_capability_refs(spark, sf_dir):
+    n, _ = _n(spark, sf_dir)
+    return V.capability_refs(n.brief_claims, n.perspectives, n.nodes).select(*VCOLS)
+
+
+@query("techstack_refs")
+def q_techstack_refs(spark, sf_dir):
+    d = C.corpus_dm(spark, sf_dir)
+    return V.techstack_refs(C.tech_stack(spark, sf_dir), MF.merge_deps(d.files)).select(*VCOLS)
+
+
+@query("headline_warning")
+def q_headline_warning(spark, sf_dir):
+    return V.headline_warning(_n(spark, sf_dir)[0].briefs).select(*VCOLS)
+
+
+def gate_violations(n, f) -> DataFrame:
+    return V.union_all([
+        V.dup_perspective_ids(n.perspectives), V.dup_node_ids(n.nodes),
+        V.orphan_file_refs(n.node_refs, f.files), V.orphan_module_refs(n.node_refs, f.modules),
+        V.orphan_edge_refs(n.rel_edge_refs, f.edges),
+        V.relationship_endpoints(n.relationships, n.nodes),
+        V.empty_grounding(n.nodes, n.node_refs),
+        V.file_existence(n.node_refs, f.files, f.present),
+        V.brief_grounding(n.brief_claims, n.brief_refs),
+        V.brief_orphan_refs(n.brief_refs, f.files, f.modules),
+        V.brief_file_existence(n.brief_refs, f.files, f.present),
+        V.capability_refs(n.brief_claims, n.perspectives, n.nodes),
+        V.headline_warning(n.briefs), V.commit_match(n.narratives, f.repos)])
+
+
+@query("gate_status")
+def q_gate_status(spark, sf_dir):
+    n, f = _n(spark, sf_dir)
+    scopes = n.perspectives.select("repo_id", F.col("perspective_id").alias("scope"))
+    return V.gate_status(scopes, gate_violations(n, f))
+
+
+@query("dangling_children")
+def q_dangling_children(spark, sf_dir):
+    n, _ = _n(spark, sf_dir)
+    return V.dangling_children(n.node_children, n.nodes).select(*VCOLS)
+
+
+@query("ungrounded_relationships")
+def q_ungrounded_relationships(spark, sf_dir):
+    n, _ = _n(spark, sf_dir)
+    return V.ungrounded_relationships(n.relationships, n.rel_edge_refs).select(*VCOLS)
+
+
+@query("tier_sizing")
+def q_tier_sizing(spark, sf_dir):
+    n, _ = _n(spark, sf_dir)
+    return V.tier_sizing(n.nodes, n.node_refs).select(*VCOLS)
