@@ -64,3 +64,220 @@ def stat_tiles(files: DataFrame, mod_files: DataFrame, entrypoints: DataFrame,
                       F.coalesce("n_entrypoints", F.lit(0)).cast("bigint").alias("n_entrypoints"),
                       F.coalesce("n_dependencies", F.lit(0)).cast("bigint")
                       .alias("n_dependencies"))
+
+
+# ------------------------------------------------------------------ narrative views
+def verified_only(nodes: DataFrame, conf: str = "confidence", interp: str = "interpretation"
+                  ) -> DataFrame:
+    """Hide rows whose interpretation is true OR whose confidence is low."""
+    return nodes.where(~(F.coalesce(F.col(interp), F.lit(False))
+                         | F.col(conf).eqNullSafe(F.lit("low"))))
+
+
+def tier0_nodes(nodes: DataFrame) -> DataFrame:
+    return nodes.where(F.col("tier") == 0)
+
+
+def children_of(node_children: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Child nodes in child-list order; unknown children dropped."""
+    ids = nodes.select("repo_id", "perspective_id", F.col("node_id").alias("child_id")).distinct()
+    return node_children.join(ids, ["repo_id", "perspective_id", "child_id"])
+
+
+def leaf_nodes(nodes: DataFrame, node_children: DataFrame) -> DataFrame:
+    has = node_children.select("repo_id", "perspective_id", "node_id").distinct()
+    return nodes.join(has, ["repo_id", "perspective_id", "node_id"], "left_anti")
+
+
+def visible_subgraph(nodes: DataFrame, relationships: DataFrame, only_verified: bool = True
+                     ) -> tuple[DataFrame, DataFrame]:
+    """Visible nodes and the relationships with both ends visible."""
+    vis = verified_only(nodes) if only_verified else nodes
+    ids = vis.select("repo_id", "perspective_id", "node_id").distinct()
+    rels = (relationships
+            .join(ids.withColumnRenamed("node_id", "from_id"),
+                  ["repo_id", "perspective_id", "from_id"], "left_semi")
+            .join(ids.withColumnRenamed("node_id", "to_id"),
+                  ["repo_id", "perspective_id", "to_id"], "left_semi"))
+    return vis, rels
+
+
+def node_relations(relationships: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Outbound and inbound relationships per node with the other end's label (the id
+    when the other end is not a node)."""
+    labels = nodes.groupBy("repo_id", "perspective_id", F.col("node_id").alias("other_id")).agg(
+        F.min("label").alias("other_label"))
+    out = relationships.select("repo_id", "perspective_id", "ord",
+                               F.col("from_id").alias("node_id"), F.col("to_id").alias("other_id"),
+                               F.lit("out").alias("direction"))
+    inn = relationships.select("repo_id", "perspective_id", "ord",
+                               F.col("to_id").alias("node_id"), F.col("from_id").alias("other_id"),
+                               F.lit("in").alias("direction"))
+    return (out.unionByName(inn).join(labels, ["repo_id", "perspective_id", "other_id"], "left")
+            .withColumn("other_label", F.coalesce("other_label", "other_id")))
+
+
+def hover_counts(nodes: DataFrame, node_refs: DataFrame, relationships: DataFrame
+                 ) -> DataFrame:
+    """Per node: module refs, file refs, and relationships out + in (a self-loop counts
+    twice)."""
+    refs = node_refs.groupBy("repo_id", "perspective_id", "ord").agg(
+        F.count_if(F.col("ref_kind") == "module").alias("n_modules"),
+        F.count_if(F.col("ref_kind") == "file").alias("n_files"))
+    ends = relationships.select("repo_id", "perspective_id", F.explode(
+        F.array("from_id", "to_id")).alias("node_id"))
+    rel = ends.groupBy("repo_id", "perspective_id", "node_id").agg(
+        F.count(F.lit(1)).alias("n_relationships"))
+    return (nodes.select("repo_id", "perspective_id", "ord", "node_id")
+            .join(refs, ["repo_id", "perspective_id", "ord"], "left")
+            .join(rel, ["repo_id", "perspective_id", "node_id"], "left")
+            .select("repo_id", "perspective_id", "ord", "node_id",
+                    *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c)
+                      for c in ["n_modules", "n_files", "n_relationships"]]))
+
+
+def _ref_paths(node_refs: DataFrame, files: DataFrame, modules: DataFrame,
+               key: list[str]) -> DataFrame:
+    """Per key: file paths and module paths in reference order (unknown id shown as
+    itself)."""
+    fp = files.select("repo_id", F.col("file_id").alias("ref_id"), F.col("path").alias("fpath"))
+    mp = modules.select("repo_id", F.col("module_id").alias("ref_id"),
+                        F.col("path").alias("mpath")).distinct()
+    r = (node_refs.join(fp, ["repo_id", "ref_id"], "left").join(mp, ["repo_id", "ref_id"], "left")
+         .withColumn("shown", F.when(F.col("ref_kind") == "file", F.coalesce("fpath", "ref_id"))
+                     .otherwise(F.coalesce("mpath", "ref_id"))))
+    pos = F.struct(F.col("ref_pos"), F.col("shown"))
+
+    def ordered(kind):
+        return F.transform(F.array_sort(F.collect_list(F.when(F.col("ref_kind") == kind, pos))),
+                           lambda x: x["shown"])
+    return r.groupBy(*key).agg(ordered("file").alias("file_paths"),
+                               ordered("module").alias("module_paths"))
+
+
+def node_provenance(node_refs: DataFrame, files: DataFrame, modules: DataFrame) -> DataFrame:
+    return _ref_paths(node_refs, files, modules, ["repo_id", "perspective_id", "ord", "node_id"])
+
+
+def _line(prefix: str, arr) -> F.Column:
+    return F.when(F.size(arr) > 0, F.concat(F.lit(prefix), F.array_join(arr, ", ")))
+
+
+def _nonempty(c) -> F.Column:
+    return F.when(c != "", c)
+
+
+def node_context(perspectives: DataFrame, nodes: DataFrame, node_refs: DataFrame,
+                 rel_edge_refs: DataFrame, files: DataFrame, modules: DataFrame) -> DataFrame:
+    """One text block per node: perspective, label, description, modules, files, the
+    fact edges of its relationship, confidence; empty lines dropped."""
+    prov = node_provenance(node_refs, files, modules)
+    edges = rel_edge_refs.groupBy("repo_id", "perspective_id", "ord").agg(
+        F.array_sort(F.collect_list("edge_id")).alias("edge_ids"))
+    p = perspectives.select("repo_id", "perspective_id", F.col("name").alias("pname")).distinct()
+    j = (nodes.join(p, ["repo_id", "perspective_id"], "left")
+         .join(prov, ["repo_id", "perspective_id", "ord", "node_id"], "left")
+         .join(edges, ["repo_id", "perspective_id", "ord"], "left"))
+    empty = F.array().cast("array<string>")
+    text = F.concat_ws(
+        "\n", F.concat(F.lit("Perspective: "), "pname"), F.concat(F.lit("Node: "), "label"),
+        _nonempty(F.col("description")),
+        _line("Modules: ", F.coalesce("module_paths", empty)),
+        _line("Files: ", F.coalesce("file_paths", empty)),
+        _line("Edges: ", F.coalesce("edge_ids", empty)),
+        F.concat(F.lit("Confidence: "), "confidence"))
+    return j.select("repo_id", "perspective_id", "ord", "node_id", text.alias("context"))
+
+
+def brief_context(brief_claims: DataFrame, brief_refs: DataFrame, files: DataFrame,
+                  modules: DataFrame) -> DataFrame:
+    refs = brief_refs.withColumn("ref_pos", F.lit(0).cast("bigint"))
+    prov = _ref_paths(refs, files, modules, ["repo_id", "brief_id", "ord"])
+    j = brief_claims.join(prov, ["repo_id", "brief_id", "ord"], "left")
+    empty = F.array().cast("array<string>")
+    text = F.concat_ws(
+        "\n", F.concat(F.lit("Brief: "), "brief_id"), F.concat(F.lit("Claim: "), "claim_kind"),
+        _nonempty(F.col("text")),
+        _line("Modules: ", F.coalesce("module_paths", empty)),
+        _line("Files: ", F.coalesce("file_paths", empty)),
+        F.concat(F.lit("Confidence: "), "confidence"))
+    return j.select("repo_id", "brief_id", "ord", text.alias("context"))
+
+
+def capability_cards(brief_claims: DataFrame) -> DataFrame:
+    caps = verified_only(brief_claims.where(F.col("claim_kind") == "capability"))
+    return caps.select("repo_id", "brief_id", "ord", "label",
+                       (F.col("perspective_ref").isNotNull() & F.col("node_ref").isNotNull())
+                       .alias("linkable"))
+
+
+def coverage_banner(report: DataFrame) -> DataFrame:
+    """Display strings; a dash when a list is empty."""
+    def show(c):
+        return F.when(F.size(c) > 0, F.array_join(c, ", ")).otherwise(F.lit("—"))
+    return report.select("repo_id", show(F.col("languages")).alias("languages"),
+                         F.col("edges_resolved").cast("string").alias("resolved"),
+                         F.col("edges_unresolved").cast("string").alias("unresolved"),
+                         show(F.col("tools")).alias("tools"),
+                         show(F.col("skipped")).alias("skipped"))
+
+
+def escape_inline_json(col) -> F.Column:
+    """JSON text safe inside a script element: every ``</`` becomes ``<\\/``."""
+    return F.regexp_replace(F.to_json(col), "</", "<\\\\/")
+
+
+# ------------------------------------------------------------------ code payload
+def referenced_files(node_refs: DataFrame) -> DataFrame:
+    """Distinct file ids referenced by nodes of any perspective (module refs excluded)."""
+    return (node_refs.where(F.col("ref_kind") == "file")
+            .select("repo_id", F.col("ref_id").alias("file_id")).distinct())
+
+
+def code_budget(sized: DataFrame, total_cap: int) -> DataFrame:
+    """Admit files in id order under a byte budget: a file that does not fit is dropped
+    and LATER smaller files may still fit; nothing is dropped while the running total is
+    0. This is a greedy fold (not a prefix cut); it folds (file_id, n) pairs only -
+    never content - per repo: adds ``dropped``."""
+    fold = F.aggregate(
+        F.array_sort(F.collect_list(F.struct("file_id", "n"))),
+        F.struct(F.lit(0).cast("bigint").alias("total"),
+                 F.array().cast("array<string>").alias("dropped")),
+        lambda acc, x: F.when((acc["total"] > 0) & (acc["total"] + x["n"] > total_cap),
+                              F.struct(acc["total"].alias("total"),
+                                       F.concat(acc["dropped"], F.array(x["file_id"]))
+                                       .alias("dropped")))
+        .otherwise(F.struct((acc["total"] + x["n"]).alias("total"),
+                            acc["dropped"].alias("dropped"))),
+        lambda acc: acc["dropped"])
+    drops = (sized.groupBy("repo_id").agg(fold.alias("d"))
+             .select("repo_id", F.explode("d").alias("file_id"))
+             .withColumn("dropped", F.lit(True)))
+    return (sized.join(drops, ["repo_id", "file_id"], "left")
+            .withColumn("dropped", F.coalesce("dropped", F.lit(False))))
+
+
+def code_payload(node_refs: DataFrame, files: DataFrame, contents: DataFrame,
+                 per_file_cap: int = 200_000, total_cap: int = 5_000_000) -> DataFrame:
+    """Referenced and known files with content: ``truncated`` at ``per_file_cap`` bytes
+    on a character boundary, ``missing`` when the content is absent, ``dropped`` by the
+    total budget (then content is empty). Unknown ids are skipped."""
+    from repograph.functions.text import utf8_truncate
+    ref = referenced_files(node_refs).join(files.select("repo_id", "file_id", "path", "lang"),
+                                           ["repo_id", "file_id"])
+    with_text = ref.join(contents.select("repo_id", "path", "content"), ["repo_id", "path"],
+                         "left")
+    cut = (with_text
+           .withColumn("missing", F.col("content").isNull())
+           .withColumn("truncated", F.coalesce(F.octet_length("content") > per_file_cap,
+                                               F.lit(False)))
+           .withColumn("content", F.when(F.col("truncated"), utf8_truncate("content",
+                                                                        per_file_cap))
+                       .otherwise(F.coalesce("content", F.lit(""))))
+           .withColumn("n", F.octet_length("content").cast("bigint")))
+    sized = cut.where(~F.col("missing")).select("repo_id", "file_id", "n")
+    budget = code_budget(sized, total_cap).select("repo_id", "file_id", "dropped")
+    out = cut.join(budget, ["repo_id", "file_id"], "left").withColumn(
+        "dropped", F.coalesce("dropped", F.lit(False)))
+    return (out.withColumn("content", F.when(F.col("dropped"), F.lit("")).otherwise(F.col("content")))
+            .withColumn("truncated", F.col("truncated") & ~F.col("dropped")))

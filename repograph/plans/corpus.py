@@ -15,6 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from repograph.functions.text import detect_language
 from repograph.operators.ids import positional_ids
 from repograph.session import cut_lineage
 
@@ -312,10 +313,11 @@ def n_facts(spark: SparkSession, sf_dir: str) -> NFacts:
     p = d_parts(spark, sf_dir).where(F.col("p_size") > 3)
     repo = F.lit(N_REPO).alias("repo_id")
     files = p.select(repo, F.format_string("f%04d", "partkey").alias("file_id"), "path",
-                     F.lit("unknown").alias("lang"), F.lit(0).cast("bigint").alias("loc"))
+                     detect_language("path").alias("lang"))
     mf = p.where(F.col("ptype") != "promo").select(
-        repo, F.col("pkg").alias("module_id"), F.format_string("f%04d", "partkey").alias("file_id"))
-    modules = mf.select("repo_id", "module_id").distinct()
+        repo, F.col("pkg").alias("module_id"), F.format_string("f%04d", "partkey").alias("file_id"),
+        F.concat("root", "pkg").alias("module_path"))
+    modules = mf.select("repo_id", "module_id", F.col("module_path").alias("path")).distinct()
     o = table(spark, sf_dir, "orders")
     edges = o.where(F.col("o_orderkey") % 2 == 0).select(
         repo, F.concat(F.lit("e"), "o_orderkey").alias("edge_id"),
@@ -350,11 +352,14 @@ def corpus_n(spark: SparkSession, sf_dir: str) -> Narrative:
     file_refs = lines.select(repo, pid, F.col("o_orderkey").alias("ord"),
                              F.concat(F.lit("n"), c).alias("node_id"),
                              F.lit("file").alias("ref_kind"),
-                             F.format_string("f%04d", "l_partkey").alias("ref_id"))
+                             F.format_string("f%04d", "l_partkey").alias("ref_id"),
+                             (F.col("l_linenumber") * 10_000_000 + F.col("l_partkey"))
+                             .alias("ref_pos"))
     mod_refs = (lines.where(F.col("o_orderkey") % 10 == 0).join(ptype, "l_partkey")
                 .select(repo, pid, F.col("o_orderkey").alias("ord"),
                         F.concat(F.lit("n"), c).alias("node_id"), F.lit("module").alias("ref_kind"),
-                        F.col("pkg").alias("ref_id")).distinct())
+                        F.col("pkg").alias("ref_id")).distinct()
+                .withColumn("ref_pos", F.lit(0).cast("bigint")))
     node_refs = file_refs.unionByName(mod_refs)
     relationships = o.select(repo, pid, F.col("o_orderkey").alias("ord"),
                              F.concat(F.lit("n"), c).alias("from_id"),

@@ -545,3 +545,145 @@ GROUP BY 1, 2
 """
 ORACLES["techstack_refs"] = DM + "\n" + _vs("error", "techstack-ref", "repo_id", "tech_name", "fact_ref") + \
     "m_tech t WHERE NOT EXISTS (SELECT 1 FROM m_deps d WHERE d.repo_id = t.repo_id AND d.name = t.fact_ref)"
+
+# ------------------------------------------------------------------ report queries
+_NKEY = "repo_id, perspective_id, ord, node_id"
+N_CONTENT = """,
+n_content AS (SELECT 'repo0' AS repo_id, d.path, d.content FROM d_files d JOIN d_parts p ON p.path = d.path
+              WHERE p.partkey % 3 <> 0),
+n_refd AS (SELECT DISTINCT repo_id, ref_id AS file_id FROM n_refs WHERE ref_kind = 'file')"""
+
+ORACLES["referenced_files"] = DN + "\nSELECT DISTINCT repo_id, ref_id AS file_id FROM n_refs WHERE ref_kind = 'file'"
+ORACLES["code_truncate"] = """
+SELECT doc_id, strlen(text) > 500 AS truncated,
+       CASE WHEN strlen(text) > 500 THEN coalesce(try(decode(encode(text)[1:500])), try(decode(encode(text)[1:499])),
+                                                  try(decode(encode(text)[1:498])), try(decode(encode(text)[1:497])))
+            ELSE text END AS text
+FROM documents
+"""
+
+
+def _fold(sized_sql: str, cap: int) -> str:
+    return f""",
+sized AS ({sized_sql}),
+ordered AS (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY file_id) AS i FROM sized),
+fold AS (
+  SELECT repo_id, i, file_id, n, false AS dropped, n AS total FROM ordered WHERE i = 1
+  UNION ALL
+  SELECT o.repo_id, o.i, o.file_id, o.n, (f.total > 0 AND f.total + o.n > {cap}),
+         CASE WHEN f.total > 0 AND f.total + o.n > {cap} THEN f.total ELSE f.total + o.n END
+  FROM fold f JOIN ordered o ON o.repo_id = f.repo_id AND o.i = f.i + 1)"""
+
+
+ORACLES["code_budget"] = DN.replace("WITH ", "WITH RECURSIVE ", 1) + N_CONTENT + _fold(
+    "SELECT r.repo_id, r.file_id, CAST(strlen(c.content) AS BIGINT) AS n FROM n_refd r "
+    "JOIN n_files f ON f.file_id = r.file_id JOIN n_content c ON c.path = f.path", 20000) + """
+SELECT repo_id, file_id, n, dropped FROM fold
+"""
+ORACLES["code_payload"] = DN.replace("WITH ", "WITH RECURSIVE ", 1) + N_CONTENT + _fold(
+    "SELECT r.repo_id, r.file_id, CAST(least(strlen(c.content), 120) AS BIGINT) AS n FROM n_refd r "
+    "JOIN n_files f ON f.file_id = r.file_id JOIN n_content c ON c.path = f.path", 20000) + f"""
+SELECT r.repo_id, r.file_id, f.path, {lang_sql('f.path')} AS lang,
+       CASE WHEN c.path IS NULL OR fo.dropped THEN 0 ELSE least(strlen(c.content), 120) END AS n_bytes,
+       coalesce(strlen(c.content) > 120 AND NOT fo.dropped, false) AS truncated,
+       coalesce(fo.dropped, false) AS dropped, c.path IS NULL AS missing
+FROM n_refd r JOIN n_files f ON f.file_id = r.file_id
+LEFT JOIN n_content c ON c.path = f.path LEFT JOIN fold fo ON fo.file_id = r.file_id
+"""
+ORACLES["tier0_nodes"] = DN + f"\nSELECT {_NKEY} FROM n_nodes WHERE tier = 0"
+ORACLES["children_of"] = DN + """
+SELECT c.repo_id, c.perspective_id, c.node_id, c.pos, c.child_id FROM n_children c
+WHERE EXISTS (SELECT 1 FROM n_nodes n WHERE n.perspective_id = c.perspective_id AND n.node_id = c.child_id)
+"""
+ORACLES["verified_only"] = DN + f"\nSELECT {_NKEY} FROM n_nodes WHERE NOT (interpretation OR confidence = 'low')"
+ORACLES["visible_subgraph"] = DN + """,
+vis AS (SELECT DISTINCT perspective_id, node_id FROM n_nodes)
+SELECT r.repo_id, r.perspective_id, r.ord, r.from_id, r.to_id FROM n_rels r
+WHERE EXISTS (SELECT 1 FROM vis v WHERE v.perspective_id = r.perspective_id AND v.node_id = r.from_id)
+  AND EXISTS (SELECT 1 FROM vis v WHERE v.perspective_id = r.perspective_id AND v.node_id = r.to_id)
+"""
+ORACLES["node_relations"] = DN + """,
+lab AS (SELECT perspective_id, node_id, min(label) AS label FROM n_nodes GROUP BY 1, 2),
+ends AS (SELECT repo_id, perspective_id, ord, from_id AS node_id, 'out' AS direction, to_id AS other_id FROM n_rels
+         UNION ALL SELECT repo_id, perspective_id, ord, to_id, 'in', from_id FROM n_rels)
+SELECT e.repo_id, e.perspective_id, e.ord, e.node_id, e.direction, e.other_id,
+       coalesce(l.label, e.other_id) AS other_label
+FROM ends e LEFT JOIN lab l ON l.perspective_id = e.perspective_id AND l.node_id = e.other_id
+"""
+_NMOD = "n_modpaths AS (SELECT DISTINCT module_id, CASE WHEN module_id IN ('pkg_economy', 'pkg_small', 'pkg_large') " \
+        "THEN 'src/' ELSE '' END || module_id AS path FROM n_modfiles)"
+ORACLES["node_provenance"] = DN + ",\n" + _NMOD + """,
+shown AS (
+  SELECT r.*, CASE WHEN r.ref_kind = 'file' THEN coalesce(f.path, r.ref_id) ELSE coalesce(m.path, r.ref_id) END AS shown
+  FROM n_refs r LEFT JOIN n_files f ON r.ref_kind = 'file' AND f.file_id = r.ref_id
+  LEFT JOIN n_modpaths m ON r.ref_kind = 'module' AND m.module_id = r.ref_id)
+SELECT repo_id, perspective_id, ord, node_id,
+       coalesce(string_agg(shown, '|' ORDER BY lno * 10000000 + lpk, shown) FILTER (WHERE ref_kind = 'file'), '') AS file_paths,
+       coalesce(string_agg(shown, '|' ORDER BY shown) FILTER (WHERE ref_kind = 'module'), '') AS module_paths
+FROM shown GROUP BY 1, 2, 3, 4
+"""
+ORACLES["node_context"] = DN + ",\n" + _NMOD + """,
+shown AS (
+  SELECT r.*, CASE WHEN r.ref_kind = 'file' THEN coalesce(f.path, r.ref_id) ELSE coalesce(m.path, r.ref_id) END AS shown
+  FROM n_refs r LEFT JOIN n_files f ON r.ref_kind = 'file' AND f.file_id = r.ref_id
+  LEFT JOIN n_modpaths m ON r.ref_kind = 'module' AND m.module_id = r.ref_id),
+prov AS (
+  SELECT perspective_id, ord,
+         string_agg(shown, ', ' ORDER BY lno * 10000000 + lpk, shown) FILTER (WHERE ref_kind = 'file') AS fp,
+         string_agg(shown, ', ' ORDER BY shown) FILTER (WHERE ref_kind = 'module') AS mp
+  FROM shown GROUP BY 1, 2),
+ed AS (SELECT perspective_id, ord, string_agg(edge_id, ', ' ORDER BY edge_id) AS e FROM n_relrefs GROUP BY 1, 2)
+SELECT n.repo_id, n.perspective_id, n.ord, n.node_id,
+       concat_ws(chr(10), 'Perspective: ' || n.perspective_id, 'Node: ' || n.label, nullif(n.description, ''),
+                 'Modules: ' || p.mp, 'Files: ' || p.fp, 'Edges: ' || ed.e, 'Confidence: ' || n.confidence) AS context
+FROM n_nodes n LEFT JOIN prov p ON p.perspective_id = n.perspective_id AND p.ord = n.ord
+LEFT JOIN ed ON ed.perspective_id = n.perspective_id AND ed.ord = n.ord
+"""
+ORACLES["brief_context"] = DN + ",\n" + _NMOD + """,
+shown AS (
+  SELECT b.*, CASE WHEN b.ref_kind = 'file' THEN coalesce(f.path, b.ref_id) ELSE coalesce(m.path, b.ref_id) END AS shown
+  FROM n_brefs b LEFT JOIN n_files f ON b.ref_kind = 'file' AND f.file_id = b.ref_id
+  LEFT JOIN n_modpaths m ON b.ref_kind = 'module' AND m.module_id = b.ref_id),
+prov AS (
+  SELECT brief_id, ord,
+         string_agg(shown, ', ' ORDER BY shown) FILTER (WHERE ref_kind = 'file') AS fp,
+         string_agg(shown, ', ' ORDER BY shown) FILTER (WHERE ref_kind = 'module') AS mp
+  FROM shown GROUP BY 1, 2)
+SELECT c.repo_id, c.brief_id, c.ord,
+       concat_ws(chr(10), 'Brief: ' || c.brief_id, 'Claim: ' || c.claim_kind, nullif(c.text, ''),
+                 'Modules: ' || p.mp, 'Files: ' || p.fp, 'Confidence: ' || c.confidence) AS context
+FROM n_claims c LEFT JOIN prov p ON p.brief_id = c.brief_id AND p.ord = c.ord
+"""
+ORACLES["coverage_banner"] = D_IMP + f""",
+lg AS (SELECT repo_id, array_to_string(list_sort(list_distinct(list(lang))), ', ') AS languages
+       FROM (SELECT repo_id, {lang_sql('path')} AS lang FROM d_files) WHERE lang <> 'unknown' GROUP BY 1),
+rc AS (SELECT repo_id, count(*) FILTER (WHERE resolution = 'resolved') AS r,
+              count(*) FILTER (WHERE resolution = 'unresolved') AS u FROM d_edges GROUP BY 1)
+SELECT lg.repo_id, lg.languages, CAST(coalesce(r, 0) AS VARCHAR) AS resolved,
+       CAST(coalesce(u, 0) AS VARCHAR) AS unresolved, '—' AS tools,
+       '.explain-project, .git, .pytest_cache, .venv, __pycache__, build, dist, node_modules' AS skipped
+FROM lg LEFT JOIN rc USING (repo_id)
+"""
+ORACLES["capability_cards"] = DN + """
+SELECT repo_id, brief_id, ord, label, perspective_ref IS NOT NULL AND node_ref IS NOT NULL AS linkable
+FROM n_claims WHERE claim_kind = 'capability' AND NOT (interpretation OR confidence = 'low')
+"""
+ORACLES["leaf_nodes"] = DN + f"""
+SELECT {_NKEY} FROM n_nodes n
+WHERE NOT EXISTS (SELECT 1 FROM n_children c WHERE c.perspective_id = n.perspective_id AND c.node_id = n.node_id)
+"""
+ORACLES["escape_inline_json"] = """
+SELECT page_id, CAST((length(html) - length(replace(html, '</', ''))) / 2 AS BIGINT) AS n_breaks,
+       true AS safe, true AS roundtrip
+FROM pages
+"""
+ORACLES["hover_counts"] = DN + """,
+rc AS (SELECT perspective_id, ord, count(*) FILTER (WHERE ref_kind = 'module') AS nm,
+              count(*) FILTER (WHERE ref_kind = 'file') AS nf FROM n_refs GROUP BY 1, 2),
+ends AS (SELECT perspective_id, from_id AS node_id FROM n_rels UNION ALL SELECT perspective_id, to_id FROM n_rels),
+ec AS (SELECT perspective_id, node_id, count(*) AS nr FROM ends GROUP BY 1, 2)
+SELECT n.repo_id, n.perspective_id, n.ord, n.node_id, coalesce(rc.nm, 0) AS n_modules, coalesce(rc.nf, 0) AS n_files,
+       coalesce(ec.nr, 0) AS n_relationships
+FROM n_nodes n LEFT JOIN rc ON rc.perspective_id = n.perspective_id AND rc.ord = n.ord
+LEFT JOIN ec ON ec.perspective_id = n.perspective_id AND ec.node_id = n.node_id
+"""

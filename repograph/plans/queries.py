@@ -592,3 +592,134 @@ def q_ungrounded_relationships(spark, sf_dir):
 def q_tier_sizing(spark, sf_dir):
     n, _ = _n(spark, sf_dir)
     return V.tier_sizing(n.nodes, n.node_refs).select(*VCOLS)
+
+
+# ------------------------------------------------------------------ report queries
+NODE_KEY = ["repo_id", "perspective_id", "ord", "node_id"]
+
+
+def _n_contents(spark, sf_dir) -> DataFrame:
+    """D file text re-keyed to the narrative's repo; parts whose key is a multiple of 3
+    are absent (missing)."""
+    k = F.regexp_extract("path", r"/m(\d+)\.[a-z]+$", 1).cast("bigint")
+    d = C.corpus_d(spark, sf_dir).files
+    return d.where(k.isNotNull() & (k % 3 != 0)).select(F.lit(C.N_REPO).alias("repo_id"),
+                                                          "path", "content")
+
+
+@query("referenced_files")
+def q_referenced_files(spark, sf_dir):
+    return RP.referenced_files(_n(spark, sf_dir)[0].node_refs)
+
+
+@query("code_truncate")
+def q_code_truncate(spark, sf_dir):
+    docs = C.table(spark, sf_dir, "documents")
+    cut = T.utf8_truncate("text", 500)
+    trunc = F.octet_length("text") > 500
+    return docs.select("doc_id", trunc.alias("truncated"),
+                       F.when(trunc, cut).otherwise(F.col("text")).alias("text"))
+
+
+@query("code_budget")
+def q_code_budget(spark, sf_dir):
+    n, f = _n(spark, sf_dir)
+    sized = (RP.referenced_files(n.node_refs).join(f.files, ["repo_id", "file_id"])
+             .join(_n_contents(spark, sf_dir), ["repo_id", "path"])
+             .select("repo_id", "file_id", F.octet_length("content").cast("bigint").alias("n")))
+    return RP.code_budget(sized, 20_000).select("repo_id", "file_id", "n", "dropped")
+
+
+@query("code_payload")
+def q_code_payload(spark, sf_dir):
+    n, f = _n(spark, sf_dir)
+    p = RP.code_payload(n.node_refs, f.files, _n_contents(spark, sf_dir), 120, 20_000)
+    return p.select("repo_id", "file_id", "path", "lang",
+                    F.octet_length("content").cast("bigint").alias("n_bytes"),
+                    "truncated", "dropped", "missing")
+
+
+@query("tier0_nodes")
+def q_tier0_nodes(spark, sf_dir):
+    return RP.tier0_nodes(_n(spark, sf_dir)[0].nodes).select(*NODE_KEY)
+
+
+@query("children_of")
+def q_children_of(spark, sf_dir):
+    n, _ = _n(spark, sf_dir)
+    return RP.children_of(n.node_children, n.nodes).select(
+        "repo_id", "perspective_id", "node_id", "pos", "child_id")
+
+
+@query("verified_only")
+def q_verified_only(spark, sf_dir):
+    return RP.verified_only(_n(spark, sf_dir)[0].nodes).select(*NODE_KEY)
+
+
+@query("visible_subgraph")
+def q_visible_subgraph(spark, sf_dir):
+    n, _ = _n(spark, sf_dir)
+    _, rels = RP.visible_subgraph(n.nodes, n.relationships, only_verified=False)
+    return rels.select("repo_id", "perspective_id", "ord", "from_id", "to_id")
+
+
+@query("node_relations")
+def q_node_relations(spark, sf_dir):
+    n, _ = _n(spark, sf_dir)
+    return RP.node_relations(n.relationships, n.nodes).select(
+        "repo_id", "perspective_id", "ord", "node_id", "direction", "other_id", "other_label")
+
+
+@query("node_provenance")
+def q_node_provenance(spark, sf_dir):
+    n, f = _n(spark, sf_dir)
+    p = RP.node_provenance(n.node_refs, f.files, f.modules)
+    return p.select(*NODE_KEY, F.array_join("file_paths", "|").alias("file_paths"),
+                    F.array_join("module_paths", "|").alias("module_paths"))
+
+
+@query("node_context")
+def q_node_context(spark, sf_dir):
+    n, f = _n(spark, sf_dir)
+    return RP.node_context(n.perspectives, n.nodes, n.node_refs, n.rel_edge_refs, f.files,
+                           f.modules)
+
+
+@query("brief_context")
+def q_brief_context(spark, sf_dir):
+    n, f = _n(spark, sf_dir)
+    return RP.brief_context(n.brief_claims, n.brief_refs, f.files, f.modules)
+
+
+@query("coverage_banner")
+def q_coverage_banner(spark, sf_dir):
+    f = facts_d(spark, sf_dir)
+    return RP.coverage_banner(G.extraction_report(f.files, f.edges))
+
+
+@query("capability_cards")
+def q_capability_cards(spark, sf_dir):
+    return RP.capability_cards(_n(spark, sf_dir)[0].brief_claims)
+
+
+@query("leaf_nodes")
+def q_leaf_nodes(spark, sf_dir):
+    n, _ = _n(spark, sf_dir)
+    return RP.leaf_nodes(n.nodes, n.node_children).select(*NODE_KEY)
+
+
+@query("escape_inline_json")
+def q_escape_inline_json(spark, sf_dir):
+    pages = C.table(spark, sf_dir, "pages")
+    esc = RP.escape_inline_json(F.struct("html"))
+    back = F.from_json(esc, "html string")["html"]
+    n_breaks = ((F.length("html") - F.length(F.replace(F.col("html"), F.lit("</"), F.lit(""))))
+                / 2).cast("bigint")
+    return pages.select("page_id", n_breaks.alias("n_breaks"),
+                        (~esc.contains("</")).alias("safe"), (back == F.col("html")).alias("roundtrip"))
+
+
+@query("hover_counts")
+def q_hover_counts(spark, sf_dir):
+    n, _ = _n(spark, sf_dir)
+    return RP.hover_counts(n.nodes, n.node_refs, n.relationships)
