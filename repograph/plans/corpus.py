@@ -403,3 +403,61 @@ def corpus_n(spark: SparkSession, sf_dir: str) -> Narrative:
         .otherwise(F.lit("head0")).alias("based_on_facts_commit"))
     return Narrative(perspectives, nodes, node_refs, relationships, rel_edge_refs,
                      node_children, brief_claims, brief_refs, briefs, narratives)
+
+
+def n_documents(spark: SparkSession, sf_dir: str, buckets: int = 10) -> DataFrame:
+    """N serialized as narrative JSON documents, one per (priority, customer bucket):
+    v1 shape for 5-LOW, v2 (one perspective) otherwise. Each document is a bounded
+    slice; nothing is gathered per repository."""
+    n = corpus_n(spark, sf_dir)
+    c = F.regexp_extract("node_id", r"^n(\d+)$", 1).cast("bigint")
+    doc = F.concat("perspective_id", F.lit("#"), (c % buckets).cast("string"))
+    refs = n.node_refs.groupBy("perspective_id", "ord").agg(
+        F.transform(F.array_sort(F.collect_list(F.when(F.col("ref_kind") == "file", F.struct(
+            "ref_pos", "ref_id")))), lambda x: x["ref_id"]).alias("fileIds"),
+        F.transform(F.array_sort(F.collect_list(F.when(F.col("ref_kind") == "module", F.struct(
+            "ref_pos", "ref_id")))), lambda x: x["ref_id"]).alias("moduleIds"))
+    kids = n.node_children.groupBy("perspective_id", "node_id").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("pos", "child_id"))),
+                    lambda x: x["child_id"]).alias("children"))
+    empty = F.array().cast("array<string>")
+    node = (n.nodes.join(refs, ["perspective_id", "ord"], "left")
+            .join(kids, ["perspective_id", "node_id"], "left")
+            .select("perspective_id", doc.alias("doc_id"), "ord", F.struct(
+                F.col("node_id").alias("id"), "tier", "label", "description",
+                F.struct(F.coalesce("moduleIds", empty).alias("moduleIds"),
+                         F.coalesce("fileIds", empty).alias("fileIds")).alias("factRefs"),
+                F.coalesce("children", empty).alias("children"), "confidence",
+                "interpretation").alias("node")))
+    erefs = n.rel_edge_refs.groupBy("perspective_id", "ord").agg(
+        F.array_sort(F.collect_list("edge_id")).alias("factEdgeIds"))
+    c2 = F.regexp_extract("from_id", r"^n(\d+)$", 1).cast("bigint")
+    rel = (n.relationships.join(erefs, ["perspective_id", "ord"], "left")
+           .select("perspective_id", F.concat("perspective_id", F.lit("#"),
+                                              (c2 % buckets).cast("string")).alias("doc_id"),
+                   "ord", F.struct(F.col("from_id").alias("from"), F.col("to_id").alias("to"),
+                                   "label", F.coalesce("factEdgeIds", empty).alias("factEdgeIds"),
+                                   "confidence").alias("rel")))
+    nodes_d = node.groupBy("doc_id", "perspective_id").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("ord", "node"))),
+                    lambda x: x["node"]).alias("nodes"))
+    rels_d = rel.groupBy("doc_id", "perspective_id").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("ord", "rel"))),
+                    lambda x: x["rel"]).alias("relationships"))
+    p = n.perspectives.select("perspective_id", "name", "kind", "description")
+    d = nodes_d.join(rels_d, ["doc_id", "perspective_id"], "full").join(p, "perspective_id")
+    tiers = F.array(F.struct(F.lit(0).alias("level"), F.lit("Top").alias("name")))
+    nodes_c = F.coalesce("nodes", F.array().cast(d.schema["nodes"].dataType))
+    rels_c = F.coalesce("relationships", F.array().cast(d.schema["relationships"].dataType))
+    v2 = F.to_json(F.struct(
+        F.lit("2.0").alias("schemaVersion"), F.lit("head0").alias("basedOnFactsCommit"),
+        F.array(F.struct(F.col("perspective_id").alias("id"), "name", "kind", "description",
+                         tiers.alias("tiers"), nodes_c.alias("nodes"),
+                         rels_c.alias("relationships"))).alias("perspectives"),
+        empty.alias("openQuestions")))
+    v1 = F.to_json(F.struct(
+        F.lit("1.0").alias("schemaVersion"), F.lit("head0").alias("basedOnFactsCommit"),
+        tiers.alias("tiers"), nodes_c.alias("nodes"), rels_c.alias("relationships"),
+        empty.alias("openQuestions")))
+    return d.select("doc_id", F.when(F.col("perspective_id") == "5-LOW", v1).otherwise(v2)
+                    .alias("json"))

@@ -124,6 +124,19 @@ class Facts:
             F.col("line").cast("bigint").alias("line"), "raw", "resolution", "extractor",
             "module", "level", "lang", "hit_priority")
 
+    # ------------------------------------------------------------ manifests, entrypoints
+    @cached_property
+    def deps(self) -> DataFrame:
+        from repograph.operators import manifests as MF
+        return MF.merge_deps(self.raw_files)
+
+    @cached_property
+    def entrypoints(self) -> DataFrame:
+        from repograph.operators import entrypoints as EP
+        from repograph.operators import manifests as MF
+        declared = MF.declared_entrypoints(self.raw_files, self.files)
+        return EP.merge_entrypoints(declared, EP.web_entrypoints(self.contents))
+
     @cached_property
     def totals(self) -> DataFrame:
         return I.repo_totals(self.files)

@@ -687,3 +687,59 @@ SELECT n.repo_id, n.perspective_id, n.ord, n.node_id, coalesce(rc.nm, 0) AS n_mo
 FROM n_nodes n LEFT JOIN rc ON rc.perspective_id = n.perspective_id AND rc.ord = n.ord
 LEFT JOIN ec ON ec.perspective_id = n.perspective_id AND ec.node_id = n.node_id
 """
+
+# ------------------------------------------------------------------ sources and sinks
+ORACLES["commit_log_rows"] = D_WITH + """
+SELECT repo_id, 'c' || commit_id AS commit_hash, seq, committed_at, path FROM d_touch
+"""
+_DOCS = DN + """,
+nd AS (SELECT perspective_id, ord, node_id, c, perspective_id || '#' || (c % 10) AS doc_id FROM n_nodes),
+pid AS (SELECT DISTINCT doc_id, perspective_id AS p FROM nd
+        UNION SELECT DISTINCT perspective_id || '#' || (c % 10), perspective_id FROM n_rels)
+"""
+ORACLES["read_narrative"] = _DOCS + """
+SELECT d.doc_id, CASE WHEN d.p = '5-LOW' THEN 'default' ELSE d.p END AS perspective_id,
+  (SELECT count(*) FROM nd WHERE nd.doc_id = d.doc_id) AS n_nodes,
+  (SELECT count(*) FROM n_refs r JOIN nd ON nd.perspective_id = r.perspective_id AND nd.ord = r.ord
+   WHERE nd.doc_id = d.doc_id AND r.ref_kind = 'file') AS n_file_refs,
+  (SELECT count(*) FROM n_refs r JOIN nd ON nd.perspective_id = r.perspective_id AND nd.ord = r.ord
+   WHERE nd.doc_id = d.doc_id AND r.ref_kind = 'module') AS n_module_refs,
+  (SELECT 2 * count(*) FROM nd WHERE nd.doc_id = d.doc_id AND nd.c % 5 <> 0) AS n_children,
+  (SELECT count(*) FROM n_rels r WHERE r.perspective_id || '#' || (r.c % 10) = d.doc_id) AS n_relationships,
+  (SELECT count(*) FROM n_rels r JOIN n_relrefs x ON x.perspective_id = r.perspective_id AND x.ord = r.ord
+   WHERE r.perspective_id || '#' || (r.c % 10) = d.doc_id) AS n_edge_refs
+FROM pid d
+"""
+ORACLES["normalize_perspectives"] = _DOCS + """
+SELECT d.doc_id, CAST(0 AS BIGINT) AS ord,
+       CASE WHEN d.p = '5-LOW' THEN 'default' ELSE d.p END AS perspective_id,
+       CASE WHEN d.p = '5-LOW' THEN 'Overview' ELSE d.p END AS name,
+       CASE WHEN d.p = '5-LOW' THEN 'structural'
+            ELSE ['structural', 'functional', 'dataflow', 'runtime', 'domain'][CAST(left(d.p, 1) AS INTEGER)] END AS kind,
+       CASE WHEN d.p = '5-LOW' THEN 'v1' ELSE 'v2' END AS shape
+FROM pid d
+"""
+_FACTS_COUNTS = DM.replace("WITH ", "WITH ", 1) + "," + D_IMP_CTES.replace("d_ids", "dm_ids").rstrip() + f""",
+dloc AS (SELECT repo_id, path FROM d_files),
+cpl AS (SELECT a.repo_id, count(*) AS n FROM (
+          SELECT a.repo_id, a.file_id AS fa, b.file_id AS fb FROM d_touch a JOIN d_touch b
+            ON a.repo_id = b.repo_id AND a.commit_id = b.commit_id AND a.file_id < b.file_id
+          GROUP BY 1, 2, 3 HAVING count(*) >= 2) a GROUP BY 1),
+ent AS (SELECT repo_id, count(*) AS n FROM (
+          SELECT repo_id, file_id FROM m_entries
+          UNION ALL SELECT w.repo_id, w.file_id FROM m_web w
+          WHERE NOT EXISTS (SELECT 1 FROM m_entries e WHERE e.repo_id = w.repo_id AND e.file_id = w.file_id))
+        GROUP BY 1),
+mods AS (SELECT repo_id, count(DISTINCT CASE WHEN contains(path, '/') THEN regexp_extract(path, '^(.*)/[^/]*$', 1)
+                                             ELSE '.' END) AS n FROM dm_ids GROUP BY 1)
+SELECT repo_id, 'repo' AS section, CAST(1 AS BIGINT) AS n_records FROM m_repos
+UNION ALL SELECT repo_id, 'extractionReport', 1 FROM m_repos
+UNION ALL SELECT repo_id, 'files', count(*) FROM dm_ids GROUP BY 1
+UNION ALL SELECT repo_id, 'modules', n FROM mods
+UNION ALL SELECT repo_id, 'edges', count(*) FROM d_edges GROUP BY 1
+UNION ALL SELECT repo_id, 'entrypoints', n FROM ent
+UNION ALL SELECT repo_id, 'externalDependencies', count(*) FROM m_deps GROUP BY 1
+UNION ALL SELECT repo_id, 'gitCoupling', n FROM cpl
+"""
+ORACLES["facts_document"] = _FACTS_COUNTS
+ORACLES["write_facts"] = _FACTS_COUNTS

@@ -723,3 +723,72 @@ def q_escape_inline_json(spark, sf_dir):
 def q_hover_counts(spark, sf_dir):
     n, _ = _n(spark, sf_dir)
     return RP.hover_counts(n.nodes, n.node_refs, n.relationships)
+
+
+# ------------------------------------------------------------------ sources and sinks
+from repograph.session import ensure_checkpoint_dir  # noqa: E402
+from repograph.sources import gitlog as GL  # noqa: E402
+from repograph.sources import narrative as NR  # noqa: E402
+from repograph.sources import sinks as SK  # noqa: E402
+
+
+def d_log_chunks(spark, sf_dir) -> DataFrame:
+    """D's history exported as log text, one chunk per (repo, month), newest first."""
+    t = C.d_touches(spark, sf_dir).join(C.d_parts(spark, sf_dir).select("partkey", "path"),
+                                         "partkey")
+    commits = t.select("repo_id", F.concat(F.lit("c"), "commit_id").alias("commit_hash"),
+                       F.date_format("committed_ts", C.ISO_FORMAT).alias("committed_at"),
+                       F.unix_timestamp(F.col("committed_ts").cast("timestamp")).alias("sort_ts"),
+                       F.col("commit_id").alias("tiebreak"),
+                       F.date_format("committed_ts", "yyyy-MM").alias("month"), "path")
+    return GL.log_chunks_from_commits(commits, "month")
+
+
+@query("commit_log_rows")
+def q_commit_log_rows(spark, sf_dir):
+    rows = GL.commit_log_rows(d_log_chunks(spark, sf_dir))
+    return rows.select("repo_id", "commit_hash", "seq", "committed_at", "path")
+
+
+@query("read_narrative")
+def q_read_narrative(spark, sf_dir):
+    t = NR.read_narrative(C.n_documents(spark, sf_dir))
+    key = ["doc_id", "perspective_id"]
+    nodes = t.nodes.groupBy(*key).agg(F.count(F.lit(1)).alias("n_nodes"))
+    refs = t.node_refs.groupBy(*key).agg(
+        F.count_if(F.col("ref_kind") == "file").alias("n_file_refs"),
+        F.count_if(F.col("ref_kind") == "module").alias("n_module_refs"))
+    kids = t.node_children.groupBy(*key).agg(F.count(F.lit(1)).alias("n_children"))
+    rels = t.relationships.groupBy(*key).agg(F.count(F.lit(1)).alias("n_relationships"))
+    erefs = t.rel_edge_refs.groupBy(*key).agg(F.count(F.lit(1)).alias("n_edge_refs"))
+    out = t.perspectives.select(*key)
+    for d in (nodes, refs, kids, rels, erefs):
+        out = out.join(d, key, "left")
+    cols = ["n_nodes", "n_file_refs", "n_module_refs", "n_children", "n_relationships",
+            "n_edge_refs"]
+    return out.select(*key, *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in cols])
+
+
+@query("normalize_perspectives")
+def q_normalize_perspectives(spark, sf_dir):
+    t = NR.read_narrative(C.n_documents(spark, sf_dir))
+    return t.perspectives.join(t.documents, "doc_id").select(
+        "doc_id", F.col("ord").cast("bigint").alias("ord"), "perspective_id", "name", "kind",
+        "shape")
+
+
+def _facts_counts(records: DataFrame) -> DataFrame:
+    return records.groupBy("repo_id", "section").agg(F.count(F.lit(1)).alias("n_records"))
+
+
+@query("facts_document")
+def q_facts_document(spark, sf_dir):
+    return _facts_counts(SK.facts_records(facts_dm(spark, sf_dir)))
+
+
+@query("write_facts")
+def q_write_facts(spark, sf_dir):
+    import uuid
+    path = ensure_checkpoint_dir(spark).rstrip("/") + f"/facts-{uuid.uuid4().hex}"
+    SK.write_facts(SK.facts_records(facts_dm(spark, sf_dir)), path)
+    return _facts_counts(SK.read_facts(spark, path))
