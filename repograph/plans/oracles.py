@@ -743,3 +743,23 @@ UNION ALL SELECT repo_id, 'gitCoupling', n FROM cpl
 """
 ORACLES["facts_document"] = _FACTS_COUNTS
 ORACLES["write_facts"] = _FACTS_COUNTS
+
+# ------------------------------------------------------------------ schema rules
+ORACLES["facts_constraints"] = """
+SELECT * FROM (VALUES
+  ('files', 'repo0', 'x0001', 'id-pattern'), ('files', 'repo0', 'x0001', 'loc-minimum'),
+  ('edges', 'repo0', 'E1', 'id-pattern'), ('edges', 'repo0', 'E1', 'type-enum'),
+  ('edges', 'repo0', 'E1', 'line-minimum'), ('edges', 'repo0', 'E1', 'resolution-enum'),
+  ('edges', 'repo0', 'E1', 'extractor-enum'), ('entrypoints', 'repo0', 'f0001', 'kind-enum'),
+  ('coupling', 'repo0', 'f0001', 'b-required'), ('coupling', 'repo0', 'f0001', 'count-minimum'))
+  AS t("table", repo_id, "key", rule)
+"""
+ORACLES["narrative_constraints"] = DN + """
+SELECT 'brief_claims' AS "table", repo_id, brief_id || '|' || ord AS "key", 'text-min-length' AS rule
+FROM n_claims WHERE text = ''
+UNION ALL SELECT 'briefs', repo_id, brief_id, 'headline-min-length' FROM n_briefs WHERE headline = ''
+UNION ALL SELECT 'nodes', 'repo0', '1-URGENT|-1', 'tier-minimum'
+UNION ALL SELECT 'nodes', 'repo0', '1-URGENT|-1', 'confidence-enum'
+UNION ALL SELECT 'nodes', 'repo0', '1-URGENT|-1', 'interpretation-required'
+UNION ALL SELECT 'documents', NULL, 'bad#both', 'one-of-shape'
+"""

@@ -792,3 +792,54 @@ def q_write_facts(spark, sf_dir):
     path = ensure_checkpoint_dir(spark).rstrip("/") + f"/facts-{uuid.uuid4().hex}"
     SK.write_facts(SK.facts_records(facts_dm(spark, sf_dir)), path)
     return _facts_counts(SK.read_facts(spark, path))
+
+
+# ------------------------------------------------------------------ schema rules
+from repograph.operators import constraints as K  # noqa: E402
+
+
+def _inject(df: DataFrame, rows: list[tuple]) -> DataFrame:
+    """Append a few deliberately broken rows (nullable copy of the schema)."""
+    from pyspark.sql import types as Ty
+    schema = Ty.StructType([Ty.StructField(f.name, f.dataType, True) for f in df.schema.fields])
+    return df.unionByName(df.sparkSession.createDataFrame(rows, schema=schema))
+
+
+@query("facts_constraints")
+def q_facts_constraints(spark, sf_dir):
+    f = facts_dm(spark, sf_dir)
+    files = _inject(f.files_with_signals.select("repo_id", "file_id", "path", "lang", "loc",
+                                                "size_bytes", "churn", "last_modified"),
+                    [("repo0", "x0001", "bad.py", "python", -1, 3, 0, None)])
+    edges = _inject(f.edges.select("repo_id", "edge_id", "type", "from_id", "to_id", "file",
+                                   "line", "raw", "resolution", "extractor"),
+                    [("repo0", "E1", "call", "f0001", None, "a.py", -2, "", "maybe", "magic")])
+    ents = _inject(f.entrypoints.select("repo_id", "file_id", "kind", "evidence"),
+                   [("repo0", "f0001", "daemon", "x")])
+    cpl = _inject(f.coupling.select("repo_id", "a", "b", "co_change_count"),
+                  [("repo0", "f0001", None, -1)])
+    repos = f.totals.select("repo_id", F.col("repo_id").alias("root"), "total_files", "total_loc")
+    return V.union_all([
+        K.facts_constraints("repos", repos), K.facts_constraints("files", files),
+        K.facts_constraints("modules", f.modules.select("repo_id", "module_id", "path",
+                                                        "file_ids")),
+        K.facts_constraints("edges", edges), K.facts_constraints("entrypoints", ents),
+        K.facts_constraints("deps", f.deps), K.facts_constraints("coupling", cpl)])
+
+
+@query("narrative_constraints")
+def q_narrative_constraints(spark, sf_dir):
+    n, _ = _n(spark, sf_dir)
+    nodes = _inject(n.nodes, [("repo0", "1-URGENT", -1, "n-bad", -1, "Bad", "d", "certain",
+                               None)])
+    docs = _inject(C.n_documents(spark, sf_dir), [(
+        "bad#both", '{"schemaVersion": "2.0", "basedOnFactsCommit": null, "tiers": [], '
+                    '"nodes": [], "relationships": [], "perspectives": [], "openQuestions": []}')])
+    parsed = NR.read_narrative(docs).documents
+    return V.union_all([
+        K.narrative_constraints("documents", parsed),
+        K.narrative_constraints("perspectives", n.perspectives),
+        K.narrative_constraints("nodes", nodes),
+        K.narrative_constraints("relationships", n.relationships),
+        K.narrative_constraints("brief_claims", n.brief_claims),
+        K.narrative_constraints("briefs", n.briefs)])
