@@ -763,3 +763,20 @@ UNION ALL SELECT 'nodes', 'repo0', '1-URGENT|-1', 'confidence-enum'
 UNION ALL SELECT 'nodes', 'repo0', '1-URGENT|-1', 'interpretation-required'
 UNION ALL SELECT 'documents', NULL, 'bad#both', 'one-of-shape'
 """
+
+# ------------------------------------------------------------------ streaming
+ORACLES["stream_churn"] = """
+WITH b AS (SELECT user_id AS file_id, time_bucket(INTERVAL 1 hour, ts) AS ws FROM events)
+SELECT file_id, strftime(ws, '%Y-%m-%d %H:%M:%S') AS window_start, count(*) AS touches FROM b
+WHERE ws + INTERVAL 1 hour <= (SELECT max(ts) FROM events) - INTERVAL 1 hour
+GROUP BY 1, 2
+"""
+ORACLES["stream_last_touch"] = """
+SELECT user_id AS file_id, strftime(max(ts), '%Y-%m-%d %H:%M:%S.%f') AS last_ts,
+       arg_max(event_id, ts) AS last_event_id
+FROM events GROUP BY 1
+"""
+ORACLES["stream_orphan_refs"] = """
+SELECT event_id, user_id AS file_id FROM events
+WHERE user_id NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 3 <> 0)
+"""

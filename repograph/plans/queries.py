@@ -843,3 +843,46 @@ def q_narrative_constraints(spark, sf_dir):
         K.narrative_constraints("relationships", n.relationships),
         K.narrative_constraints("brief_claims", n.brief_claims),
         K.narrative_constraints("briefs", n.briefs)])
+
+
+# ------------------------------------------------------------------ streaming (Tier X)
+from repograph.streaming import signals as ST  # noqa: E402
+
+
+def _stream_dirs(spark) -> tuple[str, str]:
+    import uuid
+    base = ensure_checkpoint_dir(spark).rstrip("/") + f"/stream-{uuid.uuid4().hex}"
+    return base + "/out", base + "/state"
+
+
+def _event_touches(spark, sf_dir) -> DataFrame:
+    ev = ST.parquet_stream(spark, sf_dir, "events.parquet")
+    return ev.select("event_id", F.col("ts").cast("timestamp").alias("ts"),
+                     F.col("user_id").alias("file_id"))
+
+
+@query("stream_churn")
+def q_stream_churn(spark, sf_dir):
+    out, state = _stream_dirs(spark)
+    ST.run_append(ST.stream_churn(_event_touches(spark, sf_dir)), out, state)
+    return spark.read.parquet(out).select(
+        "file_id", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"),
+        "touches")
+
+
+@query("stream_last_touch")
+def q_stream_last_touch(spark, sf_dir):
+    out, state = _stream_dirs(spark)
+    ST.run_update(ST.stream_last_touch(_event_touches(spark, sf_dir)), out, state)
+    r = ST.latest_per_key(spark, out, ["file_id"])
+    return r.select("file_id", F.date_format("last_ts", "yyyy-MM-dd HH:mm:ss.SSSSSS")
+                    .alias("last_ts"), "last_event_id")
+
+
+@query("stream_orphan_refs")
+def q_stream_orphan_refs(spark, sf_dir):
+    out, state = _stream_dirs(spark)
+    files = C.table(spark, sf_dir, "customer").where(F.col("c_custkey") % 3 != 0).select(
+        F.col("c_custkey").alias("file_id"))
+    ST.run_append(ST.stream_orphan_refs(_event_touches(spark, sf_dir), files), out, state)
+    return spark.read.parquet(out).select("event_id", "file_id")
