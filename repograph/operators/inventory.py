@@ -129,3 +129,19 @@ def scan_eligible(files: DataFrame) -> DataFrame:
             .where(F.col("suffix").isin(*T.PY_EXTENSIONS, *T.JS_EXTENSIONS))
             .withColumn("family", F.when(F.col("suffix").isin(*T.PY_EXTENSIONS),
                                          F.lit("python")).otherwise(F.lit("js"))))
+
+
+def snapshot_diff(old: DataFrame, new: DataFrame, keys: list[str], values: list[str]
+                  ) -> DataFrame:
+    """Rows added, removed or changed between two snapshots, compared on natural keys
+    (positional ids are NOT stable across snapshots); values compare null-safely."""
+    o = old.select(*keys, *[F.col(v).alias(f"old_{v}") for v in values]).withColumn("_o", F.lit(1))
+    n = new.select(*keys, *[F.col(v).alias(f"new_{v}") for v in values]).withColumn("_n", F.lit(1))
+    j = o.join(n, keys, "full_outer")
+    same = None
+    for v in values:
+        eq = F.col(f"old_{v}").eqNullSafe(F.col(f"new_{v}"))
+        same = eq if same is None else (same & eq)
+    status = (F.when(F.col("_o").isNull(), F.lit("added")).when(F.col("_n").isNull(), F.lit("removed"))
+              .when(~same, F.lit("changed")).otherwise(F.lit("same")))
+    return j.withColumn("status", status).drop("_o", "_n")

@@ -780,3 +780,25 @@ ORACLES["stream_orphan_refs"] = """
 SELECT event_id, user_id AS file_id FROM events
 WHERE user_id NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 3 <> 0)
 """
+
+# ------------------------------------------------------------------ planned extensions
+ORACLES["snapshot_diff"] = D_WITH + """
+SELECT repo_id, path, CASE WHEN partkey % 5 = 0 THEN 'added' WHEN partkey % 7 = 0 THEN 'removed'
+                           ELSE 'changed' END AS status
+FROM d_parts
+WHERE (partkey % 5 = 0 AND partkey % 7 <> 0) OR (partkey % 7 = 0 AND partkey % 5 <> 0)
+   OR (partkey % 5 <> 0 AND partkey % 7 <> 0 AND partkey % 11 = 0)
+"""
+ORACLES["entry_reachability"] = DM_IMP.replace("WITH ", "WITH RECURSIVE ", 1) + """,
+ents AS (SELECT DISTINCT repo_id, file_id FROM (
+           SELECT repo_id, file_id FROM m_entries
+           UNION ALL SELECT w.repo_id, w.file_id FROM m_web w
+           WHERE NOT EXISTS (SELECT 1 FROM m_entries e WHERE e.repo_id = w.repo_id AND e.file_id = w.file_id))),
+st AS (SELECT DISTINCT repo_id, from_id, to_id FROM d_edges WHERE to_id IS NOT NULL),
+r(repo_id, entry_id, file_id, depth) AS (
+  SELECT repo_id, file_id, file_id, 0 FROM ents
+  UNION
+  SELECT r.repo_id, r.entry_id, s.to_id, r.depth + 1 FROM r JOIN st s ON s.repo_id = r.repo_id AND s.from_id = r.file_id
+  WHERE r.depth < 4)
+SELECT repo_id, entry_id, file_id, CAST(min(depth) AS INTEGER) AS depth FROM r GROUP BY 1, 2, 3
+"""

@@ -886,3 +886,26 @@ def q_stream_orphan_refs(spark, sf_dir):
         F.col("c_custkey").alias("file_id"))
     ST.run_append(ST.stream_orphan_refs(_event_touches(spark, sf_dir), files), out, state)
     return spark.read.parquet(out).select("event_id", "file_id")
+
+
+# ------------------------------------------------------------------ planned extensions (Tier P)
+@query("snapshot_diff")
+def q_snapshot_diff(spark, sf_dir):
+    """D at two part subsets; parts with key % 11 = 0 get one more line in the new one."""
+    d = C.corpus_d(spark, sf_dir).files
+    k = F.regexp_extract("path", r"/m(\d+)\.[a-z]+$", 1).cast("bigint")
+    old = d.where(k.isNull() | (k % 5 != 0))
+    new = d.where(k.isNull() | (k % 7 != 0)).withColumn(
+        "content", F.when(k % 11 == 0, F.concat("content", F.lit("# touched\n")))
+        .otherwise(F.col("content")))
+    diff = I.snapshot_diff(I.file_inventory(old, use_ignore_file=False),
+                           I.file_inventory(new, use_ignore_file=False),
+                           ["repo_id", "path"], ["lang", "loc", "size_bytes"])
+    return diff.where(F.col("status") != "same").select("repo_id", "path", "status")
+
+
+@query("entry_reachability")
+def q_entry_reachability(spark, sf_dir):
+    f = facts_dm(spark, sf_dir)
+    return G.entry_reachability(f.entrypoints, f.edges, max_depth=4).select(
+        "repo_id", "entry_id", "file_id", "depth")
