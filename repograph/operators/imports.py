@@ -89,27 +89,33 @@ def _evidence(lines: F.Column, line: F.Column) -> F.Column:
         F.lit(""))
 
 
-def _stmt_rows(src: DataFrame, matches: F.Column, parse) -> DataFrame:
-    """Explode (line, match) pairs of each file and parse each match into modules.
-    Evidence lines are taken in the same row, so content never crosses a shuffle."""
-    lines = T.split_lines("content")
-    found = F.transform(matches, lambda m: F.struct(
+def _stmt_rows(src: DataFrame, parse) -> DataFrame:
+    """Explode the (line, match) pairs of each file (column ``mm``) and parse each match.
+    The file's lines (column ``lines``) are split once per file and the evidence line is
+    taken in the same row, so content never crosses a shuffle."""
+    found = F.transform("mm", lambda m: F.struct(
         m["line"].alias("line"), m["match"].alias("match"),
-        _evidence(lines, m["line"]).alias("raw")))
-    return (src.select("repo_id", "file_id", "path",
-                       F.posexplode(found).alias("match_no", "m"))
+        _evidence(F.col("lines"), m["line"]).alias("raw")))
+    return (src.select("repo_id", "file_id", "path", F.posexplode(found).alias("match_no", "m"))
             .select("repo_id", "file_id", "path", "match_no", "m.line", "m.match", "m.raw")
             .transform(parse))
 
 
+def _masked(contents: DataFrame, family: str, tokens: str, keep_after: str | None = None
+            ) -> DataFrame:
+    """Eligible files with their lines split once and their masked text."""
+    return (_eligible(contents, family)
+            .select("repo_id", "file_id", "path", T.split_lines("content").alias("lines"),
+                    S.mask_tokens(F.col("content"), tokens, keep_after).alias("masked")))
+
+
 def python_imports_stmt(contents: DataFrame) -> DataFrame:
     """Statement-level Python imports: strings and comments are masked first, so text
     inside them is ignored; ``;``-separated statements and imports inside functions or
     if blocks count; ``from __future__`` is not an import edge. The evidence line is the
     statement's first line. One row per ``from`` statement, one per ``import`` item."""
-    masked = S.mask_tokens(F.col("content"), S.PY_TOKENS)
-    src = _eligible(contents, "python").select(
-        "repo_id", "file_id", "path", "content", S.match_lines(masked, PY_STMT).alias("mm"))
+    src = _masked(contents, "python", S.PY_TOKENS).select(
+        "repo_id", "file_id", "path", "lines", S.match_lines(F.col("masked"), PY_STMT).alias("mm"))
 
     def parse(df: DataFrame) -> DataFrame:
         is_from = F.col("match").rlike(r"(?U)^[;\s]*from[ \t]")
@@ -128,7 +134,7 @@ def python_imports_stmt(contents: DataFrame) -> DataFrame:
                         F.col("mm.module").alias("module"),
                         F.lit("treesitter").alias("extractor")))
 
-    return _stmt_rows(src, F.col("mm"), parse).select(*RAW_COLS)
+    return _stmt_rows(src, parse).select(*RAW_COLS)
 
 
 def js_imports_stmt(contents: DataFrame) -> DataFrame:
@@ -136,7 +142,7 @@ def js_imports_stmt(contents: DataFrame) -> DataFrame:
     specifier; the statement may span lines), bare ``import '...'``, and
     ``require(<string>)`` calls (line of the call). Comments, template literals and
     strings that are not specifiers are masked; dynamic ``import()`` is not captured."""
-    masked = S.mask_tokens(F.col("content"), S.JS_TOKENS, S.JS_SPEC_CONTEXT)
+    masked = F.col("masked")
 
     def tag(regex: str, kind: int, at_end: bool) -> F.Column:
         def one(m):
@@ -149,8 +155,8 @@ def js_imports_stmt(contents: DataFrame) -> DataFrame:
 
     allm = F.concat(tag(JS_STMT_FROM, 0, True), tag(JS_STMT_BARE, 1, False),
                     tag(JS_STMT_REQUIRE, 2, False))
-    src = _eligible(contents, "js").select("repo_id", "file_id", "path", "content",
-                                           allm.alias("mm"))
+    src = _masked(contents, "js", S.JS_TOKENS, S.JS_SPEC_CONTEXT).select(
+        "repo_id", "file_id", "path", "lines", allm.alias("mm"))
 
     def parse(df: DataFrame) -> DataFrame:
         return (df.where(F.col("match") != "")
@@ -159,7 +165,7 @@ def js_imports_stmt(contents: DataFrame) -> DataFrame:
                         F.lit(0).alias("level"), F.col("match").alias("module"),
                         F.lit("treesitter").alias("extractor")))
 
-    return _stmt_rows(src, F.col("mm"), parse).select(*RAW_COLS)
+    return _stmt_rows(src, parse).select(*RAW_COLS)
 
 
 # ------------------------------------------------------------------ merge, ids
