@@ -28,8 +28,7 @@ def web_entrypoints(contents: DataFrame) -> DataFrame:
         F.lit("module-level "), direct_fw, F.lit("() app object: "), direct_var)).when(
         bind_var != "", F.concat(F.lit("module-level '"), bind_var, F.lit("' bound to a "),
                                  first_fw, F.lit("() application (factory pattern)")))
-    return (py.select("repo_id", "file_id", F.lit("web").alias("kind"),
-                      evidence.alias("evidence"))
+    return (py.select("repo_id", "path", F.lit("web").alias("kind"), evidence.alias("evidence"))
             .where(F.col("evidence").isNotNull()))
 
 
@@ -51,10 +50,10 @@ def main_guard_entrypoints(contents: DataFrame) -> DataFrame:
     route = r"(?m)^\s*@\w+\.(route|get|post|put|delete|patch)\s*\("
     py = contents.where(F.col("path").endswith(".py"))
     g = py.where(F.col("content").rlike(guard)).select(
-        "repo_id", "file_id", F.lit("cli").alias("kind"),
+        "repo_id", "path", F.lit("cli").alias("kind"),
         F.lit("__main__ guard").alias("evidence"))
     r = py.where(F.col("content").rlike(route)).select(
-        "repo_id", "file_id", F.lit("web").alias("kind"),
-        F.concat(F.lit("route decorator @"), F.regexp_extract("content", route, 0)).alias(
+        "repo_id", "path", F.lit("web").alias("kind"),
+        F.concat(F.lit("route decorator ."), F.regexp_extract("content", route, 1)).alias(
             "evidence"))
     return g.unionByName(r)

@@ -1,7 +1,9 @@
 """Import extraction: text -> raw import rows -> resolved, merged, numbered edges.
 
 Raw import rows have the columns
-``repo_id, file_id, path, line, raw, item_pos, lang, level, module, extractor``:
+``repo_id, path, line, raw, item_pos, lang, level, module, extractor``: the text scans
+key files by (repo_id, path) so content is never joined; file ids are attached to the
+small extracted rows afterwards.
 ``module``/``level`` for Python (dotted text, leading-dot count), ``module`` is the
 specifier for JS/TS. ``item_pos`` orders several imports of one line.
 """
@@ -29,12 +31,12 @@ JS_STMT_FROM = r"""(?U)(?:^|[;}\n])[ \t]*(?:import|export)\b[^;'"`]*?\bfrom[ \t\
 JS_STMT_BARE = r"""(?mU)^[ \t]*import[ \t]*(['"])([^'"\n]*)\1"""
 JS_STMT_REQUIRE = r"""(?U)\brequire[ \t]*\([ \t\n]*(['"])([^'"\n]*)\1[ \t\n]*\)"""
 
-RAW_COLS = ["repo_id", "file_id", "path", "line", "raw", "item_pos", "lang", "level",
-            "module", "extractor"]
+RAW_COLS = ["repo_id", "path", "line", "raw", "item_pos", "lang", "level", "module",
+            "extractor"]
 
 
 def explode_lines(files: DataFrame, text_col: str = "content",
-                  key_cols: tuple[str, ...] = ("repo_id", "file_id", "path")) -> DataFrame:
+                  key_cols: tuple[str, ...] = ("repo_id", "path")) -> DataFrame:
     """Numbered source lines (1-based, universal newlines, no phantom last line)."""
     return files.select(*key_cols, F.posexplode(T.split_lines(text_col)).alias("pos", "text")
                         ).select(*key_cols, (F.col("pos") + 1).cast("int").alias("line_no"),
@@ -58,7 +60,7 @@ def python_imports_line(contents: DataFrame) -> DataFrame:
         F.regexp_extract("text", PY_FROM_LINE, 2).alias("module")))).otherwise(
         F.transform(items, lambda m: F.struct(F.lit(0).alias("level"), m.alias("module"))))
     return (lines.select("*", F.posexplode(mods).alias("item_pos", "m"))
-            .select("repo_id", "file_id", "path", F.col("line_no").alias("line"),
+            .select("repo_id", "path", F.col("line_no").alias("line"),
                     F.col("text").alias("raw"), "item_pos", F.lit("python").alias("lang"),
                     F.col("m.level").alias("level"), F.col("m.module").alias("module"),
                     F.lit("heuristic").alias("extractor")))
@@ -76,7 +78,7 @@ def js_imports_line(contents: DataFrame) -> DataFrame:
     specs = F.concat(F.when(first.isNotNull(), F.array(first)).otherwise(
         F.array().cast("array<string>")), F.regexp_extract_all("text", F.lit(JS_REQUIRE), 1))
     return (lines.select("*", F.posexplode(specs).alias("item_pos", "spec"))
-            .select("repo_id", "file_id", "path", F.col("line_no").alias("line"),
+            .select("repo_id", "path", F.col("line_no").alias("line"),
                     F.col("text").alias("raw"), "item_pos", F.lit("js").alias("lang"),
                     F.lit(0).alias("level"), F.col("spec").alias("module"),
                     F.lit("heuristic").alias("extractor")))
@@ -96,8 +98,8 @@ def _stmt_rows(src: DataFrame, parse) -> DataFrame:
     found = F.transform("mm", lambda m: F.struct(
         m["line"].alias("line"), m["match"].alias("match"),
         _evidence(F.col("lines"), m["line"]).alias("raw")))
-    return (src.select("repo_id", "file_id", "path", F.posexplode(found).alias("match_no", "m"))
-            .select("repo_id", "file_id", "path", "match_no", "m.line", "m.match", "m.raw")
+    return (src.select("repo_id", "path", F.posexplode(found).alias("match_no", "m"))
+            .select("repo_id", "path", "match_no", "m.line", "m.match", "m.raw")
             .transform(parse))
 
 
@@ -105,7 +107,7 @@ def _masked(contents: DataFrame, family: str, tokens: str, keep_after: str | Non
             ) -> DataFrame:
     """Eligible files with their lines split once and their masked text."""
     return (_eligible(contents, family)
-            .select("repo_id", "file_id", "path", T.split_lines("content").alias("lines"),
+            .select("repo_id", "path", T.split_lines("content").alias("lines"),
                     S.mask_tokens(F.col("content"), tokens, keep_after).alias("masked")))
 
 
@@ -115,7 +117,7 @@ def python_imports_stmt(contents: DataFrame) -> DataFrame:
     if blocks count; ``from __future__`` is not an import edge. The evidence line is the
     statement's first line. One row per ``from`` statement, one per ``import`` item."""
     src = _masked(contents, "python", S.PY_TOKENS).select(
-        "repo_id", "file_id", "path", "lines", S.match_lines(F.col("masked"), PY_STMT).alias("mm"))
+        "repo_id", "path", "lines", S.match_lines(F.col("masked"), PY_STMT).alias("mm"))
 
     def parse(df: DataFrame) -> DataFrame:
         is_from = F.col("match").rlike(r"(?U)^[;\s]*from[ \t]")
@@ -128,7 +130,7 @@ def python_imports_stmt(contents: DataFrame) -> DataFrame:
             F.regexp_extract("match", PY_STMT, 2).alias("module")))).otherwise(
             F.transform(names, lambda n: F.struct(F.lit(0).alias("level"), n.alias("module"))))
         return (df.select("*", F.posexplode(mods).alias("k", "mm"))
-                .select("repo_id", "file_id", "path", "line", "raw",
+                .select("repo_id", "path", "line", "raw",
                         (F.col("match_no") * 1000 + F.col("k")).alias("item_pos"),
                         F.lit("python").alias("lang"), F.col("mm.level").alias("level"),
                         F.col("mm.module").alias("module"),
@@ -156,11 +158,11 @@ def js_imports_stmt(contents: DataFrame) -> DataFrame:
     allm = F.concat(tag(JS_STMT_FROM, 0, True), tag(JS_STMT_BARE, 1, False),
                     tag(JS_STMT_REQUIRE, 2, False))
     src = _masked(contents, "js", S.JS_TOKENS, S.JS_SPEC_CONTEXT).select(
-        "repo_id", "file_id", "path", "lines", allm.alias("mm"))
+        "repo_id", "path", "lines", allm.alias("mm"))
 
     def parse(df: DataFrame) -> DataFrame:
         return (df.where(F.col("match") != "")
-                .select("repo_id", "file_id", "path", "line", "raw",
+                .select("repo_id", "path", "line", "raw",
                         F.col("match_no").alias("item_pos"), F.lit("js").alias("lang"),
                         F.lit(0).alias("level"), F.col("match").alias("module"),
                         F.lit("treesitter").alias("extractor")))
@@ -173,11 +175,11 @@ def merge_edges(stmt: DataFrame, line: DataFrame) -> DataFrame:
     """A file with >= 1 statement edge is owned by the statement extractor; other files
     use line-scan edges deduped on (file, line, raw) keeping the first. Statement edges
     are not deduped."""
-    owned = stmt.select("repo_id", "file_id").distinct()
-    rest = line.join(owned, ["repo_id", "file_id"], "left_anti")
-    first = (rest.groupBy("repo_id", "file_id", "line", "raw")
+    owned = stmt.select("repo_id", "path").distinct()
+    rest = line.join(owned, ["repo_id", "path"], "left_anti")
+    first = (rest.groupBy("repo_id", "path", "line", "raw")
              .agg(F.min("item_pos").alias("item_pos")))
-    rest = rest.join(first, ["repo_id", "file_id", "line", "raw", "item_pos"], "left_semi")
+    rest = rest.join(first, ["repo_id", "path", "line", "raw", "item_pos"], "left_semi")
     return stmt.unionByName(rest)
 
 

@@ -10,6 +10,7 @@ from repograph.operators.util import broadcast_if_small
 
 # Above this many rules the rule table is shuffled instead of broadcast.
 MAX_BROADCAST_RULES = 200_000
+MAX_BROADCAST_IGNORED = 2_000_000
 
 
 def skip_set(extra: list[str] | None = None) -> list[str]:
@@ -64,8 +65,11 @@ def ignore_rules(files: DataFrame, rules: DataFrame) -> DataFrame:
                .where(F.expr("regexp_like(path, regex)")))
     ignored = (matches.groupBy("repo_id", "path")
                .agg(F.max_by("negated", "rule_no").alias("last_negated"))
-               .where(~F.col("last_negated")))
-    return files.join(ignored, ["repo_id", "path"], "left_anti")
+               .where(~F.col("last_negated")).select("repo_id", "path"))
+    # The ignored set is usually small: broadcast it (size-checked) so file rows, which
+    # may carry content, are filtered in place instead of being shuffled.
+    return files.join(broadcast_if_small(ignored, MAX_BROADCAST_IGNORED), ["repo_id", "path"],
+                      "left_anti")
 
 
 def file_inventory(raw: DataFrame, extra_skip: list[str] | None = None,

@@ -244,3 +244,75 @@ def declared_entrypoints(files: DataFrame, index: DataFrame) -> DataFrame:
     e = node_entrypoints(files, index).unionByName(script_entrypoints(files, index))
     w = Window.partitionBy("repo_id", "file_id", "kind").orderBy("manifest", "ord")
     return e.withColumn("_r", F.row_number().over(w)).where(F.col("_r") == 1).drop("_r")
+
+
+# ------------------------------------------------------------------ planned manifests
+MORE_MANIFESTS = ["go.mod", "Cargo.toml", "Gemfile", "composer.json"]
+
+
+def line_manifest_deps(files: DataFrame) -> DataFrame:
+    """Dependencies of go.mod (``require`` lines and blocks), Cargo.toml
+    (``[dependencies]``/``[dev-dependencies]``), Gemfile (``gem 'name', 'version'``) and
+    composer.json (``require``/``require-dev`` without ``php``/``ext-*``). Planned in the
+    reference, not implemented there; root manifests only."""
+    root = files.where(F.col("path").isin(*MORE_MANIFESTS)).select("repo_id", "path", "content")
+    lines = explode_lines(root.where(F.col("path") != "composer.json"), "content",
+                          ("repo_id", "path"))
+    w = Window.partitionBy("repo_id", "path").orderBy("line_no")
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    t = F.col("text")
+    # go.mod: a "require (" block runs until ")"
+    go_event = (F.when(t.rlike(r"^\s*require\s*\(\s*$"), F.lit("open"))
+                .when(t.rlike(r"^\s*\)\s*$"), F.lit("close")))
+    cargo_section = F.regexp_extract(t, r"^\s*\[\s*([^\]]+?)\s*\]\s*$", 1)
+    lines = (lines.withColumn("_go", F.last(go_event, ignorenulls=True).over(upto))
+             .withColumn("_sec", F.last(F.when(cargo_section != "", cargo_section),
+                                        ignorenulls=True).over(upto)))
+    go_single = r"^\s*require\s+([^\s()]+)\s+(\S+)"
+    go_block = r"^\s*([^\s()]+)\s+(v\S+)"
+    go = (lines.where(F.col("path") == "go.mod")
+          .withColumn("name", F.when(t.rlike(go_single), F.regexp_extract(t, go_single, 1))
+                      .when((F.col("_go") == "open") & t.rlike(go_block),
+                            F.regexp_extract(t, go_block, 1)))
+          .withColumn("version", F.when(t.rlike(go_single), F.regexp_extract(t, go_single, 2))
+                      .otherwise(F.regexp_extract(t, go_block, 2)))
+          .withColumn("ecosystem", F.lit("go")))
+    cargo_pair = r"""^\s*([\w-]+)\s*=\s*(?:"([^"]*)"|\{.*?version\s*=\s*"([^"]*)".*\}|.*)$"""
+    cargo = (lines.where((F.col("path") == "Cargo.toml")
+                         & F.col("_sec").isin("dependencies", "dev-dependencies")
+                         & (cargo_section == "") & t.rlike(r"^\s*[\w-]+\s*="))
+             .withColumn("name", F.regexp_extract(t, cargo_pair, 1))
+             .withColumn("version", F.coalesce(
+                 F.when(F.regexp_extract(t, cargo_pair, 2) != "", F.regexp_extract(t, cargo_pair, 2)),
+                 F.when(F.regexp_extract(t, cargo_pair, 3) != "", F.regexp_extract(t, cargo_pair, 3))))
+             .withColumn("ecosystem", F.lit("cargo")))
+    gem_re = r"""^\s*gem\s+['"]([^'"]+)['"](?:\s*,\s*['"]([^'"]+)['"])?"""
+    gem = (lines.where((F.col("path") == "Gemfile") & t.rlike(gem_re))
+           .withColumn("name", F.regexp_extract(t, gem_re, 1))
+           .withColumn("version", F.regexp_extract(t, gem_re, 2))
+           .withColumn("ecosystem", F.lit("rubygems")))
+    cols = ["repo_id", "name", "version", "ecosystem", F.col("path").alias("manifest"),
+            F.col("line_no").alias("item_ord")]
+    txt = _union([go.where(F.col("name").isNotNull()).select(*cols), cargo.select(*cols),
+                   gem.select(*cols)])
+    comp = root.where(F.col("path") == "composer.json").select(
+        "repo_id", F.try_parse_json("content").alias("doc")).where(F.col("doc").isNotNull())
+    parts = []
+    for rank, section in enumerate(["require", "require-dev"]):
+        m = F.try_variant_get("doc", f"$.{section}", "map<string,variant>")
+        parts.append(comp.select("repo_id", F.lit(rank).alias("section"),
+                                 F.posexplode(m).alias("pos", "name", "val")))
+    cj = (parts[0].unionByName(parts[1])
+          .where((F.col("name") != "php") & ~F.col("name").startswith("ext-"))
+          .select("repo_id", "name", F.variant_get("val", "$", "string").alias("version"),
+                  F.lit("packagist").alias("ecosystem"), F.lit("composer.json").alias("manifest"),
+                  (F.col("section") * 1_000_000 + F.col("pos")).alias("item_ord")))
+    out = txt.unionByName(cj)
+    return out.withColumn("version", F.when(F.col("version") != "", F.col("version")))
+
+
+def _union(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out

@@ -13,7 +13,7 @@ from repograph.functions import text as T
 from repograph.operators.util import broadcast_if_small
 
 MAX_BROADCAST_ROOTS = 1_000_000
-EDGE_KEY = ["repo_id", "file_id", "line", "item_pos", "extractor"]
+EDGE_KEY = ["repo_id", "path", "line", "item_pos", "extractor"]
 
 
 def package_roots(files: DataFrame) -> DataFrame:
@@ -84,9 +84,9 @@ def js_candidates(imports: DataFrame) -> DataFrame:
 def first_hit(with_cands: DataFrame, files: DataFrame, key: list[str] = EDGE_KEY
               ) -> DataFrame:
     """(key..., to_id): the file id of the first candidate present in the index."""
-    probes = with_cands.select(*key, F.posexplode("cands").alias("priority", "path"))
-    hits = probes.join(files.select("repo_id", "path", F.col("file_id").alias("to_id")),
-                       ["repo_id", "path"])
+    probes = with_cands.select(*key, F.posexplode("cands").alias("priority", "_cand"))
+    hits = probes.join(files.select("repo_id", F.col("path").alias("_cand"),
+                                    F.col("file_id").alias("to_id")), ["repo_id", "_cand"])
     return hits.groupBy(*key).agg(F.min_by("to_id", "priority").alias("to_id"),
                                   F.min("priority").alias("hit_priority"))
 

@@ -163,11 +163,29 @@ class Repos:
     commits: DataFrame
 
 
+_MATERIALIZED: dict[tuple, DataFrame] = {}
+
+
+def materialize(spark: SparkSession, key: tuple, build) -> DataFrame:
+    """Write a derived table once per session as parquet in the shared checkpoint
+    folder and read it back - the stand-in for the stored ``files``/``commits`` tables
+    a deployment reads (parquet, so later scans prune columns and push filters)."""
+    import uuid
+
+    from repograph.session import ensure_checkpoint_dir
+    k = (spark.sparkContext.applicationId, *key)
+    if k not in _MATERIALIZED:
+        path = ensure_checkpoint_dir(spark).rstrip("/") + f"/table-{key[0]}-{uuid.uuid4().hex}"
+        build().write.mode("overwrite").parquet(path)
+        _MATERIALIZED[k] = spark.read.parquet(path)
+    return _MATERIALIZED[k]
+
+
 def corpus_d(spark: SparkSession, sf_dir: str) -> Repos:
-    """Generated once per call and written to the checkpoint folder, like the stored
-    ``files`` / ``commits`` tables a real deployment reads."""
-    return Repos(files=cut_lineage(d_files(spark, sf_dir)),
-                 commits=cut_lineage(d_commits(spark, sf_dir)))
+    """D's files and commits, generated once per session and stored as parquet."""
+    return Repos(files=materialize(spark, ("d_files", sf_dir), lambda: d_files(spark, sf_dir)),
+                 commits=materialize(spark, ("d_commits", sf_dir),
+                                     lambda: d_commits(spark, sf_dir)))
 
 
 # ---------------------------------------------------------------- M: manifests
@@ -268,8 +286,9 @@ def tech_stack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def corpus_dm(spark: SparkSession, sf_dir: str) -> Repos:
     """D with the manifests of M at each repo root."""
-    d = d_files(spark, sf_dir).unionByName(m_files(spark, sf_dir))
-    return Repos(files=cut_lineage(d), commits=cut_lineage(d_commits(spark, sf_dir)))
+    d = corpus_d(spark, sf_dir)
+    m = materialize(spark, ("m_files", sf_dir), lambda: m_files(spark, sf_dir))
+    return Repos(files=d.files.unionByName(m), commits=d.commits)
 
 
 # ---------------------------------------------------------------- N: narrative

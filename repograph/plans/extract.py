@@ -66,9 +66,13 @@ class Facts:
 
     @cached_property
     def contents(self) -> DataFrame:
-        """(repo_id, file_id, path, content) of indexed files - for the text scans."""
-        return self.kept.select("repo_id", "path", "content").join(
-            self.files.select("repo_id", "path", "file_id"), ["repo_id", "path"])
+        """(repo_id, path, content) of indexed files - for the text scans. Not joined to
+        the ids: scans emit small rows keyed by path, which are joined to ids after."""
+        c = self.kept.select("repo_id", "path", "content")
+        if self.focus:
+            s = self.focus.strip("/")
+            c = c.where((F.col("path") == s) | F.col("path").startswith(s + "/"))
+        return c
 
     # ------------------------------------------------------------ history
     @cached_property
@@ -118,7 +122,8 @@ class Facts:
     def edges(self) -> DataFrame:
         """edges(repo_id, edge_id, type, from_id, to_id, file, line, raw, resolution,
         extractor) plus the parsed module/level/lang."""
-        return M.edge_ids(self.resolved).select(
+        ids = self.files.select("repo_id", "path", "file_id")
+        return M.edge_ids(self.resolved.join(ids, ["repo_id", "path"])).select(
             "repo_id", "edge_id", F.lit("import").alias("type"),
             F.col("file_id").alias("from_id"), "to_id", F.col("path").alias("file"),
             F.col("line").cast("bigint").alias("line"), "raw", "resolution", "extractor",
@@ -135,7 +140,9 @@ class Facts:
         from repograph.operators import entrypoints as EP
         from repograph.operators import manifests as MF
         declared = MF.declared_entrypoints(self.raw_files, self.files)
-        return EP.merge_entrypoints(declared, EP.web_entrypoints(self.contents))
+        web = EP.web_entrypoints(self.contents).join(
+            self.files.select("repo_id", "path", "file_id"), ["repo_id", "path"])
+        return EP.merge_entrypoints(declared, web)
 
     @cached_property
     def totals(self) -> DataFrame:

@@ -178,29 +178,34 @@ def q_explode_lines(spark, sf_dir):
     return M.explode_lines(docs, "text", ("doc_id",)).select("doc_id", "line_no", "text")
 
 
-def _raw_out(df: DataFrame) -> DataFrame:
-    return df.select("repo_id", "file_id", F.col("line").cast("bigint").alias("line"), "raw",
-                     F.col("level").cast("bigint").alias("level"), "module")
+def _raw_out(f: Facts, df: DataFrame) -> DataFrame:
+    return df.join(f.files.select("repo_id", "path", "file_id"), ["repo_id", "path"]).select(
+        "repo_id", "file_id", F.col("line").cast("bigint").alias("line"), "raw",
+        F.col("level").cast("bigint").alias("level"), "module")
 
 
 @query("python_imports_line")
 def q_python_imports_line(spark, sf_dir):
-    return _raw_out(M.python_imports_line(facts_d(spark, sf_dir).contents))
+    f = facts_d(spark, sf_dir)
+    return _raw_out(f, M.python_imports_line(f.contents))
 
 
 @query("js_imports_line")
 def q_js_imports_line(spark, sf_dir):
-    return _raw_out(M.js_imports_line(facts_d(spark, sf_dir).contents))
+    f = facts_d(spark, sf_dir)
+    return _raw_out(f, M.js_imports_line(f.contents))
 
 
 @query("python_imports_stmt")
 def q_python_imports_stmt(spark, sf_dir):
-    return _raw_out(M.python_imports_stmt(facts_d(spark, sf_dir).contents))
+    f = facts_d(spark, sf_dir)
+    return _raw_out(f, M.python_imports_stmt(f.contents))
 
 
 @query("js_imports_stmt")
 def q_js_imports_stmt(spark, sf_dir):
-    return _raw_out(M.js_imports_stmt(facts_d(spark, sf_dir).contents))
+    f = facts_d(spark, sf_dir)
+    return _raw_out(f, M.js_imports_stmt(f.contents))
 
 
 @query("merge_edges")
@@ -209,7 +214,8 @@ def q_merge_edges(spark, sf_dir):
     f = facts_d(spark, sf_dir)
     k = F.regexp_extract("path", r"/m(\d+)\.[a-z]+$", 1).cast("bigint")
     stmt = f.raw_stmt.where(k % 2 == 0)
-    merged = M.merge_edges(stmt, f.raw_line)
+    merged = M.merge_edges(stmt, f.raw_line).join(
+        f.files.select("repo_id", "path", "file_id"), ["repo_id", "path"])
     return merged.select("repo_id", "file_id", F.col("line").cast("bigint").alias("line"),
                          "raw", "module", "extractor")
 
@@ -394,14 +400,14 @@ def q_script_entry_join(spark, sf_dir):
 
 @query("web_entrypoints")
 def q_web_entrypoints(spark, sf_dir):
-    return EP.web_entrypoints(facts_d(spark, sf_dir).contents).select(*ENTRY_OUT)
+    f = facts_d(spark, sf_dir)
+    return EP.web_entrypoints(f.contents).join(
+        f.files.select("repo_id", "path", "file_id"), ["repo_id", "path"]).select(*ENTRY_OUT)
 
 
 @query("merge_entrypoints")
 def q_merge_entrypoints(spark, sf_dir):
-    f = facts_dm(spark, sf_dir)
-    declared = MF.declared_entrypoints(f.raw_files, f.files)
-    return EP.merge_entrypoints(declared, EP.web_entrypoints(f.contents)).select(*ENTRY_OUT)
+    return facts_dm(spark, sf_dir).entrypoints.select(*ENTRY_OUT)
 
 
 @query("dependency_usage")
@@ -428,9 +434,7 @@ def q_tech_by_role(spark, sf_dir):
 @query("stat_tiles")
 def q_stat_tiles(spark, sf_dir):
     f = facts_dm(spark, sf_dir)
-    ent = EP.merge_entrypoints(MF.declared_entrypoints(f.raw_files, f.files),
-                               EP.web_entrypoints(f.contents))
-    return RP.stat_tiles(f.files, f.module_files, ent, MF.merge_deps(f.raw_files))
+    return RP.stat_tiles(f.files, f.module_files, f.entrypoints, f.deps)
 
 
 # ------------------------------------------------------------------ narrative gate (N)

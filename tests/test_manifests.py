@@ -82,8 +82,36 @@ WEB = {
 
 
 def test_web_entrypoints(spark):
-    f = files_df(spark, {"r": WEB}).selectExpr("repo_id", "path", "content", "path as file_id")
-    got = rows(EP.web_entrypoints(f), "file_id", "evidence")
+    f = files_df(spark, {"r": WEB})
+    got = rows(EP.web_entrypoints(f), "path", "evidence")
     assert got == [("direct.py", "module-level FastAPI() app object: app"),
                    ("factory.py", "module-level 'application' bound to a Flask() application "
                                   "(factory pattern)")]
+
+
+def test_more_manifests(spark):
+    f = files_df(spark, {"r": {
+        "go.mod": "module x\n\ngo 1.21\n\nrequire github.com/a/b v1.2.3\nrequire (\n"
+                  "\tgolang.org/x/text v0.14.0 // indirect\n\tgithub.com/c/d v2.0.0\n)\n",
+        "Cargo.toml": '[package]\nname = "x"\n\n[dependencies]\nserde = "1.0"\n'
+                      'tokio = { version = "1.35", features = ["full"] }\nlocal = { path = "../l" }\n'
+                      '\n[dev-dependencies]\nproptest = "1"\n',
+        "Gemfile": "source 'https://rubygems.org'\ngem 'rails', '7.1.0'\ngem \"puma\"\n",
+        "composer.json": '{"require": {"php": ">=8.1", "ext-json": "*", "monolog/monolog": "^3.0"}, '
+                         '"require-dev": {"phpunit/phpunit": "^10"}}',
+        "sub/go.mod": "require z v1\n"}})
+    got = rows(MF.line_manifest_deps(f), "ecosystem", "name", "version")
+    assert got == [
+        ("cargo", "local", None), ("cargo", "proptest", "1"), ("cargo", "serde", "1.0"),
+        ("cargo", "tokio", "1.35"),
+        ("go", "github.com/a/b", "v1.2.3"), ("go", "github.com/c/d", "v2.0.0"),
+        ("go", "golang.org/x/text", "v0.14.0"),
+        ("packagist", "monolog/monolog", "^3.0"), ("packagist", "phpunit/phpunit", "^10"),
+        ("rubygems", "puma", None), ("rubygems", "rails", "7.1.0")]
+
+
+def test_main_guard_entrypoints(spark):
+    f = files_df(spark, {"r": {"a.py": 'def main():\n    pass\n\nif __name__ == "__main__":\n    main()\n',
+                               "b.py": "@app.get('/x')\ndef h():\n    pass\n",
+                               "c.py": "  if __name__ == '__main__': pass\n"}})
+    assert rows(EP.main_guard_entrypoints(f), "path", "kind") == [("a.py", "cli"), ("b.py", "web")]
