@@ -5,12 +5,15 @@ position in log order (1 = newest). All outputs are keyed by ``repo_id``.
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from repograph.operators.util import broadcast_if_small
+
 # Commits touching more items than this take the exact heavy-commit path in
 # ``cochange_pairs`` instead of emitting all of their pairs.
 HEAVY_COMMIT_ITEMS = 256
+MAX_BROADCAST_HEAVY_COMMITS = 5_000_000
 
 
 def indexed_only(commits: DataFrame, files: DataFrame) -> DataFrame:
@@ -59,10 +62,15 @@ def cochange_pairs(touch: DataFrame, item_col: str = "file_id", min_count: int =
       rows) are emitted.
     """
     t = touch.select("repo_id", "commit_id", F.col(item_col).alias("item")).distinct()
-    sized = t.withColumn("n", F.count(F.lit(1)).over(
-        Window.partitionBy("repo_id", "commit_id")))
-    light = sized.where(F.col("n") <= heavy_commit_items).drop("n")
-    heavy = sized.where(F.col("n") > heavy_commit_items).drop("n")
+    # Commit sizes by partial aggregation (a huge commit is never one task's input);
+    # the heavy commits' keys are few (<= touches / heavy_commit_items), so the split
+    # into light/heavy is a map-side filter against a size-checked broadcast.
+    sizes = t.groupBy("repo_id", "commit_id").agg(F.count(F.lit(1)).alias("n"))
+    heavy_keys = broadcast_if_small(
+        sizes.where(F.col("n") > heavy_commit_items).select("repo_id", "commit_id"),
+        MAX_BROADCAST_HEAVY_COMMITS)
+    light = t.join(heavy_keys, ["repo_id", "commit_id"], "left_anti")
+    heavy = t.join(heavy_keys, ["repo_id", "commit_id"], "left_semi")
 
     a, b = light.alias("a"), light.alias("b")
     light_pairs = (a.join(b, ["repo_id", "commit_id"])
