@@ -187,3 +187,92 @@ def edge_ids(edges: DataFrame) -> DataFrame:
     """Positional ``e%04d`` by (file, line, raw), ties in extraction order."""
     return positional_ids(edges, ["repo_id"], ["path", "line", "raw", "item_pos"],
                           "edge_id", "e", 4)
+
+
+# ------------------------------------------------------------------ fused per-file extraction
+_EMPTY_ITEMS = "array<struct<line:int,raw:string,item_pos:int,level:int,module:string>>"
+
+
+def _py_line_mods(x: F.Column) -> F.Column:
+    """array<struct<level, module>> of one line, by the line-scan rules."""
+    items = F.filter(F.transform(F.split(F.regexp_extract(x, PY_IMPORT_LINE, 1), ","),
+                                 lambda s: T.py_strip(s)), lambda s: s != "")
+    return F.when(x.rlike(PY_FROM_LINE), F.array(F.struct(
+        F.length(F.regexp_extract(x, PY_FROM_LINE, 1)).alias("level"),
+        F.regexp_extract(x, PY_FROM_LINE, 2).alias("module")))).otherwise(
+        F.transform(items, lambda m: F.struct(F.lit(0).alias("level"), m.alias("module"))))
+
+
+def _py_stmt_mods(m: F.Column) -> F.Column:
+    is_from = m.rlike(r"(?U)^[;\s]*from[ \t]")
+    body = F.regexp_replace(F.regexp_extract(m, PY_STMT, 3), r"\\\n|[()\\]", " ")
+    names = F.filter(F.transform(F.split(body, ","),
+                                 lambda s: F.regexp_extract(s, r"(?U)^\s*([\w.]+)", 1)),
+                     lambda s: s != "")
+    return F.when(is_from, F.array(F.struct(
+        F.length(F.regexp_extract(m, PY_STMT, 1)).alias("level"),
+        F.regexp_extract(m, PY_STMT, 2).alias("module")))).otherwise(
+        F.transform(names, lambda n: F.struct(F.lit(0).alias("level"), n.alias("module"))))
+
+
+def _js_line_specs(x: F.Column) -> F.Column:
+    stripped = T.py_lstrip(x)
+    stmt = stripped.startswith("import") | stripped.startswith("export")
+    from_spec = F.regexp_extract(x, JS_FROM, 1)
+    bare = F.regexp_extract(x, JS_BARE_IMPORT, 1)
+    first = F.when(stmt & (from_spec != ""), from_spec).when(stmt & (bare != ""), bare)
+    return F.concat(F.when(first.isNotNull(), F.array(first)).otherwise(
+        F.array().cast("array<string>")), F.regexp_extract_all(x, F.lit(JS_REQUIRE), 1))
+
+
+def _item(line, raw, pos, level, module) -> F.Column:
+    return F.struct(line.cast("int").alias("line"), raw.alias("raw"), pos.cast("int").alias("item_pos"),
+                    level.cast("int").alias("level"), module.alias("module"))
+
+
+def file_imports(contents: DataFrame) -> DataFrame:
+    """Both extractors over each file in ONE row, merged in the row: a file with at least
+    one statement-level import keeps exactly those; any other file keeps the first
+    line-scan import of each line (the (file, line, raw) dedupe). No join, no shuffle:
+    the output is ``RAW_COLS`` rows ready for resolution."""
+    lines = F.col("lines")
+    ev = lambda ln: _evidence(lines, ln)
+
+    py = _masked(contents, "python", S.PY_TOKENS).select(
+        "repo_id", "path", "lines", S.match_lines(F.col("masked"), PY_STMT).alias("mm"))
+    py_stmt = F.flatten(F.transform("mm", lambda m, i: F.transform(
+        _py_stmt_mods(m["match"]), lambda d, k: _item(m["line"], ev(m["line"]), i * 1000 + k,
+                                                    d["level"], d["module"]))))
+    py_line = F.flatten(F.transform(lines, lambda x, i: F.transform(
+        F.slice(_py_line_mods(x), 1, 1), lambda d: _item(i + 1, x, F.lit(0), d["level"],
+                                                          d["module"]))))
+    py = py.select("repo_id", "path", F.lit("python").alias("lang"), py_stmt.alias("s"),
+                   py_line.alias("l"))
+
+    def tag(regex: str, kind: int, at_end: bool) -> F.Column:
+        def one(m, i):
+            nl = F.length(m["match"]) - F.length(F.replace(m["match"], F.lit("\n"), F.lit("")))
+            line = (m["line"] + nl) if at_end else m["line"]
+            return F.struct(line.cast("int").alias("line"),
+                            F.regexp_extract(m["match"], regex, 2).alias("spec"))
+        return F.transform(S.match_lines(F.col("masked"), regex), one)
+
+    js = _masked(contents, "js", S.JS_TOKENS, S.JS_SPEC_CONTEXT).select(
+        "repo_id", "path", "lines",
+        F.concat(tag(JS_STMT_FROM, 0, True), tag(JS_STMT_BARE, 1, False),
+                 tag(JS_STMT_REQUIRE, 2, False)).alias("mm"))
+    js_stmt = F.filter(F.transform("mm", lambda m, i: _item(
+        m["line"], ev(m["line"]), i, F.lit(0), m["spec"])), lambda r: r["module"] != "")
+    js_line = F.flatten(F.transform(lines, lambda x, i: F.transform(
+        F.slice(_js_line_specs(x), 1, 1), lambda sp: _item(i + 1, x, F.lit(0), F.lit(0), sp))))
+    js = js.select("repo_id", "path", F.lit("js").alias("lang"), js_stmt.alias("s"),
+                   js_line.alias("l"))
+
+    both = py.unionByName(js)
+    use_stmt = F.size("s") > 0
+    chosen = F.when(use_stmt, F.col("s")).otherwise(F.col("l"))
+    return (both.select("repo_id", "path", "lang",
+                        F.when(use_stmt, F.lit("treesitter")).otherwise(F.lit("heuristic"))
+                        .alias("extractor"), F.explode(chosen).alias("e"))
+            .select("repo_id", "path", "e.line", "e.raw", "e.item_pos", "lang", "e.level",
+                    "e.module", "extractor"))

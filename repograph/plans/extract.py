@@ -112,7 +112,8 @@ class Facts:
 
     @cached_property
     def merged(self) -> DataFrame:
-        return M.merge_edges(self.raw_stmt, self.raw_line)
+        """Statement and line scans merged per file, inside each file's row."""
+        return M.file_imports(self.contents)
 
     @cached_property
     def resolved(self) -> DataFrame:
