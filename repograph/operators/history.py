@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from repograph.operators.util import broadcast_if_small
+from repograph.session import cut_lineage
 
 # Commits touching more items than this take the exact heavy-commit path in
 # ``cochange_pairs`` instead of emitting all of their pairs.
@@ -61,7 +62,9 @@ def cochange_pairs(touch: DataFrame, item_col: str = "file_id", min_count: int =
       item give the shared sets, and only pairs inside a shared set (all of them result
       rows) are emitted.
     """
-    t = touch.select("repo_id", "commit_id", F.col(item_col).alias("item")).distinct()
+    # Narrow (repo, commit, item) rows referenced by every branch below: written once.
+    t = cut_lineage(touch.select("repo_id", "commit_id", F.col(item_col).alias("item"))
+                    .distinct())
     # Commit sizes by partial aggregation (a huge commit is never one task's input);
     # the heavy commits' keys are few (<= touches / heavy_commit_items), so the split
     # into light/heavy is a map-side filter against a size-checked broadcast.
