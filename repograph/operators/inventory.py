@@ -104,6 +104,14 @@ def modules(mod_files: DataFrame) -> DataFrame:
             .withColumnRenamed("module_path", "path"))
 
 
+def module_summary(mod_files: DataFrame) -> DataFrame:
+    """(repo_id, module_id, path, n_files, first_file_id, last_file_id) by partial
+    aggregation - no per-directory id list is gathered."""
+    return (mod_files.groupBy("repo_id", "module_id", F.col("module_path").alias("path"))
+            .agg(F.count(F.lit(1)).alias("n_files"), F.min("file_id").alias("first_file_id"),
+                 F.max("file_id").alias("last_file_id")))
+
+
 def repo_totals(files: DataFrame) -> DataFrame:
     return files.groupBy("repo_id").agg(F.count(F.lit(1)).alias("total_files"),
                                         F.sum("loc").cast("bigint").alias("total_loc"))

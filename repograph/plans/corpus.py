@@ -480,3 +480,35 @@ def n_documents(spark: SparkSession, sf_dir: str, buckets: int = 10) -> DataFram
         empty.alias("openQuestions")))
     return d.select("doc_id", F.when(F.col("perspective_id") == "5-LOW", v1).otherwise(v2)
                     .alias("json"))
+
+
+def m_more_manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """go.mod, Gemfile, Cargo.toml and composer.json per repo from ``supplier``
+    (dependency ``lib-<k>`` / ``example.org/lib<k>``, version ``1.<k>.0``)."""
+    s = m_suppliers(spark, sf_dir)
+    k = F.col("k")
+    ver = F.concat(F.lit("1."), k, F.lit(".0"))
+    go_line = F.concat(F.lit("\texample.org/lib"), k, F.lit(" v"), ver)
+    gem_line = F.when(k % 2 == 0, F.concat(F.lit("gem '"), "name", F.lit("', '"), ver, F.lit("'")))\
+        .otherwise(F.concat(F.lit("gem \""), "name", F.lit("\"")))
+    cargo_line = F.when(k % 2 == 0, F.concat("name", F.lit(' = "'), ver, F.lit('"'))).otherwise(
+        F.concat("name", F.lit(' = { version = "'), ver, F.lit('", features = ["x"] }')))
+    comp_entry = F.concat(F.lit('"vendor/'), "name", F.lit('": "^'), ver, F.lit('"'))
+    a = s.groupBy("repo_id").agg(
+        _joined(F.collect_list(F.struct(k.alias("o"), go_line.alias("v")))).alias("go"),
+        _joined(F.collect_list(F.struct(k.alias("o"), gem_line.alias("v")))).alias("gem"),
+        _joined(F.collect_list(F.struct(k.alias("o"), cargo_line.alias("v")))).alias("cargo"),
+        _joined(F.collect_list(F.struct(k.alias("o"), comp_entry.alias("v")))).alias("comp"))
+    go = F.concat(F.lit("module example.org/"), "repo_id", F.lit("\n\ngo 1.21\n\nrequire (\n"),
+                  F.array_join("go", "\n"), F.lit("\n)\n"))
+    gem = F.concat(F.lit("source 'https://rubygems.org'\n"), F.array_join("gem", "\n"), F.lit("\n"))
+    cargo = F.concat(F.lit('[package]\nname = "'), "repo_id", F.lit('"\n\n[dependencies]\n'),
+                     F.array_join("cargo", "\n"), F.lit("\n"))
+    comp = F.concat(F.lit('{"require": {"php": ">=8.1", '), F.array_join("comp", ", "),
+                    F.lit("}}"))
+    out = None
+    for path, col in [("go.mod", go), ("Gemfile", gem), ("Cargo.toml", cargo),
+                      ("composer.json", comp)]:
+        part = a.select("repo_id", F.lit(path).alias("path"), col.alias("content"))
+        out = part if out is None else out.unionByName(part)
+    return out

@@ -802,3 +802,16 @@ r(repo_id, entry_id, file_id, depth) AS (
   WHERE r.depth < 4)
 SELECT repo_id, entry_id, file_id, CAST(min(depth) AS INTEGER) AS depth FROM r GROUP BY 1, 2, 3
 """
+
+ORACLES["main_guard_entry"] = D_WITH + """
+SELECT repo_id, path, 'cli' AS kind FROM d_parts WHERE ext = '.py' AND partkey % 53 = 0
+UNION ALL
+SELECT repo_id, path, 'web' AS kind FROM d_parts WHERE ext = '.py' AND partkey % 59 = 0
+"""
+ORACLES["more_manifests"] = DM + """
+SELECT repo_id, 'example.org/lib' || k AS name, 'v1.' || k || '.0' AS version, 'go' AS ecosystem,
+       'go.mod' AS manifest FROM m_s
+UNION ALL SELECT repo_id, name, CASE WHEN k % 2 = 0 THEN '1.' || k || '.0' END, 'rubygems', 'Gemfile' FROM m_s
+UNION ALL SELECT repo_id, name, '1.' || k || '.0', 'cargo', 'Cargo.toml' FROM m_s
+UNION ALL SELECT repo_id, 'vendor/' || name, '^1.' || k || '.0', 'packagist', 'composer.json' FROM m_s
+"""

@@ -136,10 +136,7 @@ def q_module_rollup(spark, sf_dir):
 
 @query("module_ids")
 def q_module_ids(spark, sf_dir):
-    m = facts_d(spark, sf_dir).modules
-    return m.select("repo_id", "module_id", "path", "n_files",
-                    F.element_at("file_ids", 1).alias("first_file_id"),
-                    F.element_at("file_ids", -1).alias("last_file_id"))
+    return I.module_summary(facts_d(spark, sf_dir).module_files)
 
 
 @query("repo_totals")
@@ -913,3 +910,25 @@ def q_entry_reachability(spark, sf_dir):
     f = facts_dm(spark, sf_dir)
     return G.entry_reachability(f.entrypoints, f.edges, max_depth=4).select(
         "repo_id", "entry_id", "file_id", "depth")
+
+
+@query("main_guard_entry")
+def q_main_guard_entry(spark, sf_dir):
+    """D with a ``__main__`` guard appended to .py parts with key % 53 = 0 and a route
+    decorator to those with key % 59 = 0."""
+    d = C.corpus_d(spark, sf_dir).files
+    k = F.regexp_extract("path", r"/m(\d+)\.py$", 1).cast("bigint")
+    content = F.concat(
+        "content",
+        F.when(k % 53 == 0, F.lit('\nif __name__ == "__main__":\n    main()\n')).otherwise(F.lit("")),
+        F.when(k % 59 == 0, F.lit('\n@app.get("/health")\ndef health():\n    return 1\n'))
+        .otherwise(F.lit("")))
+    return EP.main_guard_entrypoints(d.withColumn("content", content)).select(
+        "repo_id", "path", "kind")
+
+
+@query("more_manifests")
+def q_more_manifests(spark, sf_dir):
+    files = C.corpus_d(spark, sf_dir).files.unionByName(C.m_more_manifests(spark, sf_dir))
+    return MF.line_manifest_deps(files).select("repo_id", "name", "version", "ecosystem",
+                                               "manifest")
