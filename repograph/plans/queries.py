@@ -751,9 +751,14 @@ def q_commit_log_rows(spark, sf_dir):
     return rows.select("repo_id", "commit_hash", "seq", "committed_at", "path")
 
 
+def _n_docs(spark, sf_dir) -> DataFrame:
+    """The serialized narrative documents - stored input, materialised once."""
+    return C.materialize(spark, ("n_docs", sf_dir), lambda: C.n_documents(spark, sf_dir))
+
+
 @query("read_narrative")
 def q_read_narrative(spark, sf_dir):
-    t = NR.read_narrative(C.n_documents(spark, sf_dir))
+    t = NR.read_narrative(_n_docs(spark, sf_dir))
     key = ["doc_id", "perspective_id"]
     nodes = t.nodes.groupBy(*key).agg(F.count(F.lit(1)).alias("n_nodes"))
     refs = t.node_refs.groupBy(*key).agg(
@@ -772,7 +777,7 @@ def q_read_narrative(spark, sf_dir):
 
 @query("normalize_perspectives")
 def q_normalize_perspectives(spark, sf_dir):
-    t = NR.read_narrative(C.n_documents(spark, sf_dir))
+    t = NR.read_narrative(_n_docs(spark, sf_dir))
     return t.perspectives.join(t.documents, "doc_id").select(
         "doc_id", F.col("ord").cast("bigint").alias("ord"), "perspective_id", "name", "kind",
         "shape")
@@ -833,7 +838,7 @@ def q_narrative_constraints(spark, sf_dir):
     n, _ = _n(spark, sf_dir)
     nodes = _inject(n.nodes, [("repo0", "1-URGENT", -1, "n-bad", -1, "Bad", "d", "certain",
                                None)])
-    docs = _inject(C.n_documents(spark, sf_dir), [(
+    docs = _inject(_n_docs(spark, sf_dir), [(
         "bad#both", '{"schemaVersion": "2.0", "basedOnFactsCommit": null, "tiers": [], '
                     '"nodes": [], "relationships": [], "perspectives": [], "openQuestions": []}')])
     parsed = NR.read_narrative(docs).documents
