@@ -23,4 +23,6 @@ def files_df(spark, repo_files: dict[str, dict[str, str]]):
 
 
 def rows(df, *cols):
-    return sorted(tuple(r[c] for c in cols) for r in df.collect())
+    out = [tuple(r[c] for c in cols) for r in df.collect()]
+    return sorted(out, key=lambda t: tuple((x is None, x if x is None else (type(x).__name__, x))
+                                           for x in t))

@@ -11,7 +11,7 @@ def test_stream_last_touch_and_orphans(spark):
     spark.createDataFrame(
         [(1, "2024-01-01 00:00:00", 7), (2, "2024-01-01 00:10:00", 7), (3, "2024-01-01 00:20:00", 8)],
         "event_id long, ts string, file_id long").withColumn(
-        "ts", F.to_timestamp("ts")).write.parquet(os.path.join(src, "touches.parquet"))
+        "ts", F.to_timestamp("ts")).write.mode("overwrite").parquet(src)
     base = tempfile.mkdtemp(prefix="repograph-stream-", dir="/tmp")
     s = ST.parquet_stream(spark, src, "*.parquet")
     ST.run_update(ST.stream_last_touch(s), f"{base}/last", f"{base}/last_state")
