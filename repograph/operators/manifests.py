@@ -17,7 +17,6 @@ from repograph.operators.resolve import module_to_file
 
 MANIFESTS = ["package.json", "pyproject.toml", "requirements.txt"]
 NODE_SCRIPT_SUFFIXES = (".js", ".mjs", ".cjs", ".ts")
-DEP_COLS = ["repo_id", "name", "version", "ecosystem", "manifest", "src_rank", "item_ord"]
 
 
 def manifest_rows(files: DataFrame) -> DataFrame:
@@ -86,7 +85,8 @@ def node_entrypoints(files: DataFrame, index: DataFrame) -> DataFrame:
             .select("repo_id", "cmd", F.posexplode(F.split(T.py_strip("cmd"), r"(?U)\s+"))
                     .alias("pos", "tok"))
             .withColumn("path", T.lstrip_chars(T.py_strip("tok"), "./"))
-            .where(F.col("path").rlike(r"\.(js|mjs|cjs|ts)$")))
+            .where(F.col("path").rlike(
+                "(" + "|".join("\\" + x for x in NODE_SCRIPT_SUFFIXES) + ")$")))
     ix = index.select("repo_id", "path", "file_id")
     start_hit = (toks.join(ix, ["repo_id", "path"])
                  .groupBy("repo_id", "cmd").agg(F.min_by("file_id", "pos").alias("file_id"))

@@ -14,8 +14,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 VIOLATION_COLS = ["repo_id", "severity", "check", "scope", "subject", "ref"]
-CONFIDENCE = ["high", "medium", "low"]
-PERSPECTIVE_KINDS = ["structural", "functional", "dataflow", "runtime", "domain"]
 
 
 def _v(df: DataFrame, severity: str, check: str, scope, subject, ref=None) -> DataFrame:

@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 
 from repograph.functions.text import detect_language
 from repograph.operators.ids import positional_ids
-from repograph.session import cut_lineage
 
 SRC_TYPES = ["economy", "small", "large"]
 ISO_FORMAT = "yyyy-MM-dd'T'HH:mm:ss'+00:00'"
@@ -400,7 +399,7 @@ def corpus_n(spark: SparkSession, sf_dir: str) -> Narrative:
                          (c % 4 + 1).cast("int"))
     pref = (F.when(c % 13 == 0, F.lit(None).cast("string"))
             .when(c % 11 == 0, F.lit("none")).otherwise(F.col("o_orderpriority")))
-    is_cap = where == "capability"  # noqa: F841
+    is_cap = where == "capability"
     brief_claims = fo.select(
         repo, F.col("o_orderpriority").alias("brief_id"), where.alias("claim_kind"),
         F.col("o_orderkey").alias("ord"), F.concat(F.lit("cap-"), c).alias("label"),
