@@ -862,8 +862,10 @@ def _stream_dirs(spark) -> tuple[str, str]:
 
 
 def _event_touches(spark, sf_dir) -> DataFrame:
+    """Event time as the instant whose UTC wall clock is the stored (zone-less) time, so
+    windows align to UTC hours whatever the session time zone is."""
     ev = ST.parquet_stream(spark, sf_dir, "events.parquet")
-    return ev.select("event_id", F.col("ts").cast("timestamp").alias("ts"),
+    return ev.select("event_id", ST.ntz_as_utc(spark, "ts").alias("ts"),
                      F.col("user_id").alias("file_id"))
 
 
@@ -872,7 +874,7 @@ def q_stream_churn(spark, sf_dir):
     out, state = _stream_dirs(spark)
     ST.run_append(ST.stream_churn(_event_touches(spark, sf_dir)), out, state)
     return spark.read.parquet(out).select(
-        "file_id", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"),
+        "file_id", ST.utc_text(spark, "window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"),
         "touches")
 
 
@@ -881,7 +883,7 @@ def q_stream_last_touch(spark, sf_dir):
     out, state = _stream_dirs(spark)
     ST.run_update(ST.stream_last_touch(_event_touches(spark, sf_dir)), out, state)
     r = ST.latest_per_key(spark, out, ["file_id"])
-    return r.select("file_id", F.date_format("last_ts", "yyyy-MM-dd HH:mm:ss.SSSSSS")
+    return r.select("file_id", ST.utc_text(spark, "last_ts", "yyyy-MM-dd HH:mm:ss.SSSSSS")
                     .alias("last_ts"), "last_event_id")
 
 

@@ -25,6 +25,19 @@ def parquet_stream(spark: SparkSession, folder: str, file_glob: str,
     return r.parquet(folder)
 
 
+def ntz_as_utc(spark: SparkSession, col: str):
+    """A zone-less timestamp read as UTC wall-clock time (independent of the session
+    time zone, which a plain cast would apply)."""
+    tz = spark.conf.get("spark.sql.session.timeZone")
+    return F.from_utc_timestamp(F.col(col).cast("timestamp"), tz)
+
+
+def utc_text(spark: SparkSession, col: str, fmt: str):
+    """Render an instant as its UTC wall-clock text."""
+    tz = spark.conf.get("spark.sql.session.timeZone")
+    return F.date_format(F.to_utc_timestamp(F.col(col), tz), fmt)
+
+
 def stream_churn(touches: DataFrame, window: str = "1 hour", watermark: str = "1 hour"
                  ) -> DataFrame:
     return (touches.withWatermark("ts", watermark)
