@@ -74,13 +74,15 @@ def ignore_rules(files: DataFrame, rules: DataFrame) -> DataFrame:
 
 def file_inventory(raw: DataFrame, extra_skip: list[str] | None = None,
                    use_ignore_file: bool = True) -> DataFrame:
-    """One row per kept file: repo_id, path, lang, loc, size_bytes (no content)."""
+    """One row per kept file: repo_id, path, lang, loc, size_bytes (no content). A source
+    that already measured the raw bytes (``loc``/``size_bytes`` columns) is trusted."""
     kept = skip_segments(raw, extra_skip)
     if use_ignore_file:
         kept = ignore_rules(kept, gitignore_rules(raw))
+    loc = F.col("loc") if "loc" in raw.columns else T.line_count("content")
+    size = F.col("size_bytes") if "size_bytes" in raw.columns else T.byte_size("content")
     return kept.select("repo_id", "path", T.detect_language("path").alias("lang"),
-                       T.line_count("content").alias("loc"),
-                       T.byte_size("content").alias("size_bytes"))
+                       loc.cast("bigint").alias("loc"), size.cast("bigint").alias("size_bytes"))
 
 
 def file_ids(inventory: DataFrame) -> DataFrame:

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from repograph.functions.text import line_count
+
 
 def read_files_table(spark: SparkSession, path: str) -> DataFrame:
     """A stored ``files(repo_id, path, content)`` table (parquet)."""
@@ -18,8 +20,9 @@ def read_files_table(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_checkouts(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
-    """files(repo_id, path, content, size_bytes, decodable) for every regular file under
-    ``root/<repo_id>/``."""
+    """files(repo_id, path, content, size_bytes, loc, decodable) for every regular file
+    under ``root/<repo_id>/``; size and newline count come from the raw bytes, so they are
+    right for undecodable files too."""
     r = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if glob:
         r = r.option("pathGlobFilter", glob)
@@ -29,11 +32,14 @@ def read_checkouts(spark: SparkSession, root: str, glob: str | None = None) -> D
     rel = F.regexp_replace(rel, "^" + _quote(base) + "/", "")
     text = F.col("content").cast("string")
     ok = F.is_valid_utf8(text)
+    # Latin-1 maps every byte to one character: newline count = '\n' byte count.
+    byte_view = F.decode(F.col("content"), "ISO-8859-1")
     return raw.select(
         F.regexp_extract(rel, r"^([^/]+)/", 1).alias("repo_id"),
         F.regexp_extract(rel, r"^[^/]+/(.*)$", 1).alias("path"),
         F.when(ok, text).alias("content"),
-        F.col("length").alias("size_bytes"), ok.alias("decodable"))
+        F.col("length").alias("size_bytes"), line_count(byte_view).alias("loc"),
+        ok.alias("decodable"))
 
 
 def _quote(s: str) -> str:

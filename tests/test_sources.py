@@ -2,6 +2,7 @@ import os
 import tempfile
 
 from conftest import rows
+from repograph.operators import inventory as I
 from repograph.sources.files import read_checkouts
 
 
@@ -14,6 +15,9 @@ def test_read_checkouts(spark):
         with open(p, "wb") as fh:
             fh.write(data)
     df = read_checkouts(spark, root)
-    assert rows(df, "repo_id", "path", "content", "size_bytes", "decodable") == [
-        ("r1", "a.py", "import os\n", 10, True), ("r1", "pkg/b.js", "x\ny", 3, True),
-        ("r2", "bin.dat", None, 3, False), ("r2", "doc/readme.md", "é\n", 3, True)]
+    assert rows(df, "repo_id", "path", "content", "size_bytes", "loc", "decodable") == [
+        ("r1", "a.py", "import os\n", 10, 1, True), ("r1", "pkg/b.js", "x\ny", 3, 1, True),
+        ("r2", "bin.dat", None, 3, 0, False), ("r2", "doc/readme.md", "é\n", 3, 1, True)]
+    inv = I.file_inventory(df)
+    assert rows(inv, "path", "loc", "size_bytes") == [
+        ("a.py", 1, 10), ("bin.dat", 0, 3), ("doc/readme.md", 1, 3), ("pkg/b.js", 1, 3)]
