@@ -117,3 +117,38 @@ def test_js_candidates_order(spark):
     hit = R.first_hit(R.js_candidates(imp), files)
     assert rows(hit, "line", "to_id") == [(1, "id:src/a.js"), (2, "id:src/b.jsx"),
                                           (3, "id:src/c.md"), (5, "id:src/a.js")]
+
+
+def test_relative_imports_clamp_and_package_target(spark):
+    files = {
+        "a/__init__.py": "", "a/b/__init__.py": "", "a/b/c.py": "from . import x\nfrom ... import y\n",
+        "top.py": "from .... import z\nfrom .sib import s\n", "sib.py": "",
+        "w/x.js": "import q from '../../../sib.js';\nimport r from '@scope/pkg/sub';\n",
+    }
+    edges, _ = _edges(spark, files)
+    # "from . import x" targets the package itself; "..." climbs two levels from a/b to
+    # the root, which has no __init__.py; past-the-root dots clamp at the root; a JS
+    # "../" past the root clamps too (no w/../../sib.js), and scoped packages stay bare.
+    assert ("a/b/c.py", 1, "a/b/__init__.py", "resolved", "treesitter") in edges
+    assert ("a/b/c.py", 2, None, "unresolved", "treesitter") in edges
+    assert ("top.py", 1, None, "unresolved", "treesitter") in edges
+    assert ("top.py", 2, "sib.py", "resolved", "treesitter") in edges
+    js = [e for e in edges if e[0] == "w/x.js"]
+    assert js == [("w/x.js", 1, None, "unresolved", "treesitter"),
+                  ("w/x.js", 2, None, "unresolved", "treesitter")]
+
+
+def test_future_import_falls_back_to_line_scan(spark):
+    edges, _ = _edges(spark, {"m.py": "from __future__ import annotations\nx = 1\n",
+                              "n.py": "from __future__ import annotations\nimport os\n"})
+    assert ("m.py", 1, None, "unresolved", "heuristic") in edges
+    assert [e for e in edges if e[0] == "n.py"] == [("n.py", 2, None, "unresolved", "treesitter")]
+
+
+def test_focus_shrinks_the_index(spark):
+    f = Facts(files_df(spark, {"r": {"src/a.py": "import lib.b\n", "lib/__init__.py": "",
+                                     "lib/b.py": "", "src/c.py": "from . import a\n"}}),
+              focus="src")
+    got = sorted((r.file, r.resolution) for r in f.edges.collect())
+    assert got == [("src/a.py", "unresolved"), ("src/c.py", "unresolved")]
+    assert sorted(r.path for r in f.files.collect()) == ["src/a.py", "src/c.py"]

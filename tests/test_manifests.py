@@ -115,3 +115,15 @@ def test_main_guard_entrypoints(spark):
                                "b.py": "@app.get('/x')\ndef h():\n    pass\n",
                                "c.py": "  if __name__ == '__main__': pass\n"}})
     assert rows(EP.main_guard_entrypoints(f), "path", "kind") == [("a.py", "cli"), ("b.py", "web")]
+
+
+def test_dependency_usage_scoped_names(spark):
+    from repograph.operators import report as RP
+    files = {"package.json": '{"dependencies": {"@scope/pkg": "1", "left-pad": "1"}}',
+             "requirements.txt": "requests\n",
+             "a.js": "import x from '@scope/pkg/deep';\nconst y = require('left-pad');\n",
+             "b.py": "import requests.adapters\nimport numpy\n"}
+    f = Facts(files_df(spark, {"r": files}))
+    used = RP.dependency_usage(f.edges, f.deps).join(f.files, ["repo_id", "file_id"])
+    assert rows(used, "name", "path") == [("@scope/pkg", "a.js"), ("left-pad", "a.js"),
+                                          ("requests", "b.py")]
