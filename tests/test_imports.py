@@ -122,7 +122,7 @@ def test_js_candidates_order(spark):
 def test_relative_imports_clamp_and_package_target(spark):
     files = {
         "a/__init__.py": "", "a/b/__init__.py": "", "a/b/c.py": "from . import x\nfrom ... import y\n",
-        "top.py": "from .... import z\nfrom .sib import s\n", "sib.py": "",
+        "top.py": "from .... import z\nfrom .sib import s\n", "sib.py": "", "sib.js": "",
         "w/x.js": "import q from '../../../sib.js';\nimport r from '@scope/pkg/sub';\n",
     }
     edges, _ = _edges(spark, files)
@@ -134,7 +134,7 @@ def test_relative_imports_clamp_and_package_target(spark):
     assert ("top.py", 1, None, "unresolved", "treesitter") in edges
     assert ("top.py", 2, "sib.py", "resolved", "treesitter") in edges
     js = [e for e in edges if e[0] == "w/x.js"]
-    assert js == [("w/x.js", 1, None, "unresolved", "treesitter"),
+    assert js == [("w/x.js", 1, "sib.js", "resolved", "treesitter"),
                   ("w/x.js", 2, None, "unresolved", "treesitter")]
 
 
