@@ -49,3 +49,30 @@ def positional_ids(df: DataFrame, group_cols: list[str], order_cols: list,
     if number_col:
         out = out.withColumn(number_col, n)
     return out.drop("_mono", "_pid", "_first", "_offset")
+
+
+def running_offsets(df: DataFrame, group_cols: list[str], order_cols: list,
+                    weight_col: str, out_col: str) -> DataFrame:
+    """Add ``out_col``: the sum of ``weight_col`` over the rows BEFORE each row inside
+    ``group_cols`` by ``order_cols`` (an exclusive prefix sum), with the same
+    range-partition + checkpoint scheme as ``positional_ids``: the prefix inside one task
+    range is a window over that bounded range, the prefix of earlier ranges comes from a
+    small per-(task, group) table."""
+    keys = [F.col(c) for c in group_cols] + [F.col(c) if isinstance(c, str) else c
+                                             for c in order_cols]
+    tagged = cut_lineage(df.orderBy(*keys).withColumn("_mono", F.monotonically_increasing_id()))
+    tagged = tagged.withColumn("_pid", F.shiftright(F.col("_mono"), 33))
+    inside = Window.partitionBy("_pid", *group_cols).orderBy("_mono").rowsBetween(
+        Window.unboundedPreceding, -1)
+    local = tagged.withColumn("_local", F.coalesce(F.sum(weight_col).over(inside), F.lit(0)))
+    stats = tagged.groupBy("_pid", *group_cols).agg(F.sum(weight_col).alias("_s"))
+    before = Window.partitionBy(*group_cols).orderBy("_pid").rowsBetween(
+        Window.unboundedPreceding, -1)
+    offsets = cut_lineage(stats.select("_pid", *group_cols,
+                                       F.coalesce(F.sum("_s").over(before), F.lit(0))
+                                       .alias("_base")))
+    if offsets.count() <= BROADCAST_OFFSETS_MAX_ROWS:
+        offsets = F.broadcast(offsets)
+    return (local.join(offsets, ["_pid", *group_cols])
+            .withColumn(out_col, (F.col("_base") + F.col("_local")).cast("bigint"))
+            .drop("_mono", "_pid", "_local", "_base"))

@@ -270,9 +270,27 @@ def file_imports(contents: DataFrame) -> DataFrame:
 
     both = py.unionByName(js)
     use_stmt = F.size("s") > 0
-    chosen = F.when(use_stmt, F.col("s")).otherwise(F.col("l"))
+    # Sorted in the row by (line, raw, item_pos): the array index is the edge's rank in
+    # its file, which with per-file offsets gives the repo-wide edge number.
+    chosen = F.array_sort(F.when(use_stmt, F.col("s")).otherwise(F.col("l")))
     return (both.select("repo_id", "path", "lang",
                         F.when(use_stmt, F.lit("treesitter")).otherwise(F.lit("heuristic"))
-                        .alias("extractor"), F.explode(chosen).alias("e"))
+                        .alias("extractor"), F.posexplode(chosen).alias("rank_in_file", "e"))
             .select("repo_id", "path", "e.line", "e.raw", "e.item_pos", "lang", "e.level",
-                    "e.module", "extractor"))
+                    "e.module", "extractor", "rank_in_file"))
+
+
+def edge_ids_by_file(edges: DataFrame, files: DataFrame) -> DataFrame:
+    """``e%04d`` ids for edges carrying ``rank_in_file`` (their order inside the file by
+    (line, raw, position)): per-file edge counts are prefix-summed over the files of each
+    repo in path order, so only one narrow row per file is sorted, never the edges.
+    Also attaches the importing file's id (``file_id``)."""
+    from repograph.functions.text import format_id
+    from repograph.operators.ids import running_offsets
+    counts = edges.groupBy("repo_id", "path").agg(F.count(F.lit(1)).alias("_n"))
+    offs = running_offsets(counts, ["repo_id"], ["path"], "_n", "_offset")
+    per_file = offs.join(files.select("repo_id", "path", "file_id"), ["repo_id", "path"])
+    return (edges.join(per_file.select("repo_id", "path", "file_id", "_offset"),
+                       ["repo_id", "path"])
+            .withColumn("edge_id", format_id("e", 4, F.col("_offset") + F.col("rank_in_file") + 1))
+            .drop("_offset"))

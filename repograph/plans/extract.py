@@ -123,8 +123,7 @@ class Facts:
     def edges(self) -> DataFrame:
         """edges(repo_id, edge_id, type, from_id, to_id, file, line, raw, resolution,
         extractor) plus the parsed module/level/lang."""
-        ids = self.files.select("repo_id", "path", "file_id")
-        return M.edge_ids(self.resolved.join(ids, ["repo_id", "path"])).select(
+        return M.edge_ids_by_file(self.resolved, self.files).select(
             "repo_id", "edge_id", F.lit("import").alias("type"),
             F.col("file_id").alias("from_id"), "to_id", F.col("path").alias("file"),
             F.col("line").cast("bigint").alias("line"), "raw", "resolution", "extractor",
