@@ -1,7 +1,7 @@
 """Oracle SQL (DuckDB) for every registered query that SQL can express."""
 from __future__ import annotations
 
-from repograph.functions.text import EXTENSION_LANGUAGE
+from repograph.functions.text import ALWAYS_SKIP, EXTENSION_LANGUAGE
 from repograph.plans.oracle_d import D_WITH
 
 ORACLES: dict[str, str] = {}
@@ -199,7 +199,7 @@ rc AS (SELECT repo_id, count(*) FILTER (WHERE resolution = 'resolved') AS r,
               count(*) FILTER (WHERE resolution = 'unresolved') AS u FROM d_edges GROUP BY 1)
 SELECT lg.repo_id, languages, CAST(coalesce(r, 0) AS BIGINT) AS edges_resolved,
        CAST(coalesce(u, 0) AS BIGINT) AS edges_unresolved, '' AS tools,
-       '.explain-project,.git,.pytest_cache,.venv,__pycache__,build,dist,node_modules' AS skipped,
+       '{",".join(sorted(ALWAYS_SKIP))}' AS skipped,
        '' AS warnings
 FROM lg LEFT JOIN rc USING (repo_id)
 """
@@ -661,7 +661,7 @@ rc AS (SELECT repo_id, count(*) FILTER (WHERE resolution = 'resolved') AS r,
               count(*) FILTER (WHERE resolution = 'unresolved') AS u FROM d_edges GROUP BY 1)
 SELECT lg.repo_id, lg.languages, CAST(coalesce(r, 0) AS VARCHAR) AS resolved,
        CAST(coalesce(u, 0) AS VARCHAR) AS unresolved, '—' AS tools,
-       '.explain-project, .git, .pytest_cache, .venv, __pycache__, build, dist, node_modules' AS skipped
+       '{", ".join(sorted(ALWAYS_SKIP))}' AS skipped
 FROM lg LEFT JOIN rc USING (repo_id)
 """
 ORACLES["capability_cards"] = DN + """
