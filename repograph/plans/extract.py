@@ -22,6 +22,10 @@ class Facts:
     def __init__(self, raw_files: DataFrame, commits: DataFrame | None = None,
                  extra_skip: list[str] | None = None, focus: str | None = None):
         self.raw_files = raw_files
+        if commits is None:
+            # No history: like a checkout without git - churn 0, no last touch, no pairs.
+            commits = raw_files.sparkSession.createDataFrame(
+                [], "repo_id string, commit_id string, seq long, committed_at string, path string")
         self.commits_raw = commits
         self.extra_skip = extra_skip
         self.focus = focus

@@ -77,3 +77,12 @@ def test_positional_ids_stable_across_partitioning(spark):
         by_g.setdefault(g, []).append((k, p))
     for g, kp in by_g.items():
         assert [p for _, p in sorted(kp)] == list(range(1, len(kp) + 1))
+
+
+def test_facts_without_history(spark):
+    from conftest import files_df
+    from repograph.plans.extract import Facts
+    f = Facts(files_df(spark, {"r": {"a.py": "import b\n", "b.py": ""}}))
+    assert rows(f.files_with_signals, "path", "churn", "last_modified") == [
+        ("a.py", 0, None), ("b.py", 0, None)]
+    assert f.coupling.count() == 0
