@@ -108,7 +108,7 @@ def suffix(path) -> Column:
 
 def detect_language(path) -> Column:
     mapping = F.create_map(*[F.lit(x) for kv in EXTENSION_LANGUAGE.items() for x in kv])
-    return F.coalesce(F.element_at(mapping, extension(path)), F.lit("unknown"))
+    return F.coalesce(F.try_element_at(mapping, extension(path)), F.lit("unknown"))
 
 
 def basename(path) -> Column:

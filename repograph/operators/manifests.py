@@ -184,8 +184,8 @@ def poetry_deps(files: DataFrame, lines: DataFrame | None = None) -> DataFrame:
     version = F.when(v.startswith("{"), F.when(table_ver != "", table_ver)).otherwise(
         F.when(_toml_string("value") != "", _toml_string("value")))
     rows = pairs.select("repo_id", F.col("key").alias("name"), version.alias("version"),
-                        (F.when(table_rank < 2, table_rank * 1_000_000_000)
-                         .otherwise(2_000_000_000 + F.col("_table_first") * 1_000_000)
+                        (F.when(table_rank < 2, table_rank.cast("bigint") * 1_000_000_000)
+                         .otherwise(2_000_000_000 + F.col("_table_first").cast("bigint") * 1_000_000)
                          + F.col("line_no")).cast("bigint").alias("item_ord"))
     rows = rows.where(F.col("name") != "python")
     rows = rows.join(pep621_deps(files, lines).select("repo_id", "name"), ["repo_id", "name"],

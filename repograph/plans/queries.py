@@ -85,7 +85,7 @@ def q_line_count(spark, sf_dir):
 def with_junk_paths(files: DataFrame) -> DataFrame:
     """D plus copies under skipped segments (build/, dist/, node_modules, a file named
     __pycache__) that the inventory must drop."""
-    k = F.regexp_extract("path", r"m(\d+)\.", 1).cast("bigint")
+    k = F.regexp_extract("path", r"m(\d+)\.", 1).try_cast("bigint")
     junk = files.where(k % 7 == 0)
     return (files
             .unionByName(junk.withColumn("path", F.concat(F.lit("build/"), "path")))
@@ -209,7 +209,7 @@ def q_js_imports_stmt(spark, sf_dir):
 def q_merge_edges(spark, sf_dir):
     """Statement edges for files of even part key only; the rest falls back to lines."""
     f = facts_d(spark, sf_dir)
-    k = F.regexp_extract("path", r"/m(\d+)\.[a-z]+$", 1).cast("bigint")
+    k = F.regexp_extract("path", r"/m(\d+)\.[a-z]+$", 1).try_cast("bigint")
     stmt = f.raw_stmt.where(k % 2 == 0)
     merged = M.merge_edges(stmt, f.raw_line).join(
         f.files.select("repo_id", "path", "file_id"), ["repo_id", "path"])
@@ -602,7 +602,7 @@ NODE_KEY = ["repo_id", "perspective_id", "ord", "node_id"]
 def _n_contents(spark, sf_dir) -> DataFrame:
     """D file text re-keyed to the narrative's repo; parts whose key is a multiple of 3
     are absent (missing)."""
-    k = F.regexp_extract("path", r"/m(\d+)\.[a-z]+$", 1).cast("bigint")
+    k = F.regexp_extract("path", r"/m(\d+)\.[a-z]+$", 1).try_cast("bigint")
     d = C.corpus_d(spark, sf_dir).files
     return d.where(k.isNotNull() & (k % 3 != 0)).select(F.lit(C.N_REPO).alias("repo_id"),
                                                           "path", "content")
@@ -901,7 +901,7 @@ def q_stream_orphan_refs(spark, sf_dir):
 def q_snapshot_diff(spark, sf_dir):
     """D at two part subsets; parts with key % 11 = 0 get one more line in the new one."""
     d = C.corpus_d(spark, sf_dir).files
-    k = F.regexp_extract("path", r"/m(\d+)\.[a-z]+$", 1).cast("bigint")
+    k = F.regexp_extract("path", r"/m(\d+)\.[a-z]+$", 1).try_cast("bigint")
     old = d.where(k.isNull() | (k % 5 != 0))
     new = d.where(k.isNull() | (k % 7 != 0)).withColumn(
         "content", F.when(k % 11 == 0, F.concat("content", F.lit("# touched\n")))
@@ -924,7 +924,7 @@ def q_main_guard_entry(spark, sf_dir):
     """D with a ``__main__`` guard appended to .py parts with key % 53 = 0 and a route
     decorator to those with key % 59 = 0."""
     d = C.corpus_d(spark, sf_dir).files
-    k = F.regexp_extract("path", r"/m(\d+)\.py$", 1).cast("bigint")
+    k = F.regexp_extract("path", r"/m(\d+)\.py$", 1).try_cast("bigint")
     content = F.concat(
         "content",
         F.when(k % 53 == 0, F.lit('\nif __name__ == "__main__":\n    main()\n')).otherwise(F.lit("")),
