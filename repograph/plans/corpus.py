@@ -325,6 +325,19 @@ def _conf(c) -> F.Column:
 
 
 def n_facts(spark: SparkSession, sf_dir: str) -> NFacts:
+    """The narrative's facts, materialised once per session (stored input)."""
+    built = {}
+
+    def part(name):
+        def build():
+            if "v" not in built:
+                built["v"] = _build_n_facts(spark, sf_dir)
+            return getattr(built["v"], name)
+        return materialize(spark, ("n_facts_" + name, sf_dir), build)
+    return NFacts(*[part(f) for f in NFacts.__dataclass_fields__])
+
+
+def _build_n_facts(spark: SparkSession, sf_dir: str) -> NFacts:
     """Facts the narrative is checked against: parts with p_size > 3 are files (id
     ``f%04d`` of the part key); modules ``pkg_<type>`` except promo; fact edges are the
     even order keys; present paths are parts whose key is not a multiple of 3."""
@@ -347,6 +360,19 @@ def n_facts(spark: SparkSession, sf_dir: str) -> NFacts:
 
 
 def corpus_n(spark: SparkSession, sf_dir: str) -> Narrative:
+    """The narrative tables, materialised once per session (stored input)."""
+    built = {}
+
+    def part(name):
+        def build():
+            if "v" not in built:
+                built["v"] = _build_n(spark, sf_dir)
+            return getattr(built["v"], name)
+        return materialize(spark, ("n_" + name, sf_dir), build)
+    return Narrative(*[part(f) for f in Narrative.__dataclass_fields__])
+
+
+def _build_n(spark: SparkSession, sf_dir: str) -> Narrative:
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber")
     c = F.col("o_custkey")
