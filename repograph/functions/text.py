@@ -90,7 +90,7 @@ def byte_size(col) -> Column:
 def split_lines(col) -> Column:
     """Python ``splitlines()`` of universally-decoded text: no phantom trailing line."""
     parts = F.split(_c(col), LINE_BREAK_REGEX, -1)
-    return F.when(F.element_at(parts, -1) == "",
+    return F.when(F.try_element_at(parts, F.lit(-1)) == "",
                   F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))
                   ).otherwise(parts)
 

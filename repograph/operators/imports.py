@@ -87,7 +87,7 @@ def js_imports_line(contents: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------ statement scans
 def _evidence(lines: F.Column, line: F.Column) -> F.Column:
     """Text of that one line, '' when out of range."""
-    return F.when((line >= 1) & (line <= F.size(lines)), F.element_at(lines, line)).otherwise(
+    return F.when((line >= 1) & (line <= F.size(lines)), F.try_element_at(lines, line)).otherwise(
         F.lit(""))
 
 

@@ -44,7 +44,7 @@ def python_candidates(imports: DataFrame, roots: DataFrame | None) -> DataFrame:
     anchor_parts = F.slice(anchor, 1, F.greatest(F.size(anchor) - up, F.lit(0)))
     base = F.when(F.col("level") == 0, parts).otherwise(F.concat(anchor_parts, parts))
     df = imports.withColumn("_base", F.array_join(base, "/")).withColumn(
-        "_first", F.element_at(parts, 1))
+        "_first", F.try_element_at(parts, F.lit(1)))
     own = F.array(F.concat("_base", F.lit(".py")), F.concat("_base", F.lit("/__init__.py")))
     if roots is not None:
         r = broadcast_if_small(roots.select("repo_id", F.col("name").alias("_first"),

@@ -12,7 +12,9 @@ SF = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark():
-    s = build_session("local[4]", 4, app_name="repograph-tests")
+    # PySpark 4 default: ANSI mode on (casts and lookups must not raise on real data).
+    s = build_session("local[4]", 4, app_name="repograph-tests",
+                      extra={"spark.sql.ansi.enabled": "true"})
     yield s
     s.stop()
 
