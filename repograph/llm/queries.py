@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from repograph.llm.common import table
 from repograph.llm.line_dedup import line_dedup
 from repograph.llm import oracles
+from repograph.llm.secret_scan import BASE_KINDS, secret_spans, span_string
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -25,3 +26,16 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op5_line_dedup"] = oracles.OP5_LINE_DEDUP
+
+
+def _of_kind(kind: str):
+    return lambda span: span["kind"] == kind
+
+
+@_query
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_spans(table(spark, sf_dir, "documents"))
+    counts = [F.size(F.filter("base", _of_kind(k))).cast("long").alias(f"n_{k}")
+              for k in BASE_KINDS]
+    return found.select("doc_id", *counts, F.sha2(span_string("base"), 256).alias("base_sha256"),
+                        span_string("spans").alias("spans"))
