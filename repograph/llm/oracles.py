@@ -17,3 +17,21 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE dropped) AS n_dropped
          AS kept_sha256
 FROM m GROUP BY doc_id
 """
+
+def _shingle_sql(table: str, key: str) -> str:
+    """Distinct five-word shingles of a table; fewer words: the whole sequence."""
+    words = (f"string_split_regex(translate(trim(coalesce(text, ''), {_SPACE}), "
+             "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \\x09-\\x0D]+')")
+    return (f"SELECT DISTINCT {key}, unnest(CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE "
+            "list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) END) AS s "
+            f"FROM (SELECT {key}, {words} AS w FROM {table}) WHERE w[1] <> ''")
+
+
+OP3_DECONTAMINATION = f"""
+WITH i AS ({_shingle_sql('benchmark', 'item_id')}),
+d AS ({_shingle_sql('documents', 'doc_id')}),
+n AS (SELECT item_id, count(*) AS n_shingles FROM i GROUP BY item_id),
+f AS (SELECT doc_id, item_id, count(*) AS n_found FROM d JOIN i USING (s) GROUP BY doc_id, item_id)
+SELECT doc_id, item_id, n_shingles, n_found, n_found / n_shingles AS containment
+FROM f JOIN n USING (item_id) WHERE n_found / n_shingles >= 0.8
+"""

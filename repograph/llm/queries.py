@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from repograph.llm.common import table
+from repograph.llm.decontam import contained_items
 from repograph.llm.line_dedup import line_dedup
 from repograph.llm import oracles
 from repograph.llm.secret_scan import BASE_KINDS, secret_spans, span_string
@@ -39,3 +40,11 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
               for k in BASE_KINDS]
     return found.select("doc_id", *counts, F.sha2(span_string("base"), 256).alias("base_sha256"),
                         span_string("spans").alias("spans"))
+
+
+@_query
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+ORACLES["op3_decontamination"] = oracles.OP3_DECONTAMINATION
