@@ -8,6 +8,7 @@ from repograph.llm.common import table
 from repograph.llm.decontam import contained_items
 from repograph.llm.line_dedup import line_dedup
 from repograph.llm import oracles
+from repograph.llm.simhash import simhash_groups
 from repograph.llm.secret_scan import BASE_KINDS, secret_spans, span_string
 
 QUERIES: dict = {}
@@ -48,3 +49,10 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op3_decontamination"] = oracles.OP3_DECONTAMINATION
+
+
+@_query
+def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = simhash_groups(table(spark, sf_dir, "documents"))
+    return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
+                         "component_id")
