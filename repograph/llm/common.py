@@ -89,3 +89,16 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
             return cur.select(F.col("u").alias("node"), F.col("v").alias("root")).union(
                 cur.select("v", "v").distinct())
         seen = now
+
+
+def open_fs(path: str):
+    """(filesystem, path) for a Hadoop-style path: local, or any store pyarrow can open.
+
+    Tasks use it for files in the shared folder that Spark's own writers cannot make.
+    """
+    import pyarrow.fs as fs
+    if path.startswith("file:/") and not path.startswith("file://"):
+        path = "file://" + path[len("file:"):]
+    if "://" not in path:
+        return fs.LocalFileSystem(), path
+    return fs.FileSystem.from_uri(path)

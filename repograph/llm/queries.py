@@ -1,6 +1,7 @@
 """The registered corpus queries: thin projections of the operators onto their contracts."""
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -8,9 +9,13 @@ from repograph.llm.common import table
 from repograph.llm.decontam import contained_items
 from repograph.llm.line_dedup import line_dedup
 from repograph.llm import oracles
+from repograph.llm.token_files import read_token_shards, write_token_shards
 from repograph.llm.simhash import simhash_groups
 from repograph.llm.secret_scan import BASE_KINDS, secret_spans, span_string
 
+#: The tokenizer file of the registered queries; the operators take any path.
+VOCAB_PATH = public_tokenizers.path("byte_bpe_50k.json")
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
@@ -56,3 +61,9 @@ def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash_groups(table(spark, sf_dir, "documents"))
     return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
                          "component_id")
+
+
+@_query
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = write_token_shards(table(spark, sf_dir, "documents"), VOCAB_PATH, end_id=2)
+    return read_token_shards(manifest)
