@@ -11,6 +11,7 @@ from repograph.llm.line_dedup import line_dedup
 from repograph.llm import oracles
 from repograph.llm.token_files import read_token_shards, write_token_shards
 from repograph.llm.simhash import simhash_groups
+from repograph.llm.packing import pack_documents
 from repograph.llm.secret_scan import BASE_KINDS, secret_spans, span_string
 
 #: The tokenizer file of the registered queries; the operators take any path.
@@ -67,3 +68,10 @@ def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = write_token_shards(table(spark, sf_dir, "documents"), VOCAB_PATH, end_id=2)
     return read_token_shards(manifest)
+
+
+@_query
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = pack_documents(table(spark, sf_dir, "documents"), VOCAB_PATH)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"),
+                         "doc_tokens", "sequence_id", "offset")
