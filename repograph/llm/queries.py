@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from repograph.llm.common import table
 from repograph.llm.decontam import contained_items
+from repograph.llm.lang_id import held_out, predict, train
 from repograph.llm.line_dedup import line_dedup
 from repograph.llm import oracles
 from repograph.llm.token_files import read_token_shards, write_token_shards
@@ -16,6 +17,7 @@ from repograph.llm.secret_scan import BASE_KINDS, secret_spans, span_string
 
 #: The tokenizer file of the registered queries; the operators take any path.
 VOCAB_PATH = public_tokenizers.path("byte_bpe_50k.json")
+RANKS_PATH = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -75,3 +77,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = pack_documents(table(spark, sf_dir, "documents"), VOCAB_PATH)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"),
                          "doc_tokens", "sequence_id", "offset")
+
+
+@_query
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = train(docs.where(~held_out()), RANKS_PATH)
+    return predict(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
