@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from repograph.llm.common import table
 from repograph.llm.decontam import contained_items
 from repograph.llm.lang_id import held_out, predict, train
+from repograph.llm.licenses import license_matches
 from repograph.llm.line_dedup import line_dedup
 from repograph.llm import oracles
 from repograph.llm.token_files import read_token_shards, write_token_shards
@@ -84,3 +85,18 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = train(docs.where(~held_out()), RANKS_PATH)
     return predict(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+@_query
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_matches(table(spark, sf_dir, "documents")).withColumn(
+        "base", F.filter("found", lambda m: m["base"]))
+    labels = {name: F.array_join(F.array_sort(F.array_distinct(F.transform(
+        of, lambda m: m["label"]))), ",").alias(name) for name, of in
+        (("base_labels", "base"), ("labels", "found"))}
+    starts = F.transform("base", lambda m: m["start"])
+    return found.select(
+        "doc_id", "n_words", F.size("base").cast("long").alias("n_base"),
+        F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
+        labels["base_labels"], labels["labels"],
+        F.coalesce(F.array_max(F.transform("found", lambda m: m["score"])), F.lit(0.0)).alias("score"))
