@@ -35,3 +35,21 @@ f AS (SELECT doc_id, item_id, count(*) AS n_found FROM d JOIN i USING (s) GROUP
 SELECT doc_id, item_id, n_shingles, n_found, n_found / n_shingles AS containment
 FROM f JOIN n USING (item_id) WHERE n_found / n_shingles >= 0.8
 """
+
+#: Base 32 of a hexadecimal SHA-1: its 160 bits, five at a time.
+_BITS = ("array_to_string(list_transform(range(1, 41), lambda i: substr("
+         "'0000000100100011010001010110011110001001101010111100110111101111', "
+         "4 * instr('0123456789abcdef', substr(hex, i, 1)) - 3, 4)), '')")
+_BASE32 = ("array_to_string(list_transform(range(0, 32), lambda i: substr("
+           "'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + list_sum(list_transform(range(1, 6), lambda j: "
+           "substr(bits, 5 * i + j, 1)::INT * (1 << (5 - j))))::BIGINT, 1)), '')")
+
+OP9_WARC = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages),
+m AS (SELECT hex, max(page_id) AS last FROM p GROUP BY hex),
+b AS (SELECT page_id, strlen(html) AS payload_bytes, last, {_BITS} AS bits FROM p JOIN m USING (hex))
+SELECT page_id, payload_bytes, {_BASE32} AS payload_digest,
+       CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = last THEN NULL ELSE last END AS refers_to
+FROM b
+"""

@@ -15,6 +15,7 @@ from repograph.llm.token_files import read_token_shards, write_token_shards
 from repograph.llm.simhash import simhash_groups
 from repograph.llm.packing import pack_documents
 from repograph.llm.secret_scan import BASE_KINDS, secret_spans, span_string
+from repograph.llm.warc import build_index, read_captures, write_archives
 
 #: The tokenizer file of the registered queries; the operators take any path.
 VOCAB_PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -100,3 +101,15 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
         labels["base_labels"], labels["labels"],
         F.coalesce(F.array_max(F.transform("found", lambda m: m["score"])), F.lit(0.0)).alias("score"))
+
+
+@_query
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    shards = build_index(write_archives(pages, min_bytes=0))
+    return read_captures(pages, shards).select(
+        "page_id", F.octet_length("payload").cast("long").alias("payload_bytes"),
+        "payload_digest", "record_type", "refers_to")
+
+
+ORACLES["op9_warc"] = oracles.OP9_WARC
