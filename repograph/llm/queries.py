@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from repograph.llm.common import table
 from repograph.llm.decontam import contained_items
+from repograph.llm.embedding_dedup import embedding_groups
 from repograph.llm.lang_id import held_out, predict, train
 from repograph.llm.licenses import license_matches
 from repograph.llm.line_dedup import line_dedup
@@ -113,3 +114,9 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op9_warc"] = oracles.OP9_WARC
+
+
+@_query
+def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = embedding_groups(table(spark, sf_dir, "embeddings"))
+    return groups.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
