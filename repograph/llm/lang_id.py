@@ -14,8 +14,10 @@ count all labelled rows. Scoring reads every text whole.
 from __future__ import annotations
 
 import base64
+import uuid
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -141,14 +143,26 @@ def split_words(texts: pa.Array) -> pa.ListArray:
     return pc.split_pattern_regex(low, r"[^\pL\pM]+")
 
 
+@lru_cache(maxsize=1)
+def _pieces(ranks_path: str) -> Pieces:
+    return Pieces(ranks_path)
+
+
+@lru_cache(maxsize=1)
+def _word_cache(model: str) -> dict:
+    """Scores of words met by this process under a model; its tasks share them."""
+    return {}
+
+
 class LanguageModel:
     """Languages, log priors and piece probabilities (pieces + 1, languages)."""
 
     def __init__(self, ranks_path: str, languages: list[str], prior: np.ndarray, prob: np.ndarray):
         self.ranks_path, self.languages, self.prior, self.prob = ranks_path, languages, prior, prob
+        self.name = uuid.uuid4().hex
 
     def scorer(self):
-        pieces, seen = Pieces(self.ranks_path), {}
+        pieces, seen = _pieces(self.ranks_path), _word_cache(self.name)
 
         def score(texts: pa.Array) -> np.ndarray:
             """Log score (texts, languages); NaN where a text has no letter."""
@@ -210,14 +224,14 @@ def train(rows: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: st
     counts = sample.select("lang", "text").mapInArrow(count, "lang string, word string, n long")
     counts = stored(counts.groupBy("lang", "word").agg(F.sum("n").alias("n")), "word-counts")
 
-    pieces = Pieces(ranks_path)
+    pieces = _pieces(ranks_path)
     prob = np.full((pieces.n + 1, len(languages)), 1.0 / pieces.n)
     prob[pieces.n] = 0
     for _ in range(rounds):
         now = prob
 
         def expect(batches: Iterator, now=now) -> Iterator:
-            mine, total = Pieces(ranks_path), {}
+            mine, total = _pieces(ranks_path), {}
             for b in arrow_batches(batches, 2 << 20):
                 lang = np.array(b.column(0).to_pylist(), object)
                 words, n = np.array(b.column(1).to_pylist(), object), b.column(2).to_numpy()
@@ -238,6 +252,19 @@ def train(rows: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: st
     return LanguageModel(ranks_path, languages, prior, prob)
 
 
+def _best(model: LanguageModel | None, score, texts: pa.Array) -> tuple[list[str], np.ndarray]:
+    """Language and posterior of each text."""
+    lang, value = [UNKNOWN] * len(texts), np.zeros(len(texts))
+    if model:
+        logs = score(texts)
+        ok = np.flatnonzero(~np.isnan(logs[:, 0]))
+        best = logs[ok].argmax(axis=1)
+        value[ok] = 1.0 / np.exp(logs[ok] - logs[ok].max(axis=1, keepdims=True)).sum(axis=1)
+        for i, k in zip(ok.tolist(), best.tolist()):
+            lang[i] = model.languages[k]
+    return lang, value
+
+
 def predict(docs: DataFrame, model: LanguageModel | None, id_col: str = "doc_id",
             text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, ``lang_pred`` and ``score`` (posterior, 0 to 1).
@@ -250,15 +277,7 @@ def predict(docs: DataFrame, model: LanguageModel | None, id_col: str = "doc_id"
     def run(batches: Iterator) -> Iterator:
         score = model.scorer() if model else None
         for b in arrow_batches(batches, 4 << 20):
-            lang, value = [UNKNOWN] * b.num_rows, np.zeros(b.num_rows)
-            if score:
-                logs = score(b.column(1))
-                ok = np.flatnonzero(~np.isnan(logs[:, 0]))
-                best = logs[ok].argmax(axis=1)
-                rest = np.exp(logs[ok] - logs[ok].max(axis=1, keepdims=True)).sum(axis=1)
-                value[ok] = 1.0 / rest
-                for i, k in zip(ok.tolist(), best.tolist()):
-                    lang[i] = model.languages[k]
+            lang, value = _best(model, score, b.column(1))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lang), pa.array(value)],
                                              names=["id", "lang_pred", "score"])
 
@@ -266,6 +285,21 @@ def predict(docs: DataFrame, model: LanguageModel | None, id_col: str = "doc_id"
     return rows.mapInArrow(run, f"id {kind}, lang_pred string, score double").withColumnRenamed("id", id_col)
 
 
+def identified_documents(docs: DataFrame, model: LanguageModel | None, text_col: str = "text",
+                         min_score: float = 0.5) -> DataFrame:
+    """Pipeline stage: the rows of ``docs`` whose text is in a learned language with at least
+    ``min_score``; all columns pass through. Without a model no row is identified."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator) -> Iterator:
+        score = model.scorer() if model else None
+        for b in arrow_batches(batches, 4 << 20):
+            lang, value = _best(model, score, b.column(at))
+            yield b.filter(pa.array((np.array(lang, object) != UNKNOWN) & (value >= min_score)))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(id_col: str = "doc_id", folds: int = 5) -> Column:
     """True where crc32 of the id as text is divisible by ``folds`` (a null id is not held out)."""
     rest = F.crc32(F.col(id_col).cast("string").cast("binary")) % folds
