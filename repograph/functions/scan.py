@@ -21,9 +21,13 @@ PY_TOKENS = (
     r"|'[^'\\\n]*(?:\\.[^'\\\n]*)*'?"
     r"|#[^\n]*"
 )
+# A slash starts a regex literal where an operand is expected: after an operator, an opening
+# bracket or a separator, after ``return``, or at the start of a line.
 JS_TOKENS = (
     r"//[^\n]*"
     r"|/\*[\s\S]*?(?:\*/|\z)"
+    r"|(?<=[(,=:\[!&|?{};+*%~^<>\n-][ \t]{0,8}|\breturn[ \t]{1,8})"
+    r"/(?:[^/\\\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[a-zA-Z]*"
     r"|`[^`\\]*(?:\\[\s\S][^`\\]*)*`?"
     r'|"[^"\\\n]*(?:\\.[^"\\\n]*)*"?'
     r"|'[^'\\\n]*(?:\\.[^'\\\n]*)*'?"
@@ -55,19 +59,14 @@ def mask_tokens(text: Column, token_regex: str, keep_after: str | None = None) -
 
 def match_lines(text: Column, regex: str) -> Column:
     """array<struct<line:int, match:string>>: every match of ``regex`` in ``text`` with
-    the 1-based line where it starts. Computed inside the row (no shuffle): a fold over
-    the (segment, match) pairs carries the running newline count."""
-    segs = F.split(text, regex, -1)
-    hits = F.regexp_extract_all(text, F.lit(regex), 0)
-    pairs = F.arrays_zip(F.slice(segs, 1, F.size(hits)).alias("seg"), hits.alias("hit"))
-    empty = F.array().cast("array<struct<line:int,match:string>>")
-    init = F.struct(F.lit(1).alias("cum"), empty.alias("out"))
-
-    def step(acc, z):
-        at = (acc["cum"] + _nl(z["seg"])).cast("int")
-        return F.struct((at + _nl(z["hit"])).cast("int").alias("cum"),
-                        F.concat(acc["out"], F.array(F.struct(at.alias("line"),
-                                                              z["hit"].alias("match"))))
-                        .alias("out"))
-
-    return F.aggregate(pairs, init, step, lambda acc: acc["out"])
+    the 1-based line where it starts. One pass of ``regex`` puts marks around its matches;
+    a line's number is then its place among the marked text's lines, once for each opening
+    mark on it. Linear in the text, computed inside the row (no shuffle)."""
+    opened, closed = "\u0001", "\u0002"
+    clean = F.translate(text, opened + closed, "")
+    marked = F.regexp_replace(clean, regex, f"{opened}$0{closed}")
+    hits = F.regexp_extract_all(marked, F.lit(f"{opened}([^{closed}]*){closed}"), 1)
+    count = lambda line: F.length(line) - F.length(F.replace(line, F.lit(opened), F.lit("")))
+    lines = F.flatten(F.transform(F.split(marked, "\n", -1),
+                                  lambda line, i: F.array_repeat(i + 1, count(line))))
+    return F.zip_with(lines, hits, lambda at, hit: F.struct(at.cast("int").alias("line"), hit.alias("match")))

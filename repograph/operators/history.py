@@ -8,13 +8,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from repograph.operators.util import broadcast_if_small
-from repograph.session import cut_lineage
+from repograph.session import store
 
-# Commits touching more items than this take the exact heavy-commit path in
-# ``cochange_pairs`` instead of emitting all of their pairs.
-HEAVY_COMMIT_ITEMS = 256
-MAX_BROADCAST_HEAVY_COMMITS = 5_000_000
+BLOCK_ITEMS = 256             # items of a commit that one join key holds on a side
 
 
 def indexed_only(commits: DataFrame, files: DataFrame) -> DataFrame:
@@ -39,75 +35,45 @@ def last_modified(touch: DataFrame) -> DataFrame:
         F.min_by("committed_at", "seq").alias("last_modified"))
 
 
-def apply_git_signals(files: DataFrame, churn_df: DataFrame, last_df: DataFrame
-                      ) -> DataFrame:
+def git_signals(touch: DataFrame) -> DataFrame:
+    """Churn and last touch of each file in one aggregate."""
+    return touch.groupBy("repo_id", "file_id").agg(
+        F.count(F.lit(1)).alias("churn"), F.min_by("committed_at", "seq").alias("last_modified"))
+
+
+def apply_git_signals(files: DataFrame, signals: DataFrame) -> DataFrame:
     """Attach churn (default 0) and last_modified (null when never touched)."""
-    return (files.join(churn_df, ["repo_id", "file_id"], "left")
-            .join(last_df, ["repo_id", "file_id"], "left")
-            .withColumn("churn", F.coalesce(F.col("churn"), F.lit(0)).cast("bigint")))
+    return files.join(signals, ["repo_id", "file_id"], "left").withColumn(
+        "churn", F.coalesce(F.col("churn"), F.lit(0)).cast("bigint"))
 
 
 def cochange_pairs(touch: DataFrame, item_col: str = "file_id", min_count: int = 2,
-                   heavy_commit_items: int = HEAVY_COMMIT_ITEMS) -> DataFrame:
+                   block_items: int = BLOCK_ITEMS) -> DataFrame:
     """Unordered pairs (a < b) of distinct items changed in the same commit, counted over
     commits, kept at ``count >= min_count``.
 
-    Exact for every commit size, without emitting all pairs of a heavy commit:
-
-    * light commits (<= ``heavy_commit_items`` items) emit their pairs (self-join on
-      (repo_id, commit_id), partial aggregation before the shuffle);
-    * a light pair's count in heavy commits is looked up through the heavy membership
-      of its two items;
-    * a pair seen in heavy commits only needs two of them: heavy commit pairs sharing an
-      item give the shared sets, and only pairs inside a shared set (all of them result
-      rows) are emitted.
+    One path for every commit size: a commit's items are hashed into blocks of about
+    ``block_items`` and each pair of blocks is a join key of its own, so a commit of any size
+    is spread over many tasks; a commit of one block is the plain self-join. A pair of items
+    meets in the pair of their blocks only, and pairs are counted by partial aggregation
+    before they are shuffled.
     """
-    # Narrow (repo, commit, item) rows referenced by every branch below: written once.
-    t = cut_lineage(touch.select("repo_id", "commit_id", F.col(item_col).alias("item"))
-                    .distinct())
-    # Commit sizes by partial aggregation (a huge commit is never one task's input);
-    # the heavy commits' keys are few (<= touches / heavy_commit_items), so the split
-    # into light/heavy is a map-side filter against a size-checked broadcast.
-    sizes = t.groupBy("repo_id", "commit_id").agg(F.count(F.lit(1)).alias("n"))
-    heavy_keys = broadcast_if_small(
-        sizes.where(F.col("n") > heavy_commit_items).select("repo_id", "commit_id"),
-        MAX_BROADCAST_HEAVY_COMMITS)
-    light = t.join(heavy_keys, ["repo_id", "commit_id"], "left_anti")
-    heavy = t.join(heavy_keys, ["repo_id", "commit_id"], "left_semi")
-
-    a, b = light.alias("a"), light.alias("b")
-    light_pairs = (a.join(b, ["repo_id", "commit_id"])
-                   .where(F.col("a.item") < F.col("b.item"))
-                   .groupBy("repo_id", F.col("a.item").alias("a"), F.col("b.item").alias("b"))
-                   .agg(F.count(F.lit(1)).alias("c_light")))
-
-    ha = heavy.select("repo_id", F.col("commit_id").alias("hc"), F.col("item").alias("a"))
-    hb = heavy.select("repo_id", F.col("commit_id").alias("hc"), F.col("item").alias("b"))
-    light_in_heavy = (light_pairs.select("repo_id", "a", "b").join(ha, ["repo_id", "a"])
-                      .join(hb, ["repo_id", "b", "hc"])
-                      .groupBy("repo_id", "a", "b").agg(F.count(F.lit(1)).alias("c_heavy")))
-    light_total = (light_pairs.join(light_in_heavy, ["repo_id", "a", "b"], "left")
-                   .select("repo_id", "a", "b",
-                           (F.col("c_light") + F.coalesce("c_heavy", F.lit(0)))
-                           .alias("co_change_count")))
-
-    x = heavy.select("repo_id", "item", F.col("commit_id").alias("c1"))
-    y = heavy.select("repo_id", "item", F.col("commit_id").alias("c2"))
-    shared = x.join(y, ["repo_id", "item"]).where(F.col("c1") < F.col("c2"))
-    s1, s2 = shared.alias("s1"), shared.alias("s2")
-    heavy_pairs = (s1.join(s2, ["repo_id", "c1", "c2"])
-                   .where(F.col("s1.item") < F.col("s2.item"))
-                   .groupBy("repo_id", F.col("s1.item").alias("a"), F.col("s2.item").alias("b"))
-                   .agg(F.count(F.lit(1)).alias("m")))
-    # m = c (c - 1) / 2 commit pairs for a pair present in c heavy commits.
-    heavy_only = (heavy_pairs.join(light_pairs, ["repo_id", "a", "b"], "left_anti")
-                  .select("repo_id", "a", "b",
-                          ((F.lit(1) + F.sqrt(F.lit(1) + 8 * F.col("m"))) / 2)
-                          .cast("bigint").alias("co_change_count")))
-
-    return (light_total.unionByName(heavy_only)
-            .where(F.col("co_change_count") >= min_count)
-            .withColumn("co_change_count", F.col("co_change_count").cast("bigint")))
+    t = store(touch.select("repo_id", "commit_id", F.col(item_col).alias("item")).distinct(),
+              "touches")
+    sizes = t.groupBy("repo_id", "commit_id").agg(
+        F.ceil(F.count(F.lit(1)) / block_items).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("item"), F.col("blocks")).cast("int")
+    placed = (t.join(sizes, ["repo_id", "commit_id"]).withColumn("own", own)
+              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+              .select("repo_id", "commit_id", "item", "own", "other",
+                      F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi")))
+    a, b = placed.alias("a"), placed.alias("b")
+    met = ((F.col("a.item") < F.col("b.item"))
+           & (F.col("a.other") == F.col("b.own")) & (F.col("b.other") == F.col("a.own")))
+    return (a.join(b, ["repo_id", "commit_id", "lo", "hi"]).where(met)
+            .groupBy("repo_id", F.col("a.item").alias("a"), F.col("b.item").alias("b"))
+            .agg(F.count(F.lit(1)).cast("bigint").alias("co_change_count"))
+            .where(F.col("co_change_count") >= min_count))
 
 
 def module_coupling(touch: DataFrame, mod_files: DataFrame, min_count: int = 2

@@ -1,20 +1,21 @@
 """Import extraction: text -> raw import rows -> resolved, merged, numbered edges.
 
-Raw import rows have the columns
-``repo_id, path, line, raw, item_pos, lang, level, module, extractor``: the text scans
-key files by (repo_id, path) so content is never joined; file ids are attached to the
-small extracted rows afterwards.
+Each file is scanned once, in its row: the statement scan and the line scan both give an
+array of items (line, raw, match_no, item_pos, level, module). ``match_no`` and ``item_pos``
+order the items of one line. The registered scans, the merged imports and the edges all come
+from these arrays; content is never joined or shuffled.
 ``module``/``level`` for Python (dotted text, leading-dot count), ``module`` is the
-specifier for JS/TS. ``item_pos`` orders several imports of one line.
+specifier for JS/TS.
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from repograph.functions import scan as S
 from repograph.functions import text as T
-from repograph.operators.ids import positional_ids
+from repograph.functions.text import format_id
+from repograph.operators.ids import running_offsets
 from repograph.operators.inventory import scan_eligible
 
 # Fixed patterns (Python syntax of the line scan, written for Java with (?U)).
@@ -24,14 +25,16 @@ JS_FROM = r"""(?U)\bfrom\s+['"]([^'"]+)['"]"""
 JS_BARE_IMPORT = r"""(?U)^\s*import\s+['"]([^'"]+)['"]"""
 JS_REQUIRE = r"""(?U)\brequire\(\s*['"]([^'"]+)['"]\s*\)"""
 
-# Statement patterns over masked text (strings and comments already blanked).
-PY_STMT = (r"(?mU)(?:^|;)[ \t]*(?:from[ \t]+(?!__future__\b)(\.*)[ \t]*([\w.]*)[ \t]+import\b"
+# Statement patterns over masked text (strings and comments already blanked). A statement
+# starts a line (after a line feed only) or follows ``;`` or a block's colon.
+PY_STMT = (r"(?dmU)(?:^|[;:])[ \t]*(?:from[ \t]+(?!__future__\b)(\.*)[ \t]*([\w.]*)[ \t]+import\b"
            r"|import[ \t]+([^\n;\\]*(?:\\\n?[^\n;\\]*)*))")
 JS_STMT_FROM = r"""(?U)(?:^|[;}\n])[ \t]*(?:import|export)\b[^;'"`]*?\bfrom[ \t\n]*(['"])([^'"\n]*)\1"""
-JS_STMT_BARE = r"""(?mU)^[ \t]*import[ \t]*(['"])([^'"\n]*)\1"""
+JS_STMT_BARE = r"""(?dmU)^[ \t]*import[ \t]*(['"])([^'"\n]*)\1"""
 JS_STMT_REQUIRE = r"""(?U)\brequire[ \t]*\([ \t\n]*(['"])([^'"\n]*)\1[ \t\n]*\)"""
 
-RAW_COLS = ["repo_id", "path", "line", "raw", "item_pos", "lang", "level", "module",
+ITEM = "struct<line:int,raw:string,match_no:int,item_pos:int,level:int,module:string>"
+RAW_COLS = ["repo_id", "path", "line", "raw", "match_no", "item_pos", "lang", "level", "module",
             "extractor"]
 
 
@@ -43,158 +46,21 @@ def explode_lines(files: DataFrame, text_col: str = "content",
                                  "text")
 
 
-def _eligible(contents: DataFrame, family: str) -> DataFrame:
-    return scan_eligible(contents).where(F.col("family") == family)
-
-
-# ------------------------------------------------------------------ line scans
-def python_imports_line(contents: DataFrame) -> DataFrame:
-    """Per line: ``from`` form -> one row (dots, module); else ``import a, b`` -> one row
-    per item (an ``as`` alias ends the list)."""
-    lines = explode_lines(_eligible(contents, "python"))
-    is_from = F.col("text").rlike(PY_FROM_LINE)
-    items = F.filter(F.transform(F.split(F.regexp_extract("text", PY_IMPORT_LINE, 1), ","),
-                                 lambda x: T.py_strip(x)), lambda x: x != "")
-    mods = F.when(is_from, F.array(F.struct(
-        F.length(F.regexp_extract("text", PY_FROM_LINE, 1)).alias("level"),
-        F.regexp_extract("text", PY_FROM_LINE, 2).alias("module")))).otherwise(
-        F.transform(items, lambda m: F.struct(F.lit(0).alias("level"), m.alias("module"))))
-    return (lines.select("*", F.posexplode(mods).alias("item_pos", "m"))
-            .select("repo_id", "path", F.col("line_no").alias("line"),
-                    F.col("text").alias("raw"), "item_pos", F.lit("python").alias("lang"),
-                    F.col("m.level").alias("level"), F.col("m.module").alias("module"),
-                    F.lit("heuristic").alias("extractor")))
-
-
-def js_imports_line(contents: DataFrame) -> DataFrame:
-    """Lines starting with import/export: first ``from '...'``, else a bare
-    ``import '...'``; plus every ``require('...')`` of any line."""
-    lines = explode_lines(_eligible(contents, "js"))
-    stripped = T.py_lstrip("text")
-    stmt = stripped.startswith("import") | stripped.startswith("export")
-    from_spec = F.regexp_extract("text", JS_FROM, 1)
-    bare = F.regexp_extract("text", JS_BARE_IMPORT, 1)
-    first = F.when(stmt & (from_spec != ""), from_spec).when(stmt & (bare != ""), bare)
-    specs = F.concat(F.when(first.isNotNull(), F.array(first)).otherwise(
-        F.array().cast("array<string>")), F.regexp_extract_all("text", F.lit(JS_REQUIRE), 1))
-    return (lines.select("*", F.posexplode(specs).alias("item_pos", "spec"))
-            .select("repo_id", "path", F.col("line_no").alias("line"),
-                    F.col("text").alias("raw"), "item_pos", F.lit("js").alias("lang"),
-                    F.lit(0).alias("level"), F.col("spec").alias("module"),
-                    F.lit("heuristic").alias("extractor")))
+def _item(line, raw, match_no, pos, level, module) -> Column:
+    return F.struct(line.cast("int").alias("line"), raw.alias("raw"),
+                    match_no.cast("int").alias("match_no"), pos.cast("int").alias("item_pos"),
+                    level.cast("int").alias("level"), module.alias("module"))
 
 
-# ------------------------------------------------------------------ statement scans
-def _evidence(lines: F.Column, line: F.Column) -> F.Column:
+def _evidence(lines: Column, line: Column) -> Column:
     """Text of that one line, '' when out of range."""
     return F.when((line >= 1) & (line <= F.size(lines)), F.try_element_at(lines, line)).otherwise(
         F.lit(""))
 
 
-def _stmt_rows(src: DataFrame, parse) -> DataFrame:
-    """Explode the (line, match) pairs of each file (column ``mm``) and parse each match.
-    The file's lines (column ``lines``) are split once per file and the evidence line is
-    taken in the same row, so content never crosses a shuffle."""
-    found = F.transform("mm", lambda m: F.struct(
-        m["line"].alias("line"), m["match"].alias("match"),
-        _evidence(F.col("lines"), m["line"]).alias("raw")))
-    return (src.select("repo_id", "path", F.posexplode(found).alias("match_no", "m"))
-            .select("repo_id", "path", "match_no", "m.line", "m.match", "m.raw")
-            .transform(parse))
-
-
-def _masked(contents: DataFrame, family: str, tokens: str, keep_after: str | None = None
-            ) -> DataFrame:
-    """Eligible files with their lines split once and their masked text."""
-    return (_eligible(contents, family)
-            .select("repo_id", "path", T.split_lines("content").alias("lines"),
-                    S.mask_tokens(F.col("content"), tokens, keep_after).alias("masked")))
-
-
-def python_imports_stmt(contents: DataFrame) -> DataFrame:
-    """Statement-level Python imports: strings and comments are masked first, so text
-    inside them is ignored; ``;``-separated statements and imports inside functions or
-    if blocks count; ``from __future__`` is not an import edge. The evidence line is the
-    statement's first line. One row per ``from`` statement, one per ``import`` item."""
-    src = _masked(contents, "python", S.PY_TOKENS).select(
-        "repo_id", "path", "lines", S.match_lines(F.col("masked"), PY_STMT).alias("mm"))
-
-    def parse(df: DataFrame) -> DataFrame:
-        is_from = F.col("match").rlike(r"(?U)^[;\s]*from[ \t]")
-        body = F.regexp_replace(F.regexp_extract("match", PY_STMT, 3), r"\\\n|[()\\]", " ")
-        names = F.filter(F.transform(F.split(body, ","),
-                                     lambda x: F.regexp_extract(x, r"(?U)^\s*([\w.]+)", 1)),
-                         lambda x: x != "")
-        mods = F.when(is_from, F.array(F.struct(
-            F.length(F.regexp_extract("match", PY_STMT, 1)).alias("level"),
-            F.regexp_extract("match", PY_STMT, 2).alias("module")))).otherwise(
-            F.transform(names, lambda n: F.struct(F.lit(0).alias("level"), n.alias("module"))))
-        return (df.select("*", F.posexplode(mods).alias("k", "mm"))
-                .select("repo_id", "path", "line", "raw",
-                        (F.col("match_no") * 1000 + F.col("k")).alias("item_pos"),
-                        F.lit("python").alias("lang"), F.col("mm.level").alias("level"),
-                        F.col("mm.module").alias("module"),
-                        F.lit("treesitter").alias("extractor")))
-
-    return _stmt_rows(src, parse).select(*RAW_COLS)
-
-
-def js_imports_stmt(contents: DataFrame) -> DataFrame:
-    """Statement-level JS/TS imports: specifier of import/export ... from (line of the
-    specifier; the statement may span lines), bare ``import '...'``, and
-    ``require(<string>)`` calls (line of the call). Comments, template literals and
-    strings that are not specifiers are masked; dynamic ``import()`` is not captured."""
-    masked = F.col("masked")
-
-    def tag(regex: str, kind: int, at_end: bool) -> F.Column:
-        def one(m):
-            nl = F.length(m["match"]) - F.length(F.replace(m["match"], F.lit("\n"), F.lit("")))
-            line = (m["line"] + nl) if at_end else m["line"]
-            return F.struct(line.cast("int").alias("line"),
-                            F.regexp_extract(m["match"], regex, 2).alias("match"),
-                            F.lit(kind).alias("kind"))
-        return F.transform(S.match_lines(masked, regex), one)
-
-    allm = F.concat(tag(JS_STMT_FROM, 0, True), tag(JS_STMT_BARE, 1, False),
-                    tag(JS_STMT_REQUIRE, 2, False))
-    src = _masked(contents, "js", S.JS_TOKENS, S.JS_SPEC_CONTEXT).select(
-        "repo_id", "path", "lines", allm.alias("mm"))
-
-    def parse(df: DataFrame) -> DataFrame:
-        return (df.where(F.col("match") != "")
-                .select("repo_id", "path", "line", "raw",
-                        F.col("match_no").alias("item_pos"), F.lit("js").alias("lang"),
-                        F.lit(0).alias("level"), F.col("match").alias("module"),
-                        F.lit("treesitter").alias("extractor")))
-
-    return _stmt_rows(src, parse).select(*RAW_COLS)
-
-
-# ------------------------------------------------------------------ merge, ids
-def merge_edges(stmt: DataFrame, line: DataFrame) -> DataFrame:
-    """A file with >= 1 statement edge is owned by the statement extractor; other files
-    use line-scan edges deduped on (file, line, raw) keeping the first. Statement edges
-    are not deduped."""
-    owned = stmt.select("repo_id", "path").distinct()
-    rest = line.join(owned, ["repo_id", "path"], "left_anti")
-    first = (rest.groupBy("repo_id", "path", "line", "raw")
-             .agg(F.min("item_pos").alias("item_pos")))
-    rest = rest.join(first, ["repo_id", "path", "line", "raw", "item_pos"], "left_semi")
-    return stmt.unionByName(rest)
-
-
-def edge_ids(edges: DataFrame) -> DataFrame:
-    """Positional ``e%04d`` by (file, line, raw), ties in extraction order."""
-    return positional_ids(edges, ["repo_id"], ["path", "line", "raw", "item_pos"],
-                          "edge_id", "e", 4)
-
-
-# ------------------------------------------------------------------ fused per-file extraction
-_EMPTY_ITEMS = "array<struct<line:int,raw:string,item_pos:int,level:int,module:string>>"
-
-
-def _py_line_mods(x: F.Column) -> F.Column:
-    """array<struct<level, module>> of one line, by the line-scan rules."""
+def _py_line_mods(x: Column) -> Column:
+    """array<struct<level, module>> of one line: the ``from`` form gives one (dots, module);
+    else ``import a, b`` gives one per item (an ``as`` alias ends the list)."""
     items = F.filter(F.transform(F.split(F.regexp_extract(x, PY_IMPORT_LINE, 1), ","),
                                  lambda s: T.py_strip(s)), lambda s: s != "")
     return F.when(x.rlike(PY_FROM_LINE), F.array(F.struct(
@@ -203,8 +69,9 @@ def _py_line_mods(x: F.Column) -> F.Column:
         F.transform(items, lambda m: F.struct(F.lit(0).alias("level"), m.alias("module"))))
 
 
-def _py_stmt_mods(m: F.Column) -> F.Column:
-    is_from = m.rlike(r"(?U)^[;\s]*from[ \t]")
+def _py_stmt_mods(m: Column) -> Column:
+    """The same of one statement: one for ``from``, one for each item of ``import``."""
+    is_from = m.rlike(r"(?U)^[;:\s]*from[ \t]")
     body = F.regexp_replace(F.regexp_extract(m, PY_STMT, 3), r"\\\n|[()\\]", " ")
     names = F.filter(F.transform(F.split(body, ","),
                                  lambda s: F.regexp_extract(s, r"(?U)^\s*([\w.]+)", 1)),
@@ -215,7 +82,9 @@ def _py_stmt_mods(m: F.Column) -> F.Column:
         F.transform(names, lambda n: F.struct(F.lit(0).alias("level"), n.alias("module"))))
 
 
-def _js_line_specs(x: F.Column) -> F.Column:
+def _js_line_specs(x: Column) -> Column:
+    """Specifiers of one line: for lines starting with import/export the first ``from '...'``,
+    else a bare ``import '...'``; plus every ``require('...')``."""
     stripped = T.py_lstrip(x)
     stmt = stripped.startswith("import") | stripped.startswith("export")
     from_spec = F.regexp_extract(x, JS_FROM, 1)
@@ -225,59 +94,95 @@ def _js_line_specs(x: F.Column) -> F.Column:
         F.array().cast("array<string>")), F.regexp_extract_all(x, F.lit(JS_REQUIRE), 1))
 
 
-def _item(line, raw, pos, level, module) -> F.Column:
-    return F.struct(line.cast("int").alias("line"), raw.alias("raw"), pos.cast("int").alias("item_pos"),
-                    level.cast("int").alias("level"), module.alias("module"))
-
-
-def file_imports(contents: DataFrame) -> DataFrame:
-    """Both extractors over each file in ONE row, merged in the row: a file with at least
-    one statement-level import keeps exactly those; any other file keeps the first
-    line-scan import of each line (the (file, line, raw) dedupe). No join, no shuffle:
-    the output is ``RAW_COLS`` rows ready for resolution."""
-    lines = F.col("lines")
-    ev = lambda ln: _evidence(lines, ln)
-
-    py = _masked(contents, "python", S.PY_TOKENS).select(
-        "repo_id", "path", "lines", S.match_lines(F.col("masked"), PY_STMT).alias("mm"))
-    py_stmt = F.flatten(F.transform("mm", lambda m, i: F.transform(
-        _py_stmt_mods(m["match"]), lambda d, k: _item(m["line"], ev(m["line"]), i * 1000 + k,
-                                                    d["level"], d["module"]))))
+def scanned_files(contents: DataFrame) -> DataFrame:
+    """(repo_id, path, lang, s, l): the statement items and the line items of every eligible
+    file, from one read of its text.
+
+    Statement scan: strings, comments and regex literals are masked first, so text inside
+    them is ignored. Python: ``;``-separated and one-line block statements and imports inside
+    functions count; ``from __future__`` is not an import edge; the evidence line is the
+    statement's first line. JS/TS: the specifier of import/export ... from (line of the
+    specifier; the statement may span lines), bare ``import '...'``, and ``require(<string>)``
+    calls (line of the call); dynamic ``import()`` is not captured.
+    """
+    family, lines, masked = F.col("family"), F.col("lines"), F.col("masked")
+    src = scan_eligible(contents).select(
+        "repo_id", "path", "family", T.split_lines("content").alias("lines"),
+        F.when(F.col("family") == "python", S.mask_tokens(F.col("content"), S.PY_TOKENS))
+        .otherwise(S.mask_tokens(F.col("content"), S.JS_TOKENS, S.JS_SPEC_CONTEXT)).alias("masked"))
+
+    py_stmt = F.flatten(F.transform(S.match_lines(masked, PY_STMT), lambda m, i: F.transform(
+        _py_stmt_mods(m["match"]), lambda d, k: _item(m["line"], _evidence(lines, m["line"]), i, k,
+                                                      d["level"], d["module"]))))
     py_line = F.flatten(F.transform(lines, lambda x, i: F.transform(
-        F.slice(_py_line_mods(x), 1, 1), lambda d: _item(i + 1, x, F.lit(0), d["level"],
-                                                          d["module"]))))
-    py = py.select("repo_id", "path", F.lit("python").alias("lang"), py_stmt.alias("s"),
-                   py_line.alias("l"))
-
-    def tag(regex: str, kind: int, at_end: bool) -> F.Column:
-        def one(m, i):
-            nl = F.length(m["match"]) - F.length(F.replace(m["match"], F.lit("\n"), F.lit("")))
-            line = (m["line"] + nl) if at_end else m["line"]
-            return F.struct(line.cast("int").alias("line"),
+        _py_line_mods(x), lambda d, k: _item(i + 1, x, F.lit(0), k, d["level"], d["module"]))))
+
+    def specs(regex: str, at_end: bool) -> Column:
+        def one(m):
+            below = F.length(m["match"]) - F.length(F.replace(m["match"], F.lit("\n"), F.lit("")))
+            return F.struct((m["line"] + below if at_end else m["line"]).alias("line"),
                             F.regexp_extract(m["match"], regex, 2).alias("spec"))
-        return F.transform(S.match_lines(F.col("masked"), regex), one)
-
-    js = _masked(contents, "js", S.JS_TOKENS, S.JS_SPEC_CONTEXT).select(
-        "repo_id", "path", "lines",
-        F.concat(tag(JS_STMT_FROM, 0, True), tag(JS_STMT_BARE, 1, False),
-                 tag(JS_STMT_REQUIRE, 2, False)).alias("mm"))
-    js_stmt = F.filter(F.transform("mm", lambda m, i: _item(
-        m["line"], ev(m["line"]), i, F.lit(0), m["spec"])), lambda r: r["module"] != "")
+        return F.transform(S.match_lines(masked, regex), one)
+
+    js_all = F.concat(specs(JS_STMT_FROM, True), specs(JS_STMT_BARE, False),
+                      specs(JS_STMT_REQUIRE, False))
+    js_stmt = F.filter(F.transform(js_all, lambda m, i: _item(
+        m["line"], _evidence(lines, m["line"]), i, F.lit(0), F.lit(0), m["spec"])),
+        lambda r: r["module"] != "")
     js_line = F.flatten(F.transform(lines, lambda x, i: F.transform(
-        F.slice(_js_line_specs(x), 1, 1), lambda sp: _item(i + 1, x, F.lit(0), F.lit(0), sp))))
-    js = js.select("repo_id", "path", F.lit("js").alias("lang"), js_stmt.alias("s"),
-                   js_line.alias("l"))
+        _js_line_specs(x), lambda sp, k: _item(i + 1, x, F.lit(0), k, F.lit(0), sp))))
+    python = family == "python"
+    return src.select("repo_id", "path", F.when(python, F.lit("python")).otherwise(F.lit("js")).alias("lang"),
+                      F.when(python, py_stmt).otherwise(js_stmt).alias("s"),
+                      F.when(python, py_line).otherwise(js_line).alias("l"))
+
+
+def _item_rows(scanned: DataFrame, items: str, lang: str, extractor: str) -> DataFrame:
+    return (scanned.where(F.col("lang") == lang)
+            .select("repo_id", "path", "lang", F.explode(items).alias("e"))
+            .select("repo_id", "path", "e.line", "e.raw", "e.match_no", "e.item_pos", "lang", "e.level",
+                    "e.module", F.lit(extractor).alias("extractor")))
+
+
+def python_imports_line(contents: DataFrame) -> DataFrame:
+    return _item_rows(scanned_files(contents), "l", "python", "heuristic")
 
-    both = py.unionByName(js)
+
+def js_imports_line(contents: DataFrame) -> DataFrame:
+    return _item_rows(scanned_files(contents), "l", "js", "heuristic")
+
+
+def python_imports_stmt(contents: DataFrame) -> DataFrame:
+    return _item_rows(scanned_files(contents), "s", "python", "treesitter")
+
+
+def js_imports_stmt(contents: DataFrame) -> DataFrame:
+    return _item_rows(scanned_files(contents), "s", "js", "treesitter")
+
+
+# ------------------------------------------------------------------ merge, ids
+def merge_edges(scanned: DataFrame) -> DataFrame:
+    """Import rows of scanned files: a file with at least one statement item keeps exactly
+    those, any other file the first line item of each line (the (file, line, raw) dedupe).
+
+    Decided and sorted in the row, so ``rank_in_file`` is an edge's place in its file and
+    ``n_in_file`` their number; no join, no shuffle.
+    """
     use_stmt = F.size("s") > 0
-    # Sorted in the row by (line, raw, item_pos): the array index is the edge's rank in
-    # its file, which with per-file offsets gives the repo-wide edge number.
-    chosen = F.array_sort(F.when(use_stmt, F.col("s")).otherwise(F.col("l")))
-    return (both.select("repo_id", "path", "lang",
-                        F.when(use_stmt, F.lit("treesitter")).otherwise(F.lit("heuristic"))
-                        .alias("extractor"), F.posexplode(chosen).alias("rank_in_file", "e"))
-            .select("repo_id", "path", "e.line", "e.raw", "e.item_pos", "lang", "e.level",
-                    "e.module", "extractor", "rank_in_file"))
+    chosen = F.array_sort(F.when(use_stmt, F.col("s")).otherwise(
+        F.filter("l", lambda e: e["item_pos"] == 0)))
+    return (scanned.select("repo_id", "path", "lang", chosen.alias("chosen"),
+                           F.when(use_stmt, F.lit("treesitter")).otherwise(F.lit("heuristic"))
+                           .alias("extractor"))
+            .select("repo_id", "path", "lang", "extractor", F.size("chosen").alias("n_in_file"),
+                    F.posexplode("chosen").alias("rank_in_file", "e"))
+            .select("repo_id", "path", "e.line", "e.raw", "lang", "e.level", "e.module", "extractor",
+                    "rank_in_file", "n_in_file"))
+
+
+def file_imports(contents: DataFrame) -> DataFrame:
+    """Merged import rows of all eligible files, from one read of their text."""
+    return merge_edges(scanned_files(contents))
 
 
 def edge_ids_by_file(edges: DataFrame, files: DataFrame) -> DataFrame:
@@ -285,10 +190,9 @@ def edge_ids_by_file(edges: DataFrame, files: DataFrame) -> DataFrame:
     (line, raw, position)): per-file edge counts are prefix-summed over the files of each
     repo in path order, so only one narrow row per file is sorted, never the edges.
     Also attaches the importing file's id (``file_id``)."""
-    from repograph.functions.text import format_id
-    from repograph.operators.ids import running_offsets
-    counts = edges.groupBy("repo_id", "path").agg(F.count(F.lit(1)).alias("_n"))
-    offs = running_offsets(counts, ["repo_id"], ["path"], "_n", "_offset")
+    counts = edges.where(F.col("rank_in_file") == 0).select("repo_id", "path", "n_in_file")
+    offs = running_offsets(counts.withColumnRenamed("n_in_file", "_n"), ["repo_id"], ["path"], "_n",
+                           "_offset")
     per_file = offs.join(files.select("repo_id", "path", "file_id"), ["repo_id", "path"])
     return (edges.join(per_file.select("repo_id", "path", "file_id", "_offset"),
                        ["repo_id", "path"])

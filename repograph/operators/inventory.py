@@ -6,11 +6,7 @@ from pyspark.sql import functions as F
 
 from repograph.functions import text as T
 from repograph.operators.ids import positional_ids
-from repograph.operators.util import broadcast_if_small
-
-# Above this many rules the rule table is shuffled instead of broadcast.
-MAX_BROADCAST_RULES = 200_000
-MAX_BROADCAST_IGNORED = 2_000_000
+from repograph.session import store
 
 
 def skip_set(extra: list[str] | None = None) -> list[str]:
@@ -28,63 +24,76 @@ def skip_segments(files: DataFrame, extra: list[str] | None = None,
 def gitignore_rules(files: DataFrame) -> DataFrame:
     """Rules of each repo's ROOT ignore file: (repo_id, rule_no, negated, regex).
 
-    Supported glob subset: ``*``, ``**``, ``?``, leading ``/`` or an inner ``/`` anchors
-    the rule at the root, trailing ``/`` matches directories only, ``!`` re-includes,
-    ``#`` comments and blank lines are skipped. A rule matching a directory matches
-    everything beneath it.
+    ``*``, ``**``, ``?``, classes (``[a-z]``, ``[!a]``), escapes (``\\#``), a leading ``/`` or
+    an inner ``/`` anchors the rule at the root, a trailing ``/`` matches directories only,
+    ``!`` re-includes, ``#`` comments and blank lines are skipped, trailing blanks go unless
+    escaped. A rule matching a directory matches everything beneath it.
     """
     lines = (files.where(F.col("path") == ".gitignore")
              .select("repo_id", F.posexplode(T.split_lines("content")).alias("pos", "raw"))
              .select("repo_id", (F.col("pos") + 1).alias("rule_no"),
-                     F.regexp_replace("raw", r"[ \t]+$", "").alias("raw"))
+                     F.regexp_replace("raw", r"(?<!\\)[ \t]+$", "").alias("raw"))
              .where((F.col("raw") != "") & ~F.col("raw").startswith("#")))
     negated = F.col("raw").startswith("!")
-    pat = F.when(negated, F.substring("raw", 2, 1 << 30)).otherwise(F.col("raw"))
+    pat = F.when(negated, F.expr("substring(raw, 2)")).otherwise(F.col("raw"))
     dir_only = pat.endswith("/")
     pat = F.regexp_replace(pat, "/+$", "")
     anchored = pat.startswith("/") | pat.contains("/")
     pat = F.regexp_replace(pat, "^/", "")
-    body = F.regexp_replace(pat, r"([.+^${}()|\[\]\\])", r"\\$1")
-    body = F.regexp_replace(body, r"\*\*/", "\u0001")
-    body = F.regexp_replace(body, r"/\*\*", "\u0002")
-    body = F.regexp_replace(body, r"\*\*", "\u0003")
-    body = F.regexp_replace(body, r"\*", "[^/]*")
-    body = F.regexp_replace(body, r"\?", "[^/]")
-    body = F.regexp_replace(body, "\u0001", "(?:.*/)?")
-    body = F.regexp_replace(body, "\u0002", "/.*")
-    body = F.regexp_replace(body, "\u0003", ".*")
+    # The glob's tokens (escape, class, stars with their slashes, any other character) are
+    # translated one by one.
+    tokens = F.regexp_extract_all(pat, F.lit(r"(?s)\\.|\[!?\]?(?:\\.|[^\]\\])*\]|\*\*/|/\*\*$|\*+|."), 0)
+    one = lambda t: (
+        F.when(t.rlike(r"(?s)^\\.$"), F.concat(F.lit("\\Q"), F.substring(t, 2, 1), F.lit("\\E")))
+        .when(t.rlike(r"(?s)^\[.+\]$"), F.concat(
+            F.lit("(?!/)["), F.when(t.startswith("[!"), F.lit("^")).otherwise(F.lit("")),
+            F.regexp_replace(F.regexp_replace(t, r"(?s)^\[!?(.*)\]$", "$1"), r"([\[\]&^])", r"\\$1"),
+            F.lit("]")))
+        .when(t == "**/", F.lit("(?:.*/)?")).when(t == "/**", F.lit("/.*"))
+        .when(t == "**", F.lit(".*")).when(t.startswith("*"), F.lit("[^/]*")).when(t == "?", F.lit("[^/]"))
+        .otherwise(F.regexp_replace(t, r"([.+^${}()|\[\]\\])", r"\\$1")))
+    body = F.array_join(F.transform(tokens, one), "")
     regex = F.concat(F.when(anchored, F.lit("^")).otherwise(F.lit("^(?:.*/)?")), body,
                      F.when(dir_only, F.lit("/.+$")).otherwise(F.lit("(?:/.*)?$")))
     return lines.select("repo_id", "rule_no", negated.alias("negated"), regex.alias("regex"))
 
 
 def ignore_rules(files: DataFrame, rules: DataFrame) -> DataFrame:
-    """Drop paths whose LAST matching rule is not a negation."""
-    rules = broadcast_if_small(rules, MAX_BROADCAST_RULES)
-    matches = (files.select("repo_id", "path").join(rules, "repo_id")
-               .where(F.expr("regexp_like(path, regex)")))
-    ignored = (matches.groupBy("repo_id", "path")
-               .agg(F.max_by("negated", "rule_no").alias("last_negated"))
-               .where(~F.col("last_negated")).select("repo_id", "path"))
-    # The ignored set is usually small: broadcast it (size-checked) so file rows, which
-    # may carry content, are filtered in place instead of being shuffled.
-    return files.join(broadcast_if_small(ignored, MAX_BROADCAST_IGNORED), ["repo_id", "path"],
-                      "left_anti")
+    """Drop paths whose LAST matching rule is not a negation.
 
+    The rules of a repo (one ignore file) become one array and are evaluated in the file's
+    row. They are a small stored table, so the planner knows their size and file rows, which
+    may carry content, are shuffled only where the rules are too large to send around.
+    """
+    per_repo = store(rules.groupBy("repo_id").agg(F.array_sort(F.collect_list(
+        F.struct("rule_no", "negated", "regex"))).alias("_rules")), "ignore-rules")
+    hit = F.filter("_rules", lambda r: F.regexp_like(F.col("path"), r["regex"]))
+    kept = F.col("_rules").isNull() | (F.size(hit) == 0) | F.try_element_at(hit, F.lit(-1))["negated"]
+    return files.join(per_repo, "repo_id", "left").where(kept).drop("_rules")
 
-def file_inventory(raw: DataFrame, extra_skip: list[str] | None = None,
-                   use_ignore_file: bool = True) -> DataFrame:
+
+def kept_files(raw: DataFrame, extra_skip: list[str] | None = None,
+               use_ignore_file: bool = True) -> DataFrame:
+    """Files (with content) that neither the skip set nor the ignore file drops."""
+    kept = skip_segments(raw, extra_skip)
+    return ignore_rules(kept, gitignore_rules(raw)) if use_ignore_file else kept
+
+
+def measured(kept: DataFrame) -> DataFrame:
     """One row per kept file: repo_id, path, lang, loc, size_bytes (no content). A source
     that already measured the raw bytes (``loc``/``size_bytes`` columns) is trusted."""
-    kept = skip_segments(raw, extra_skip)
-    if use_ignore_file:
-        kept = ignore_rules(kept, gitignore_rules(raw))
-    loc = F.col("loc") if "loc" in raw.columns else T.line_count("content")
-    size = F.col("size_bytes") if "size_bytes" in raw.columns else T.byte_size("content")
+    loc = F.col("loc") if "loc" in kept.columns else T.line_count("content")
+    size = F.col("size_bytes") if "size_bytes" in kept.columns else T.byte_size("content")
     return kept.select("repo_id", "path", T.detect_language("path").alias("lang"),
                        loc.cast("bigint").alias("loc"), size.cast("bigint").alias("size_bytes"))
 
 
+def file_inventory(raw: DataFrame, extra_skip: list[str] | None = None,
+                   use_ignore_file: bool = True) -> DataFrame:
+    """The inventory of raw files: what is kept, measured."""
+    return measured(kept_files(raw, extra_skip, use_ignore_file))
+
+
 def file_ids(inventory: DataFrame) -> DataFrame:
     """Positional ``f%04d`` id by path order inside each repo."""
     return positional_ids(inventory, ["repo_id"], ["path"], "file_id", "f", 4)

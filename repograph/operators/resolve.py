@@ -10,10 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from repograph.functions import text as T
-from repograph.operators.util import broadcast_if_small
 
-MAX_BROADCAST_ROOTS = 1_000_000
-EDGE_KEY = ["repo_id", "path", "line", "item_pos", "extractor"]
+#: An import row: its file and its place among the file's imports.
+EDGE_KEY = ["repo_id", "path", "rank_in_file"]
 
 
 def package_roots(files: DataFrame) -> DataFrame:
@@ -47,8 +46,7 @@ def python_candidates(imports: DataFrame, roots: DataFrame | None) -> DataFrame:
         "_first", F.try_element_at(parts, F.lit(1)))
     own = F.array(F.concat("_base", F.lit(".py")), F.concat("_base", F.lit("/__init__.py")))
     if roots is not None:
-        r = broadcast_if_small(roots.select("repo_id", F.col("name").alias("_first"),
-                                            "prefixes"), MAX_BROADCAST_ROOTS)
+        r = roots.select("repo_id", F.col("name").alias("_first"), "prefixes")
         df = df.join(r, ["repo_id", "_first"], "left")
         pref = F.filter(F.coalesce("prefixes", F.array().cast("array<string>")),
                         lambda p: p != "")
@@ -92,12 +90,14 @@ def first_hit(with_cands: DataFrame, files: DataFrame, key: list[str] = EDGE_KEY
 
 
 def resolve(raw: DataFrame, files: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """Raw import rows -> edges with ``to_id`` (null when unresolved) and resolution."""
-    py = python_candidates(raw.where(F.col("lang") == "python"), roots)
-    js = js_candidates(raw.where(F.col("lang") == "js"))
-    with_cands = py.unionByName(js)
-    hit = first_hit(with_cands, files)
-    return (with_cands.drop("cands").join(hit, EDGE_KEY, "left")
+    """Raw import rows (a stored table) -> edges with ``to_id`` (null when unresolved) and
+    resolution. The candidates are narrow rows probed by one join; their hits, at most one
+    for an import, are joined back to the import rows."""
+    key = raw.select("repo_id", "path", "rank_in_file", "lang", "level", "module")
+    py = python_candidates(key.where(F.col("lang") == "python"), roots)
+    js = js_candidates(key.where(F.col("lang") == "js"))
+    hit = first_hit(py.unionByName(js), files)
+    return (raw.join(hit, EDGE_KEY, "left")
             .withColumn("resolution", F.when(F.col("to_id").isNotNull(), F.lit("resolved"))
                         .otherwise(F.lit("unresolved"))))
 

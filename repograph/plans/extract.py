@@ -16,6 +16,7 @@ from repograph.operators import history as H
 from repograph.operators import imports as M
 from repograph.operators import inventory as I
 from repograph.operators import resolve as R
+from repograph.session import store
 
 
 class Facts:
@@ -34,21 +35,20 @@ class Facts:
     @cached_property
     def kept(self) -> DataFrame:
         """Kept raw files (with content), before ids."""
-        kept = I.skip_segments(self.raw_files, self.extra_skip)
-        return I.ignore_rules(kept, I.gitignore_rules(self.raw_files))
+        return I.kept_files(self.raw_files, self.extra_skip)
 
     @cached_property
     def inventory(self) -> DataFrame:
-        return I.file_inventory(self.raw_files, self.extra_skip)
+        return I.measured(self.kept)
 
     @cached_property
     def files_all(self) -> DataFrame:
-        """Inventory with positional ids (before any focus)."""
-        return I.file_ids(self.inventory)
+        """Inventory with positional ids (before any focus), stored once."""
+        return store(I.file_ids(self.inventory), "files")
 
     @cached_property
     def module_files_all(self) -> DataFrame:
-        return I.module_files(self.files_all)
+        return store(I.module_files(self.files_all), "module-files")
 
     @cached_property
     def _focused(self):
@@ -97,27 +97,18 @@ class Facts:
 
     @cached_property
     def files_with_signals(self) -> DataFrame:
-        return H.apply_git_signals(self.files, self.churn, self.last_modified)
+        return H.apply_git_signals(self.files, H.git_signals(self.touches))
 
     # ------------------------------------------------------------ imports
-    @cached_property
-    def raw_stmt(self) -> DataFrame:
-        return M.python_imports_stmt(self.contents).unionByName(
-            M.js_imports_stmt(self.contents))
-
-    @cached_property
-    def raw_line(self) -> DataFrame:
-        return M.python_imports_line(self.contents).unionByName(
-            M.js_imports_line(self.contents))
-
     @cached_property
     def roots(self) -> DataFrame:
         return R.package_roots(self.files)
 
     @cached_property
     def merged(self) -> DataFrame:
-        """Statement and line scans merged per file, inside each file's row."""
-        return M.file_imports(self.contents)
+        """Import rows of both scans, merged inside each file's row; stored once, so the text
+        is read a single time whatever is derived from them."""
+        return store(M.file_imports(self.contents), "imports")
 
     @cached_property
     def resolved(self) -> DataFrame:
@@ -126,12 +117,12 @@ class Facts:
     @cached_property
     def edges(self) -> DataFrame:
         """edges(repo_id, edge_id, type, from_id, to_id, file, line, raw, resolution,
-        extractor) plus the parsed module/level/lang."""
-        return M.edge_ids_by_file(self.resolved, self.files).select(
+        extractor) plus the parsed module/level/lang; stored once."""
+        return store(M.edge_ids_by_file(self.resolved, self.files).select(
             "repo_id", "edge_id", F.lit("import").alias("type"),
             F.col("file_id").alias("from_id"), "to_id", F.col("path").alias("file"),
             F.col("line").cast("bigint").alias("line"), "raw", "resolution", "extractor",
-            "module", "level", "lang", "hit_priority")
+            "module", "level", "lang", "hit_priority"), "edges")
 
     # ------------------------------------------------------------ manifests, entrypoints
     @cached_property

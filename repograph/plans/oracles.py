@@ -795,12 +795,14 @@ ents AS (SELECT DISTINCT repo_id, file_id FROM (
            UNION ALL SELECT w.repo_id, w.file_id FROM m_web w
            WHERE NOT EXISTS (SELECT 1 FROM m_entries e WHERE e.repo_id = w.repo_id AND e.file_id = w.file_id))),
 st AS (SELECT DISTINCT repo_id, from_id, to_id FROM d_edges WHERE to_id IS NOT NULL),
-r(repo_id, entry_id, file_id, depth) AS (
+r(repo_id, entry_id, file_id, depth) USING KEY (repo_id, entry_id, file_id) AS (
   SELECT repo_id, file_id, file_id, 0 FROM ents
   UNION
-  SELECT r.repo_id, r.entry_id, s.to_id, r.depth + 1 FROM r JOIN st s ON s.repo_id = r.repo_id AND s.from_id = r.file_id
-  WHERE r.depth < 4)
-SELECT repo_id, entry_id, file_id, CAST(min(depth) AS INTEGER) AS depth FROM r GROUP BY 1, 2, 3
+  SELECT DISTINCT r.repo_id, r.entry_id, s.to_id, r.depth + 1
+  FROM r JOIN st s ON s.repo_id = r.repo_id AND s.from_id = r.file_id
+  WHERE NOT EXISTS (SELECT 1 FROM recurring.r AS x WHERE x.repo_id = r.repo_id
+                    AND x.entry_id = r.entry_id AND x.file_id = s.to_id))
+SELECT repo_id, entry_id, file_id, CAST(depth AS INTEGER) AS depth FROM r
 """
 
 ORACLES["main_guard_entry"] = D_WITH + """

@@ -26,9 +26,20 @@ def query(key: str):
     return deco
 
 
+_FACTS: dict[tuple, Facts] = {}
+
+
+def _facts(spark: SparkSession, kind: str, sf_dir: str, repos, **kw) -> Facts:
+    """One ``Facts`` for each session, corpus and option: queries share its stored tables."""
+    key = (spark.sparkContext.applicationId, kind, sf_dir, *sorted(kw.items()))
+    if key not in _FACTS:
+        d = repos(spark, sf_dir)
+        _FACTS[key] = Facts(d.files, d.commits, **kw)
+    return _FACTS[key]
+
+
 def facts_d(spark: SparkSession, sf_dir: str, **kw) -> Facts:
-    d = C.corpus_d(spark, sf_dir)
-    return Facts(d.files, d.commits, **kw)
+    return _facts(spark, "d", sf_dir, C.corpus_d, **kw)
 
 
 # ------------------------------------------------------------------ history
@@ -210,8 +221,9 @@ def q_merge_edges(spark, sf_dir):
     """Statement edges for files of even part key only; the rest falls back to lines."""
     f = facts_d(spark, sf_dir)
     k = F.regexp_extract("path", r"/m(\d+)\.[a-z]+$", 1).try_cast("bigint")
-    stmt = f.raw_stmt.where(k % 2 == 0)
-    merged = M.merge_edges(stmt, f.raw_line).join(
+    scanned = M.scanned_files(f.contents).withColumn(
+        "s", F.when(k % 2 == 0, F.col("s")).otherwise(F.filter("s", lambda _: F.lit(False))))
+    merged = M.merge_edges(scanned).join(
         f.files.select("repo_id", "path", "file_id"), ["repo_id", "path"])
     return merged.select("repo_id", "file_id", F.col("line").cast("bigint").alias("line"),
                          "raw", "module", "extractor")
@@ -307,8 +319,7 @@ from repograph.operators import report as RP  # noqa: E402
 
 
 def facts_dm(spark: SparkSession, sf_dir: str, **kw) -> Facts:
-    d = C.corpus_dm(spark, sf_dir)
-    return Facts(d.files, d.commits, **kw)
+    return _facts(spark, "dm", sf_dir, C.corpus_dm, **kw)
 
 
 DEP_OUT = ["repo_id", "name", "version", "ecosystem", "manifest"]
@@ -915,7 +926,7 @@ def q_snapshot_diff(spark, sf_dir):
 @query("entry_reachability")
 def q_entry_reachability(spark, sf_dir):
     f = facts_dm(spark, sf_dir)
-    return G.entry_reachability(f.entrypoints, f.edges, max_depth=4).select(
+    return G.entry_reachability(f.entrypoints, f.edges).select(
         "repo_id", "entry_id", "file_id", "depth")
 
 

@@ -37,7 +37,7 @@ def _brute(commits, min_count=2):
     return sorted((a, b, n) for (a, b), n in cnt.items() if n >= min_count)
 
 
-def test_heavy_commit_path_is_exact(spark):
+def test_commits_of_many_blocks_are_exact(spark):
     rnd = random.Random(7)
     files = [f"f{i:03d}" for i in range(40)]
     commits = []
@@ -45,9 +45,9 @@ def test_heavy_commit_path_is_exact(spark):
         size = rnd.choice([1, 2, 3, 3, 4, 12, 25])
         commits.append((f"c{i}", "2020-01-01", rnd.sample(files, size)))
     t = _touches(spark, commits)
-    for heavy in (2, 5, 1000):
-        got = rows(H.cochange_pairs(t, heavy_commit_items=heavy), "a", "b", "co_change_count")
-        assert got == _brute(commits), heavy
+    for block in (2, 5, 1000):
+        got = rows(H.cochange_pairs(t, block_items=block), "a", "b", "co_change_count")
+        assert got == _brute(commits), block
 
 
 def test_commit_log_rows(spark):

@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from conftest import files_df, rows
 from fixtures import JS_APP, PY_APP, PY_SRC_APP
 from repograph.operators import imports as M
@@ -96,13 +98,39 @@ def test_js_statement_scan(spark):
 def test_merge_keeps_statement_edges_and_dedupes_line_edges(spark):
     c = files_df(spark, {"r": {"a.py": "import x, x\n", "b.py": "# nothing\n"}}).selectExpr(
         "repo_id", "path", "content", "concat('f', path) as file_id")
-    stmt = M.python_imports_stmt(c)
-    line = M.python_imports_line(c)
-    assert stmt.count() == 2  # both items of one line kept
-    only_line = M.merge_edges(stmt.where("path = 'zzz'"), line)
+    scanned = M.scanned_files(c)
+    assert M.merge_edges(scanned).count() == 2  # both items of one line kept
+    only_line = M.merge_edges(scanned.withColumn("s", F.filter("s", lambda _: F.lit(False))))
     assert only_line.count() == 1  # same (file, line, raw) signature deduped
 
 
+def test_one_line_block_statements(spark):
+    c = files_df(spark, {"r": {"a.py": "try: import json\nexcept ImportError: import simplejson\n"
+                                       "if True: from os import path; import sys\nx = {'a': 1}\n"}})
+    got = rows(M.python_imports_stmt(c), "line", "module")
+    assert got == [(1, "json"), (2, "simplejson"), (3, "os"), (3, "sys")]
+
+
+def test_very_long_import_lists_keep_their_order(spark):
+    names = ", ".join(f"m{i}" for i in range(1005))
+    files = {"a.py": f"import {names}; import zz\n", "zz.py": "", "m1000.py": "", "m3.py": ""}
+    edges, ids = _edges(spark, files)
+    assert [e[2] for e in edges if e[0] == "a.py" and e[2]] == ["m1000.py", "m3.py", "zz.py"]
+    assert len([e for e in edges if e[0] == "a.py"]) == 1006
+
+
+def test_js_regex_literals_do_not_hide_later_imports(spark):
+    src = ("const r = /[`'\"/*]+/g;\nimport a from './a';\nx.replace(/\\//g, '/');\n"
+           "const h = y / 2 / z;\nexport { b } from './b';\nif (/`/.test(q)) { require('./c'); }\n")
+    c = files_df(spark, {"r": {"m.js": src}})
+    assert rows(M.js_imports_stmt(c), "line", "module") == [(2, "./a"), (5, "./b"), (6, "./c")]
+
+
+def test_line_feed_alone_starts_a_line(spark):
+    c = files_df(spark, {"r": {"a.py": "x = 1\u2028import no\nimport yes\n"}})
+    assert rows(M.python_imports_stmt(c), "line", "module") == [(2, "yes")]
+
+
 def test_js_candidates_order(spark):
     files = files_df(spark, {"r": {"src/a.js": "", "src/b/index.ts": "", "src/b.jsx": "",
                                    "src/c.md": ""}}).selectExpr("repo_id", "path",
@@ -112,9 +140,9 @@ def test_js_candidates_order(spark):
          "heuristic", "./b"), ("r", "x", "src/main.js", 3, 0, "heuristic", "./c.md"),
          ("r", "x", "src/main.js", 4, 0, "heuristic", "lodash"),
          ("r", "x", "src/main.js", 5, 0, "heuristic", "../../../src/a")],
-        "repo_id string, file_id string, path string, line int, item_pos int, extractor string, "
+        "repo_id string, file_id string, path string, line int, rank_in_file int, extractor string, "
         "module string")
-    hit = R.first_hit(R.js_candidates(imp), files)
+    hit = R.first_hit(R.js_candidates(imp), files, ["repo_id", "path", "line"])
     assert rows(hit, "line", "to_id") == [(1, "id:src/a.js"), (2, "id:src/b.jsx"),
                                           (3, "id:src/c.md"), (5, "id:src/a.js")]
 

@@ -33,6 +33,17 @@ def test_ignore_rules_last_match_wins(spark):
         ".gitignore", "keep.log", "main.py", "secret.py", "sub/rootonly.txt"]
 
 
+def test_ignore_classes_and_escapes(spark):
+    rules = "*.py[cod]\n\\#x\n\\!bang\nlog[!0-9].txt\nv[1-3]/\nkept\\ \na**b\ndoc/**/tmp\n"
+    df = files_df(spark, {"r": {".gitignore": rules, "a.pyc": "", "s/b.pyo": "", "a.py": "", "#x": "",
+                                "!bang": "", "loga.txt": "", "log1.txt": "", "v2/f": "", "v4/f": "",
+                                "kept ": "", "kept": "", "doc/tmp": "", "doc/a/b/tmp/z": "", "axyb": ""},
+                          "other": {"a.pyc": ""}})
+    kept = I.ignore_rules(df, I.gitignore_rules(df))
+    assert sorted((r.repo_id, r.path) for r in kept.collect()) == [
+        ("other", "a.pyc"), ("r", ".gitignore"), ("r", "a.py"), ("r", "kept"), ("r", "log1.txt"), ("r", "v4/f")]
+
+
 def test_ids_past_pad_width_and_modules(spark):
     paths = {f"d{i % 3}/f{i:05d}.py": "" for i in range(10_050)}
     paths["top.md"] = "x\n"
