@@ -78,8 +78,12 @@ def tier0_nodes(nodes: DataFrame) -> DataFrame:
     return nodes.where(F.col("tier") == 0)
 
 
-def children_of(node_children: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Child nodes in child-list order; unknown children dropped."""
+def children_of(node_children: DataFrame, nodes: DataFrame, parent_id: str | None = None
+                ) -> DataFrame:
+    """Child nodes of one parent (or of all) with their place ``pos`` in its child list;
+    unknown children dropped."""
+    if parent_id is not None:
+        node_children = node_children.where(F.col("node_id") == parent_id)
     ids = nodes.select("repo_id", "perspective_id", F.col("node_id").alias("child_id")).distinct()
     return node_children.join(ids, ["repo_id", "perspective_id", "child_id"])
 
@@ -103,10 +107,10 @@ def visible_subgraph(nodes: DataFrame, relationships: DataFrame, only_verified:
 
 
 def node_relations(relationships: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Outbound and inbound relationships per node with the other end's label (the id
-    when the other end is not a node)."""
+    """Outbound and inbound relationships per node with the other end's label: that of the
+    last node with the id, or the id itself if that label is empty or there is no node."""
     labels = nodes.groupBy("repo_id", "perspective_id", F.col("node_id").alias("other_id")).agg(
-        F.min("label").alias("other_label"))
+        F.max_by("label", "ord").alias("other_label"))
     out = relationships.select("repo_id", "perspective_id", "ord",
                                F.col("from_id").alias("node_id"), F.col("to_id").alias("other_id"),
                                F.lit("out").alias("direction"))
@@ -114,7 +118,7 @@ def node_relations(relationships: DataFrame, nodes: DataFrame) -> DataFrame:
                                F.col("to_id").alias("node_id"), F.col("from_id").alias("other_id"),
                                F.lit("in").alias("direction"))
     return (out.unionByName(inn).join(labels, ["repo_id", "perspective_id", "other_id"], "left")
-            .withColumn("other_label", F.coalesce("other_label", "other_id")))
+            .withColumn("other_label", F.coalesce(_nonempty(F.col("other_label")), "other_id")))
 
 
 def hover_counts(nodes: DataFrame, node_refs: DataFrame, relationships: DataFrame
@@ -137,15 +141,17 @@ def hover_counts(nodes: DataFrame, node_refs: DataFrame, relationships: DataFram
 
 
 def _ref_paths(node_refs: DataFrame, files: DataFrame, modules: DataFrame,
-               key: list[str]) -> DataFrame:
+               key: list[str], with_ids: bool = False) -> DataFrame:
     """Per key: file paths and module paths in reference order (unknown id shown as
-    itself)."""
+    itself), with the id in brackets on request."""
     fp = files.select("repo_id", F.col("file_id").alias("ref_id"), F.col("path").alias("fpath"))
     mp = modules.select("repo_id", F.col("module_id").alias("ref_id"),
                         F.col("path").alias("mpath")).distinct()
     r = (node_refs.join(fp, ["repo_id", "ref_id"], "left").join(mp, ["repo_id", "ref_id"], "left")
          .withColumn("shown", F.when(F.col("ref_kind") == "file", F.coalesce("fpath", "ref_id"))
                      .otherwise(F.coalesce("mpath", "ref_id"))))
+    if with_ids:
+        r = r.withColumn("shown", F.concat("shown", F.lit(" ("), "ref_id", F.lit(")")))
     pos = F.struct(F.col("ref_pos"), F.col("shown"))
 
     def ordered(kind):
@@ -167,40 +173,49 @@ def _nonempty(c) -> F.Column:
     return F.when(c != "", c)
 
 
+def _confidence() -> F.Column:
+    mark = F.when(F.coalesce("interpretation", F.lit(False)), F.lit(" (interpretation)"))
+    return F.concat(F.lit("Confidence: "), "confidence", F.coalesce(mark, F.lit("")))
+
+
 def node_context(perspectives: DataFrame, nodes: DataFrame, node_refs: DataFrame,
-                 rel_edge_refs: DataFrame, files: DataFrame, modules: DataFrame) -> DataFrame:
-    """One text block per node: perspective, label, description, modules, files, the
-    fact edges of its relationship, confidence; empty lines dropped."""
-    prov = node_provenance(node_refs, files, modules)
-    edges = rel_edge_refs.groupBy("repo_id", "perspective_id", "ord").agg(
-        F.array_sort(F.collect_list("edge_id")).alias("edge_ids"))
+                 relationships: DataFrame, rel_edge_refs: DataFrame, files: DataFrame,
+                 modules: DataFrame) -> DataFrame:
+    """One text block per node: repository, perspective, label, description, modules and
+    files with their ids, the fact edges of all relationships that leave the node and then of
+    those that enter it, confidence; empty lines dropped."""
+    prov = _ref_paths(node_refs, files, modules, ["repo_id", "perspective_id", "ord", "node_id"], True)
+    ends = relationships.select("repo_id", "perspective_id", F.col("ord").alias("rel"), F.posexplode(
+        F.array("from_id", "to_id")).alias("side", "node_id"))
+    met = ends.join(rel_edge_refs.withColumnRenamed("ord", "rel"), ["repo_id", "perspective_id", "rel"])
+    edges = met.groupBy("repo_id", "perspective_id", "node_id").agg(F.transform(
+        F.array_sort(F.collect_list(F.struct("side", "rel", "ref_pos", "edge_id"))),
+        lambda x: x["edge_id"]).alias("edge_ids"))
     p = perspectives.select("repo_id", "perspective_id", F.col("name").alias("pname")).distinct()
     j = (nodes.join(p, ["repo_id", "perspective_id"], "left")
          .join(prov, ["repo_id", "perspective_id", "ord", "node_id"], "left")
-         .join(edges, ["repo_id", "perspective_id", "ord"], "left"))
+         .join(edges, ["repo_id", "perspective_id", "node_id"], "left"))
     empty = F.array().cast("array<string>")
     text = F.concat_ws(
-        "\n", F.concat(F.lit("Perspective: "), "pname"), F.concat(F.lit("Node: "), "label"),
-        _nonempty(F.col("description")),
+        "\n", F.concat(F.lit("Repository: "), "repo_id"), F.concat(F.lit("Perspective: "), "pname"),
+        F.concat(F.lit("Node: "), "label"), _nonempty(F.col("description")),
         _line("Modules: ", F.coalesce("module_paths", empty)),
         _line("Files: ", F.coalesce("file_paths", empty)),
-        _line("Edges: ", F.coalesce("edge_ids", empty)),
-        F.concat(F.lit("Confidence: "), "confidence"))
+        _line("Edges: ", F.coalesce("edge_ids", empty)), _confidence())
     return j.select("repo_id", "perspective_id", "ord", "node_id", text.alias("context"))
 
 
 def brief_context(brief_claims: DataFrame, brief_refs: DataFrame, files: DataFrame,
                   modules: DataFrame) -> DataFrame:
-    refs = brief_refs.withColumn("ref_pos", F.lit(0).cast("bigint"))
-    prov = _ref_paths(refs, files, modules, ["repo_id", "brief_id", "ord"])
+    """One text block per claim, its modules and files in reference order with their ids."""
+    prov = _ref_paths(brief_refs, files, modules, ["repo_id", "brief_id", "ord"], True)
     j = brief_claims.join(prov, ["repo_id", "brief_id", "ord"], "left")
     empty = F.array().cast("array<string>")
     text = F.concat_ws(
-        "\n", F.concat(F.lit("Brief: "), "brief_id"), F.concat(F.lit("Claim: "), "claim_kind"),
+        "\n", F.concat(F.lit("Repository: "), "repo_id"), F.concat(F.lit("Claim: "), "claim_kind"),
         _nonempty(F.col("text")),
         _line("Modules: ", F.coalesce("module_paths", empty)),
-        _line("Files: ", F.coalesce("file_paths", empty)),
-        F.concat(F.lit("Confidence: "), "confidence"))
+        _line("Files: ", F.coalesce("file_paths", empty)), _confidence())
     return j.select("repo_id", "brief_id", "ord", text.alias("context"))
 
 
@@ -258,7 +273,7 @@ def code_budget(sized: DataFrame, total_cap: int) -> DataFrame:
 
 
 def code_payload(node_refs: DataFrame, files: DataFrame, contents: DataFrame,
-                 per_file_cap: int = 200_000, total_cap: int = 5_000_000) -> DataFrame:
+                 per_file_cap: int, total_cap: int) -> DataFrame:
     """Referenced and known files with content: ``truncated`` at ``per_file_cap`` bytes
     on a character boundary, ``missing`` when the content is absent, ``dropped`` by the
     total budget (then content is empty). Unknown ids are skipped."""

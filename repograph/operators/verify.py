@@ -219,10 +219,11 @@ def capability_refs(claims: DataFrame, perspectives: DataFrame, nodes: DataFrame
         _v(bad_n, "error", "capability-ref", "brief_id", "label", "node_ref")])
 
 
-def techstack_refs(tech: DataFrame, deps: DataFrame) -> DataFrame:
+def techstack_refs(tech: DataFrame, deps: DataFrame, scope: str = "repo_id") -> DataFrame:
+    """Each tech-stack entry must name an external dependency of its repository."""
     bad = tech.join(deps.select("repo_id", F.col("name").alias("fact_ref")).distinct(),
                     ["repo_id", "fact_ref"], "left_anti")
-    return _v(bad, "error", "techstack-ref", "repo_id", "tech_name", "fact_ref")
+    return _v(bad, "error", "techstack-ref", scope, "tech_name", "fact_ref")
 
 
 def headline_warning(briefs: DataFrame) -> DataFrame:

@@ -380,7 +380,8 @@ def _build_n(spark: SparkSession, sf_dir: str) -> Narrative:
     pid = F.col("o_orderpriority").alias("perspective_id")
     nodes = o.select(repo, pid, F.col("o_orderkey").alias("ord"),
                      F.concat(F.lit("n"), c).alias("node_id"), (c % 3).cast("int").alias("tier"),
-                     F.concat(F.lit("Customer "), c).alias("label"),
+                     F.when(F.col("o_orderkey") % 11 == 0, F.lit("")).otherwise(F.concat(
+                         F.lit("Customer "), c, F.lit("/"), F.col("o_orderkey") % 3)).alias("label"),
                      F.when(c % 7 == 0, F.lit("")).otherwise(
                          F.concat(F.lit("Order "), "o_orderkey")).alias("description"),
                      _conf(c).alias("confidence"), (c % 2 == 0).alias("interpretation"))
@@ -397,29 +398,29 @@ def _build_n(spark: SparkSession, sf_dir: str) -> Narrative:
                              F.concat(F.lit("n"), c).alias("node_id"),
                              F.lit("file").alias("ref_kind"),
                              F.format_string("f%04d", "l_partkey").alias("ref_id"),
-                             (F.col("l_linenumber") * 10_000_000 + F.col("l_partkey"))
-                             .alias("ref_pos"))
+                             F.row_number().over(Window.partitionBy("o_orderkey").orderBy(
+                                 "l_linenumber", "l_partkey")).cast("bigint").alias("ref_pos"))
     mod_refs = (lines.where(F.col("o_orderkey") % 10 == 0).join(ptype, "l_partkey")
                 .select(repo, pid, F.col("o_orderkey").alias("ord"),
                         F.concat(F.lit("n"), c).alias("node_id"), F.lit("module").alias("ref_kind"),
                         F.col("pkg").alias("ref_id")).distinct()
                 .withColumn("ref_pos", F.lit(0).cast("bigint")))
     node_refs = file_refs.unionByName(mod_refs)
-    relationships = o.select(repo, pid, F.col("o_orderkey").alias("ord"),
+    rel_ord = (F.col("o_orderkey") * 2 + 1).alias("ord")      # unlike any node's position
+    relationships = o.select(repo, pid, rel_ord,
                              F.concat(F.lit("n"), c).alias("from_id"),
                              F.concat(F.lit("n"), c + 1).alias("to_id"),
                              F.lit("next").alias("label"), _conf(c).alias("confidence"))
     rel_edge_refs = o.where(F.col("o_orderkey") % 17 != 0).select(
-        repo, pid, F.col("o_orderkey").alias("ord"),
+        repo, pid, rel_ord, F.lit(0).alias("ref_pos"),
         F.concat(F.lit("e"), "o_orderkey").alias("edge_id"))
     heads = o.where(c % 5 != 0).select(repo, pid, c).distinct()
     node_children = heads.select(
         "repo_id", "perspective_id", F.concat(F.lit("n"), c).alias("node_id"),
         F.posexplode(F.array(F.concat(F.lit("n"), c + 1), F.concat(F.lit("n"), c + 2)))
         .alias("pos", "child_id"))
-    # N-brief: per customer, its row with the smallest order key.
-    first = o.groupBy("o_custkey").agg(F.min("o_orderkey").alias("o_orderkey"))
-    fo = first.join(o.drop("o_custkey"), "o_orderkey")
+    # N-brief: every order is a claim.
+    fo = o
     where = F.element_at(F.array(*[F.lit(x) for x in
                                    ["problem", "solution", "audience", "capability"]]),
                          (c % 4 + 1).cast("int"))
@@ -436,7 +437,7 @@ def _build_n(spark: SparkSession, sf_dir: str) -> Narrative:
         F.when(is_cap, F.concat(F.lit("n"), c + 1)).alias("node_ref"))
     brief_refs = (node_refs.join(fo.select(F.col("o_orderkey").alias("ord"),
                                            F.col("o_orderpriority").alias("brief_id")), "ord")
-                  .select("repo_id", "brief_id", "ord", "ref_kind", "ref_id"))
+                  .select("repo_id", "brief_id", "ord", "ref_kind", "ref_id", "ref_pos"))
     briefs = prio.select(repo, F.col("o_orderpriority").alias("brief_id"),
                          F.when(F.col("o_orderpriority") == "5-LOW", F.lit("")).otherwise(
                              F.concat(F.lit("Brief "), "o_orderpriority")).alias("headline"))
@@ -449,13 +450,18 @@ def _build_n(spark: SparkSession, sf_dir: str) -> Narrative:
                      node_children, brief_claims, brief_refs, briefs, narratives)
 
 
-def n_documents(spark: SparkSession, sf_dir: str, buckets: int = 10) -> DataFrame:
-    """N serialized as narrative JSON documents, one per (priority, customer bucket):
-    v1 shape for 5-LOW, v2 (one perspective) otherwise. Each document is a bounded
-    slice; nothing is gathered per repository."""
+#: Customers whose orders share a narrative document: documents grow in number, not in size.
+DOC_CUSTOMERS = 40
+
+
+def n_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """N serialized as narrative JSON documents, one per (priority, block of customers):
+    v1 shape for 5-LOW, v2 (one perspective, a business brief) otherwise. Each document is
+    a bounded slice; nothing is gathered per repository."""
     n = corpus_n(spark, sf_dir)
     c = F.regexp_extract("node_id", r"^n(\d+)$", 1).cast("bigint")
-    doc = F.concat("perspective_id", F.lit("#"), (c % buckets).cast("string"))
+    block = lambda k: F.floor(k / DOC_CUSTOMERS).cast("string")
+    doc = F.concat("perspective_id", F.lit("#"), block(c))
     refs = n.node_refs.groupBy("perspective_id", "ord").agg(
         F.transform(F.array_sort(F.collect_list(F.when(F.col("ref_kind") == "file", F.struct(
             "ref_pos", "ref_id")))), lambda x: x["ref_id"]).alias("fileIds"),
@@ -478,7 +484,7 @@ def n_documents(spark: SparkSession, sf_dir: str, buckets: int = 10) -> DataFram
     c2 = F.regexp_extract("from_id", r"^n(\d+)$", 1).cast("bigint")
     rel = (n.relationships.join(erefs, ["perspective_id", "ord"], "left")
            .select("perspective_id", F.concat("perspective_id", F.lit("#"),
-                                              (c2 % buckets).cast("string")).alias("doc_id"),
+                                              block(c2)).alias("doc_id"),
                    "ord", F.struct(F.col("from_id").alias("from"), F.col("to_id").alias("to"),
                                    "label", F.coalesce("factEdgeIds", empty).alias("factEdgeIds"),
                                    "confidence").alias("rel")))
@@ -488,8 +494,27 @@ def n_documents(spark: SparkSession, sf_dir: str, buckets: int = 10) -> DataFram
     rels_d = rel.groupBy("doc_id", "perspective_id").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("ord", "rel"))),
                     lambda x: x["rel"]).alias("relationships"))
+    c3 = F.regexp_extract("label", r"^cap-(\d+)$", 1).cast("bigint")
+    claim = (n.brief_claims.withColumnRenamed("brief_id", "perspective_id")
+             .join(refs, ["perspective_id", "ord"], "left")
+             .select("perspective_id", F.concat("perspective_id", F.lit("#"), block(c3)).alias("doc_id"),
+                     "claim_kind", "ord", F.struct(
+                         F.when(F.col("claim_kind") == "capability", F.col("label")).alias("label"), "text",
+                         F.struct(F.coalesce("moduleIds", empty).alias("moduleIds"),
+                                  F.coalesce("fileIds", empty).alias("fileIds")).alias("factRefs"),
+                         "confidence", "interpretation", F.col("perspective_ref").alias("perspectiveRef"),
+                         F.col("node_ref").alias("nodeRef")).alias("claim")))
+    of_kind = lambda k: F.when(F.col("claim_kind") == k, F.struct("ord", "claim"))
+    briefs_d = claim.groupBy("doc_id", "perspective_id").agg(F.struct(
+        F.concat(F.lit("Brief "), F.first("perspective_id")).alias("headline"),
+        *[F.min(of_kind(k))["claim"].alias(k) for k in ("problem", "solution", "audience")],
+        F.transform(F.array_sort(F.collect_list(of_kind("capability"))), lambda x: x["claim"])
+        .alias("capabilities"),
+        F.array(F.struct(F.lit("Flask").alias("name"), F.lit("web").alias("role"),
+                         F.lit("flask").alias("factRef"))).alias("techStack")).alias("brief"))
     p = n.perspectives.select("perspective_id", "name", "kind", "description")
-    d = nodes_d.join(rels_d, ["doc_id", "perspective_id"], "full").join(p, "perspective_id")
+    d = (nodes_d.join(rels_d, ["doc_id", "perspective_id"], "full")
+         .join(briefs_d, ["doc_id", "perspective_id"], "left").join(p, "perspective_id"))
     tiers = F.array(F.struct(F.lit(0).alias("level"), F.lit("Top").alias("name")))
     nodes_c = F.coalesce("nodes", F.array().cast(d.schema["nodes"].dataType))
     rels_c = F.coalesce("relationships", F.array().cast(d.schema["relationships"].dataType))
@@ -498,7 +523,7 @@ def n_documents(spark: SparkSession, sf_dir: str, buckets: int = 10) -> DataFram
         F.array(F.struct(F.col("perspective_id").alias("id"), "name", "kind", "description",
                          tiers.alias("tiers"), nodes_c.alias("nodes"),
                          rels_c.alias("relationships"))).alias("perspectives"),
-        empty.alias("openQuestions")))
+        F.col("brief").alias("businessBrief"), F.array(F.lit("Why?")).alias("openQuestions")))
     v1 = F.to_json(F.struct(
         F.lit("1.0").alias("schemaVersion"), F.lit("head0").alias("basedOnFactsCommit"),
         tiers.alias("tiers"), nodes_c.alias("nodes"), rels_c.alias("relationships"),

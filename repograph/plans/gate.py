@@ -48,8 +48,19 @@ def run_gate(facts: Facts, docs: DataFrame, present_paths: DataFrame | None = No
               V.orphan_file_refs(refs, files), V.orphan_module_refs(refs, modules),
               V.orphan_edge_refs(rrefs, facts.edges), V.relationship_endpoints(rels, nodes),
               V.empty_grounding(nodes, refs)]
+    # the business brief: its scope is the document
+    def of_doc(df: DataFrame) -> DataFrame:
+        return df.join(owner, "doc_id").withColumnRenamed("doc_id", "brief_id")
+
+    claims = of_doc(t.brief_claims).withColumn("perspective_ref", F.when(
+        F.col("perspective_ref").isNotNull(), F.concat_ws(SEP, "brief_id", "perspective_ref")))
+    brefs = of_doc(t.brief_refs)
+    checks += [V.headline_warning(of_doc(t.briefs)), V.brief_grounding(claims, brefs),
+               V.brief_orphan_refs(brefs, files, modules), V.capability_refs(claims, persp, nodes),
+               V.techstack_refs(of_doc(t.tech_stack), facts.deps, scope="brief_id")]
     if present_paths is not None:
-        checks.append(V.file_existence(refs, files, present_paths))
+        checks += [V.file_existence(refs, files, present_paths),
+                   V.brief_file_existence(brefs, files, present_paths)]
     if head_commits is not None:
         narr = t.documents.join(owner, "doc_id").select(
             "repo_id", F.col("doc_id").alias("narrative_id"), "based_on_facts_commit")

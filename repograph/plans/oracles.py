@@ -386,7 +386,8 @@ n_edges AS (SELECT 'repo0' AS repo_id, 'e' || o_orderkey AS edge_id,
 n_present AS (SELECT 'repo0' AS repo_id, path FROM d_parts WHERE partkey % 3 <> 0),
 n_nodes AS (
   SELECT 'repo0' AS repo_id, o_orderpriority AS perspective_id, o_orderkey AS ord, 'n' || o_custkey AS node_id,
-         CAST(o_custkey % 3 AS INTEGER) AS tier, 'Customer ' || o_custkey AS label,
+         CAST(o_custkey % 3 AS INTEGER) AS tier,
+         CASE WHEN o_orderkey % 11 = 0 THEN '' ELSE 'Customer ' || o_custkey || '/' || (o_orderkey % 3) END AS label,
          CASE WHEN o_custkey % 7 = 0 THEN '' ELSE 'Order ' || o_orderkey END AS description,
          CASE o_custkey % 3 WHEN 0 THEN 'low' WHEN 1 THEN 'medium' ELSE 'high' END AS confidence,
          o_custkey % 2 = 0 AS interpretation, o_custkey AS c
@@ -400,11 +401,11 @@ n_refs AS (
          CAST(NULL AS INTEGER), CAST(NULL AS BIGINT)
   FROM lineitem l JOIN orders o ON o.o_orderkey = l.l_orderkey JOIN d_parts p ON p.partkey = l.l_partkey
   WHERE o.o_orderkey % 10 = 0),
-n_rels AS (SELECT 'repo0' AS repo_id, o_orderpriority AS perspective_id, o_orderkey AS ord,
+n_rels AS (SELECT 'repo0' AS repo_id, o_orderpriority AS perspective_id, 2 * o_orderkey + 1 AS ord,
                   'n' || o_custkey AS from_id, 'n' || (o_custkey + 1) AS to_id, o_custkey AS c,
                   CASE o_custkey % 3 WHEN 0 THEN 'low' WHEN 1 THEN 'medium' ELSE 'high' END AS confidence
            FROM orders),
-n_relrefs AS (SELECT 'repo0' AS repo_id, o_orderpriority AS perspective_id, o_orderkey AS ord,
+n_relrefs AS (SELECT 'repo0' AS repo_id, o_orderpriority AS perspective_id, 2 * o_orderkey + 1 AS ord,
                      'e' || o_orderkey AS edge_id FROM orders WHERE o_orderkey % 17 <> 0),
 n_heads AS (SELECT DISTINCT 'repo0' AS repo_id, o_orderpriority AS perspective_id, o_custkey AS c
             FROM orders WHERE o_custkey % 5 <> 0),
@@ -412,7 +413,7 @@ n_children AS (
   SELECT repo_id, perspective_id, 'n' || c AS node_id, 0 AS pos, 'n' || (c + 1) AS child_id FROM n_heads
   UNION ALL SELECT repo_id, perspective_id, 'n' || c, 1, 'n' || (c + 2) FROM n_heads),
 n_persp AS (SELECT DISTINCT 'repo0' AS repo_id, o_orderpriority AS perspective_id FROM orders),
-n_first AS (SELECT o_custkey AS c, min(o_orderkey) AS ord FROM orders GROUP BY 1),
+n_first AS (SELECT o_custkey AS c, o_orderkey AS ord FROM orders),
 n_claims AS (
   SELECT 'repo0' AS repo_id, o.o_orderpriority AS brief_id,
          CASE f.c % 4 WHEN 0 THEN 'problem' WHEN 1 THEN 'solution' WHEN 2 THEN 'audience' ELSE 'capability' END
@@ -424,7 +425,7 @@ n_claims AS (
                                           ELSE o.o_orderpriority END) END AS perspective_ref,
          CASE WHEN f.c % 4 = 3 THEN 'n' || (f.c + 1) END AS node_ref
   FROM n_first f JOIN orders o ON o.o_orderkey = f.ord),
-n_brefs AS (SELECT r.repo_id, c.brief_id, r.ord, r.ref_kind, r.ref_id FROM n_refs r JOIN n_claims c ON c.ord = r.ord),
+n_brefs AS (SELECT r.repo_id, c.brief_id, r.ord, r.ref_kind, r.ref_id, r.lno, r.lpk FROM n_refs r JOIN n_claims c ON c.ord = r.ord),
 n_briefs AS (SELECT repo_id, perspective_id AS brief_id,
                     CASE WHEN perspective_id = '5-LOW' THEN '' ELSE 'Brief ' || perspective_id END AS headline
              FROM n_persp),
@@ -597,13 +598,15 @@ WHERE EXISTS (SELECT 1 FROM n_nodes n WHERE n.perspective_id = c.perspective_id
 """
 ORACLES["verified_only"] = DN + f"\nSELECT {_NKEY} FROM n_nodes WHERE NOT (interpretation OR confidence = 'low')"
 ORACLES["visible_subgraph"] = DN + """,
-vis AS (SELECT DISTINCT perspective_id, node_id FROM n_nodes)
-SELECT r.repo_id, r.perspective_id, r.ord, r.from_id, r.to_id FROM n_rels r
+vis AS (SELECT * FROM n_nodes WHERE NOT (interpretation OR confidence = 'low'))
+SELECT repo_id, perspective_id, 'node' AS kind, ord, node_id AS from_id, CAST(NULL AS VARCHAR) AS to_id FROM vis
+UNION ALL
+SELECT r.repo_id, r.perspective_id, 'relationship', r.ord, r.from_id, r.to_id FROM n_rels r
 WHERE EXISTS (SELECT 1 FROM vis v WHERE v.perspective_id = r.perspective_id AND v.node_id = r.from_id)
   AND EXISTS (SELECT 1 FROM vis v WHERE v.perspective_id = r.perspective_id AND v.node_id = r.to_id)
 """
 ORACLES["node_relations"] = DN + """,
-lab AS (SELECT perspective_id, node_id, min(label) AS label FROM n_nodes GROUP BY 1, 2),
+lab AS (SELECT perspective_id, node_id, nullif(arg_max(label, ord), '') AS label FROM n_nodes GROUP BY 1, 2),
 ends AS (SELECT repo_id, perspective_id, ord, from_id AS node_id, 'out' AS direction, to_id AS other_id FROM n_rels
          UNION ALL SELECT repo_id, perspective_id, ord, to_id, 'in', from_id FROM n_rels)
 SELECT e.repo_id, e.perspective_id, e.ord, e.node_id, e.direction, e.other_id,
@@ -618,40 +621,47 @@ shown AS (
   FROM n_refs r LEFT JOIN n_files f ON r.ref_kind = 'file' AND f.file_id = r.ref_id
   LEFT JOIN n_modpaths m ON r.ref_kind = 'module' AND m.module_id = r.ref_id)
 SELECT repo_id, perspective_id, ord, node_id,
-       coalesce(string_agg(shown, '|' ORDER BY lno * 10000000 + lpk, shown) FILTER (WHERE ref_kind = 'file'), '') AS file_paths,
+       coalesce(string_agg(shown, '|' ORDER BY lno, lpk, shown) FILTER (WHERE ref_kind = 'file'), '') AS file_paths,
        coalesce(string_agg(shown, '|' ORDER BY shown) FILTER (WHERE ref_kind = 'module'), '') AS module_paths
 FROM shown GROUP BY 1, 2, 3, 4
 """
-ORACLES["node_context"] = DN + ",\n" + _NMOD + """,
+def _shown(refs: str) -> str:
+    """References with path and id in brackets, an unknown id as its own path."""
+    return f"""
 shown AS (
-  SELECT r.*, CASE WHEN r.ref_kind = 'file' THEN coalesce(f.path, r.ref_id) ELSE coalesce(m.path, r.ref_id) END AS shown
-  FROM n_refs r LEFT JOIN n_files f ON r.ref_kind = 'file' AND f.file_id = r.ref_id
-  LEFT JOIN n_modpaths m ON r.ref_kind = 'module' AND m.module_id = r.ref_id),
+  SELECT r.*, CASE WHEN r.ref_kind = 'file' THEN coalesce(f.path, r.ref_id) ELSE coalesce(m.path, r.ref_id) END
+              || ' (' || r.ref_id || ')' AS shown
+  FROM {refs} r LEFT JOIN n_files f ON r.ref_kind = 'file' AND f.file_id = r.ref_id
+  LEFT JOIN n_modpaths m ON r.ref_kind = 'module' AND m.module_id = r.ref_id),"""
+
+
+_CONFIDENCE = "'Confidence: ' || {0}.confidence || CASE WHEN {0}.interpretation THEN ' (interpretation)' ELSE '' END"
+ORACLES["node_context"] = DN + ",\n" + _NMOD + "," + _shown("n_refs") + """
 prov AS (
   SELECT perspective_id, ord,
-         string_agg(shown, ', ' ORDER BY lno * 10000000 + lpk, shown) FILTER (WHERE ref_kind = 'file') AS fp,
+         string_agg(shown, ', ' ORDER BY lno, lpk, shown) FILTER (WHERE ref_kind = 'file') AS fp,
          string_agg(shown, ', ' ORDER BY shown) FILTER (WHERE ref_kind = 'module') AS mp
   FROM shown GROUP BY 1, 2),
-ed AS (SELECT perspective_id, ord, string_agg(edge_id, ', ' ORDER BY edge_id) AS e FROM n_relrefs GROUP BY 1, 2)
+ends AS (SELECT perspective_id, ord, from_id AS node_id, 0 AS side FROM n_rels
+         UNION ALL SELECT perspective_id, ord, to_id, 1 FROM n_rels),
+ed AS (SELECT e.perspective_id, e.node_id, string_agg(x.edge_id, ', ' ORDER BY e.side, e.ord, x.edge_id) AS e
+       FROM ends e JOIN n_relrefs x ON x.perspective_id = e.perspective_id AND x.ord = e.ord GROUP BY 1, 2)
 SELECT n.repo_id, n.perspective_id, n.ord, n.node_id,
-       concat_ws(chr(10), 'Perspective: ' || n.perspective_id, 'Node: ' || n.label, nullif(n.description, ''),
-                 'Modules: ' || p.mp, 'Files: ' || p.fp, 'Edges: ' || ed.e, 'Confidence: ' || n.confidence) AS context
+       concat_ws(chr(10), 'Repository: ' || n.repo_id, 'Perspective: ' || n.perspective_id, 'Node: ' || n.label,
+                 nullif(n.description, ''), 'Modules: ' || p.mp, 'Files: ' || p.fp, 'Edges: ' || ed.e,
+                 """ + _CONFIDENCE.format("n") + """) AS context
 FROM n_nodes n LEFT JOIN prov p ON p.perspective_id = n.perspective_id AND p.ord = n.ord
-LEFT JOIN ed ON ed.perspective_id = n.perspective_id AND ed.ord = n.ord
+LEFT JOIN ed ON ed.perspective_id = n.perspective_id AND ed.node_id = n.node_id
 """
-ORACLES["brief_context"] = DN + ",\n" + _NMOD + """,
-shown AS (
-  SELECT b.*, CASE WHEN b.ref_kind = 'file' THEN coalesce(f.path, b.ref_id) ELSE coalesce(m.path, b.ref_id) END AS shown
-  FROM n_brefs b LEFT JOIN n_files f ON b.ref_kind = 'file' AND f.file_id = b.ref_id
-  LEFT JOIN n_modpaths m ON b.ref_kind = 'module' AND m.module_id = b.ref_id),
+ORACLES["brief_context"] = DN + ",\n" + _NMOD + "," + _shown("n_brefs") + """
 prov AS (
   SELECT brief_id, ord,
-         string_agg(shown, ', ' ORDER BY shown) FILTER (WHERE ref_kind = 'file') AS fp,
+         string_agg(shown, ', ' ORDER BY lno, lpk, shown) FILTER (WHERE ref_kind = 'file') AS fp,
          string_agg(shown, ', ' ORDER BY shown) FILTER (WHERE ref_kind = 'module') AS mp
   FROM shown GROUP BY 1, 2)
 SELECT c.repo_id, c.brief_id, c.ord,
-       concat_ws(chr(10), 'Brief: ' || c.brief_id, 'Claim: ' || c.claim_kind, nullif(c.text, ''),
-                 'Modules: ' || p.mp, 'Files: ' || p.fp, 'Confidence: ' || c.confidence) AS context
+       concat_ws(chr(10), 'Repository: ' || c.repo_id, 'Claim: ' || c.claim_kind, nullif(c.text, ''),
+                 'Modules: ' || p.mp, 'Files: ' || p.fp, """ + _CONFIDENCE.format("c") + """) AS context
 FROM n_claims c LEFT JOIN prov p ON p.brief_id = c.brief_id AND p.ord = c.ord
 """
 ORACLES["coverage_banner"] = D_IMP + f""",
@@ -693,22 +703,40 @@ ORACLES["commit_log_rows"] = D_WITH + """
 SELECT repo_id, 'c' || commit_id AS commit_hash, seq, committed_at, path FROM d_touch
 """
 _DOCS = DN + """,
-nd AS (SELECT perspective_id, ord, node_id, c, perspective_id || '#' || (c % 10) AS doc_id FROM n_nodes),
+nd AS (SELECT perspective_id, ord, node_id, c, perspective_id || '#' || (c // 40) AS doc_id FROM n_nodes),
 pid AS (SELECT DISTINCT doc_id, perspective_id AS p FROM nd
-        UNION SELECT DISTINCT perspective_id || '#' || (c % 10), perspective_id FROM n_rels)
-"""
-ORACLES["read_narrative"] = _DOCS + """
-SELECT d.doc_id, CASE WHEN d.p = '5-LOW' THEN 'default' ELSE d.p END AS perspective_id,
-  (SELECT count(*) FROM nd WHERE nd.doc_id = d.doc_id) AS n_nodes,
-  (SELECT count(*) FROM n_refs r JOIN nd ON nd.perspective_id = r.perspective_id AND nd.ord = r.ord
-   WHERE nd.doc_id = d.doc_id AND r.ref_kind = 'file') AS n_file_refs,
-  (SELECT count(*) FROM n_refs r JOIN nd ON nd.perspective_id = r.perspective_id AND nd.ord = r.ord
-   WHERE nd.doc_id = d.doc_id AND r.ref_kind = 'module') AS n_module_refs,
-  (SELECT 2 * count(*) FROM nd WHERE nd.doc_id = d.doc_id AND nd.c % 5 <> 0) AS n_children,
-  (SELECT count(*) FROM n_rels r WHERE r.perspective_id || '#' || (r.c % 10) = d.doc_id) AS n_relationships,
-  (SELECT count(*) FROM n_rels r JOIN n_relrefs x ON x.perspective_id = r.perspective_id AND x.ord = r.ord
-   WHERE r.perspective_id || '#' || (r.c % 10) = d.doc_id) AS n_edge_refs
-FROM pid d
+        UNION SELECT DISTINCT perspective_id || '#' || (c // 40), perspective_id FROM n_rels)
+"""
+ORACLES["read_narrative"] = _DOCS + """,
+pos AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ord) - 1 AS npos
+        FROM (SELECT n.*, n.perspective_id || '#' || (n.c // 40) AS doc_id FROM n_nodes n)),
+rpos AS (SELECT *, perspective_id || '#' || (c // 40) AS doc_id,
+                row_number() OVER (PARTITION BY perspective_id, c // 40 ORDER BY ord) - 1 AS npos FROM n_rels),
+refs AS (SELECT *, row_number() OVER (PARTITION BY perspective_id, ord, ref_kind ORDER BY lno, lpk, ref_id) - 1 AS rp
+         FROM n_refs),
+cl0 AS (SELECT c.*, c.brief_id || '#' || (CAST(substr(c.label, 5) AS BIGINT) // 40) AS doc_id FROM n_claims c
+        WHERE c.brief_id <> '5-LOW'),
+cl AS (SELECT *, CASE claim_kind WHEN 'problem' THEN 0 WHEN 'solution' THEN 1 WHEN 'audience' THEN 2
+                 ELSE 2 + row_number() OVER (PARTITION BY doc_id, claim_kind ORDER BY ord) END AS cpos
+       FROM cl0 QUALIFY claim_kind = 'capability' OR row_number() OVER (PARTITION BY doc_id, claim_kind ORDER BY ord) = 1)
+SELECT doc_id, 'node' AS kind, npos AS ord, CAST(0 AS BIGINT) AS pos,
+       concat_ws('|', node_id, label, description, tier, confidence, interpretation) AS value FROM pos
+UNION ALL SELECT p.doc_id, r.ref_kind || '_ref', p.npos, r.rp, r.ref_id
+FROM pos p JOIN refs r ON r.perspective_id = p.perspective_id AND r.ord = p.ord
+UNION ALL SELECT p.doc_id, 'child', 0, c.pos, concat_ws('|', c.node_id, c.child_id)
+FROM pos p JOIN n_children c ON c.perspective_id = p.perspective_id AND c.node_id = p.node_id
+UNION ALL SELECT doc_id, 'relationship', npos, 0, concat_ws('|', from_id, to_id, confidence) FROM rpos
+UNION ALL SELECT p.doc_id, 'edge_ref', p.npos, 0, x.edge_id
+FROM rpos p JOIN n_relrefs x ON x.perspective_id = p.perspective_id AND x.ord = p.ord
+UNION ALL SELECT doc_id, 'tier', 0, 0, '0|Top' FROM pid
+UNION ALL SELECT doc_id, 'question', 0, 0, 'Why?' FROM pid WHERE p <> '5-LOW'
+UNION ALL SELECT DISTINCT doc_id, 'brief', 0, 0, 'Brief ' || brief_id FROM cl
+UNION ALL SELECT DISTINCT doc_id, 'tech', 0, 0, 'Flask|web|flask' FROM cl
+UNION ALL SELECT doc_id, claim_kind, cpos, 0,
+  concat_ws('|', CASE WHEN claim_kind = 'capability' THEN label ELSE '' END, text, confidence, interpretation,
+            coalesce(perspective_ref, ''), coalesce(node_ref, '')) FROM cl
+UNION ALL SELECT c.doc_id, 'claim_' || r.ref_kind || '_ref', c.cpos, r.rp, r.ref_id
+FROM cl c JOIN refs r ON r.perspective_id = c.brief_id AND r.ord = c.ord
 """
 ORACLES["normalize_perspectives"] = _DOCS + """
 SELECT d.doc_id, CAST(0 AS BIGINT) AS ord,
@@ -768,13 +796,12 @@ UNION ALL SELECT 'documents', NULL, 'bad#both', 'one-of-shape'
 ORACLES["stream_churn"] = """
 WITH b AS (SELECT user_id AS file_id, time_bucket(INTERVAL 1 hour, ts) AS ws FROM events)
 SELECT file_id, strftime(ws, '%Y-%m-%d %H:%M:%S') AS window_start, count(*) AS touches FROM b
-WHERE ws + INTERVAL 1 hour <= (SELECT max(ts) FROM events) - INTERVAL 1 hour
 GROUP BY 1, 2
 """
 ORACLES["stream_last_touch"] = """
 SELECT user_id AS file_id, strftime(max(ts), '%Y-%m-%d %H:%M:%S.%f') AS last_ts,
-       arg_max(event_id, ts) AS last_event_id
-FROM events GROUP BY 1
+       max(event_id) FILTER (WHERE ts = last) AS last_event_id
+FROM (SELECT *, max(ts) OVER (PARTITION BY user_id) AS last FROM events) GROUP BY 1
 """
 ORACLES["stream_orphan_refs"] = """
 SELECT event_id, user_id AS file_id FROM events

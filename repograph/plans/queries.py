@@ -671,8 +671,11 @@ def q_verified_only(spark, sf_dir):
 @query("visible_subgraph")
 def q_visible_subgraph(spark, sf_dir):
     n, _ = _n(spark, sf_dir)
-    _, rels = RP.visible_subgraph(n.nodes, n.relationships, only_verified=False)
-    return rels.select("repo_id", "perspective_id", "ord", "from_id", "to_id")
+    nodes, rels = RP.visible_subgraph(n.nodes, n.relationships)
+    key = ["repo_id", "perspective_id"]
+    return nodes.select(*key, F.lit("node").alias("kind"), "ord", F.col("node_id").alias("from_id"),
+                        F.lit(None).cast("string").alias("to_id")).unionByName(
+        rels.select(*key, F.lit("relationship").alias("kind"), "ord", "from_id", "to_id"))
 
 
 @query("node_relations")
@@ -693,8 +696,8 @@ def q_node_provenance(spark, sf_dir):
 @query("node_context")
 def q_node_context(spark, sf_dir):
     n, f = _n(spark, sf_dir)
-    return RP.node_context(n.perspectives, n.nodes, n.node_refs, n.rel_edge_refs, f.files,
-                           f.modules)
+    return RP.node_context(n.perspectives, n.nodes, n.node_refs, n.relationships, n.rel_edge_refs,
+                           f.files, f.modules)
 
 
 @query("brief_context")
@@ -769,21 +772,34 @@ def _n_docs(spark, sf_dir) -> DataFrame:
 
 @query("read_narrative")
 def q_read_narrative(spark, sf_dir):
+    """Every parsed row by value: (doc_id, kind, ord, pos, value)."""
     t = NR.read_narrative(_n_docs(spark, sf_dir))
-    key = ["doc_id", "perspective_id"]
-    nodes = t.nodes.groupBy(*key).agg(F.count(F.lit(1)).alias("n_nodes"))
-    refs = t.node_refs.groupBy(*key).agg(
-        F.count_if(F.col("ref_kind") == "file").alias("n_file_refs"),
-        F.count_if(F.col("ref_kind") == "module").alias("n_module_refs"))
-    kids = t.node_children.groupBy(*key).agg(F.count(F.lit(1)).alias("n_children"))
-    rels = t.relationships.groupBy(*key).agg(F.count(F.lit(1)).alias("n_relationships"))
-    erefs = t.rel_edge_refs.groupBy(*key).agg(F.count(F.lit(1)).alias("n_edge_refs"))
-    out = t.perspectives.select(*key)
-    for d in (nodes, refs, kids, rels, erefs):
-        out = out.join(d, key, "left")
-    cols = ["n_nodes", "n_file_refs", "n_module_refs", "n_children", "n_relationships",
-            "n_edge_refs"]
-    return out.select(*key, *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in cols])
+    none = F.lit(0)
+
+    def rows(df: DataFrame, kind, ord_, pos, *values) -> DataFrame:
+        text = F.concat_ws("|", *[F.coalesce(F.col(v).cast("string"), F.lit("")) for v in values])
+        return df.select("doc_id", kind.alias("kind"), ord_.cast("bigint").alias("ord"),
+                         pos.cast("bigint").alias("pos"), text.alias("value"))
+
+    ref_kind = F.concat(F.col("ref_kind"), F.lit("_ref"))
+    parts = [
+        rows(t.nodes, F.lit("node"), F.col("ord"), none, "node_id", "label", "description", "tier",
+             "confidence", "interpretation"),
+        rows(t.node_refs, ref_kind, F.col("ord"), F.col("ref_pos"), "ref_id"),
+        rows(t.node_children, F.lit("child"), none, F.col("pos"), "node_id", "child_id"),
+        rows(t.relationships, F.lit("relationship"), F.col("ord"), none, "from_id", "to_id", "confidence"),
+        rows(t.rel_edge_refs, F.lit("edge_ref"), F.col("ord"), F.col("ref_pos"), "edge_id"),
+        rows(t.tiers, F.lit("tier"), F.col("ord"), none, "level", "name"),
+        rows(t.briefs, F.lit("brief"), none, none, "headline"),
+        rows(t.brief_claims, F.col("claim_kind"), F.col("ord"), none, "label", "text", "confidence",
+             "interpretation", "perspective_ref", "node_ref"),
+        rows(t.brief_refs, F.concat(F.lit("claim_"), ref_kind), F.col("ord"), F.col("ref_pos"), "ref_id"),
+        rows(t.tech_stack, F.lit("tech"), F.col("ord"), none, "tech_name", "role", "fact_ref"),
+        rows(t.open_questions, F.lit("question"), F.col("ord"), none, "question")]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 @query("normalize_perspectives")
@@ -883,8 +899,8 @@ def _event_touches(spark, sf_dir) -> DataFrame:
 @query("stream_churn")
 def q_stream_churn(spark, sf_dir):
     out, state = _stream_dirs(spark)
-    ST.run_append(ST.stream_churn(_event_touches(spark, sf_dir)), out, state)
-    return spark.read.parquet(out).select(
+    ST.run_update(ST.stream_churn(_event_touches(spark, sf_dir)), out, state)
+    return ST.latest_per_key(spark, out, ["file_id", "window_start"]).select(
         "file_id", ST.utc_text(spark, "window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"),
         "touches")
 

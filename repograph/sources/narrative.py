@@ -3,7 +3,8 @@
 ``read_narrative`` takes ``docs(doc_id, json)`` and parses with an explicit schema (no
 inference). A v1 document (root-level tiers/nodes/relationships) becomes one
 perspective ``default`` of kind structural, so every check runs on both shapes.
-Positions are kept (``posexplode_outer``) because order matters downstream.
+Positions are kept (``posexplode``) because order matters downstream; an empty array gives
+no rows.
 """
 from __future__ import annotations
 
@@ -47,6 +48,9 @@ NARRATIVE = Ty.StructType([
     Ty.StructField("perspectives", Ty.ArrayType(PERSPECTIVE)),
     Ty.StructField("businessBrief", BRIEF), Ty.StructField("openQuestions", Ty.ArrayType(S))])
 
+#: The brief's claims that are no list, in order.
+SINGLE_CLAIMS = ("problem", "solution", "audience")
+
 
 @dataclass
 class NarrativeTables:
@@ -57,6 +61,12 @@ class NarrativeTables:
     node_children: DataFrame
     relationships: DataFrame
     rel_edge_refs: DataFrame
+    tiers: DataFrame
+    briefs: DataFrame          # documents with a brief: headline, how it works
+    brief_claims: DataFrame    # problem, solution, audience, then the capabilities, by ord
+    brief_refs: DataFrame
+    tech_stack: DataFrame
+    open_questions: DataFrame
 
 
 def parse_documents(docs: DataFrame) -> DataFrame:
@@ -77,7 +87,7 @@ def normalize_perspectives(parsed: DataFrame) -> DataFrame:
                           F.col("doc.tiers").alias("tiers"), F.col("doc.nodes").alias("nodes"),
                           F.col("doc.relationships").alias("relationships")))
     ps = F.when(F.col("doc.perspectives").isNotNull(), F.col("doc.perspectives")).otherwise(v1)
-    return parsed.select("doc_id", F.posexplode_outer(ps).alias("ord", "p"))
+    return parsed.select("doc_id", F.posexplode(ps).alias("ord", "p"))
 
 
 def read_narrative(docs: DataFrame) -> NarrativeTables:
@@ -106,9 +116,40 @@ def read_narrative(docs: DataFrame) -> NarrativeTables:
                         F.col("r.to").alias("to_id"), F.col("r.label").alias("label"),
                         F.col("r.confidence").alias("confidence"))
     rel_refs = rel_x.select("doc_id", "perspective_id", "ord",
-                            F.explode("r.factEdgeIds").alias("edge_id"))
+                            F.posexplode("r.factEdgeIds").alias("ref_pos", "edge_id"))
     documents = parsed.select("doc_id", "shape",
                               F.col("doc.schemaVersion").alias("schema_version"),
                               F.col("doc.basedOnFactsCommit").alias("based_on_facts_commit"))
+    tiers = per.select("doc_id", F.col("p.id").alias("perspective_id"),
+                       F.posexplode("p.tiers").alias("ord", "t")).select(
+        "doc_id", "perspective_id", "ord", F.col("t.level").alias("level"), F.col("t.name").alias("name"))
+    questions = parsed.select("doc_id", F.posexplode("doc.openQuestions").alias("ord", "question"))
     return NarrativeTables(documents, perspectives, nodes, frefs.unionByName(mrefs), children,
-                           rels, rel_refs)
+                           rels, rel_refs, tiers, *_read_brief(parsed), questions)
+
+
+def _read_brief(parsed: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The optional business brief: briefs, claims, claim references, tech stack."""
+    brief = parsed.where(F.col("doc.businessBrief").isNotNull()).select("doc_id", "doc.businessBrief.*")
+    briefs = brief.select("doc_id", "headline", F.col("howItWorks").alias("how_it_works"))
+
+    def claim(kind, ord_, c):
+        return F.struct(F.lit(kind).alias("claim_kind"), ord_.cast("int").alias("ord"), c.alias("c"))
+
+    single = F.filter(F.array(*[claim(k, F.lit(i), F.col(k)) for i, k in enumerate(SINGLE_CLAIMS)]),
+                      lambda x: x["c"].isNotNull())
+    many = F.transform("capabilities", lambda c, i: claim("capability", i + len(SINGLE_CLAIMS), c))
+    one = brief.select("doc_id", F.explode(F.concat(single, F.coalesce(many, F.slice(single, 1, 0))))
+                       .alias("x")).select("doc_id", "x.*")
+    claims = one.select("doc_id", "claim_kind", "ord", F.col("c.label").alias("label"),
+                        F.col("c.text").alias("text"), F.col("c.confidence").alias("confidence"),
+                        F.col("c.interpretation").alias("interpretation"),
+                        F.col("c.perspectiveRef").alias("perspective_ref"),
+                        F.col("c.nodeRef").alias("node_ref"))
+    refs = [one.select("doc_id", "ord", F.lit(kind).alias("ref_kind"),
+                       F.posexplode(f"c.factRefs.{ids}").alias("ref_pos", "ref_id"))
+            for kind, ids in (("file", "fileIds"), ("module", "moduleIds"))]
+    tech = brief.select("doc_id", F.posexplode("techStack").alias("ord", "t")).select(
+        "doc_id", "ord", F.col("t.name").alias("tech_name"), F.col("t.role").alias("role"),
+        F.col("t.factRef").alias("fact_ref"))
+    return briefs, claims, refs[0].unionByName(refs[1]), tech

@@ -4,8 +4,8 @@ Touches arrive as a stream ``(event_id, ts, file_id)``; these operators keep sta
 Spark's state store and survive restarts through their checkpoint location:
 
 * ``stream_churn`` - touches per file per tumbling event-time window, watermarked, in
-  append mode (a window is emitted once, when the watermark passes its end);
-* ``stream_last_touch`` - latest touch per file, update mode;
+  update mode (a window's count is emitted as it grows, so none stays open at the end);
+* ``stream_last_touch`` - latest touch per file (ties: the largest event), update mode;
 * ``stream_orphan_refs`` - references checked against a static facts table
   (stream-static anti join), append mode.
 """
@@ -49,7 +49,8 @@ def stream_churn(touches: DataFrame, window: str = "1 hour", watermark: str = "1
 
 def stream_last_touch(touches: DataFrame) -> DataFrame:
     return touches.groupBy("file_id").agg(F.max("ts").alias("last_ts"),
-                                          F.max_by("event_id", "ts").alias("last_event_id"))
+                                          F.max_by("event_id", F.struct("ts", "event_id"))
+                                          .alias("last_event_id"))
 
 
 def stream_orphan_refs(refs: DataFrame, files: DataFrame) -> DataFrame:

@@ -31,3 +31,34 @@ def test_extract_then_verify(spark):
     assert rows(g.perspective_status, "scope", "status") == [("n1::default", "FAIL")]
     c = g.coverage_by_perspective.first()
     assert (c.node_count, c.files_covered) == (3, 1)
+
+
+def test_a_broken_brief_fails_the_gate(spark):
+    facts = Facts(files_df(spark, {"r": {**PY_APP, "requirements.txt": "flask==1.0\n"}}))
+    fid = facts.files.where("path = 'pkg/core.py'").first().file_id
+
+    def claim(**kw):
+        return {"text": "t", "factRefs": {"fileIds": [fid]}, "confidence": "high", "interpretation": False, **kw}
+
+    def doc(brief):
+        return json.dumps({"schemaVersion": "2.0", "basedOnFactsCommit": None, "openQuestions": [],
+                           "perspectives": [{"id": "p", "name": "P", "kind": "structural", "tiers": [], "nodes": [],
+                                             "relationships": []}], "businessBrief": brief})
+    good = {"headline": "h", "problem": claim(), "solution": claim(),
+            "capabilities": [claim(label="c", perspectiveRef="p")],
+            "techStack": [{"name": "Flask", "role": "web", "factRef": "flask"}]}
+    bad = {"headline": "", "problem": claim(factRefs={}), "solution": claim(factRefs={"fileIds": ["f9999"],
+                                                                                     "moduleIds": ["m999"]}),
+           "capabilities": [claim(label="c", perspectiveRef="none"), claim(label="d", nodeRef="x"),
+                            claim(label="e", perspectiveRef="p", nodeRef="x")],
+           "techStack": [{"name": "N", "role": "r", "factRef": "nope"}]}
+    docs = spark.createDataFrame([("good", "r", doc(good)), ("bad", "r", doc(bad)),
+                                  ("empty", "r", json.dumps({"perspectives": []}))],
+                                 "doc_id string, repo_id string, json string")
+    g = run_gate(facts, docs)
+    assert rows(g.status, "scope", "n_errors", "n_warnings", "status") == [
+        ("bad", 7, 1, "FAIL"), ("empty", 0, 0, "PASS"), ("good", 0, 0, "PASS")]
+    assert rows(g.violations, "check") == sorted([
+        ("capability-ref",), ("capability-ref",), ("capability-ref",), ("empty-grounding",), ("headline",),
+        ("referential-integrity",), ("referential-integrity",), ("techstack-ref",)])
+    assert rows(g.perspective_status, "scope") == [("bad::p",), ("good::p",)]
