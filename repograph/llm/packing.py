@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from repograph.llm.common import arrow_batches, stored
 from repograph.llm.token_files import with_end_ids
-from repograph.llm.tokens import ChunkEncoder
+from repograph.llm.tokens import chunk_encoder
 
 K1, B = 1.2, 0.75
 
@@ -33,7 +33,7 @@ def tokenized(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col
     def run(batches: Iterator) -> Iterator:
         encoder = None
         for b in arrow_batches(batches, 4 << 20):
-            encoder = encoder or ChunkEncoder(vocab_path)
+            encoder = encoder or chunk_encoder(vocab_path)
             width = 2 if encoder.bits <= 16 else 4
             ids, counts = with_end_ids(*encoder.encode(b.column(1)), end_id)
             ends = np.r_[0, np.cumsum(counts) * width]
@@ -56,14 +56,16 @@ def _arrays(batch) -> list[np.ndarray]:
 def term_statistics(tokens: DataFrame) -> tuple[np.ndarray, int, float]:
     """Document frequency by id, number of documents and their mean length, over all rows."""
     def run(batches: Iterator) -> Iterator:
-        df, docs, length = np.zeros(0, np.int64), 0, 0
+        df, held, docs, length = np.zeros(0, np.int64), np.zeros(0, bool), 0, 0
         for b in arrow_batches(batches, 4 << 20):
             for ids in _arrays(b):
-                terms = np.unique(ids)
-                docs, length = docs + 1, length + len(ids)
-                if len(terms) and terms[-1] >= len(df):
-                    df = np.r_[df, np.zeros(int(terms[-1]) + 1 - len(df), np.int64)]
+                docs, length, top = docs + 1, length + len(ids), int(ids.max(initial=0)) + 1
+                if top > len(df):
+                    df, held = np.r_[df, np.zeros(top - len(df), np.int64)], np.zeros(top, bool)
+                held[ids] = True
+                terms = np.flatnonzero(held)
                 df[terms] += 1
+                held[terms] = False
         terms = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.r_[terms, -1, -2]), pa.array(np.r_[df[terms], docs, length])], names=["term", "n"])
@@ -87,20 +89,25 @@ class Bm25Shard:
         term, doc = np.divmod(pair, self.n)
         norm = K1 * (1 - B + B * lengths / max(mean_length, 1.0))
         impact = (idf[term] * tf * (K1 + 1) / (tf + norm[doc])).astype(np.float32)
-        # postings by term (for lookups), and each document's terms by weight (for queries)
-        self.doc, self.impact = doc.astype(np.int32), impact
-        self.start = np.searchsorted(term, np.arange(len(idf) + 1))
-        order = np.lexsort((term, -impact, doc))
-        self.term = term[order].astype(np.int32)
-        self.first = np.searchsorted(doc[order], np.arange(self.n + 1))
-
-    def scores(self, seed: int, query_terms: int) -> np.ndarray:
-        """BM25 of all documents of the shard for the seed's ``query_terms`` heaviest terms."""
+        # postings by term (for lookups), and the postings of each document (for queries)
+        self.doc, self.impact, self.term = doc, impact, term
+        self.start = np.searchsorted(term, np.arange(len(idf) + 1)).tolist()
+        small = np.uint16 if self.n <= 1 << 16 else np.int64          # 16 bits sort by radix
+        self.order = np.argsort(doc.astype(small), kind="stable")
+        self.first = np.cumsum(np.r_[0, np.bincount(doc, minlength=self.n)])
+
+    def neighbours(self, seed: int, query_terms: int) -> np.ndarray:
+        """Documents that share one of the seed's ``query_terms`` heaviest terms, best BM25
+        first (then in order)."""
+        own = self.order[self.first[seed]:self.first[seed + 1]]
+        if len(own) > query_terms:
+            own = own[np.argpartition(-self.impact[own], query_terms)[:query_terms]]
         score = np.zeros(self.n, np.float32)
-        for t in self.term[self.first[seed]:min(self.first[seed + 1], self.first[seed] + query_terms)]:
+        for t in self.term[own].tolist():
             a, b = self.start[t], self.start[t + 1]
             score[self.doc[a:b]] += self.impact[a:b]
-        return score
+        found = np.flatnonzero(score)
+        return found[np.argsort(-score[found], kind="stable")]
 
 
 class Packer:
@@ -142,14 +149,9 @@ class Packer:
             pick = None
             if self.filled and seed is not None:              # a neighbour of the window's seed
                 if cached is None or cached[0] != seed:
-                    score = index.scores(seed, self.query_terms)
-                    order = np.argsort(-score, kind="stable")
-                    cached = [seed, order[:int((score > 0).sum())], 0]
-                order = cached[1]
-                while cached[2] < len(order) and not free[order[cached[2]]]:
-                    cached[2] += 1
-                if cached[2] < len(order):
-                    pick = int(order[cached[2]])
+                    order = index.neighbours(seed, self.query_terms)
+                    cached = seed, iter(order[free[order]].tolist())
+                pick = next((d for d in cached[1] if free[d]), None)
             if pick is None:                                   # nothing shares a term: next in order
                 while nxt < len(docs) and not free[nxt]:
                     nxt += 1

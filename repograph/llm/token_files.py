@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from repograph.llm.common import arrow_batches, open_fs, shared_path, stored
-from repograph.llm.tokens import ChunkEncoder
+from repograph.llm.tokens import chunk_encoder
 
 MAGIC = b"IDSHARD1"
 BLOCK = 4096
@@ -171,9 +171,9 @@ def write_token_shards(docs: DataFrame, vocab_path: str, id_col: str = "doc_id",
     def write(batches: Iterator) -> Iterator:
         from pyspark import TaskContext
         part, writer, encoder, file = TaskContext.get().partitionId(), None, None, None
-        for b in arrow_batches(batches):
+        for b in arrow_batches(batches, 4 << 20):
             if writer is None:
-                encoder = ChunkEncoder(vocab_path)
+                encoder = chunk_encoder(vocab_path)
                 fs, folder = open_fs(path)
                 fs.create_dir(folder, recursive=True)
                 file = f"part-{part:06d}-{uuid.uuid4().hex}.ids"

@@ -1,22 +1,28 @@
 """Token ids of whole texts by the ``tokenizers`` library, encoding repeated words once.
 
 A byte-level BPE tokenizer of the 50k family never merges across the start of a single space
-or line feed that stands between two non-space characters. Texts are therefore cut there with
-Arrow kernels, equal chunks are found by dictionary encoding, only chunks not met before are
-encoded (by the library), and the ids of all texts are put together by one numpy gather.
+or line feed that stands between two non-space characters, nor from a letter or digit to the
+full stops and commas after it. Texts are cut at the former with Arrow kernels, equal chunks
+are found by dictionary encoding, their closing stops and commas are taken off, and only stems
+not met before are encoded (by the library, as one text, told apart by the bytes of each id).
+The ids of all texts are then put together by one numpy gather.
 """
 from __future__ import annotations
 
 import os
-from array import array
-from itertools import repeat
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CACHE_CHUNKS = 500_000        # chunks kept between batches; beyond it the cache starts anew
-LONGEST_CACHED = 64           # characters of a chunk that is worth keeping
+CACHE_STEMS = 700_000         # stems kept between batches; beyond it the cache starts anew
+LONGEST_CACHED = 64           # bytes of a stem that is worth keeping
+JOINED_STEMS = 1 << 14        # stems encoded as one text
+_TEXT = pa.large_string()
+#: Characters after which a full stop or comma surely starts a new pre-token.
+_BEFORE_STOP = pa.array([chr(c) for r in ("09", "AZ", "az", "\xc0\xd6", "\xd8\xf6", "\xf8\xff")
+                         for c in range(ord(r[0]), ord(r[1]) + 1)], _TEXT)
 
 
 def id_bits(vocab_size: int) -> int:
@@ -24,8 +30,24 @@ def id_bits(vocab_size: int) -> int:
     return max(1, (vocab_size - 1).bit_length())
 
 
+@lru_cache(maxsize=1)
+def chunk_encoder(vocab_path: str) -> "ChunkEncoder":
+    """The process's encoder: Python workers serve many tasks, and its cache serves them all."""
+    return ChunkEncoder(vocab_path)
+
+
+def gather(ids: np.ndarray, ends: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Concatenate the lists ``ids[ends[r]:ends[r + 1]]`` of ``rows``; also their ends."""
+    size = np.diff(ends)[rows]
+    total = np.zeros(len(rows) + 1, np.int64)
+    np.cumsum(size, out=total[1:])
+    at = np.repeat(ends[rows] - total[:-1], size)
+    at += np.arange(total[-1])
+    return ids[at], total
+
+
 class ChunkEncoder:
-    """Encodes Arrow string arrays; one per task, with a bounded cache of chunks."""
+    """Encodes Arrow string arrays, with a bounded cache of stems."""
 
     def __init__(self, vocab_path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -39,60 +61,87 @@ class ChunkEncoder:
         self._reset()
 
     def _reset(self):
-        self.seen: dict[str, int] = {}
-        self.ids, self.ends, self.edge = array("I"), array("q", [0]), array("B")
-
-    def _encode(self, chunks: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
-
-    def _encode_joined(self, chunks: list[str], size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and id counts of chunks that are a separator and text that neither begins nor
-        ends with a space (``size``: their bytes): encoded as one text, told apart by the bytes of each id."""
-        ids = np.array(self._encode(["".join(chunks)])[0], np.uint32)
-        stop = np.searchsorted(np.cumsum(self.id_bytes[ids]), np.cumsum(size)) + 1
-        return ids, np.diff(stop, prepend=0)
-
-    def _known(self, chunks: pa.Array) -> np.ndarray:
-        """Cache rows of distinct chunks; new ones are encoded. ``edge`` bit 0: the chunk
-        (after its separator) starts with a non-space; bit 1: it ends with one."""
-        if len(self.seen) > CACHE_CHUNKS:
+        self.stems = pa.array([], _TEXT)
+        self.ids, self.ends = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and their ends of texts that are encoded one by one."""
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        ends = np.cumsum([0, *map(len, found)], dtype=np.int64)
+        return np.array(found[0] if len(found) == 1 else [x for f in found for x in f], np.uint32), ends
+
+    def _encode_joined(self, stems: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The same for stems that are a separator and a text without spaces at its ends."""
+        found = []
+        for i in range(0, len(stems), JOINED_STEMS):
+            part = stems.slice(i, JOINED_STEMS).cast(pa.large_binary()).to_numpy(zero_copy_only=False)
+            found.append(self._encode([b"".join(part).decode()])[0])
+        ids = np.concatenate(found)
+        ends = np.searchsorted(np.cumsum(self.id_bytes[ids]), np.cumsum(pc.binary_length(stems).to_numpy()))
+        return ids, np.r_[0, ends + 1]
+
+    def _known(self, stems: pa.Array, joinable: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, ends, row of each of the distinct ``stems``); joinable new ones are kept."""
+        if len(self.stems) > CACHE_STEMS:
             self._reset()
-        names = chunks.to_pylist()
-        rows = np.fromiter(map(self.seen.get, names, repeat(-1)), np.int64, len(names))
-        new = np.flatnonzero(rows < 0)
-        if not len(new):
-            return rows
-        sub = chunks.take(pa.array(new))
-        size = pc.utf8_length(sub).to_numpy()
-        led = pc.or_(pc.starts_with(sub, " "), pc.starts_with(sub, "\n")).to_numpy(zero_copy_only=False)
-        inner = pc.utf8_length(pc.utf8_trim_whitespace(sub)).to_numpy()
-        plain = led & (inner > 0) & (inner == size - 1)
-        for part, joined in ((np.flatnonzero(plain), True), (np.flatnonzero(~plain), False)):
-            if not len(part):
-                continue
-            if joined:
-                ids, counts = self._encode_joined(
-                    [names[i] for i in new[part].tolist()], pc.binary_length(sub).to_numpy()[part])
-                edge = np.full(len(part), 3, np.uint8)
-            else:
-                texts = [names[i] for i in new[part].tolist()]
-                found = self._encode(texts)
-                counts = np.array([len(f) for f in found], np.int64)
-                ids = np.array([x for f in found for x in f], np.uint32)
-                body = [t[1:] if t[:1] in (" ", "\n") else t for t in texts]
-                edge = np.array([(not b[:1].isspace()) + 2 * (not b[-1:].isspace()) if b else 0
-                                 for b in body], np.uint8)
-            rows[new[part]] = len(self.edge) + np.arange(len(part))
-            self.ids.frombytes(ids.astype(np.uint32).tobytes())
-            self.ends.frombytes((self.ends[-1] + np.cumsum(counts)).astype(np.int64).tobytes())
-            self.edge.frombytes(edge.tobytes())
-        short = new[size <= LONGEST_CACHED]
-        self.seen.update(zip([names[i] for i in short.tolist()], rows[short].tolist()))
-        return rows
+        rows = pc.fill_null(pc.index_in(stems, value_set=self.stems), -1).to_numpy().astype(np.int64)
+        new = np.flatnonzero((rows < 0) & joinable)
+        ids, ends = self.ids, self.ends
+        if len(new):
+            sub = stems.take(pa.array(new))
+            more, stop = self._encode_joined(sub)
+            rows[new] = len(ends) - 1 + np.arange(len(new))
+            ids, ends = np.concatenate([ids, more]), np.concatenate([ends, ends[-1] + stop[1:]])
+            self.stems, self.ids, self.ends = pa.concat_arrays([self.stems, sub]), ids, ends
+        other = np.flatnonzero(rows < 0)
+        if len(other):
+            more, stop = self._encode(stems.take(pa.array(other)).to_pylist())
+            rows[other] = len(ends) - 1 + np.arange(len(other))
+            ids, ends = np.concatenate([ids, more]), np.concatenate([ends, ends[-1] + stop[1:]])
+        return ids, ends, rows
+
+    def _chunk_ids(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids and ends of distinct chunks, and whether each starts (bit 0) and ends (bit 1)
+        with a non-space, its separator not counted."""
+        size = pc.utf8_length(chunks).to_numpy()
+        led = pc.or_(pc.starts_with(chunks, " "), pc.starts_with(chunks, "\n")).to_numpy(zero_copy_only=False)
+        inner = pc.utf8_length(pc.utf8_trim_whitespace(chunks)).to_numpy()
+        plain = (inner > 0) & (inner == size - led)
+        edge = np.where(plain, 3, 0).astype(np.uint8)
+        odd = np.flatnonzero(~plain)
+        for i, c in zip(odd.tolist(), chunks.take(pa.array(odd)).to_pylist()):
+            body = c[1:] if c[:1] in (" ", "\n") else c
+            edge[i] = (not body[:1].isspace()) + 2 * (not body[-1:].isspace()) if body else 0
+
+        bare = pc.utf8_rtrim(chunks, characters=".,")
+        ok = pc.is_in(pc.utf8_slice_codeunits(bare, -1, None), value_set=_BEFORE_STOP)
+        stem = pc.if_else(ok, bare, chunks)
+        stem_size = pc.utf8_length(stem).to_numpy()
+        coded = stem.dictionary_encode()
+        code = coded.indices.to_numpy()
+        joinable = np.zeros(len(coded.dictionary), bool)
+        short = pc.binary_length(coded.dictionary).to_numpy() <= LONGEST_CACHED
+        joinable[code] = plain & led
+        ids, ends, rows = self._known(coded.dictionary, joinable & short)
+        rows = rows[code]
+        tailed = np.flatnonzero(stem_size < size)
+        if not len(tailed):
+            return *gather(ids, ends, rows), edge
+        text = chunks.take(pa.array(tailed)).to_numpy(zero_copy_only=False)
+        tail = [t[s:] for t, s in zip(text.tolist(), stem_size[tailed].tolist())]
+        kinds = {t: i for i, t in enumerate(dict.fromkeys(tail))}
+        more, stop = self._encode(list(kinds))
+        empty = len(ends) - 1 + len(kinds)
+        last = np.full(len(chunks), empty, np.int64)
+        last[tailed] = len(ends) - 1 + np.fromiter(map(kinds.__getitem__, tail), np.int64, len(tail))
+        ids = np.concatenate([ids, more])
+        ends = np.concatenate([ends, ends[-1] + stop[1:], [ends[-1] + stop[-1]]])
+        out, total = gather(ids, ends, np.stack([rows, last], axis=1).ravel())
+        return out, total[::2], edge
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, text after text, and the number of ids of each text (null: none)."""
-        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        texts = pc.fill_null(texts.cast(_TEXT), "")
         lines = pc.split_pattern(texts, "\n")
         pieces = pc.split_pattern(lines.flatten(), " ")
         line_at, piece_at = lines.offsets.to_numpy(), pieces.offsets.to_numpy()
@@ -101,29 +150,26 @@ class ChunkEncoder:
         sep = np.ones(n, np.int8)
         sep[piece_at[:-1]] = 2
         sep[text_at[:-1]] = 0
-        seps = pa.DictionaryArray.from_arrays(pa.array(sep), pa.array(["", " ", "\n"], pa.large_string()))
-        chunks = pc.binary_join_element_wise(seps.cast(pa.large_string()), flat,
-                                             pa.scalar("", pa.large_string()))
+        seps = pa.DictionaryArray.from_arrays(pa.array(sep), pa.array(["", " ", "\n"], _TEXT))
+        chunks = pc.binary_join_element_wise(seps.cast(_TEXT), flat, pa.scalar("", _TEXT))
         coded = chunks.dictionary_encode()
         del lines, pieces, flat, seps, sep
-        rows = self._known(coded.dictionary)[coded.indices.to_numpy()]
-        edge = np.frombuffer(self.edge, np.uint8)[rows]
-        cut = np.r_[True, (edge[1:] & 1 == 1) & (edge[:-1] & 2 == 2)]
-        cut[text_at[:-1]] = True
-        ids, ends = np.array(self.ids, np.uint32), np.array(self.ends, np.int64)
-        first = np.flatnonzero(cut)
-        if len(first) < n:                             # chunks that spaces tie together
+        ids, ends, edge = self._chunk_ids(coded.dictionary)
+        rows = coded.indices.to_numpy().astype(np.int64)
+        if not (edge == 3).all():                      # some spaces tie chunks together
+            edge = edge[rows]
+            cut = np.r_[True, (edge[1:] & 1 == 1) & (edge[:-1] & 2 == 2)][:n]
+            cut[text_at[:-1]] = True
+            first = np.flatnonzero(cut)
             last = np.r_[first[1:], n]
             tied = np.flatnonzero(last - first > 1)
-            more = self._encode(["".join(chunks[i:j].to_pylist())
-                                 for i, j in zip(first[tied].tolist(), last[tied].tolist())])
+            more, stop = self._encode(["".join(chunks[i:j].to_pylist())
+                                       for i, j in zip(first[tied].tolist(), last[tied].tolist())])
             rows = rows[first]
             rows[tied] = len(ends) - 1 + np.arange(len(tied))
-            ends = np.r_[ends, ends[-1] + np.cumsum([len(x) for x in more], dtype=np.int64)]
-            ids = np.concatenate([ids, *[np.array(x, np.uint32) for x in more]])
+            ids, ends = np.concatenate([ids, more]), np.concatenate([ends, ends[-1] + stop[1:]])
             text_at = np.searchsorted(first, text_at)
-        size = np.diff(ends)[rows]
-        total = np.r_[0, np.cumsum(size)]
-        at = np.repeat(ends[rows] - total[:-1], size)
-        at += np.arange(total[-1])
-        return ids[at], np.diff(total[text_at])
+        out, total = gather(ids, ends, rows)
+        del chunks, coded
+        pa.default_memory_pool().release_unused()
+        return out, np.diff(total[text_at])
