@@ -45,7 +45,7 @@ EXTENSION_LANGUAGE = {
 }
 # Path segments that are always skipped by the inventory.
 ALWAYS_SKIP = [".git", ".venv", "node_modules", "__pycache__", ".pytest_cache", "dist",
-               "build", ".explain-project"]
+               "build"]
 # Extensions covered by the import scans.
 PY_EXTENSIONS = [".py", ".pyi"]
 JS_EXTENSIONS = [".js", ".jsx", ".mjs", ".cjs", ".ts", ".tsx"]

@@ -276,12 +276,14 @@ def code_payload(node_refs: DataFrame, files: DataFrame, contents: DataFrame,
                  per_file_cap: int, total_cap: int) -> DataFrame:
     """Referenced and known files with content: ``truncated`` at ``per_file_cap`` bytes
     on a character boundary, ``missing`` when the content is absent, ``dropped`` by the
-    total budget (then content is empty). Unknown ids are skipped."""
+    total budget (then content is empty). Unknown ids are skipped. Files that are no valid
+    UTF-8 are shown with replacement characters where the source has them (``replaced``)."""
     from repograph.functions.text import utf8_truncate
     ref = referenced_files(node_refs).join(files.select("repo_id", "file_id", "path", "lang"),
                                            ["repo_id", "file_id"])
-    with_text = ref.join(contents.select("repo_id", "path", "content"), ["repo_id", "path"],
-                         "left")
+    text = F.coalesce("content", "replaced") if "replaced" in contents.columns else F.col("content")
+    with_text = ref.join(contents.select("repo_id", "path", text.alias("content")),
+                         ["repo_id", "path"], "left")
     cut = (with_text
            .withColumn("missing", F.col("content").isNull())
            .withColumn("truncated", F.coalesce(F.octet_length("content") > per_file_cap,

@@ -707,7 +707,7 @@ nd AS (SELECT perspective_id, ord, node_id, c, perspective_id || '#' || (c // 40
 pid AS (SELECT DISTINCT doc_id, perspective_id AS p FROM nd
         UNION SELECT DISTINCT perspective_id || '#' || (c // 40), perspective_id FROM n_rels)
 """
-ORACLES["read_narrative"] = _DOCS + """,
+_DOC_ROWS = _DOCS + """,
 pos AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ord) - 1 AS npos
         FROM (SELECT n.*, n.perspective_id || '#' || (n.c // 40) AS doc_id FROM n_nodes n)),
 rpos AS (SELECT *, perspective_id || '#' || (c // 40) AS doc_id,
@@ -719,6 +719,8 @@ cl0 AS (SELECT c.*, c.brief_id || '#' || (CAST(substr(c.label, 5) AS BIGINT) //
 cl AS (SELECT *, CASE claim_kind WHEN 'problem' THEN 0 WHEN 'solution' THEN 1 WHEN 'audience' THEN 2
                  ELSE 2 + row_number() OVER (PARTITION BY doc_id, claim_kind ORDER BY ord) END AS cpos
        FROM cl0 QUALIFY claim_kind = 'capability' OR row_number() OVER (PARTITION BY doc_id, claim_kind ORDER BY ord) = 1)
+"""
+ORACLES["read_narrative"] = _DOC_ROWS + """
 SELECT doc_id, 'node' AS kind, npos AS ord, CAST(0 AS BIGINT) AS pos,
        concat_ws('|', node_id, label, description, tier, confidence, interpretation) AS value FROM pos
 UNION ALL SELECT p.doc_id, r.ref_kind || '_ref', p.npos, r.rp, r.ref_id
@@ -759,15 +761,35 @@ ent AS (SELECT repo_id, count(*) AS n FROM (
           WHERE NOT EXISTS (SELECT 1 FROM m_entries e WHERE e.repo_id = w.repo_id AND e.file_id = w.file_id))
         GROUP BY 1),
 mods AS (SELECT repo_id, count(DISTINCT CASE WHEN contains(path, '/') THEN regexp_extract(path, '^(.*)/[^/]*$', 1)
-                                             ELSE '.' END) AS n FROM dm_ids GROUP BY 1)
-SELECT repo_id, 'repo' AS section, CAST(1 AS BIGINT) AS n_records FROM m_repos
-UNION ALL SELECT repo_id, 'extractionReport', 1 FROM m_repos
-UNION ALL SELECT repo_id, 'files', count(*) FROM dm_ids GROUP BY 1
-UNION ALL SELECT repo_id, 'modules', n FROM mods
-UNION ALL SELECT repo_id, 'edges', count(*) FROM d_edges GROUP BY 1
-UNION ALL SELECT repo_id, 'entrypoints', n FROM ent
-UNION ALL SELECT repo_id, 'externalDependencies', count(*) FROM m_deps GROUP BY 1
-UNION ALL SELECT repo_id, 'gitCoupling', n FROM cpl
+                                             ELSE '.' END) AS n FROM dm_ids GROUP BY 1),
+tiles AS (SELECT * FROM (""" + ORACLES["stat_tiles"] + """)),
+modrec AS (SELECT repo_id, d, list(file_id ORDER BY file_id) AS ids,
+                  row_number() OVER (PARTITION BY repo_id ORDER BY d) AS k
+           FROM (SELECT repo_id, file_id, CASE WHEN contains(path, '/') THEN regexp_extract(path, '^(.*)/[^/]*$', 1)
+                                               ELSE '.' END AS d FROM dm_ids) GROUP BY repo_id, d),
+couple AS (SELECT a.repo_id, ia.file_id AS fa, ib.file_id AS fb, count(*) AS n
+           FROM d_touch a JOIN d_touch b ON a.repo_id = b.repo_id AND a.commit_id = b.commit_id
+           JOIN dm_ids ia ON ia.repo_id = a.repo_id AND ia.path = a.path
+           JOIN dm_ids ib ON ib.repo_id = b.repo_id AND ib.path = b.path
+           WHERE ia.file_id < ib.file_id GROUP BY 1, 2, 3 HAVING count(*) >= 2),
+rec AS (
+  SELECT repo_id, 'repo' AS section, CAST(json_object('root', '/src/' || repo_id, 'headCommit', 'head-' || repo_id,
+    'branch', 'main', 'generatedAt', '2024-01-01T00:00:00+00:00', 'totalFiles', n_files,
+    'totalLoc', total_loc) AS VARCHAR) AS json FROM tiles
+  UNION ALL SELECT repo_id, 'modules', CAST(json_object('id', printf('m%03d', k), 'path', d, 'fileIds', ids) AS VARCHAR)
+  FROM modrec
+  UNION ALL SELECT repo_id, 'edges', CAST(json_object('id', edge_id, 'type', 'import', 'from', from_id, 'to', to_id,
+    'evidence', json_object('file', path, 'line', line, 'raw', raw), 'resolution', resolution,
+    'extractor', 'treesitter') AS VARCHAR) FROM d_edges
+  UNION ALL SELECT repo_id, 'gitCoupling', CAST(json_object('a', fa, 'b', fb, 'coChangeCount', n) AS VARCHAR) FROM couple),
+cnt AS (
+  SELECT repo_id, section, count(*) AS n_records,
+         CAST(sum(('0x' || substr(md5(json), 1, 8))::BIGINT) AS BIGINT) AS digest FROM rec GROUP BY 1, 2
+  UNION ALL SELECT repo_id, 'extractionReport', 1, NULL FROM m_repos
+  UNION ALL SELECT repo_id, 'files', count(*), NULL FROM dm_ids GROUP BY 1
+  UNION ALL SELECT repo_id, 'entrypoints', n, NULL FROM ent
+  UNION ALL SELECT repo_id, 'externalDependencies', count(*), NULL FROM m_deps GROUP BY 1)
+SELECT repo_id, section, n_records, digest, n_records AS n_parsed FROM cnt
 """
 ORACLES["facts_document"] = _FACTS_COUNTS
 ORACLES["write_facts"] = _FACTS_COUNTS
@@ -775,6 +797,11 @@ ORACLES["write_facts"] = _FACTS_COUNTS
 # ------------------------------------------------------------------ schema rules
 ORACLES["facts_constraints"] = """
 SELECT * FROM (VALUES
+  ('repos', 'repo0', 'repo0', 'root-required'), ('repos', 'repo0', 'repo0', 'generated-at-required'),
+  ('repos', 'repo0', 'repo0', 'total-files-minimum'), ('repos', 'repo0', 'repo0', 'total-loc-minimum'),
+  ('report', 'repo0', '', 'languages-required'), ('report', 'repo0', '', 'resolved-minimum'),
+  ('report', 'repo0', '', 'unresolved-minimum'), ('report', 'repo0', '', 'tools-required'),
+  ('report', 'repo0', '', 'skipped-required'), ('report', 'repo0', '', 'warnings-required'),
   ('files', 'repo0', 'x0001', 'id-pattern'), ('files', 'repo0', 'x0001', 'loc-minimum'),
   ('edges', 'repo0', 'E1', 'id-pattern'), ('edges', 'repo0', 'E1', 'type-enum'),
   ('edges', 'repo0', 'E1', 'line-minimum'), ('edges', 'repo0', 'E1', 'resolution-enum'),
@@ -782,14 +809,30 @@ SELECT * FROM (VALUES
   ('coupling', 'repo0', 'f0001', 'b-required'), ('coupling', 'repo0', 'f0001', 'count-minimum'))
   AS t("table", repo_id, "key", rule)
 """
-ORACLES["narrative_constraints"] = DN + """
-SELECT 'brief_claims' AS "table", repo_id, brief_id || '|' || ord AS "key", 'text-min-length' AS rule
-FROM n_claims WHERE text = ''
-UNION ALL SELECT 'briefs', repo_id, brief_id, 'headline-min-length' FROM n_briefs WHERE headline = ''
-UNION ALL SELECT 'nodes', 'repo0', '1-URGENT|-1', 'tier-minimum'
-UNION ALL SELECT 'nodes', 'repo0', '1-URGENT|-1', 'confidence-enum'
-UNION ALL SELECT 'nodes', 'repo0', '1-URGENT|-1', 'interpretation-required'
-UNION ALL SELECT 'documents', NULL, 'bad#both', 'one-of-shape'
+_BROKEN = {   # table, key: the rules that the injected documents break
+    ("documents", "bad#both"): ["one-of-shape"],
+    ("documents", "bad#rules"): ["schema-version-required"],
+    ("perspectives", "bad#rules|0"): ["id-required", "name-required", "kind-enum", "description-required",
+                                      "tiers-min-items", "nodes-required", "relationships-required"],
+    ("tiers", "bad#rules|p|0"): ["level-minimum", "name-required"],
+    ("nodes", "bad#rules|p|0"): ["id-required", "tier-minimum", "label-required", "description-required",
+                                 "confidence-enum", "interpretation-required", "fact-refs-required",
+                                 "children-required"],
+    ("relationships", "bad#rules|p|0"): ["from-required", "to-required", "label-required", "confidence-enum",
+                                         "fact-edge-ids-required"],
+    ("briefs", "bad#rules"): ["headline-min-length", "problem-required", "solution-required"],
+    ("brief_claims", "bad#rules|3"): ["text-min-length", "fact-refs-required", "label-min-length",
+                                      "confidence-enum", "interpretation-required"],
+    ("tech", "bad#rules|0"): ["name-min-length", "fact-ref-min-length"],
+}
+ORACLES["narrative_constraints"] = _DOC_ROWS + """
+SELECT 'brief_claims' AS "table", CAST(NULL AS VARCHAR) AS repo_id, doc_id || '|' || cpos AS "key",
+       'text-min-length' AS rule FROM cl WHERE text = ''
+UNION ALL SELECT 'briefs', NULL, d.doc_id, k || '-required'
+FROM (SELECT DISTINCT doc_id FROM cl) d CROSS JOIN (SELECT unnest(['problem', 'solution']) AS k)
+WHERE NOT EXISTS (SELECT 1 FROM cl WHERE cl.doc_id = d.doc_id AND cl.claim_kind = k)
+UNION ALL SELECT * FROM (VALUES """ + ", ".join(
+    f"('{t}', NULL, '{k}', '{r}')" for (t, k), rules in _BROKEN.items() for r in rules) + """)
 """
 
 # ------------------------------------------------------------------ streaming

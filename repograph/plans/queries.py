@@ -810,21 +810,38 @@ def q_normalize_perspectives(spark, sf_dir):
         "shape")
 
 
-def _facts_counts(records: DataFrame) -> DataFrame:
-    return records.groupBy("repo_id", "section").agg(F.count(F.lit(1)).alias("n_records"))
+#: Sections whose records the oracle rebuilds and compares by value.
+VALUE_SECTIONS = ("repo", "modules", "edges", "gitCoupling")
+
+
+def _facts_by_value(records: DataFrame) -> DataFrame:
+    """Records of each section and the sum of their hashed JSON texts."""
+    part = F.conv(F.substring(F.md5("json"), 1, 8), 16, 10).cast("bigint")
+    return records.groupBy("repo_id", "section").agg(
+        F.count(F.lit(1)).alias("n_records"),
+        F.sum(F.when(F.col("section").isin(*VALUE_SECTIONS), part)).alias("digest"),
+        F.count_if(F.get_json_object("json", "$").isNotNull()).alias("n_parsed"))
+
+
+def _dm_records(spark, sf_dir) -> DataFrame:
+    f = facts_dm(spark, sf_dir)
+    repos = f.totals.select("repo_id", F.concat(F.lit("/src/"), "repo_id").alias("root"),
+                            F.concat(F.lit("head-"), "repo_id").alias("head_commit"),
+                            F.lit("main").alias("branch"))
+    return SK.facts_records(f, repos=repos, generated_at="2024-01-01T00:00:00+00:00")
 
 
 @query("facts_document")
 def q_facts_document(spark, sf_dir):
-    return _facts_counts(SK.facts_records(facts_dm(spark, sf_dir)))
+    return _facts_by_value(_dm_records(spark, sf_dir))
 
 
 @query("write_facts")
 def q_write_facts(spark, sf_dir):
     import uuid
     path = ensure_checkpoint_dir(spark).rstrip("/") + f"/facts-{uuid.uuid4().hex}"
-    SK.write_facts(SK.facts_records(facts_dm(spark, sf_dir)), path)
-    return _facts_counts(SK.read_facts(spark, path))
+    SK.write_facts(_dm_records(spark, sf_dir), path)
+    return _facts_by_value(SK.read_facts(spark, path))
 
 
 # ------------------------------------------------------------------ schema rules
@@ -851,31 +868,42 @@ def q_facts_constraints(spark, sf_dir):
                    [("repo0", "f0001", "daemon", "x")])
     cpl = _inject(f.coupling.select("repo_id", "a", "b", "co_change_count"),
                   [("repo0", "f0001", None, -1)])
-    repos = f.totals.select("repo_id", F.col("repo_id").alias("root"), "total_files", "total_loc")
+    repos = _inject(f.totals.select("repo_id", F.col("repo_id").alias("root"), "total_files", "total_loc",
+                                    F.lit("2024-01-01").alias("generated_at")),
+                    [("repo0", None, -1, None, None)])
+    report = _inject(G.extraction_report(f.files, f.edges),
+                     [("repo0", None, -1, None, None, None, None)])
     return V.union_all([
-        K.facts_constraints("repos", repos), K.facts_constraints("files", files),
+        K.facts_constraints("repos", repos), K.facts_constraints("report", report), K.facts_constraints("files", files),
         K.facts_constraints("modules", f.modules.select("repo_id", "module_id", "path",
                                                         "file_ids")),
         K.facts_constraints("edges", edges), K.facts_constraints("entrypoints", ents),
         K.facts_constraints("deps", f.deps), K.facts_constraints("coupling", cpl)])
 
 
+#: One document that breaks both shapes, and one that breaks each other rule once.
+BAD_DOCUMENTS = [
+    ("bad#both", {"schemaVersion": "2.0", "basedOnFactsCommit": None, "tiers": [], "nodes": [],
+                  "relationships": [], "perspectives": [], "openQuestions": []}),
+    ("bad#rules", {
+        "perspectives": [
+            {"kind": "odd", "tiers": []},
+            {"id": "p", "name": "P", "kind": "domain", "description": "", "tiers": [{"level": -1}],
+             "nodes": [{"tier": -1, "confidence": "certain"}],
+             "relationships": [{"confidence": "none"}]}],
+        "businessBrief": {"headline": "", "capabilities": [{"label": "", "text": "", "confidence": "no"}],
+                          "techStack": [{"name": "", "role": "", "factRef": ""}]}})]
+
+
 @query("narrative_constraints")
 def q_narrative_constraints(spark, sf_dir):
-    n, _ = _n(spark, sf_dir)
-    nodes = _inject(n.nodes, [("repo0", "1-URGENT", -1, "n-bad", -1, "Bad", "d", "certain",
-                               None)])
-    docs = _inject(_n_docs(spark, sf_dir), [(
-        "bad#both", '{"schemaVersion": "2.0", "basedOnFactsCommit": null, "tiers": [], '
-                    '"nodes": [], "relationships": [], "perspectives": [], "openQuestions": []}')])
-    parsed = NR.read_narrative(docs).documents
-    return V.union_all([
-        K.narrative_constraints("documents", parsed),
-        K.narrative_constraints("perspectives", n.perspectives),
-        K.narrative_constraints("nodes", nodes),
-        K.narrative_constraints("relationships", n.relationships),
-        K.narrative_constraints("brief_claims", n.brief_claims),
-        K.narrative_constraints("briefs", n.briefs)])
+    import json
+    docs = _inject(_n_docs(spark, sf_dir), [(i, json.dumps(d)) for i, d in BAD_DOCUMENTS])
+    t = NR.read_narrative(docs)
+    return V.union_all([K.narrative_constraints(name, df) for name, df in (
+        ("documents", t.documents), ("perspectives", t.perspectives), ("tiers", t.tiers),
+        ("nodes", t.nodes), ("relationships", t.relationships), ("briefs", t.briefs),
+        ("brief_claims", t.brief_claims), ("tech", t.tech_stack))])
 
 
 # ------------------------------------------------------------------ streaming (Tier X)

@@ -3,8 +3,8 @@
 ``read_checkouts`` scans ``<root>/<repo_id>/...`` with the ``binaryFile`` source
 (recursive), so each file is one row read by the executors - never by the driver.
 Content is decoded as UTF-8; files that are not valid UTF-8 are flagged
-(``decodable = false``) and their content is null, matching the reference, whose text
-scans skip undecodable files. Symbolic links are not distinguishable in this source.
+(``decodable = false``) and their content is null, as text scans skip them; ``replaced``
+holds their text with replacement characters, for readers (the code payload). Symbolic links are not distinguishable in this source.
 """
 from __future__ import annotations
 
@@ -20,7 +20,7 @@ def read_files_table(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_checkouts(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
-    """files(repo_id, path, content, size_bytes, loc, decodable) for every regular file
+    """files(repo_id, path, content, replaced, size_bytes, loc, decodable) for every regular file
     under ``root/<repo_id>/``; size and newline count come from the raw bytes, so they are
     right for undecodable files too."""
     r = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
@@ -38,6 +38,7 @@ def read_checkouts(spark: SparkSession, root: str, glob: str | None = None) -> D
         F.regexp_extract(rel, r"^([^/]+)/", 1).alias("repo_id"),
         F.regexp_extract(rel, r"^[^/]+/(.*)$", 1).alias("path"),
         F.when(ok, text).alias("content"),
+        F.when(~ok, F.make_valid_utf8(text)).alias("replaced"),
         F.col("length").alias("size_bytes"), line_count(byte_view).alias("loc"),
         ok.alias("decodable"))
 

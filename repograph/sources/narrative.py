@@ -95,14 +95,19 @@ def read_narrative(docs: DataFrame) -> NarrativeTables:
     per = normalize_perspectives(parsed)
     perspectives = per.select("doc_id", "ord", F.col("p.id").alias("perspective_id"),
                               F.col("p.name").alias("name"), F.col("p.kind").alias("kind"),
-                              F.col("p.description").alias("description"))
+                              F.col("p.description").alias("description"),
+                              F.coalesce(F.size("p.tiers"), F.lit(0)).alias("n_tiers"),
+                              F.col("p.nodes").isNotNull().alias("has_nodes"),
+                              F.col("p.relationships").isNotNull().alias("has_relationships"))
     nodes_x = per.select("doc_id", F.col("p.id").alias("perspective_id"),
                          F.posexplode("p.nodes").alias("ord", "n"))
     nodes = nodes_x.select("doc_id", "perspective_id", "ord", F.col("n.id").alias("node_id"),
                            F.col("n.tier").alias("tier"), F.col("n.label").alias("label"),
                            F.col("n.description").alias("description"),
                            F.col("n.confidence").alias("confidence"),
-                           F.col("n.interpretation").alias("interpretation"))
+                           F.col("n.interpretation").alias("interpretation"),
+                           F.col("n.factRefs").isNotNull().alias("has_fact_refs"),
+                           F.col("n.children").isNotNull().alias("has_children"))
     key = ["doc_id", "perspective_id", "ord", F.col("n.id").alias("node_id")]
     frefs = nodes_x.select(*key, F.lit("file").alias("ref_kind"),
                            F.posexplode("n.factRefs.fileIds").alias("ref_pos", "ref_id"))
@@ -114,7 +119,8 @@ def read_narrative(docs: DataFrame) -> NarrativeTables:
                        F.posexplode("p.relationships").alias("ord", "r"))
     rels = rel_x.select("doc_id", "perspective_id", "ord", F.col("r.from").alias("from_id"),
                         F.col("r.to").alias("to_id"), F.col("r.label").alias("label"),
-                        F.col("r.confidence").alias("confidence"))
+                        F.col("r.confidence").alias("confidence"),
+                        F.col("r.factEdgeIds").isNotNull().alias("has_fact_edge_ids"))
     rel_refs = rel_x.select("doc_id", "perspective_id", "ord",
                             F.posexplode("r.factEdgeIds").alias("ref_pos", "edge_id"))
     documents = parsed.select("doc_id", "shape",
@@ -131,7 +137,9 @@ def read_narrative(docs: DataFrame) -> NarrativeTables:
 def _read_brief(parsed: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """The optional business brief: briefs, claims, claim references, tech stack."""
     brief = parsed.where(F.col("doc.businessBrief").isNotNull()).select("doc_id", "doc.businessBrief.*")
-    briefs = brief.select("doc_id", "headline", F.col("howItWorks").alias("how_it_works"))
+    briefs = brief.select("doc_id", "headline", F.col("howItWorks").alias("how_it_works"),
+                          F.col("problem").isNotNull().alias("has_problem"),
+                          F.col("solution").isNotNull().alias("has_solution"))
 
     def claim(kind, ord_, c):
         return F.struct(F.lit(kind).alias("claim_kind"), ord_.cast("int").alias("ord"), c.alias("c"))
@@ -142,7 +150,8 @@ def _read_brief(parsed: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, Dat
     one = brief.select("doc_id", F.explode(F.concat(single, F.coalesce(many, F.slice(single, 1, 0))))
                        .alias("x")).select("doc_id", "x.*")
     claims = one.select("doc_id", "claim_kind", "ord", F.col("c.label").alias("label"),
-                        F.col("c.text").alias("text"), F.col("c.confidence").alias("confidence"),
+                        F.col("c.text").alias("text"),
+                        F.col("c.factRefs").isNotNull().alias("has_fact_refs"), F.col("c.confidence").alias("confidence"),
                         F.col("c.interpretation").alias("interpretation"),
                         F.col("c.perspectiveRef").alias("perspective_ref"),
                         F.col("c.nodeRef").alias("node_ref"))

@@ -3,13 +3,15 @@ import tempfile
 
 from conftest import rows
 from repograph.operators import inventory as I
+from repograph.operators import report as RP
 from repograph.sources.files import read_checkouts
 
 
 def test_read_checkouts(spark):
     root = tempfile.mkdtemp(prefix="repograph-co-", dir="/tmp")
     for repo, rel, data in [("r1", "a.py", b"import os\n"), ("r1", "pkg/b.js", b"x\ny"),
-                            ("r2", "bin.dat", b"\xff\xfe\x00"), ("r2", "doc/readme.md", "é\n".encode())]:
+                            ("r2", "bin.dat", b"\xff\xfe\x00"), ("r2", "doc/readme.md", "é\n".encode()),
+                            ("r2", "latin.py", "# caf\xe9\n".encode("latin-1"))]:
         p = os.path.join(root, repo, rel)
         os.makedirs(os.path.dirname(p), exist_ok=True)
         with open(p, "wb") as fh:
@@ -17,7 +19,12 @@ def test_read_checkouts(spark):
     df = read_checkouts(spark, root)
     assert rows(df, "repo_id", "path", "content", "size_bytes", "loc", "decodable") == [
         ("r1", "a.py", "import os\n", 10, 1, True), ("r1", "pkg/b.js", "x\ny", 3, 1, True),
-        ("r2", "bin.dat", None, 3, 0, False), ("r2", "doc/readme.md", "é\n", 3, 1, True)]
+        ("r2", "bin.dat", None, 3, 0, False), ("r2", "doc/readme.md", "é\n", 3, 1, True),
+        ("r2", "latin.py", None, 7, 1, False)]
     inv = I.file_inventory(df)
     assert rows(inv, "path", "loc", "size_bytes") == [
-        ("a.py", 1, 10), ("bin.dat", 0, 3), ("doc/readme.md", 1, 3), ("pkg/b.js", 1, 3)]
+        ("a.py", 1, 10), ("bin.dat", 0, 3), ("doc/readme.md", 1, 3), ("latin.py", 1, 7), ("pkg/b.js", 1, 3)]
+    files = I.file_ids(inv)
+    refs = files.selectExpr("repo_id", "'file' as ref_kind", "file_id as ref_id")
+    shown = RP.code_payload(refs, files, df, per_file_cap=100, total_cap=1000)
+    assert rows(shown.where("path = 'latin.py'"), "content", "missing") == [("# caf\ufffd\n", False)]
