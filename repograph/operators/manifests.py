@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from repograph.operators.ids import positional_ids
 from repograph.functions import text as T
 from repograph.operators.imports import explode_lines
 from repograph.operators.resolve import module_to_file
@@ -19,6 +20,13 @@ MANIFESTS = ["package.json", "pyproject.toml", "requirements.txt"]
 NODE_SCRIPT_SUFFIXES = (".js", ".mjs", ".cjs", ".ts")
 
 
+def _place(*parts) -> F.Column:
+    """Order of an item in its manifest: up to three numbers, compared one after another."""
+    cols = [F.lit(p) if isinstance(p, int) else F.col(p) if isinstance(p, str) else p for p in parts]
+    cols += [F.lit(0)] * (3 - len(cols))
+    return F.struct(*[c.cast("bigint").alias(n) for c, n in zip(cols, "abc")]).alias("item_ord")
+
+
 def manifest_rows(files: DataFrame) -> DataFrame:
     """Root manifests only (a nested package.json is not read)."""
     return files.where(F.col("path").isin(*MANIFESTS)).select("repo_id", "path", "content")
@@ -35,7 +43,7 @@ def requirements_deps(files: DataFrame) -> DataFrame:
                          T.requirement_version("s").alias("version"),
                          F.lit("pypi").alias("ecosystem"),
                          F.lit("requirements.txt").alias("manifest"),
-                         F.lit(2).alias("src_rank"), F.col("line_no").alias("item_ord"))
+                         F.lit(2).alias("src_rank"), _place("line_no"))
             .where(F.col("name") != ""))
 
 
@@ -61,8 +69,7 @@ def npm_deps(files: DataFrame) -> DataFrame:
     return rows.select("repo_id", "name",
                        F.when(is_str & (ver != ""), ver).alias("version"),
                        F.lit("npm").alias("ecosystem"), F.lit("package.json").alias("manifest"),
-                       F.lit(0).alias("src_rank"),
-                       (F.col("section") * 1_000_000 + F.col("pos")).alias("item_ord"))
+                       F.lit(0).alias("src_rank"), _place("section", "pos"))
 
 
 def node_entrypoints(files: DataFrame, index: DataFrame) -> DataFrame:
@@ -155,7 +162,7 @@ def pep621_deps(files: DataFrame, lines: DataFrame | None = None) -> DataFrame:
     items = _array_items(lines, "project", "dependencies")
     rows = items.select("repo_id", T.requirement_name("item").alias("name"),
                         T.requirement_version("item").alias("version"),
-                        (F.col("line_no") * 1000 + F.col("pos")).alias("item_ord"))
+                        _place(0, "line_no", "pos"))
     rows = rows.where(F.col("name") != "")
     first = Window.partitionBy("repo_id", "name").orderBy("item_ord")
     return (rows.withColumn("_r", F.row_number().over(first)).where(F.col("_r") == 1)
@@ -184,9 +191,8 @@ def poetry_deps(files: DataFrame, lines: DataFrame | None = None) -> DataFrame:
     version = F.when(v.startswith("{"), F.when(table_ver != "", table_ver)).otherwise(
         F.when(_toml_string("value") != "", _toml_string("value")))
     rows = pairs.select("repo_id", F.col("key").alias("name"), version.alias("version"),
-                        (F.when(table_rank < 2, table_rank.cast("bigint") * 1_000_000_000)
-                         .otherwise(2_000_000_000 + F.col("_table_first").cast("bigint") * 1_000_000)
-                         + F.col("line_no")).cast("bigint").alias("item_ord"))
+                        _place(table_rank + 1, F.when(table_rank < 2, 0).otherwise(F.col("_table_first")),
+                               "line_no"))
     rows = rows.where(F.col("name") != "python")
     rows = rows.join(pep621_deps(files, lines).select("repo_id", "name"), ["repo_id", "name"],
                      "left_anti")
@@ -194,7 +200,7 @@ def poetry_deps(files: DataFrame, lines: DataFrame | None = None) -> DataFrame:
     return (rows.withColumn("_r", F.row_number().over(first)).where(F.col("_r") == 1)
             .select("repo_id", "name", "version", F.lit("pypi").alias("ecosystem"),
                     F.lit("pyproject.toml").alias("manifest"), F.lit(1).alias("src_rank"),
-                    (F.col("item_ord") + 1_000_000_000_000).alias("item_ord")))
+                    "item_ord"))
 
 
 def script_entrypoints(files: DataFrame, index: DataFrame, lines: DataFrame | None = None
@@ -222,8 +228,8 @@ def script_entrypoints(files: DataFrame, index: DataFrame, lines: DataFrame | No
     poe = poe.withColumn("_r", F.row_number().over(first)).where(F.col("_r") == 1).drop("_r")
     return (pep.unionByName(poe)
             .select("repo_id", "file_id", "kind", "evidence",
-                    (F.lit(10) + F.col("poetry").cast("int") * 1_000_000 + F.col("line_no"))
-                    .alias("ord"))
+                    F.lit(2).alias("ord"), F.col("poetry").cast("int").alias("ord2"),
+                    F.col("line_no").alias("ord3"))
             .withColumn("manifest", F.lit("pyproject.toml")))
 
 
@@ -234,15 +240,15 @@ def merge_deps(files: DataFrame) -> DataFrame:
     lines = toml_lines(files)
     allv = (npm_deps(files).unionByName(pep621_deps(files, lines))
             .unionByName(poetry_deps(files, lines)).unionByName(requirements_deps(files)))
-    w = Window.partitionBy("repo_id").orderBy("name", "ecosystem", "manifest", "src_rank",
-                                              "item_ord")
-    return allv.withColumn("dep_ord", F.row_number().over(w))
+    return positional_ids(allv, ["repo_id"], ["name", "ecosystem", "manifest", "src_rank", "item_ord"],
+                          "dep_ord")
 
 
 def declared_entrypoints(files: DataFrame, index: DataFrame) -> DataFrame:
     """Manifest entries deduped on (file, kind), first wins."""
-    e = node_entrypoints(files, index).unionByName(script_entrypoints(files, index))
-    w = Window.partitionBy("repo_id", "file_id", "kind").orderBy("manifest", "ord")
+    e = node_entrypoints(files, index).unionByName(script_entrypoints(files, index),
+                                                   allowMissingColumns=True)
+    w = Window.partitionBy("repo_id", "file_id", "kind").orderBy("manifest", "ord", "ord2", "ord3")
     return e.withColumn("_r", F.row_number().over(w)).where(F.col("_r") == 1).drop("_r")
 
 
@@ -292,7 +298,7 @@ def line_manifest_deps(files: DataFrame) -> DataFrame:
            .withColumn("version", F.regexp_extract(t, gem_re, 2))
            .withColumn("ecosystem", F.lit("rubygems")))
     cols = ["repo_id", "name", "version", "ecosystem", F.col("path").alias("manifest"),
-            F.col("line_no").alias("item_ord")]
+            _place("line_no")]
     txt = _union([go.where(F.col("name").isNotNull()).select(*cols), cargo.select(*cols),
                    gem.select(*cols)])
     comp = root.where(F.col("path") == "composer.json").select(
@@ -306,7 +312,7 @@ def line_manifest_deps(files: DataFrame) -> DataFrame:
           .where((F.col("name") != "php") & ~F.col("name").startswith("ext-"))
           .select("repo_id", "name", F.variant_get("val", "$", "string").alias("version"),
                   F.lit("packagist").alias("ecosystem"), F.lit("composer.json").alias("manifest"),
-                  (F.col("section") * 1_000_000 + F.col("pos")).alias("item_ord")))
+                  _place("section", "pos")))
     out = txt.unionByName(cj)
     return out.withColumn("version", F.when(F.col("version") != "", F.col("version")))
 

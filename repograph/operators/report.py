@@ -4,6 +4,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from repograph.operators.ids import running_offsets
+from repograph.session import store
+
 
 def dependency_usage(edges: DataFrame, deps: DataFrame) -> DataFrame:
     """(repo_id, name, file_id): files whose unresolved import names a declared
@@ -252,24 +255,36 @@ def referenced_files(node_refs: DataFrame) -> DataFrame:
 def code_budget(sized: DataFrame, total_cap: int) -> DataFrame:
     """Admit files in id order under a byte budget: a file that does not fit is dropped
     and LATER smaller files may still fit; nothing is dropped while the running total is
-    0. This is a greedy fold (not a prefix cut); it folds (file_id, n) pairs only -
-    never content - per repo: adds ``dropped``."""
-    fold = F.aggregate(
-        F.array_sort(F.collect_list(F.struct("file_id", "n"))),
-        F.struct(F.lit(0).cast("bigint").alias("total"),
-                 F.array().cast("array<string>").alias("dropped")),
-        lambda acc, x: F.when((acc["total"] > 0) & (acc["total"] + x["n"] > total_cap),
-                              F.struct(acc["total"].alias("total"),
-                                       F.concat(acc["dropped"], F.array(x["file_id"]))
-                                       .alias("dropped")))
-        .otherwise(F.struct((acc["total"] + x["n"]).alias("total"),
-                            acc["dropped"].alias("dropped"))),
-        lambda acc: acc["dropped"])
-    drops = (sized.groupBy("repo_id").agg(fold.alias("d"))
-             .select("repo_id", F.explode("d").alias("file_id"))
-             .withColumn("dropped", F.lit(True)))
-    return (sized.join(drops, ["repo_id", "file_id"], "left")
-            .withColumn("dropped", F.coalesce("dropped", F.lit(False))))
+    0. This is a greedy choice (not a prefix cut): adds ``dropped``.
+
+    Computed in rounds over all repositories at once, on (file_id, n) pairs in range
+    partitions, never a repository in one group: prefix sums admit the files up to the first
+    that does not fit; it is dropped, and so is every later file larger than what is left;
+    the rest goes into the next round. A round leaves less than half the budget or drops
+    everything above half of it, so their number grows with the logarithm of the budget.
+    """
+    rest = store(sized.select("repo_id", "file_id", "n"), "sized")
+    total = rest.select("repo_id").distinct().withColumn("total", F.lit(0).cast("bigint"))
+    done = None
+    while not rest.isEmpty():
+        placed = running_offsets(rest, ["repo_id"], ["file_id"], "n", "before").join(total, "repo_id")
+        at = F.col("total") + F.col("before")
+        placed = store(placed.withColumn("fits", (at == 0) | (at + F.col("n") <= total_cap)), "placed")
+        cut = placed.where(~F.col("fits")).groupBy("repo_id").agg(F.min("file_id").alias("cut"))
+        judged = placed.join(cut, "repo_id", "left")
+        taken = F.col("cut").isNull() | (F.col("file_id") < F.col("cut"))
+        total = store(judged.groupBy("repo_id").agg(
+            (F.first("total") + F.coalesce(F.sum(F.when(taken, F.col("n"))), F.lit(0))).alias("total")), "totals")
+        judged = judged.drop("total").join(total, "repo_id")
+        over = (F.col("file_id") == F.col("cut")) | ((F.col("total") > 0)
+                                                     & (F.col("total") + F.col("n") > total_cap))
+        judged = store(judged.select("repo_id", "file_id", "n", F.when(taken, F.lit(False)).when(
+            over, F.lit(True)).alias("dropped")), "judged")
+        closed = judged.where(F.col("dropped").isNotNull())
+        done = closed if done is None else done.unionByName(closed)
+        rest = judged.where(F.col("dropped").isNull()).drop("dropped")
+    flags = done if done is not None else rest.withColumn("dropped", F.lit(False))
+    return sized.join(flags.select("repo_id", "file_id", "dropped"), ["repo_id", "file_id"])
 
 
 def code_payload(node_refs: DataFrame, files: DataFrame, contents: DataFrame,

@@ -128,7 +128,7 @@ class Facts:
     @cached_property
     def deps(self) -> DataFrame:
         from repograph.operators import manifests as MF
-        return MF.merge_deps(self.raw_files)
+        return store(MF.merge_deps(self.raw_files), "deps")
 
     @cached_property
     def entrypoints(self) -> DataFrame:
@@ -137,7 +137,7 @@ class Facts:
         declared = MF.declared_entrypoints(self.raw_files, self.files)
         web = EP.web_entrypoints(self.contents).join(
             self.files.select("repo_id", "path", "file_id"), ["repo_id", "path"])
-        return EP.merge_entrypoints(declared, web)
+        return store(EP.merge_entrypoints(declared, web), "entrypoints")
 
     @cached_property
     def totals(self) -> DataFrame:
