@@ -38,6 +38,11 @@ def _facts(spark: SparkSession, kind: str, sf_dir: str, repos, **kw) -> Facts:
     return _FACTS[key]
 
 
+def forget_facts() -> None:
+    """Let the next queries extract their facts anew (for measurements)."""
+    _FACTS.clear()
+
+
 def facts_d(spark: SparkSession, sf_dir: str, **kw) -> Facts:
     return _facts(spark, "d", sf_dir, C.corpus_d, **kw)
 
