@@ -753,15 +753,15 @@ from repograph.sources import sinks as SK  # noqa: E402
 
 
 def d_log_chunks(spark, sf_dir) -> DataFrame:
-    """D's history exported as log text, one chunk per (repo, month), newest first."""
+    """D's history exported as log text, in chunks of 500 commits, newest first."""
     t = C.d_touches(spark, sf_dir).join(C.d_parts(spark, sf_dir).select("partkey", "path"),
                                          "partkey")
     commits = t.select("repo_id", F.concat(F.lit("c"), "commit_id").alias("commit_hash"),
                        F.date_format("committed_ts", C.ISO_FORMAT).alias("committed_at"),
                        F.unix_timestamp(F.col("committed_ts").cast("timestamp")).alias("sort_ts"),
                        F.col("commit_id").alias("tiebreak"),
-                       F.date_format("committed_ts", "yyyy-MM").alias("month"), "path")
-    return GL.log_chunks_from_commits(commits, "month")
+                       "path")
+    return GL.log_chunks_from_commits(commits)
 
 
 @query("commit_log_rows")

@@ -43,20 +43,17 @@ def commit_log_rows(chunks: DataFrame) -> DataFrame:
             .drop("raw"))
 
 
-def log_chunks_from_commits(commits: DataFrame, chunk_col: str) -> DataFrame:
+def log_chunks_from_commits(commits: DataFrame, chunk_commits: int = 500) -> DataFrame:
     """Render commits(repo_id, commit_hash, committed_at, sort_ts, tiebreak, path) as
-    export chunks (newest first: sort_ts then tiebreak descending),
-    one chunk per (repo_id, ``chunk_col``) value, newest chunk first (a test-data and
-    round-trip helper; each chunk is a bounded slice of one repository's history)."""
-    per_commit = (commits.groupBy("repo_id", chunk_col, "commit_hash", "committed_at", "sort_ts",
-                                  "tiebreak")
+    export chunks of ``chunk_commits`` commits each, newest first (sort_ts then tiebreak
+    descending): a test-data and round-trip helper. The number of chunks grows with a
+    repository's history, their size does not."""
+    per_commit = (commits.groupBy("repo_id", "commit_hash", "committed_at", "sort_ts", "tiebreak")
                   .agg(F.array_sort(F.collect_list("path")).alias("paths")))
+    per_commit = positional_ids(per_commit, ["repo_id"], [F.col("sort_ts").desc(), F.col("tiebreak").desc()], "n")
     rec = F.concat(F.lit(RECORD_SEP), "commit_hash", F.lit(FIELD_SEP), "committed_at",
                    F.lit("\n"), F.array_join("paths", "\n"), F.lit("\n\n"))
-    chunks = (per_commit.groupBy("repo_id", chunk_col)
-              .agg(F.array_sort(F.collect_list(F.struct(
-                  (-F.col("sort_ts")).alias("k1"), (-F.col("tiebreak")).alias("k2"),
-                  rec.alias("rec")))).alias("recs"))
-              .select("repo_id", F.col(chunk_col).alias("chunk_key"),
-                      F.array_join(F.transform("recs", lambda r: r["rec"]), "").alias("text")))
-    return positional_ids(chunks, ["repo_id"], [F.col("chunk_key").desc()], "chunk_no")
+    return (per_commit.groupBy("repo_id", F.floor((F.col("n") - 1) / chunk_commits).alias("chunk_no"))
+            .agg(F.array_sort(F.collect_list(F.struct("n", rec.alias("rec")))).alias("recs"))
+            .select("repo_id", "chunk_no",
+                    F.array_join(F.transform("recs", lambda r: r["rec"]), "").alias("text")))
