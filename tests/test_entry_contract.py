@@ -18,3 +18,15 @@ def test_small_query_runs_on_whole_table(spark):
     df = E.queries()["line_count"](spark, "/root/testdata/sf0.001")
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     assert df.count() == docs.count()
+
+
+def test_entry_works_without_the_corpus_package(monkeypatch):
+    import importlib
+    import importlib.util
+    find = importlib.util.find_spec
+    gone = ("repograph.llm", "corpus_pipeline")
+    with monkeypatch.context() as m:
+        m.setattr(importlib.util, "find_spec", lambda n, *a: None if n.startswith(gone) else find(n, *a))
+        bare = set(importlib.reload(E).queries())
+    importlib.reload(E)
+    assert len(bare) >= 90 and not any(k.startswith("op") or k == "pipeline" for k in bare)
