@@ -144,10 +144,27 @@ FROM t, range(1, len(p) + 1) r(i)
 
 _RAW = "SELECT repo_id, from_id AS file_id, CAST(line AS BIGINT) AS line, raw, " \
        "CAST(level AS BIGINT) AS level, module FROM d_edges"
-ORACLES["python_imports_line"] = D_IMP + "\n" + _RAW + " WHERE lang = 'python'"
-ORACLES["js_imports_line"] = D_IMP + "\n" + _RAW + " WHERE lang = 'js'"
-ORACLES["python_imports_stmt"] = ORACLES["python_imports_line"]
-ORACLES["js_imports_stmt"] = ORACLES["js_imports_line"]
+
+
+def _scan_sql(lang: str, exts: str, forms: list[tuple[int, str, str]]) -> str:
+    """Plain import lines, and what a scan finds in the appended forms: (line, raw, module)."""
+    values = ", ".join("({}, '{}', '{}')".format(n, raw.replace("'", "''"), module) for n, raw, module in forms)
+    return D_IMP + "\n" + _RAW + f""" WHERE lang = '{lang}'
+UNION ALL
+SELECT p.repo_id, i.file_id, {LOC.replace('content', 'p.content')} + v.n, v.raw, 0, v.module
+FROM d_pfiles p JOIN d_ids i ON i.repo_id = p.repo_id AND i.path = p.path
+CROSS JOIN (VALUES {values}) AS v(n, raw, module)
+WHERE p.partkey % 23 = 0 AND p.ext IN ({exts})"""
+
+
+_JS = "'.js', '.ts'"
+ORACLES["python_imports_line"] = _scan_sql("python", "'.py'", [
+    (2, "import fake_doc", "fake_doc"), (6, "from os import (", "os")])
+ORACLES["python_imports_stmt"] = _scan_sql("python", "'.py'", [
+    (4, "try: import ext_one", "ext_one"), (5, "except ImportError: import ext_two", "ext_two"),
+    (6, "from os import (", "os")])
+ORACLES["js_imports_line"] = _scan_sql("js", _JS, [(3, "import no from 'no';", "no")])
+ORACLES["js_imports_stmt"] = _scan_sql("js", _JS, [(7, "} from 'multi';", "multi")])
 
 ORACLES["merge_edges"] = D_IMP + """
 SELECT repo_id, from_id AS file_id, CAST(line AS BIGINT) AS line, raw, module,

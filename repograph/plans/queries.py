@@ -197,28 +197,56 @@ def _raw_out(f: Facts, df: DataFrame) -> DataFrame:
         F.col("level").cast("bigint").alias("level"), "module")
 
 
+#: Source forms on which the statement scan and the line scan differ, appended to the parts
+#: whose key is a multiple of 23: a docstring, one-line blocks and a multi-line import; a regex
+#: literal with quotes, a comment and a multi-line import.
+PY_FORMS = """\"\"\"
+import fake_doc
+\"\"\"
+try: import ext_one
+except ImportError: import ext_two
+from os import (
+    path)
+"""
+JS_FORMS = """const re = /[`'"/*]+/g;
+/*
+import no from 'no';
+*/
+import {
+  a
+} from 'multi';
+"""
+
+
+def _with_forms(contents: DataFrame) -> DataFrame:
+    k = F.regexp_extract("path", r"/m(\d+)\.(?:py|js|ts)$", 1).try_cast("bigint")
+    forms = F.when(F.col("path").endswith(".py"), F.lit(PY_FORMS)).otherwise(F.lit(JS_FORMS))
+    return contents.withColumn("content", F.when(k % 23 == 0, F.concat("content", forms))
+                               .otherwise(F.col("content")))
+
+
 @query("python_imports_line")
 def q_python_imports_line(spark, sf_dir):
     f = facts_d(spark, sf_dir)
-    return _raw_out(f, M.python_imports_line(f.contents))
+    return _raw_out(f, M.python_imports_line(_with_forms(f.contents)))
 
 
 @query("js_imports_line")
 def q_js_imports_line(spark, sf_dir):
     f = facts_d(spark, sf_dir)
-    return _raw_out(f, M.js_imports_line(f.contents))
+    return _raw_out(f, M.js_imports_line(_with_forms(f.contents)))
 
 
 @query("python_imports_stmt")
 def q_python_imports_stmt(spark, sf_dir):
     f = facts_d(spark, sf_dir)
-    return _raw_out(f, M.python_imports_stmt(f.contents))
+    return _raw_out(f, M.python_imports_stmt(_with_forms(f.contents)))
 
 
 @query("js_imports_stmt")
 def q_js_imports_stmt(spark, sf_dir):
     f = facts_d(spark, sf_dir)
-    return _raw_out(f, M.js_imports_stmt(f.contents))
+    return _raw_out(f, M.js_imports_stmt(_with_forms(f.contents)))
 
 
 @query("merge_edges")
