@@ -29,7 +29,8 @@ from repograph.llm.common import arrow_batches, stored
 
 PIECE_BYTES = 8               # longest piece
 RUN_BYTES = 32                # words are cut into runs of at most so many bytes
-CACHE_WORDS = 300_000         # words whose scores a task keeps
+CACHE_WORDS = 500_000         # words whose scores a process keeps
+SAMPLE_FILES = 24             # files of the sample's word counts
 UNKNOWN = "und"
 
 
@@ -148,10 +149,17 @@ def _pieces(ranks_path: str) -> Pieces:
     return Pieces(ranks_path)
 
 
+class _WordCache:
+    """Scores of words met by this process under a model, in Arrow and numpy arrays."""
+
+    def __init__(self, languages: int):
+        self.words, self.scores = pa.array([], pa.large_string()), np.zeros((0, languages))
+
+
 @lru_cache(maxsize=1)
-def _word_cache(model: str) -> dict:
-    """Scores of words met by this process under a model; its tasks share them."""
-    return {}
+def _word_cache(model: str, languages: int) -> _WordCache:
+    """The process's cache: its tasks share it."""
+    return _WordCache(languages)
 
 
 class LanguageModel:
@@ -162,30 +170,39 @@ class LanguageModel:
         self.name = uuid.uuid4().hex
 
     def scorer(self):
-        pieces, seen = _pieces(self.ranks_path), _word_cache(self.name)
+        pieces, cache = _pieces(self.ranks_path), _word_cache(self.name, len(self.languages))
+
+        def known(words: pa.Array) -> np.ndarray:
+            """Scores of distinct words; new ones are computed, and kept if they are short."""
+            if len(cache.words) > CACHE_WORDS:
+                cache.__init__(len(self.languages))
+            rows = pc.fill_null(pc.index_in(words, value_set=cache.words), -1).to_numpy().astype(np.int64)
+            new = np.flatnonzero(rows < 0)
+            if not len(new):
+                return cache.scores[rows]
+            sub = words.take(pa.array(new))
+            got = word_scores(pieces, sub.to_numpy(zero_copy_only=False).tolist(), self.prob)
+            rows[new] = len(cache.words) + np.arange(len(new))
+            out = np.concatenate([cache.scores, got])[rows]
+            short = pc.less_equal(pc.binary_length(sub), 2 * RUN_BYTES).to_numpy(zero_copy_only=False)
+            cache.words = pa.concat_arrays([cache.words, sub.filter(pa.array(short))])
+            cache.scores = np.concatenate([cache.scores, got[short]])
+            return out
 
         def score(texts: pa.Array) -> np.ndarray:
             """Log score (texts, languages); NaN where a text has no letter."""
             lists = split_words(texts)
             coded = lists.flatten().dictionary_encode()
-            words = coded.dictionary.to_pylist()
-            if len(seen) > CACHE_WORDS:
-                seen.clear()
-            new = [w for w in words if w not in seen]
-            if new:
-                got = word_scores(pieces, [w for w in new], self.prob)
-                seen.update(zip(new, got))
-            table = np.array([seen[w] for w in words]).reshape(len(words), len(self.languages))
-            for w in new:
-                if len(w) > 2 * RUN_BYTES:
-                    del seen[w]
+            words = coded.dictionary
+            table = known(words)
             code, offsets = coded.indices.to_numpy(), lists.offsets.to_numpy()
-            real = np.fromiter(map(len, words), np.int64, len(words))[code] > 0
+            real = (pc.binary_length(words).to_numpy() > 0)[code]
             row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
             row, code = row[real], code[real]
             out = np.stack([np.bincount(row, weights=table[code, k], minlength=len(offsets) - 1)
                             for k in range(len(self.languages))], axis=1) + self.prior
             out[np.bincount(row, minlength=len(offsets) - 1) == 0] = np.nan
+            pa.default_memory_pool().release_unused()
             return out
         return score
 
@@ -222,7 +239,8 @@ def train(rows: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: st
                                                   "n": list(c.values())})
 
     counts = sample.select("lang", "text").mapInArrow(count, "lang string, word string, n long")
-    counts = stored(counts.groupBy("lang", "word").agg(F.sum("n").alias("n")), "word-counts")
+    counts = counts.groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    counts = stored(counts.coalesce(SAMPLE_FILES), "word-counts")      # as bounded as the sample
 
     pieces = _pieces(ranks_path)
     prob = np.full((pieces.n + 1, len(languages)), 1.0 / pieces.n)
