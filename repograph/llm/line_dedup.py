@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from repograph.llm.common import ascii_lower, ascii_strip
+from repograph.llm.common import ascii_lower, ascii_strip, stored
 
 _NO_ID = 9223372036854775807
 
@@ -39,6 +39,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     shared = keyed.groupBy("h1", "h2").agg(
         F.min("__did").alias("first"), F.max("__did").alias("last")).where(
         F.col("first") < F.col("last")).select("h1", "h2", "first")
+    # stored: a join of two plain exchanges, which AQE can split at a very common line
+    shared = stored(shared, "shared-lines")
     dropped = keyed.join(shared, ["h1", "h2"]).where(F.col("__did") != F.col("first"))
     per_doc = dropped.groupBy("__did", "__rk").agg(F.collect_set("pos").alias("__drop"))
     cut = src.join(per_doc, ["__did", "__rk"], "left").withColumn("__lines", F.split(text, "\n", -1))

@@ -13,6 +13,7 @@ and no link is lost. A bucket emits a spanning forest of its links, never all pa
 """
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,28 +28,47 @@ SEED = 42
 BITS = 64
 FAN = 8                       # children of an index node
 SEARCH_ROWS = 1 << 21         # (query, node) pairs held at once in a search
+SLICE = 1 << 20               # bytes of a text that are split into words at once
+_SPACE = re.compile(rb"[\x09-\x0D\x20]")
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little")
 
 
+def _words(raw: bytes) -> Iterator[list[bytes]]:
+    """Words between ASCII white space, from a slice of the text at a time."""
+    at = 0
+    while at < len(raw):
+        cut = _SPACE.search(raw, at + SLICE)
+        end = cut.start() if cut else len(raw)
+        yield raw[at:end].split()
+        at = end
+
+
 def fingerprint(text: str | None, ngram: int = 3) -> int:
     """SimHash of a text: A-Z lower-cased words between ASCII white space, ``ngram``-word
     shingles with repeats, XXH64; a bit is set if more than half of the hashes have it.
     Fewer words than ``ngram``: one shingle, the whole sequence; none (or null): zero."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return 0
-    joined, n = b" ".join(words), len(words)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1) - 1
-    first = np.concatenate(([0], ends[:-1] + 1))
-    k = max(1, n - ngram + 1)
-    ends = ends[min(ngram, n) - 1:]
-    digest, votes = xxhash.xxh64_intdigest, np.zeros((8, 256), np.int64)
-    for i in range(0, k, 1 << 16):
-        at = zip(first[i:min(k, i + (1 << 16))].tolist(), ends[i:i + (1 << 16)].tolist())
-        h = np.array([digest(joined[a:b], SEED) for a, b in at], np.uint64)
-        byte = h.view(np.uint8).reshape(-1, 8) + np.arange(0, 2048, 256, dtype=np.int64)
-        votes += np.bincount(byte.ravel(), minlength=2048).reshape(8, 256)
-    bits = (votes @ _BYTE_BITS.astype(np.int64)) * 2 > k
+    raw = (text or "").encode("utf-8", "surrogatepass").lower()
+    digest, votes, n, words = xxhash.xxh64_intdigest, np.zeros((8, 256), np.int64), 0, []
+
+    def vote(hashes: list[int]) -> None:
+        byte = np.array(hashes, np.uint64).view(np.uint8).reshape(-1, 8)
+        votes[:] += np.bincount((byte + np.arange(0, 2048, 256)).ravel(), minlength=2048).reshape(8, 256)
+
+    for part in _words(raw):
+        words += part                                  # with the last words of the slice before
+        k = len(words) - ngram + 1
+        if k > 0:
+            joined = b" ".join(words)
+            ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+            first = np.concatenate(([0], ends[:-1] + 1))[:k].tolist()
+            vote([digest(joined[i:j], SEED) for i, j in zip(first, ends[ngram - 1:].tolist())])
+            n, words = n + k, words[k:]
+    if not n:
+        if not words:
+            return 0
+        vote([digest(b" ".join(words), SEED)])
+        n = 1
+    bits = (votes @ _BYTE_BITS.astype(np.int64)) * 2 > n
     return int.from_bytes(np.packbits(bits.ravel(), bitorder="little").tobytes(), "little")
 
 
@@ -193,11 +213,11 @@ def fingerprint_links(codes: DataFrame, max_bits: int = 3, bucket_rows: int = 10
     work = _routed(codes.select("code", F.lit(0).cast("long").alias("fixed")), masks)
     done = None
     while True:
-        hot = stored(work.groupBy("fixed", "key").count().where(F.col("count") > bucket_rows)
-                     .select("fixed", "key"), "hot-buckets")
+        hot = work.groupBy("fixed", "key").count().where(F.col("count") > bucket_rows)
         if hot.isEmpty():
             done = work if done is None else done.unionByName(work)
             break
+        hot = stored(hot.select("fixed", "key"), "hot-buckets")
         cold = work.join(hot, ["fixed", "key"], "left_anti").select("fixed", "key", "code")
         done = cold if done is None else done.unionByName(cold)
         masks = {m: split_mask(m, max_bits + 1) for f in masks.values() for m in f}
@@ -227,6 +247,7 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     named = linked.join(named, "root").select("code", "name")
     groups = codes.join(named, "code", "left").select(
         "code", F.coalesce("name", "first").alias("component_id"))
+    groups = stored(groups, "groups")        # so that AQE can split the join at a hot fingerprint
     return fps.join(groups, fps["fp"] == groups["code"]).select(
         F.col("id").alias(id_col), "fp", "component_id")
 
@@ -235,6 +256,8 @@ def one_per_group(docs: DataFrame) -> DataFrame:
     """Pipeline stage: ``docs`` with one document of each near-duplicate group, the one with
     the smallest id; of rows that share that id one stays, and rows without id stay only if
     no row of their group has one (then as one row)."""
-    keep = simhash_groups(docs).select(F.col("component_id").alias("keep_id")).distinct()
+    groups = stored(simhash_groups(docs), "members")
+    keep = groups.select(F.col("component_id").alias("keep_id")).distinct()
     kept = docs.join(keep, F.col("doc_id").eqNullSafe(F.col("keep_id")), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    repeated = groups.groupBy("doc_id").count().where(F.col("count") > 1)
+    return kept if repeated.isEmpty() else kept.dropDuplicates(["doc_id"])

@@ -10,6 +10,7 @@ The ids of all texts are then put together by one numpy gather.
 from __future__ import annotations
 
 import os
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -19,6 +20,8 @@ import pyarrow.compute as pc
 CACHE_STEMS = 700_000         # stems kept between batches; beyond it the cache starts anew
 LONGEST_CACHED = 64           # bytes of a stem that is worth keeping
 JOINED_STEMS = 1 << 14        # stems encoded as one text
+LONG_BYTES = 16 << 20         # a text above this is encoded in parts of about half of it
+_BETWEEN = re.compile(r"(?<=\S)[ \n](?=\S)")
 _TEXT = pa.large_string()
 #: Characters after which a full stop or comma surely starts a new pre-token.
 _BEFORE_STOP = pa.array([chr(c) for r in ("09", "AZ", "az", "\xc0\xd6", "\xd8\xf6", "\xf8\xff")
@@ -140,7 +143,20 @@ class ChunkEncoder:
         return out, total[::2], edge
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """All ids, text after text, and the number of ids of each text (null: none)."""
+        """All ids, text after text, and the number of ids of each text (null: none). A very
+        long text is cut where chunks are, so that what is held at once stays bounded."""
+        if len(texts) == 1 and texts.nbytes > LONG_BYTES and texts[0].is_valid:
+            text, at, found = texts[0].as_py(), 0, []
+            while at < len(text):
+                cut = _BETWEEN.search(text, at + LONG_BYTES // 2)
+                end = cut.start() if cut else len(text)
+                found.append(self._encode_all(pa.array([text[at:end]], _TEXT))[0])
+                at = end
+            ids = np.concatenate(found)
+            return ids, np.array([len(ids)])
+        return self._encode_all(texts)
+
+    def _encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         texts = pc.fill_null(texts.cast(_TEXT), "")
         lines = pc.split_pattern(texts, "\n")
         pieces = pc.split_pattern(lines.flatten(), " ")

@@ -43,6 +43,15 @@ def run(df):
     return sorted(((r.doc_id, r.fp % 2 ** 64, r.component_id) for r in simhash_groups(df).collect()), key=str)
 
 
+def test_fingerprint_across_slices(monkeypatch):
+    import repograph.llm.simhash as S
+    text = words(900, 5, 60) + "  \n\t" + words(40, 6)
+    for size in (1, 3, 17, 1000):
+        monkeypatch.setattr(S, "SLICE", size)
+        for t in (text, "a", "a b", " a  b c ", "  "):
+            assert fingerprint(t) == plain_fingerprint(t)
+
+
 def test_fingerprint_of_any_length():
     for t in (None, "", "a", "a b", "a b c", "A B\tc\x0bd", "é É x y", words(70_000, 1, 50)):
         assert fingerprint(t) == plain_fingerprint(t)

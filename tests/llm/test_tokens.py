@@ -38,6 +38,16 @@ def test_encoder_equals_the_library(reference):
         assert ids.tolist() == [x for w in want for x in w]
 
 
+def test_long_texts_are_cut_between_chunks(reference, monkeypatch):
+    import repograph.llm.tokens as T
+    monkeypatch.setattr(T, "LONG_BYTES", 300)
+    encoder = ChunkEncoder(VOCAB)
+    r = random.Random(2)
+    for t in (words(500, 1), "".join(r.choice(" \n\tab'1.,é日") for _ in range(3000)), "x" * 5000, " " * 900, "a \n b" * 300):
+        ids, counts = encoder.encode(pa.array([t]))
+        assert ids.tolist() == reference(t) and counts.tolist() == [len(ids)]
+
+
 def test_cache_starts_anew(reference, monkeypatch):
     import repograph.llm.tokens as T
     monkeypatch.setattr(T, "CACHE_STEMS", 20)
