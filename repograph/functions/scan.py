@@ -26,8 +26,8 @@ PY_TOKENS = (
 JS_TOKENS = (
     r"//[^\n]*"
     r"|/\*[\s\S]*?(?:\*/|\z)"
-    r"|(?<=[(,=:\[!&|?{};+*%~^<>\n-][ \t]{0,8}|\breturn[ \t]{1,8})"
-    r"/(?:[^/\\\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[a-zA-Z]*"
+    r"|/(?<=[(,=:\[!&|?{};+*%~^<>\n-][ \t]{0,8}/|\breturn[ \t]{1,8}/)"
+    r"(?:[^/\\\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[a-zA-Z]*"
     r"|`[^`\\]*(?:\\[\s\S][^`\\]*)*`?"
     r'|"[^"\\\n]*(?:\\.[^"\\\n]*)*"?'
     r"|'[^'\\\n]*(?:\\.[^'\\\n]*)*'?"
