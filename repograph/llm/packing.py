@@ -1,10 +1,11 @@
 """Lexical retrieval packing: windows filled with a seed document's BM25 neighbours.
 
 Documents are tokenized once (a stored table of ids). Document frequencies of all token ids
-over all documents come from a partial aggregate, bounded by the vocabulary. Each task then
-takes its documents shard by shard: a shard of about ``shard_tokens`` ids gets an inverted
-index (postings with BM25 impacts under the global frequencies), and windows are packed
-greedily: the seed goes in first, then its best unused neighbours until the window is full. A
+over all documents come from a partial aggregate, bounded by the vocabulary. Lexically near
+documents are then routed to one bucket of about ``shard_tokens`` ids by a tree of two-means
+cuts over sketches of their BM25 weights, wherever they are stored. Each bucket is a shard with
+an inverted index (postings with BM25 impacts under the global frequencies), and windows are
+packed greedily: the seed goes in first, then its best unused neighbours until the window is full. A
 document that does not fit is cut there, and its rest is the next window's seed, so windows
 have no padding; what is left at a task's end is cut into powers of two, which need none.
 """
@@ -22,6 +23,8 @@ from repograph.llm.token_files import with_end_ids
 from repograph.llm.tokens import chunk_encoder
 
 K1, B = 1.2, 0.75
+SKETCH = 128                  # numbers in the sketch that routes a document to its shard
+ROUTE_SAMPLE = 1 << 17        # sketches, at most, that the routes are learned from
 
 
 def tokenized(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: str = "text",
@@ -59,6 +62,7 @@ def term_statistics(tokens: DataFrame) -> tuple[np.ndarray, int, float]:
         df, held, docs, length = np.zeros(0, np.int64), np.zeros(0, bool), 0, 0
         for b in arrow_batches(batches, 4 << 20):
             for ids in _arrays(b):
+                ids = ids[:-1]                         # the end id is no term
                 docs, length, top = docs + 1, length + len(ids), int(ids.max(initial=0)) + 1
                 if top > len(df):
                     df, held = np.r_[df, np.zeros(top - len(df), np.int64)], np.zeros(top, bool)
@@ -78,17 +82,134 @@ def term_statistics(tokens: DataFrame) -> tuple[np.ndarray, int, float]:
     return df, docs, length / max(1, docs)
 
 
+def impacts(docs: list[np.ndarray], idf: np.ndarray, mean_length: float):
+    """(term, document, BM25 impact) of each distinct id of each document, by term, then document."""
+    n, lengths = len(docs), np.array([len(d) for d in docs], np.int64)
+    pair = np.concatenate(docs).astype(np.int64) * n + np.repeat(np.arange(n), lengths)
+    pair, tf = np.unique(pair, return_counts=True)
+    term, doc = np.divmod(pair, n)
+    norm = K1 * (1 - B + B * lengths / max(mean_length, 1.0))
+    return term, doc, (idf[term] * tf * (K1 + 1) / (tf + norm[doc])).astype(np.float32)
+
+
+def sketches(docs: list[np.ndarray], idf: np.ndarray, mean_length: float) -> np.ndarray:
+    """Unit vectors of ``SKETCH`` numbers: the documents' impacts, added up with random signs."""
+    r = np.random.RandomState(7)
+    slot, sign = r.randint(SKETCH, size=len(idf)), r.choice(np.array([-1, 1], np.float32), len(idf))
+    term, doc, impact = impacts(docs, idf, mean_length)
+    x = np.bincount(doc * SKETCH + slot[term], impact * sign[term], len(docs) * SKETCH)
+    x = x.reshape(-1, SKETCH).astype(np.float32)
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+
+
+def _halves(x: np.ndarray):
+    """(direction, cut, which rows lie above it) of two means of ``x``; None for equal rows."""
+    mean = x.mean(axis=0)
+    v = x[np.argmin(x @ mean)] - mean
+    for _ in range(6):                                   # towards the principal direction
+        v = (x - mean).T @ ((x - mean) @ v)
+        v /= max(float(np.linalg.norm(v)), 1e-12)
+    direction, cut = v, float(mean @ v)
+    for _ in range(6):
+        above = x @ direction > cut
+        if above.all() or not above.any():
+            return None
+        low, high = x[~above].mean(axis=0), x[above].mean(axis=0)
+        direction, cut = high - low, float((high @ high - low @ low) / 2)
+    above = x @ direction > cut
+    return None if above.all() or not above.any() else (direction, cut, above)
+
+
+class Routes:
+    """Tree of two-means cuts over sampled sketches. Its leaves, from left to right, are dealt
+    to buckets of about ``shard_tokens`` ids; a leaf above that is dealt to several."""
+
+    def __init__(self, x: np.ndarray, length: np.ndarray, shard_tokens: int):
+        direction, cut, self.child, load = [], [], [], []
+        todo: list[tuple] = [(np.arange(len(x)), None)]
+        while todo:
+            rows, at = todo.pop()
+            big = len(rows) >= 8 and length[rows].sum() > shard_tokens / 8
+            halves = _halves(x[rows]) if big else None
+            if halves:
+                name = len(direction)
+                direction.append(halves[0])
+                cut.append(halves[1])
+                self.child.append([0, 0])
+                todo += [(rows[halves[2]], (name, 1)), (rows[~halves[2]], (name, 0))]
+            else:
+                name = -1 - len(load)
+                load.append(length[rows].sum())
+            if at:
+                self.child[at[0]][at[1]] = name
+        self.child = np.array(self.child, np.int64).reshape(-1, 2)
+        self.direction, self.cut = np.array(direction, np.float32).reshape(-1, SKETCH), np.array(cut, np.float32)
+        self.first, self.parts, bucket, filled = [], [], 0, 0.0
+        for n in load:
+            if filled and filled + n > shard_tokens:
+                bucket, filled = bucket + 1, 0.0
+            self.first.append(bucket)
+            self.parts.append(max(1, int(np.ceil(n / shard_tokens))))
+            bucket, filled = (bucket + self.parts[-1], 0.0) if self.parts[-1] > 1 else (bucket, filled + n)
+        self.first, self.parts = np.array(self.first), np.array(self.parts)
+
+    def leaf(self, x: np.ndarray) -> np.ndarray:
+        node = np.full(len(x), 0 if len(self.child) else -1)
+        while (node >= 0).any():
+            i = np.flatnonzero(node >= 0)
+            at = node[i]
+            node[i] = self.child[at, (np.einsum("ij,ij->i", x[i], self.direction[at]) > self.cut[at]).astype(int)]
+        return -1 - node
+
+
+def routed(tokens: DataFrame, idf: np.ndarray, mean_length: float, n_docs: int, shard_tokens: int) -> DataFrame:
+    """``tokens`` with lexically near documents in one ``bucket`` and next to each other,
+    wherever they are stored; every row goes to exactly one bucket."""
+    spark, kind = tokens.sparkSession, tokens.schema["id"].dataType.simpleString()
+    tokens_in_all = mean_length * n_docs
+    wanted = min(ROUTE_SAMPLE, 128 * (1 + int(tokens_in_all / shard_tokens)) + 4096)
+    share = min(1.0, wanted / max(1, n_docs))
+
+    def sketch(batches: Iterator) -> Iterator:
+        for b in arrow_batches(batches, 4 << 20):
+            docs = [d[:-1] for d in _arrays(b)]
+            x = sketches(docs, idf, mean_length)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([len(d) for d in docs], pa.int64()), pa.array([v.tobytes() for v in x], pa.binary())],
+                names=["n", "x"])
+
+    routes = Routes(np.zeros((0, SKETCH), np.float32), np.zeros(0), shard_tokens)
+    if tokens_in_all > shard_tokens:
+        rows = tokens.sample(share, seed=7).mapInArrow(sketch, "n long, x binary").collect()
+        if rows:
+            x = np.frombuffer(b"".join(r["x"] for r in rows), np.float32).reshape(-1, SKETCH)
+            routes = Routes(x, np.array([r["n"] for r in rows]) / share, shard_tokens)
+    held = spark.sparkContext.broadcast(routes)
+
+    def run(batches: Iterator) -> Iterator:
+        from pyspark import TaskContext
+        row, to = TaskContext.get().partitionId() << 40, held.value
+        for b in arrow_batches(batches, 4 << 20):
+            rid = row + np.arange(b.num_rows)
+            row += b.num_rows
+            leaf = np.zeros(b.num_rows, np.int64)
+            if len(to.child):
+                leaf = to.leaf(sketches([d[:-1] for d in _arrays(b)], idf, mean_length))
+            bucket = to.first[leaf] + rid % to.parts[leaf]
+            yield pa.RecordBatch.from_arrays(
+                [*b.columns, pa.array(bucket), pa.array(leaf), pa.array(rid)],
+                names=["id", "width", "ids", "bucket", "leaf", "rid"])
+
+    out = tokens.mapInArrow(run, f"id {kind}, width int, ids binary, bucket long, leaf long, rid long")
+    return out.repartition("bucket").sortWithinPartitions("bucket", "leaf", "rid").drop("leaf", "rid")
+
+
 class Bm25Shard:
     """Inverted index of some documents' token ids with BM25 impacts."""
 
     def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean_length: float):
         self.n = len(docs)
-        lengths = np.array([len(d) for d in docs], np.int64)
-        pair = np.concatenate(docs).astype(np.int64) * self.n + np.repeat(np.arange(self.n), lengths)
-        pair, tf = np.unique(pair, return_counts=True)
-        term, doc = np.divmod(pair, self.n)
-        norm = K1 * (1 - B + B * lengths / max(mean_length, 1.0))
-        impact = (idf[term] * tf * (K1 + 1) / (tf + norm[doc])).astype(np.float32)
+        term, doc, impact = impacts(docs, idf, mean_length)
         # postings by term (for lookups), and the postings of each document (for queries)
         self.doc, self.impact, self.term = doc, impact, term
         self.start = np.searchsorted(term, np.arange(len(idf) + 1)).tolist()
@@ -142,7 +263,7 @@ class Packer:
         return carried
 
     def shard(self, names: list, docs: list[np.ndarray]) -> None:
-        index = Bm25Shard(docs, self.idf, self.mean)
+        index = Bm25Shard([d[:-1] for d in docs], self.idf, self.mean)
         free = np.ones(len(docs), bool)
         nxt, seed, cached = 0, None, None
         while True:
@@ -188,8 +309,9 @@ def pack_documents(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", tex
 
     The pieces of a document partition its ids (with the end id); the pieces of a sequence are
     gapless from 0; sequences have ``window`` ids, or a power of two at the end of a task's
-    documents. Neighbours come from the same shard: documents stored near each other. A task
-    holds one shard, and a document of any length is a shard by itself.
+    documents. Neighbours come from the same shard;
+    shards are buckets of lexically near documents (``routed``), wherever these are stored. A
+    task holds one shard, and a document of any length is a shard by itself.
 
     Defined results: null or empty text is the end id alone; repeated rows and rows without id
     are packed like any other; an empty table gives an empty table; other columns are ignored.
@@ -212,13 +334,14 @@ def pack_documents(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", tex
     def run(batches: Iterator) -> Iterator:
         from pyspark import TaskContext
         packer = Packer(window, idf, mean, query_terms, TaskContext.get().partitionId() << 40)
-        names, held, n, kind_of = [], [], 0, pa.int64()
+        names, held, n, kind_of, last = [], [], 0, pa.int64(), None
         for b in arrow_batches(batches, 4 << 20):
             kind_of = b.schema.field(0).type
-            for name, ids in zip(b.column(0).to_pylist(), _arrays(b)):
-                if held and n + len(ids) > shard_tokens:
+            for name, ids, bucket in zip(b.column(0).to_pylist(), _arrays(b), b.column(3).to_pylist()):
+                if held and (n + len(ids) > 2 * shard_tokens or bucket != last):
                     packer.shard(names, held)
                     names, held, n = [], [], 0
+                last = bucket
                 names.append(name)
                 held.append(ids)
                 n += len(ids)
@@ -231,6 +354,6 @@ def pack_documents(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", tex
         for i in range(0, len(packer.out), 1000):
             yield pieces(packer.out[i:i + 1000], kind_of)
 
-    out = tokens.mapInArrow(run, f"doc_id {kind}, start long, length long, ids binary, "
-                                 "doc_tokens long, sequence_id long, offset long")
+    out = routed(tokens, idf, mean, n_docs, shard_tokens).mapInArrow(run, f"doc_id {kind}, start long, length long, ids binary, "
+        "doc_tokens long, sequence_id long, offset long")
     return out.withColumnRenamed("doc_id", id_col)

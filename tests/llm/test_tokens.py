@@ -141,6 +141,22 @@ def test_neighbours_share_a_window(spark):
     assert sum(len(v) for v in by.values()) / len(by) < 3      # by chance nearly all 8
 
 
+def topic_docs(per_topic=20, topics=32):
+    r = random.Random(0)
+    words_of = [["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(30)] for _ in range(topics)]
+    return [(i, " ".join(r.choice(words_of[i % topics]) for _ in range(40))) for i in range(per_topic * topics)]
+
+
+def test_neighbours_stored_in_other_shards_share_a_window(spark):
+    df = spark.createDataFrame(topic_docs(), "doc_id long, text string").repartition(4)
+    out = pack_documents(df, VOCAB, window=1024, shard_tokens=6000).collect()
+    assert sum(r.length for r in out) > 6 * 6000                # many shards
+    by = {}
+    for x in out:
+        by.setdefault(x.sequence_id, set()).add(x.doc_id % 32)
+    assert sum(len(v) for v in by.values()) / len(by) < 3
+
+
 def test_packing_edge_rows(spark):
     df, rows, _ = edge_docs(spark)
     out = pack_documents(df, VOCAB)
