@@ -25,6 +25,7 @@ from repograph.llm.tokens import chunk_encoder
 K1, B = 1.2, 0.75
 SKETCH = 128                  # numbers in the sketch that routes a document to its shard
 ROUTE_SAMPLE = 1 << 17        # sketches, at most, that the routes are learned from
+DENSE_CELLS = 1 << 20         # cells of a shard's dense matrix
 
 
 def tokenized(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: str = "text",
@@ -205,38 +206,56 @@ def routed(tokens: DataFrame, idf: np.ndarray, mean_length: float, n_docs: int,
 
 
 class Bm25Shard:
-    """Inverted index of some documents' token ids with BM25 impacts."""
+    """Inverted index of some documents' token ids with BM25 impacts.
+
+    Terms with the longest postings are rows of a dense matrix, the others are lists."""
 
     def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean_length: float):
         self.n = len(docs)
-        term, doc, impact = impacts(docs, idf, mean_length)
-        # postings by term (for lookups), and the postings of each document (for queries)
-        self.doc, self.impact, self.term = doc, impact, term
-        self.start = np.searchsorted(term, np.arange(len(idf) + 1)).tolist()
+        self.term, self.doc, self.impact = impacts(docs, idf, mean_length)
+        self.start = np.searchsorted(self.term, np.arange(len(idf) + 1))
+        self.size = np.diff(self.start)
         small = np.uint16 if self.n <= 1 << 16 else np.int64          # 16 bits sort by radix
-        self.order = np.argsort(doc.astype(small), kind="stable")
-        self.first = np.cumsum(np.r_[0, np.bincount(doc, minlength=self.n)])
-
-    def neighbours(self, seed: int, query_terms: int) -> np.ndarray:
-        """Documents that share one of the seed's ``query_terms`` heaviest terms, best BM25
-        first (then in order)."""
-        own = self.order[self.first[seed]:self.first[seed + 1]]
-        if len(own) > query_terms:
-            own = own[np.argpartition(-self.impact[own], query_terms)[:query_terms]]
-        score = np.zeros(self.n, np.float32)
-        for t in self.term[own].tolist():
-            a, b = self.start[t], self.start[t + 1]
-            score[self.doc[a:b]] += self.impact[a:b]
-        found = np.flatnonzero(score)
-        return found[np.argsort(-score[found], kind="stable")]
+        self.order = np.argsort(self.doc.astype(small), kind="stable")
+        self.first = np.cumsum(np.r_[0, np.bincount(self.doc, minlength=self.n)])
+        dense = np.argsort(-self.size, kind="stable")[:DENSE_CELLS // max(1, self.n)]
+        dense = dense[self.size[dense] > self.n // 16]
+        self.row = np.full(len(idf), -1)
+        self.row[dense] = np.arange(len(dense))
+        self.dense = np.zeros((len(dense), self.n), np.float32)
+        at = self.row[self.term]
+        self.dense[at[at >= 0], self.doc[at >= 0]] = self.impact[at >= 0]
+
+    def scores(self, seed: int) -> np.ndarray:
+        """BM25 of each document for all distinct terms of the seed's text."""
+        terms = self.term[self.order[self.first[seed]:self.first[seed + 1]]]
+        row = self.row[terms]
+        query = np.zeros(len(self.dense), np.float32)
+        query[row[row >= 0]] = 1
+        terms = terms[row < 0]
+        size = self.size[terms]
+        at = np.repeat(self.start[terms] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        return query @ self.dense + np.bincount(self.doc[at], self.impact[at], self.n).astype(np.float32)
+
+    def neighbours(self, seed: int, free: np.ndarray) -> Iterator[int]:
+        """Documents of ``free`` that share a term with the seed, best BM25 first (then in order)."""
+        score = self.scores(seed)
+        found = np.flatnonzero((score > 0) & free)
+        while len(found):                              # the best are sorted first, the rest on demand
+            value = score[found]
+            top = np.ones(len(found), bool)
+            if len(found) > 512:
+                top = value >= np.partition(value, len(found) - 256)[len(found) - 256]
+            yield from found[top][np.argsort(-value[top], kind="stable")].tolist()
+            found = found[~top]
 
 
 class Packer:
     """Packs documents, shard by shard, into sequences of ``window`` ids."""
 
-    def __init__(self, window: int, idf: np.ndarray, mean_length: float, query_terms: int, base: int):
+    def __init__(self, window: int, idf: np.ndarray, mean_length: float, base: int):
         self.window, self.idf, self.mean = window, idf, mean_length
-        self.query_terms, self.sequence = query_terms, base
+        self.sequence = base
         self.open: list[tuple] = []          # (id, start, ids, ids of the document) of the open window
         self.filled = 0
         self.out: list[tuple] = []
@@ -270,8 +289,7 @@ class Packer:
             pick = None
             if self.filled and seed is not None:              # a neighbour of the window's seed
                 if cached is None or cached[0] != seed:
-                    order = index.neighbours(seed, self.query_terms)
-                    cached = seed, iter(order[free[order]].tolist())
+                    cached = seed, index.neighbours(seed, free.copy())
                 pick = next((d for d in cached[1] if free[d]), None)
             if pick is None:                                   # nothing shares a term: next in order
                 while nxt < len(docs) and not free[nxt]:
@@ -302,14 +320,14 @@ class Packer:
 
 
 def pack_documents(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: str = "text",
-                   window: int = 2048, end_id: int = 1, query_terms: int = 24,
+                   window: int = 2048, end_id: int = 1,
                    shard_tokens: int = 1 << 21) -> DataFrame:
     """One row per piece: its document's id, ``start``, ``length``, ``ids`` (little-endian
     unsigned 32-bit), ``doc_tokens``, ``sequence_id`` and ``offset``.
 
     The pieces of a document partition its ids (with the end id); the pieces of a sequence are
     gapless from 0; sequences have ``window`` ids, or a power of two at the end of a task's
-    documents. Neighbours come from the same shard;
+    documents. Neighbours come from the same shard, ranked by BM25 over all of the seed's terms;
     shards are buckets of lexically near documents (``routed``), wherever these are stored. A
     task holds one shard, and a document of any length is a shard by itself.
 
@@ -333,7 +351,7 @@ def pack_documents(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", tex
 
     def run(batches: Iterator) -> Iterator:
         from pyspark import TaskContext
-        packer = Packer(window, idf, mean, query_terms, TaskContext.get().partitionId() << 40)
+        packer = Packer(window, idf, mean, TaskContext.get().partitionId() << 40)
         names, held, n, kind_of, last = [], [], 0, pa.int64(), None
         for b in arrow_batches(batches, 4 << 20):
             kind_of = b.schema.field(0).type

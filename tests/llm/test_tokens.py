@@ -157,6 +157,31 @@ def test_neighbours_stored_in_other_shards_share_a_window(spark):
     assert sum(len(v) for v in by.values()) / len(by) < 3
 
 
+def test_scores_are_bm25_over_all_terms():
+    r = np.random.RandomState(0)
+    docs = [r.randint(0, 300, r.randint(0, 400)).astype(np.uint16) for _ in range(60)]
+    docs += [np.r_[np.repeat(np.arange(400, 430), 3), 500], np.array([500]), np.array([450])]     # 500 is far below the 24 heaviest
+    df = np.array([sum(t in d for d in docs) for t in range(501)])
+    idf, mean = np.log1p((len(docs) - df + 0.5) / (df + 0.5)), sum(map(len, docs)) / len(docs)
+    for cells in (0, 1 << 20):                                   # lists only; the frequent terms dense
+        import repograph.llm.packing as P
+        held, P.DENSE_CELLS = P.DENSE_CELLS, cells
+        try:
+            index = P.Bm25Shard(docs, idf, mean)
+        finally:
+            P.DENSE_CELLS = held
+        for seed in (0, 5, 60, 61):
+            want = [sum(idf[t] * (d == t).sum() * 2.2 / ((d == t).sum() + 1.2 * (0.25 + 0.75 * len(d) / mean))
+                        for t in set(docs[seed].tolist())) for d in docs]
+            assert np.allclose(index.scores(seed), want, rtol=1e-4, atol=1e-4)
+            got = list(index.neighbours(seed, np.ones(len(docs), bool)))
+            assert got == sorted(got, key=lambda d: -index.scores(seed)[d])
+            assert sorted(got) == [d for d, w in enumerate(want) if w > 0]
+    free = np.ones(len(docs), bool)
+    free[60] = False
+    assert list(index.neighbours(60, free)) == [61]
+
+
 def test_packing_edge_rows(spark):
     df, rows, _ = edge_docs(spark)
     out = pack_documents(df, VOCAB)
