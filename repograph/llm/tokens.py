@@ -36,7 +36,7 @@ def id_bits(vocab_size: int) -> int:
 @lru_cache(maxsize=1)
 def chunk_encoder(vocab_path: str) -> "ChunkEncoder":
     """The process's encoder: Python workers serve many tasks, and its cache serves them all."""
-    return ChunkEncoder(vocab_path)
+    return ChunkEncoder(vocab_path, encode_special_tokens=False)
 
 
 def gather(ids: np.ndarray, ends: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -50,13 +50,23 @@ def gather(ids: np.ndarray, ends: np.ndarray, rows: np.ndarray) -> tuple[np.ndar
 
 
 class ChunkEncoder:
-    """Encodes Arrow string arrays, with a bounded cache of stems."""
+    """Encodes Arrow string arrays, with a bounded cache of stems.
 
-    def __init__(self, vocab_path: str):
+    ``encode_special_tokens`` is the library's switch: whether the strings of special tokens are
+    plain text. The operators leave it off, as the library does."""
+
+    def __init__(self, vocab_path: str, encode_special_tokens: bool = True):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(vocab_path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = encode_special_tokens
+        added = [t for t in self.tokenizer.get_added_tokens_decoder().values()
+                 if t.content and not (t.special and encode_special_tokens)]
+        # tokens that are matched in the text: chunks with one go to the library as they are; a
+        # token that takes or asks for characters around it ties the whole text together
+        self.matched = [t.content for t in added]
+        self.tying = [t.content for t in added if t.lstrip or t.rstrip or t.single_word or t.normalized
+                      or any(c.isspace() for c in t.content)]
         size = self.tokenizer.get_vocab_size()
         self.bits = id_bits(size)
         # a byte-level token has one character for each of its bytes
@@ -67,6 +77,14 @@ class ChunkEncoder:
         self.stems = pa.array([], _TEXT)
         self.ids, self.ends = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
+    @staticmethod
+    def _with(texts: pa.Array, strings: list[str]) -> np.ndarray:
+        """Which texts hold one of the strings."""
+        found = np.zeros(len(texts), bool)
+        for s in strings:
+            found |= pc.match_substring(texts, s).to_numpy(zero_copy_only=False)
+        return found
+
     def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids and their ends of texts that are encoded one by one."""
         found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -118,13 +136,14 @@ class ChunkEncoder:
 
         bare = pc.utf8_rtrim(chunks, characters=".,")
         ok = pc.is_in(pc.utf8_slice_codeunits(bare, -1, None), value_set=_BEFORE_STOP)
-        stem = pc.if_else(ok, bare, chunks)
+        matched = self._with(chunks, self.matched)
+        stem = pc.if_else(pc.and_(ok, pa.array(~matched)), bare, chunks)
         stem_size = pc.utf8_length(stem).to_numpy()
         coded = stem.dictionary_encode()
         code = coded.indices.to_numpy()
         joinable = np.zeros(len(coded.dictionary), bool)
         short = pc.binary_length(coded.dictionary).to_numpy() <= LONGEST_CACHED
-        joinable[code] = plain & led
+        joinable[code] = plain & led & ~matched
         ids, ends, rows = self._known(coded.dictionary, joinable & short)
         rows = rows[code]
         tailed = np.flatnonzero(stem_size < size)
@@ -145,6 +164,18 @@ class ChunkEncoder:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, text after text, and the number of ids of each text (null: none). A very
         long text is cut where chunks are, so that what is held at once stays bounded."""
+        tied = self._with(pc.fill_null(texts.cast(_TEXT), ""), self.tying) if self.tying else np.zeros(0, bool)
+        if tied.any():
+            rows, known = np.flatnonzero(tied), np.flatnonzero(~tied)
+            parts = [self._encode(texts.take(pa.array(rows)).to_pylist())]
+            counts = np.zeros(len(texts), np.int64)
+            counts[rows] = np.diff(parts[0][1])
+            if len(known):
+                ids, counts[known] = self._encode_all(texts.take(pa.array(known)))
+                parts.append((ids, np.r_[0, np.cumsum(counts[known])]))
+            ids = np.concatenate([p[0] for p in parts])
+            ends = np.r_[0, np.cumsum(np.r_[counts[rows], counts[known]])]
+            return gather(ids, ends, np.argsort(np.r_[rows, known], kind="stable"))[0], counts
         if len(texts) == 1 and texts.nbytes > LONG_BYTES and texts[0].is_valid:
             text, at, found = texts[0].as_py(), 0, []
             while at < len(text):

@@ -6,12 +6,12 @@ import numpy as np
 import pyarrow as pa
 import public_tokenizers
 import pytest
-from tokenizers import Tokenizer
+from tokenizers import AddedToken, Tokenizer
 
 from repograph.llm.packing import pack_documents
 from repograph.llm.token_files import (BLOCK, ShardReader, ShardWriter, pack_ids, read_token_shards, unpack_ids,
                                        write_token_shards)
-from repograph.llm.tokens import ChunkEncoder
+from repograph.llm.tokens import ChunkEncoder, chunk_encoder
 from .helpers import edge_docs, empty_docs, words
 
 VOCAB = public_tokenizers.path("byte_bpe_50k.json")
@@ -38,6 +38,36 @@ def test_encoder_equals_the_library(reference):
         assert ids.tolist() == [x for w in want for x in w]
 
 
+SPECIAL = ["x <|endoftext|> y", "<|endoftext|>", "a<|endoftext|>b", "a  <|endoftext|>\n\n b", "w <|endoftext|>. <|endoftext|>., z",
+           "<|endoftext|><|endoftext|> <|endof text|> <|endoftext| >", "plain words", None, "it <|endoftext|>'s \n<|endoftext|>\n"]
+
+
+@pytest.mark.parametrize("extra", [None, "<|two words|>", "<|strips|>"])
+def test_special_tokens_by_the_plain_library_call(tmp_path, extra):
+    plain, path = Tokenizer.from_file(VOCAB), VOCAB
+    if extra:
+        plain.add_special_tokens([AddedToken(extra, special=True, rstrip="strips" in extra)])
+        path = str(tmp_path / "v.json")
+        plain.save(path)
+    r = random.Random(3)
+    texts = SPECIAL + ["".join(r.choice([" ", "\n", "a", "b.", "<|endoftext|>", extra or ","]) for _ in range(12)) for _ in range(500)]
+    encoder = chunk_encoder(path)
+    for _ in range(2):
+        ids, counts = encoder.encode(pa.array(texts, pa.string()))
+        want = [plain.encode(t or "", add_special_tokens=False).ids for t in texts]
+        assert counts.tolist() == [len(w) for w in want]
+        assert ids.tolist() == [x for w in want for x in w]
+
+
+def test_operators_keep_special_tokens(spark):
+    plain = Tokenizer.from_file(VOCAB)
+    rows = list(enumerate(SPECIAL))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    ids = lambda t: plain.encode(t or "", add_special_tokens=False).ids
+    check_files(rows, [tuple(r) for r in read_token_shards(write_token_shards(df, VOCAB)).collect()], ids)
+    check_packing(rows, pack_documents(df, VOCAB, window=256).collect(), ids, 256)
+
+
 def test_long_texts_are_cut_between_chunks(reference, monkeypatch):
     import repograph.llm.tokens as T
     monkeypatch.setattr(T, "LONG_BYTES", 300)
