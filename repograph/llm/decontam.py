@@ -36,19 +36,9 @@ def _shingles(df: DataFrame, keys: list[str], size: int) -> DataFrame:
     return at.select(*keys, F.xxhash64(*part).alias("h"), F.concat_ws(" ", *part).alias("gram"))
 
 
-def contained_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id",
-                    text_col: str = "text", item_id: str = "item_id", item_text: str = "text",
-                    size: int = 5, threshold: float = 0.8) -> DataFrame:
-    """Pairs (``id_col``, ``item_id``, ``n_shingles``, ``n_found``, ``containment``).
-
-    ``containment`` is the share of an item's distinct ``size``-word shingles that the
-    document holds; all pairs at ``threshold`` or above, and no others, are returned.
-
-    Defined results: null or empty texts (of either side) match nothing; a text with fewer
-    than ``size`` words has one shingle, its whole word sequence, so a very short item only
-    matches a document that is that sequence; repeated rows give one pair; rows that share an
-    id are compared one by one and the best containment is returned; a null id stays null.
-    """
+def _found(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_id: str,
+           item_text: str, size: int, threshold: float) -> DataFrame:
+    """(did, dk, item, ik, q, n, share): the pairs at ``threshold`` by id and hash of the text."""
     item = items.select(F.col(item_id).alias("item"), F.xxhash64(F.col(item_text)).alias("ik"),
                         words(F.col(item_text)).alias("w")).distinct()
     grams = _shingles(item, ["item", "ik"], size).distinct()
@@ -80,8 +70,25 @@ def contained_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id",
     same = [F.col(f"held.{c}").eqNullSafe(F.col(f"pairs.{c}")) for c in ("did", "dk", "item", "ik")]
     held = held.alias("held").join(pairs.alias("pairs"), same, "left_semi")
     share = F.col("n") / F.col("q")
-    best = held.where(share >= threshold).groupBy("did", "item").agg(
-        F.max(F.struct(share.alias("share"), "q", "n")).alias("best"))
+    return held.where(share >= threshold).withColumn("share", share)
+
+
+def contained_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id",
+                    text_col: str = "text", item_id: str = "item_id", item_text: str = "text",
+                    size: int = 5, threshold: float = 0.8) -> DataFrame:
+    """Pairs (``id_col``, ``item_id``, ``n_shingles``, ``n_found``, ``containment``).
+
+    ``containment`` is the share of an item's distinct ``size``-word shingles that the
+    document holds; all pairs at ``threshold`` or above, and no others, are returned.
+
+    Defined results: null or empty texts (of either side) match nothing; a text with fewer
+    than ``size`` words has one shingle, its whole word sequence, so a very short item only
+    matches a document that is that sequence; repeated rows give one pair; rows that share an
+    id are compared one by one and the best containment is returned; a null id stays null.
+    """
+    held = _found(docs, items, id_col, text_col, item_id, item_text, size, threshold)
+    best = held.groupBy("did", "item").agg(
+        F.max(F.struct("share", "q", "n")).alias("best"))
     return best.select(
         F.when(F.col("did") != _NO_ID, F.col("did")).cast(docs.schema[id_col].dataType).alias(id_col),
         F.col("item").alias(item_id), F.col("best.q").alias("n_shingles"),
@@ -91,7 +98,11 @@ def contained_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id",
 def clean_documents(docs: DataFrame, items: DataFrame) -> DataFrame:
     """Pipeline stage: ``docs`` without the documents that contain a test item.
 
-    Rows without id go together if one of them contains an item.
+    Rows are told apart by id and text: a clean row stays, whatever rows share its id or lack
+    one like it.
     """
-    hit = contained_items(docs, items).select(F.col("doc_id").alias("hit_id")).distinct()
-    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col("hit_id")), "left_anti")
+    found = _found(docs, items, "doc_id", "text", "item_id", "text", 5, 0.8)
+    hit = stored(found.select("did", "dk").distinct(), "contaminated")
+    same = (F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)) == F.col("did")) & (
+        F.xxhash64("text") == F.col("dk"))
+    return docs.join(hit, same, "left_anti")

@@ -76,8 +76,8 @@ def _fingerprint_batches(ngram: int):
     def run(batches: Iterator) -> Iterator:
         for b in arrow_batches(batches):
             fps = np.array([fingerprint(t.as_py(), ngram) for t in b.column(1)], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))],
-                                             names=["id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64)), *b.columns[2:]],
+                                             names=["id", "fp", *b.schema.names[2:]])
     return run
 
 
@@ -227,6 +227,26 @@ def fingerprint_links(codes: DataFrame, max_bits: int = 3, bucket_rows: int = 10
     return done.mapInArrow(_bucket_links(max_bits), "a long, b long")
 
 
+def _row_groups(docs: DataFrame, id_col: str, text_col: str, ngram: int, max_bits: int,
+                bucket_rows: int, keys: dict[str, Column]) -> DataFrame:
+    """One row per row of ``docs``: (id, fp, ``keys``, component_id, root); ``root`` is a code
+    that names the group also where it has no id. ``keys`` are columns of longs."""
+    kind = docs.schema[id_col].dataType.simpleString()
+    fps = stored(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"),
+                             *[c.alias(k) for k, c in keys.items()])
+                 .mapInArrow(_fingerprint_batches(ngram),
+                             f"id {kind}, fp long" + "".join(f", {k} long" for k in keys)), "fingerprints")
+    codes = stored(fps.groupBy(F.col("fp").alias("code")).agg(F.min("id").alias("first")), "codes")
+    roots = connected_components(fingerprint_links(codes.select("code"), max_bits, bucket_rows))
+    linked = codes.join(roots, codes["code"] == roots["node"])
+    named = linked.groupBy("root").agg(F.min("first").alias("name"))
+    named = linked.join(named, "root").select("code", "name", "root")
+    groups = codes.join(named, "code", "left").select(
+        "code", F.coalesce("name", "first").alias("component_id"), F.coalesce("root", "code").alias("root"))
+    groups = stored(groups, "groups")        # so that AQE can split the join at a hot fingerprint
+    return fps.join(groups, fps["fp"] == groups["code"]).drop("code")
+
+
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                    ngram: int = 3, max_bits: int = 3, bucket_rows: int = 100_000) -> DataFrame:
     """One row per row of ``docs``: its id, ``fp`` (the fingerprint as a signed long) and
@@ -237,27 +257,26 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ``component_id``); repeated rows keep their own rows; an empty table gives an empty
     table; other columns are ignored. A text of any length is read whole, hash by hash.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
-    fps = stored(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"))
-                 .mapInArrow(_fingerprint_batches(ngram), f"id {kind}, fp long"), "fingerprints")
-    codes = stored(fps.groupBy(F.col("fp").alias("code")).agg(F.min("id").alias("first")), "codes")
-    roots = connected_components(fingerprint_links(codes.select("code"), max_bits, bucket_rows))
-    linked = codes.join(roots, codes["code"] == roots["node"])
-    named = linked.groupBy("root").agg(F.min("first").alias("name"))
-    named = linked.join(named, "root").select("code", "name")
-    groups = codes.join(named, "code", "left").select(
-        "code", F.coalesce("name", "first").alias("component_id"))
-    groups = stored(groups, "groups")        # so that AQE can split the join at a hot fingerprint
-    return fps.join(groups, fps["fp"] == groups["code"]).select(
+    return _row_groups(docs, id_col, text_col, ngram, max_bits, bucket_rows, {}).select(
         F.col("id").alias(id_col), "fp", "component_id")
 
 
 def one_per_group(docs: DataFrame) -> DataFrame:
     """Pipeline stage: ``docs`` with one document of each near-duplicate group, the one with
-    the smallest id; of rows that share that id one stays, and rows without id stay only if
-    no row of their group has one (then as one row)."""
-    groups = stored(simhash_groups(docs), "members")
-    keep = groups.select(F.col("component_id").alias("keep_id")).distinct()
-    kept = docs.join(keep, F.col("doc_id").eqNullSafe(F.col("keep_id")), "left_semi")
-    repeated = groups.groupBy("doc_id").count().where(F.col("count") > 1)
-    return kept if repeated.isEmpty() else kept.dropDuplicates(["doc_id"])
+    the smallest id; of different texts under that id the one with the smallest hash; rows
+    without id stay only if no row of their group has one (then as one row). Rows are told
+    apart by id and text, so rows that share an id but not a group do not touch each other."""
+    keys = {"tk": F.xxhash64("text"), "tn": F.coalesce(F.octet_length("text"), F.lit(-1)).cast("long")}
+    rows = _row_groups(docs, "doc_id", "text", 3, 3, 100_000, keys)
+    best = rows.groupBy("root", "id", *keys).agg(F.count(F.lit(1)).alias("n")).groupBy("root").agg(
+        F.min(F.struct(F.col("id").isNull().alias("none"), "id", *keys, "n")).alias("best"))
+    keep = stored(best.select(F.col("best.id").alias("keep_id"), F.col("best.tk").alias("keep_tk"),
+                              F.col("best.tn").alias("keep_tn"), F.col("best.n").alias("keep_n")), "members")
+    same = F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    for k, c in keys.items():
+        same = same & (c == F.col(f"keep_{k}"))
+    once = docs.join(keep, same, "left_semi")
+    if keep.where("keep_n > 1").isEmpty():
+        return once
+    named = {f"__{k}": c for k, c in keys.items()}
+    return once.withColumns(named).dropDuplicates(["doc_id", *named]).drop(*named)

@@ -51,3 +51,11 @@ def test_edge_rows(spark):
     assert contained_items(empty_docs(spark), items).count() == 0
     none = spark.createDataFrame([], "item_id long, text string")
     assert clean_documents(df, none).count() == len(rows)
+
+
+def test_clean_rows_stay_beside_hits_with_their_id(spark):
+    item, a, b = words(30, 90), words(60, 91), words(60, 92)
+    rows = [(1, a), (1, a + " " + item), (None, b), (None, b + " " + item), (None, None), (2, item), (3, "")]
+    got = clean_documents(spark.createDataFrame(rows, "doc_id long, text string"),
+                          spark.createDataFrame([(7, item)], "item_id long, text string"))
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, [(1, a), (None, b), (None, None), (3, "")]))

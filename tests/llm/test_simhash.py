@@ -128,3 +128,12 @@ def test_merge_labels():
     label = np.arange(6)
     merge_labels(label, np.array([4, 5, 2]), np.array([5, 1, 3]))
     assert label.tolist() == [0, 1, 2, 2, 1, 1]
+
+
+def test_rows_that_share_an_id_are_told_apart(spark):
+    a, b, c, d, e = (words(80, 50 + k) for k in range(5))
+    rows = [(1, a), (1, b), (None, c), (None, d), (None, d), (None, e), (2, e), (None, a), (3, None), (3, c.upper()), (4, b)]
+    got = one_per_group(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert got.columns == ["doc_id", "text"]
+    want = [(1, a), (1, b), (None, d), (2, e), (3, None), (3, c.upper())]
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
