@@ -21,14 +21,21 @@ ACCESS = r"AKIA[A-Z0-9]+"
 ACCESS_MIN = 16
 HEX = r"[0-9a-f]{32,}"
 
-#: Candidates of the entropy test: whole runs of token characters with a digit in them.
+#: Candidates of the entropy test: whole runs of token characters with a digit or a capital.
 _RUN = "A-Za-z0-9+/_=-"
-CANDIDATE = rf"(?<![{_RUN}])(?=[A-Za-z+/_=-]*[0-9])[{_RUN}]{{20,}}"
-HEX_ALPHABET = "0123456789abcdef"
+CANDIDATE = rf"(?<![{_RUN}])(?=[a-z+/_=-]*[A-Z0-9])[{_RUN}]{{20,}}"
 TOKEN_ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
-#: Bits per character a window must reach, by character class.
+#: Bits per character that always suffice, for hexadecimal and for other runs.
 ENTROPY_BITS = {"hex": 3.1, "token": 4.0}
 WINDOW = 24
+#: Bits that 99 % of uniformly random strings of 20, 21, .. 24 characters reach (200,000
+#: simulated strings each), by the class of the string: pattern and bits.
+RECALL_BITS = (
+    (r"^[A-Z0-9]+$", (3.341, 3.403, 3.442, 3.497, 3.538)),          # base32
+    (r"^[a-z0-9]+$", (3.408, 3.463, 3.516, 3.555, 3.605)),          # lower case and digits
+    (r"^[A-Za-z0-9]+$", (3.646, 3.689, 3.754, 3.816, 3.855)),       # base62
+    (r"", (3.646, 3.725, 3.788, 3.827, 3.886)),                     # base64
+)
 #: Candidates that are no secrets: UUIDs, documentation samples, alphabets, plain numbers.
 ALLOW_LIST = (
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
@@ -71,6 +78,34 @@ def max_window_entropy(candidate: Column, alphabet: str, window: int = WINDOW) -
     return F.log2(w.cast("double")) - total / w
 
 
+def _needed_bits(piece: Column, window: int, bits: dict) -> Column:
+    """Bits a window of ``piece`` must reach, by its class and the window's length."""
+    w = F.least(F.lit(window), F.length(piece))
+    at = F.least(F.greatest(w - 19, F.lit(1)), F.lit(5))
+    needed = F.when(piece.rlike("^[0-9a-fA-F]+$"), F.lit(bits["hex"]))
+    # an access key is a base span of the same place already
+    needed = needed.when(piece.rlike(f"^{ACCESS}$"), F.lit(bits["token"]))
+    for pattern, by_length in RECALL_BITS:
+        of_class = F.array(*[F.lit(min(b, bits["token"])) for b in by_length])
+        needed = needed.when(piece.rlike(pattern), F.element_at(of_class, at))
+    return needed
+
+
+def _secret(hit: Column, window: int, bits: dict, allow: tuple) -> Column:
+    """Whether the run, or a part of it between ``=`` and ``/``, passes the entropy test and
+    is not on the allow-list."""
+    def passes(piece: Column) -> Column:
+        allowed = F.lit(False)
+        for p in allow:
+            allowed = allowed | piece.rlike(p)
+        text = F.when(piece.rlike("^[0-9a-fA-F]+$"), F.lower(piece)).otherwise(piece)
+        return F.when(allowed, False).otherwise(
+            max_window_entropy(text, TOKEN_ALPHABET, window) >= _needed_bits(piece, window, bits) - 1e-9)
+
+    parts = F.filter(F.split(hit, "[=/]+"), lambda p: (F.length(p) >= 20) & p.rlike("[A-Z0-9]") & (p != hit))
+    return F.exists(F.concat(F.array(hit), parts), passes)
+
+
 def _matches(text: Column, kind: str, pattern: str) -> Column:
     """Array of (kind, nth, gap before in code points, match) of one pattern."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
@@ -88,9 +123,10 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Both are arrays of (start, rank, kind, end), sorted; positions in code points, end
     exclusive; ``spans`` holds the base spans and the entropy spans. A base span is the whole
     match (leftmost, not overlapping per kind) that passes its length test. An ``entropy``
-    span is a candidate run, one window of which reaches the bits of its character class
-    (hexadecimal digits, or token characters) and that no allow-list pattern matches; the
-    allow-list never removes base spans.
+    span is a candidate run that, as a whole or in a part of 20 or more characters between
+    ``=`` and ``/``, has a window with the bits of its class (hexadecimal, base32, lower case
+    and digits, base62, base64) and length, and that no allow-list pattern matches; the
+    allow-list never removes base spans. A run of lower-case letters alone is no candidate.
 
     Defined results: null or empty text has no spans; repeated rows and null ids keep their
     own rows; an empty table gives an empty table; other columns are ignored.
@@ -105,18 +141,12 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     before = Window.partitionBy("rid", "kind").orderBy("nth")
     end = F.sum(F.col("gap") + F.length("hit")).over(before)
     hits = hits.withColumn("end", end).withColumn("start", F.col("end") - F.length("hit"))
-    hit, is_hex = F.col("hit"), F.col("hit").rlike("^[0-9a-fA-F]+$")
-    entropy = F.when(is_hex, max_window_entropy(F.lower(hit), HEX_ALPHABET, window)
-                     >= bits["hex"] - 1e-9).otherwise(
-        max_window_entropy(hit, TOKEN_ALPHABET, window) >= bits["token"] - 1e-9)
-    allowed = F.lit(False)
-    for p in allow:
-        allowed = allowed | hit.rlike(p)
+    hit = F.col("hit")
     good = (F.when(F.col("kind") == "assign",
                    F.length(F.regexp_extract(hit, ASSIGN, 1)) >= ASSIGN_MIN)
             .when(F.col("kind") == "access", F.length(hit) >= ACCESS_MIN)
             .when(F.col("kind") == "hex", F.lit(True))
-            .when(F.col("kind") == "entropy", F.when(allowed, False).otherwise(entropy)))
+            .when(F.col("kind") == "entropy", _secret(hit, window, bits, allow)))
     rank = F.array_position(F.array(*[F.lit(k) for k, _ in patterns]), F.col("kind"))
     span = F.struct("start", rank.alias("rank"), "kind", "end")
     spans = F.array_sort(F.collect_list(F.when(good, span)))

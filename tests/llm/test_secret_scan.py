@@ -1,5 +1,7 @@
 import math
+import random
 import re
+import string
 from collections import Counter
 
 from repograph.llm.queries import QUERIES
@@ -67,3 +69,25 @@ def test_query_over_the_table(spark):
     for r in QUERIES["op8_secret_scan"](spark, sf).collect():
         assert r.spans == ",".join(f"{k}:{a}:{b}" for a, _, k, b in docs[r.doc_id])
         assert r.n_hex == sum(s[2] == "hex" for s in docs[r.doc_id])
+
+
+def test_recall_on_random_runs_by_class_and_length(spark):
+    r = random.Random(5)
+    low, up, num = string.ascii_lowercase, string.ascii_uppercase, string.digits
+    classes = {"base32": up + "234567", "lower": low + num, "base62": low + up + num, "base64": low + up + num + "+/",
+               "letters": low + up}
+    rows = [(f"{c} {n}", "x " + "".join(r.choice(alphabet) for _ in range(n)) + " y")
+            for c, alphabet in classes.items() for n in (20, 22, 24, 32) for _ in range(300)]
+    found = {}
+    for x in secret_spans(spark.createDataFrame(rows, "doc_id string, text string")).collect():
+        found.setdefault(x.doc_id, []).append(any(s.kind == "entropy" for s in x.spans))
+    assert {k: v for k, v in found.items() if sum(v) < 0.96 * len(v)} == {}
+
+
+def test_allow_list_is_applied_to_parts(spark):
+    key = "Qw8RtY7uI3oP5aSd2FgH1jKl"
+    rows = [(0, f"example={key}"), (1, f"docs/sample/{key}"), (2, "docs/sample/Example0123456789Example01"), (3, key + "example"),
+            (4, "internationalization-and-localization-of-things")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: [(s.start, s.end) for s in r.spans] for r in secret_spans(df).collect()}
+    assert got == {0: [(0, 8 + len(key))], 1: [(0, 12 + len(key))], 2: [], 3: [], 4: []}
