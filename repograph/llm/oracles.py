@@ -53,3 +53,79 @@ SELECT page_id, payload_bytes, {_BASE32} AS payload_digest,
        CASE WHEN page_id = last THEN NULL ELSE last END AS refers_to
 FROM b
 """
+
+def _assigned(codebook: str) -> str:
+    """Nearest entry and squared distance of every part, given (part, entry, c) of a codebook."""
+    return (f"SELECT id, part, arg_min(entry, (d, entry)) AS entry, min(d) AS d FROM (SELECT p.id, p.part, "
+            "b.entry, list_sum(list_transform(list_zip(p.c, b.c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+            f"::BIGINT AS d FROM p JOIN {codebook} b ON b.part = p.part) GROUP BY id, part")
+
+
+def _updated(codebook: str, assigned: str) -> str:
+    """The codebook with each used entry replaced by the floor of its parts' mean."""
+    mean = "".join(f", floor(sum(p.c[{i}]) / count(*))::BIGINT" for i in range(1, 5)).lstrip(", ")
+    return (f"SELECT b.part, b.entry, coalesce(m.c, b.c) AS c FROM {codebook} b LEFT JOIN (SELECT p.part, "
+            f"a.entry, [{mean}] AS c FROM p JOIN {assigned} a ON a.id = p.id AND a.part = p.part "
+            "GROUP BY p.part, a.entry) m ON m.part = b.part AND m.entry = b.entry")
+
+
+#: For 64 components, 16 parts of 4, 64 entries and two rounds.
+OP11_VECTOR_CODES = f"""
+WITH v AS MATERIALIZED (SELECT vec_id, label, row_number() OVER (ORDER BY vec_id, embedding) AS id,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS ints FROM embeddings
+  WHERE len(list_filter(embedding, lambda x: coalesce(isfinite(x), false))) = len(embedding)),
+p AS MATERIALIZED (SELECT id, part, ints[4 * part + 1:4 * part + 4] AS c
+  FROM v, (SELECT unnest(range(16)) AS part)),
+b0 AS MATERIALIZED (SELECT part, id - 1 AS entry, c FROM p WHERE id <= 64),
+a0 AS MATERIALIZED ({_assigned('b0')}),
+b1 AS MATERIALIZED ({_updated('b0', 'a0')}),
+a1 AS MATERIALIZED ({_assigned('b1')}),
+b2 AS MATERIALIZED ({_updated('b1', 'a1')}),
+a2 AS MATERIALIZED ({_assigned('b2')}),
+r AS (SELECT id, string_agg(lower(lpad(to_base(entry, 16), 2, '0')), '' ORDER BY part) AS code,
+    sum(d)::BIGINT AS error FROM a2 GROUP BY id),
+h AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM b2)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256
+FROM r JOIN v USING (id), h
+"""
+
+_WORDS = ("regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', "
+          "'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')")
+_CRC_STEP = "CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END"
+
+OP12_IMPORTANCE_RESAMPLE = f"""
+WITH RECURSIVE steps(i, c, k) AS (SELECT i, i::BIGINT, 0 FROM range(256) t(i) UNION ALL
+  SELECT i, {_CRC_STEP}, k + 1 FROM steps WHERE k < 8),
+crc AS (SELECT list(c ORDER BY i) AS tab FROM steps WHERE k = 8),
+d AS MATERIALIZED (SELECT doc_id, unnest({_WORDS}) AS w FROM documents),
+q AS MATERIALIZED (SELECT unnest({_WORDS}) AS w FROM benchmark),
+u AS (SELECT w, list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(w)), '..'),
+    lambda x: ('0x' || x)::BIGINT)) AS bytes FROM (SELECT w FROM d UNION SELECT w FROM q)),
+k AS MATERIALIZED (SELECT w, xor(list_reduce(bytes, lambda c, b: xor(c // 256, tab[xor(c, b) % 256 + 1])),
+    4294967295) % 10000 AS bucket FROM u, crc),
+s AS (SELECT bucket, count(*) AS s FROM d JOIN k USING (w) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS t FROM q JOIN k USING (w) GROUP BY bucket),
+n AS (SELECT (SELECT count(*) FROM d) + 10000 AS s_all, (SELECT count(*) FROM q) + 10000 AS t_all),
+g AS (SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * s_all / ((s + 1)::DOUBLE * t_all)))::BIGINT
+    AS gain FROM s LEFT JOIN t USING (bucket), n),
+x AS (SELECT doc_id, count(*) AS n_features, sum(gain)::BIGINT AS weight
+    FROM d JOIN k USING (w) JOIN g USING (bucket) GROUP BY doc_id),
+y AS (SELECT doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT + 0.5)
+      ::DOUBLE / 4294967296)))::BIGINT AS score
+    FROM (SELECT doc_id FROM documents) LEFT JOIN x USING (doc_id)),
+z AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS nth,
+    count(*) OVER (PARTITION BY n_features >= 20) AS of FROM y)
+SELECT doc_id, n_features, weight, score,
+       CASE WHEN n_features >= 20 AND nth <= 10 * of // 100 THEN nth END AS rank FROM z
+"""
+
+#: For pages that mark their article and hold no other references than these.
+OP13_HTML_TEXT = r"""
+WITH b AS (SELECT page_id, url, regexp_split_to_array(regexp_extract(coalesce(html, ''),
+    '<article>(.*?)</article>', 1, 's'), '</?(p|h1)>') AS parts FROM pages),
+t AS (SELECT page_id, url, array_to_string(list_filter(list_transform(parts, lambda x: trim(regexp_replace(
+    regexp_replace(replace(regexp_replace(x, '<[^>]*>', ' ', 'g'), '&quot;', '"'), '&amp;?', '&', 'g'),
+    '\s+', ' ', 'g'))), lambda x: x <> ''), chr(10)) AS text FROM b)
+SELECT page_id, url, text, length(text) AS n_chars FROM t
+"""

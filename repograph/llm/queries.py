@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from repograph.llm.common import table
 from repograph.llm.decontam import contained_items
 from repograph.llm.embedding_dedup import embedding_groups
+from repograph.llm.html_text import extract_main_text
+from repograph.llm.importance import importance_resample
 from repograph.llm.lang_id import held_out, predict, train
 from repograph.llm.licenses import license_matches
 from repograph.llm.line_dedup import line_dedup
@@ -16,6 +18,7 @@ from repograph.llm.token_files import read_token_shards, write_token_shards
 from repograph.llm.simhash import simhash_groups
 from repograph.llm.packing import pack_documents
 from repograph.llm.secret_scan import BASE_KINDS, secret_spans, span_string
+from repograph.llm.vector_codes import codebook_digest, vector_codes
 from repograph.llm.warc import build_index, read_captures, write_archives
 
 #: The tokenizer file of the registered queries; the operators take any path.
@@ -120,3 +123,31 @@ ORACLES["op9_warc"] = oracles.OP9_WARC
 def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = embedding_groups(table(spark, sf_dir, "embeddings"))
     return groups.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+
+
+@_query
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes, codebook = vector_codes(table(spark, sf_dir, "embeddings"), parts=16, entries=64, rounds=2)
+    return codes.select("vec_id", "code", "error", "label_error",
+                        F.lit(codebook_digest(codebook, 16)).alias("codebooks_sha256"))
+
+
+ORACLES["op11_vector_codes"] = oracles.OP11_VECTOR_CODES
+
+
+@_query
+def op12_importance_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = importance_resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"),
+                                max_words=1, buckets=10_000, percent=10, min_words=20, seed="2024")
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+ORACLES["op12_importance_resample"] = oracles.OP12_IMPORTANCE_RESAMPLE
+
+
+@_query
+def op13_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+ORACLES["op13_html_text"] = oracles.OP13_HTML_TEXT
