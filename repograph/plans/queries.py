@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from repograph.functions import text as T
 from repograph.operators import history as H
 from repograph.operators import inventory as I
+from repograph.operators.reachability import entry_reachability
 from repograph.plans import corpus as C
 from repograph.plans.extract import Facts
 
@@ -1003,7 +1004,7 @@ def q_snapshot_diff(spark, sf_dir):
 @query("entry_reachability")
 def q_entry_reachability(spark, sf_dir):
     f = facts_dm(spark, sf_dir)
-    return G.entry_reachability(f.entrypoints, f.edges).select(
+    return entry_reachability(f.entrypoints, f.edges).select(
         "repo_id", "entry_id", "file_id", "depth")
 
 
