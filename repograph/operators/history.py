@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from repograph.session import store
 
-BLOCK_ITEMS = 256             # items of a commit that one join key holds on a side
+GROUP_PAIRS = 1 << 22         # pairs that one group of a repository counts
 
 
 def indexed_only(commits: DataFrame, files: DataFrame) -> DataFrame:
@@ -48,32 +48,43 @@ def apply_git_signals(files: DataFrame, signals: DataFrame) -> DataFrame:
 
 
 def cochange_pairs(touch: DataFrame, item_col: str = "file_id", min_count: int = 2,
-                   block_items: int = BLOCK_ITEMS) -> DataFrame:
+                   group_pairs: int = GROUP_PAIRS) -> DataFrame:
     """Unordered pairs (a < b) of distinct items changed in the same commit, counted over
     commits, kept at ``count >= min_count``.
 
-    One path for every commit size: a commit's items are hashed into blocks of about
-    ``block_items`` and each pair of blocks is a join key of its own, so a commit of any size
-    is spread over many tasks; a commit of one block is the plain self-join. A pair of items
-    meets in the pair of their blocks only, and pairs are counted by partial aggregation
-    before they are shuffled.
+    Almost all pairs occur once, so pairs are never shuffled: they are counted where they are
+    made. A repository's items are hashed into as many blocks as keep each pair of blocks at
+    about ``group_pairs`` pairs (one block for most repositories); a commit is a row for each
+    pair of its blocks with the items as arrays, and these rows are dealt by (repository, block
+    pair). All occurrences of a pair meet in that one group, whose aggregate needs no further
+    exchange. A large commit or repository is spread over its block pairs.
     """
     t = store(touch.select("repo_id", "commit_id", F.col(item_col).alias("item")).distinct(),
               "touches")
-    sizes = t.groupBy("repo_id", "commit_id").agg(
-        F.ceil(F.count(F.lit(1)) / block_items).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("item"), F.col("blocks")).cast("int")
-    placed = (t.join(sizes, ["repo_id", "commit_id"]).withColumn("own", own)
-              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-              .select("repo_id", "commit_id", "item", "own", "other",
-                      F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi")))
-    a, b = placed.alias("a"), placed.alias("b")
-    met = ((F.col("a.item") < F.col("b.item"))
-           & (F.col("a.other") == F.col("b.own")) & (F.col("b.other") == F.col("a.own")))
-    return (a.join(b, ["repo_id", "commit_id", "lo", "hi"]).where(met)
-            .groupBy("repo_id", F.col("a.item").alias("a"), F.col("b.item").alias("b"))
-            .agg(F.count(F.lit(1)).cast("bigint").alias("co_change_count"))
-            .where(F.col("co_change_count") >= min_count))
+    size = t.groupBy("repo_id", "commit_id").agg(F.count(F.lit(1)).alias("n"))
+    blocks = store(size.groupBy("repo_id").agg(
+        F.ceil(F.sqrt(F.sum(F.col("n") * (F.col("n") - 1.0)) / group_pairs)).alias("blocks")), "blocks")
+    own = F.pmod(F.xxhash64("item"), F.greatest("blocks", F.lit(1)))
+    parts = store(t.join(blocks, "repo_id").groupBy("repo_id", "commit_id", "blocks", own.alias("own"))
+                  .agg(F.array_sort(F.collect_list("item")).alias("items")), "commit-blocks")
+    whole = parts.where(F.col("blocks") <= 1).select(
+        "repo_id", F.lit(0).cast("long").alias("lo"), F.lit(0).cast("long").alias("hi"),
+        F.col("items").alias("x"), F.col("items").alias("y"))
+    split = parts.where(F.col("blocks") > 1)
+    a, b = split.alias("a"), split.alias("b")
+    met = a.join(b, ["repo_id", "commit_id"]).where(F.col("a.own") <= F.col("b.own")).select(
+        "repo_id", F.col("a.own").alias("lo"), F.col("b.own").alias("hi"),
+        F.col("a.items").alias("x"), F.col("b.items").alias("y"))
+    key = ["repo_id", "lo", "hi"]
+    dealt = whole.where(F.size("x") > 1).union(met).repartition(*key)
+    inside = F.col("lo") == F.col("hi")              # both arrays are the same: each pair once
+    pairs = (dealt.select(*key, "y", F.posexplode("x").alias("at", "v"))
+             .select(*key, "v", F.explode(F.when(inside, F.slice("y", F.col("at") + 2, F.size("y")))
+                                          .otherwise(F.col("y"))).alias("w"))
+             .select(*key, F.least("v", "w").alias("a"), F.greatest("v", "w").alias("b")))
+    return (pairs.groupBy(*key, "a", "b").agg(F.count(F.lit(1)).cast("bigint").alias("co_change_count"))
+            .where(F.col("co_change_count") >= min_count)
+            .select("repo_id", "a", "b", "co_change_count"))
 
 
 def module_coupling(touch: DataFrame, mod_files: DataFrame, min_count: int = 2

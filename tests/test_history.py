@@ -37,7 +37,7 @@ def _brute(commits, min_count=2):
     return sorted((a, b, n) for (a, b), n in cnt.items() if n >= min_count)
 
 
-def test_commits_of_many_blocks_are_exact(spark):
+def test_block_pairs_are_exact(spark):
     rnd = random.Random(7)
     files = [f"f{i:03d}" for i in range(40)]
     commits = []
@@ -45,9 +45,22 @@ def test_commits_of_many_blocks_are_exact(spark):
         size = rnd.choice([1, 2, 3, 3, 4, 12, 25])
         commits.append((f"c{i}", "2020-01-01", rnd.sample(files, size)))
     t = _touches(spark, commits)
-    for block in (2, 5, 1000):
-        got = rows(H.cochange_pairs(t, block_items=block), "a", "b", "co_change_count")
-        assert got == _brute(commits), block
+    for group in (3, 300, 1 << 22):
+        got = rows(H.cochange_pairs(t, group_pairs=group), "a", "b", "co_change_count")
+        assert got == _brute(commits), group
+    got = rows(H.cochange_pairs(t, min_count=1, group_pairs=40), "a", "b", "co_change_count")
+    assert got == _brute(commits, 1)
+    assert H.cochange_pairs(t.where("false")).count() == 0
+
+
+def test_pairs_are_counted_without_a_shuffle_of_pairs(spark):
+    t = _touches(spark, [(f"c{i}", "2020-01-01", ["a", "b", f"d{i}"]) for i in range(5)])
+    plan = H.cochange_pairs(t, group_pairs=2)._jdf.queryExecution().optimizedPlan().toString()
+    counted, dealt = plan.index("Aggregate [repo_id"), plan.index("RepartitionByExpression [repo_id")
+    assert counted < plan.index("Generate explode") < dealt
+    physical = H.cochange_pairs(t, group_pairs=2)._jdf.queryExecution().sparkPlan().toString()
+    top = physical[:physical.index("Generate explode")]
+    assert top.count("HashAggregate") == 2 and "Exchange" not in top
 
 
 def test_commit_log_rows(spark):
