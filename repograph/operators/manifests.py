@@ -2,19 +2,20 @@
 
 Input is the files table ``(repo_id, path, content)``; manifests are rows whose path is
 exactly ``package.json``, ``pyproject.toml`` or ``requirements.txt``. Text is parsed with
-Spark functions: JSON through ``try_parse_json``/``variant_get``, TOML through a
-section carry-forward over numbered lines (a documented subset: tables, ``key = value``
-pairs, strings, inline tables and arrays that may span lines).
+Spark functions inside the manifest's row: JSON through ``try_parse_json``/``variant_get``,
+TOML through ``functions.toml``.
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from repograph.operators.ids import positional_ids
 from repograph.functions import text as T
+from repograph.functions import toml as TM
 from repograph.operators.imports import explode_lines
 from repograph.operators.resolve import module_to_file
+from repograph.session import store
 
 MANIFESTS = ["package.json", "pyproject.toml", "requirements.txt"]
 NODE_SCRIPT_SUFFIXES = (".js", ".mjs", ".cjs", ".ts")
@@ -113,123 +114,106 @@ def node_entrypoints(files: DataFrame, index: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------ pyproject.toml
-def toml_lines(files: DataFrame) -> DataFrame:
-    """Numbered lines of pyproject.toml with the carried-forward table (``section``), the
-    open multi-line array key (``array_key``), and ``key``/``value`` of pair lines."""
-    pp = manifest_rows(files).where(F.col("path") == "pyproject.toml")
-    lines = explode_lines(pp, "content", ("repo_id",))
-    code = F.regexp_replace("text", r"^\s*#.*$", "")
-    header = F.regexp_extract(code, r"^\s*\[\s*([^\[\]]+?)\s*\]\s*$", 1)
-    pair_key = F.regexp_replace(F.regexp_extract(code, r"""^\s*("[^"]+"|'[^']+'|[\w.-]+)\s*=""", 1),
-                                r"""^["']|["']$""", "")
-    pair_val = F.regexp_extract(code, r"""^\s*(?:"[^"]+"|'[^']+'|[\w.-]+)\s*=\s*(.*?)\s*$""", 1)
-    opens = pair_val.startswith("[") & ~pair_val.rlike(r"\]\s*(#.*)?$")
-    event = (F.when(header != "", F.lit("")).when(opens, pair_key)
-             .when(F.col("text").rlike(r"^\s*\]"), F.lit("")))
-    w = Window.partitionBy("repo_id").orderBy("line_no")
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    return (lines.withColumn("header", header).withColumn("key", pair_key)
-            .withColumn("value", pair_val).withColumn("_ev", event)
-            .withColumn("section", F.last(F.when(F.col("header") != "", F.col("header")),
-                                          ignorenulls=True).over(upto))
-            .withColumn("array_key", F.coalesce(F.last("_ev", ignorenulls=True).over(before),
-                                                F.lit("")))
-            .drop("_ev"))
-
-
-def _toml_string(v) -> F.Column:
-    """Value of a basic or literal TOML string, null otherwise."""
-    return F.when(F.col(v).rlike(r"""^"([^"\\]|\\.)*"\s*(#.*)?$|^'[^']*'\s*(#.*)?$"""),
-                  F.regexp_extract(v, r"""^["'](.*)["']\s*(#.*)?$""", 1))
-
-
-def _array_items(df: DataFrame, section: str, key: str) -> DataFrame:
-    """Strings of the array ``key`` inside ``[section]`` (inline or over several lines)."""
-    inline = (F.col("section") == section) & (F.col("key") == key) & \
-        F.col("value").startswith("[")
-    inside = (F.col("section") == section) & (F.col("array_key") == key) & (F.col("header") == "")
-    src = F.when(inline, F.col("value")).when(inside, F.col("text"))
-    return (df.where(inline | inside)
-            .select("repo_id", "line_no",
-                    F.posexplode(F.regexp_extract_all(src, F.lit(r"""["']([^"']*)["']"""), 1))
-                    .alias("pos", "item")))
-
-
-def pep621_deps(files: DataFrame, lines: DataFrame | None = None) -> DataFrame:
+def toml_rows(files: DataFrame, manifest: str = "pyproject.toml") -> DataFrame:
+    """(repo_id, entries): every pair of a root TOML file with its full path, read inside the
+    row; elements of arrays of tables are left out."""
+    root = files.where(F.col("path") == manifest)
+    return root.select("repo_id", F.filter(TM.toml_entries(F.col("content")), lambda e: ~e["in_array"])
+                       .alias("entries"))
+
+
+def _at(*path: str):
+    return lambda e: e["path"] == F.array(*[F.lit(p) for p in path])
+
+
+def _below(*path: str):
+    return lambda e: (F.slice(e["path"], 1, len(path)) == F.array(*[F.lit(p) for p in path])) & \
+        (F.size(e["path"]) > len(path))
+
+
+def _first_of_name(rows: DataFrame, ecosystem: str, manifest: str, src_rank: int) -> DataFrame:
+    """One row for each name: the place of its first item, the version of that item."""
+    one = rows.groupBy("repo_id", "name").agg(F.min(F.struct("item_ord", "version")).alias("first"))
+    return one.select("repo_id", "name", F.col("first.version").alias("version"), F.lit(ecosystem).alias("ecosystem"),
+                      F.lit(manifest).alias("manifest"), F.lit(src_rank).alias("src_rank"),
+                      F.col("first.item_ord").alias("item_ord"))
+
+
+def pep621_deps(files: DataFrame, rows: DataFrame | None = None) -> DataFrame:
     """``[project].dependencies`` strings; first occurrence of a name wins."""
-    lines = lines if lines is not None else toml_lines(files)
-    items = _array_items(lines, "project", "dependencies")
-    rows = items.select("repo_id", T.requirement_name("item").alias("name"),
-                        T.requirement_version("item").alias("version"),
-                        _place(0, "line_no", "pos"))
-    rows = rows.where(F.col("name") != "")
-    first = Window.partitionBy("repo_id", "name").orderBy("item_ord")
-    return (rows.withColumn("_r", F.row_number().over(first)).where(F.col("_r") == 1)
-            .select("repo_id", "name", "version", F.lit("pypi").alias("ecosystem"),
-                    F.lit("pyproject.toml").alias("manifest"), F.lit(1).alias("src_rank"),
-                    "item_ord"))
-
-
-def poetry_deps(files: DataFrame, lines: DataFrame | None = None) -> DataFrame:
+    rows = rows if rows is not None else toml_rows(files)
+    items = F.flatten(F.transform(F.filter("entries", _at("project", "dependencies")),
+                                  lambda e: TM.array_strings(e["value"])))
+    items = rows.select("repo_id", F.posexplode(items).alias("pos", "item")).select(
+        "repo_id", T.requirement_name("item").alias("name"), T.requirement_version("item").alias("version"),
+        _place(0, "pos"))
+    return _first_of_name(items.where(F.col("name") != ""), "pypi", "pyproject.toml", 1)
+
+
+def poetry_deps(files: DataFrame, rows: DataFrame | None = None) -> DataFrame:
     """``[tool.poetry.dependencies]``, ``dev-dependencies``, then every group's
     dependencies (in order of appearance); ``python`` and names already seen (PEP 621
-    included) are skipped; version from a string, or from ``version`` of an inline
-    table."""
-    lines = lines if lines is not None else toml_lines(files)
-    sec = F.col("section")
-    group_sec = sec.rlike(r"^tool\.poetry\.group\.[^.]+\.dependencies$")
-    table_rank = (F.when(sec == "tool.poetry.dependencies", F.lit(0))
-                  .when(sec == "tool.poetry.dev-dependencies", F.lit(1))
-                  .when(group_sec, F.lit(2)))
-    pairs = lines.where(table_rank.isNotNull() & (F.col("header") == "") & (F.col("key") != "")
-                        & (F.col("array_key") == ""))
-    first_line = Window.partitionBy("repo_id", "section")
-    pairs = pairs.withColumn("_table_first", F.min("line_no").over(first_line))
-    v = F.col("value")
-    table_ver = F.regexp_extract(v, r"""(?:^\{|,)\s*version\s*=\s*["']([^"']*)["']""", 1)
-    version = F.when(v.startswith("{"), F.when(table_ver != "", table_ver)).otherwise(
-        F.when(_toml_string("value") != "", _toml_string("value")))
-    rows = pairs.select("repo_id", F.col("key").alias("name"), version.alias("version"),
-                        _place(table_rank + 1, F.when(table_rank < 2, 0).otherwise(F.col("_table_first")),
-                               "line_no"))
-    rows = rows.where(F.col("name") != "python")
-    rows = rows.join(pep621_deps(files, lines).select("repo_id", "name"), ["repo_id", "name"],
-                     "left_anti")
-    first = Window.partitionBy("repo_id", "name").orderBy("item_ord")
-    return (rows.withColumn("_r", F.row_number().over(first)).where(F.col("_r") == 1)
-            .select("repo_id", "name", "version", F.lit("pypi").alias("ecosystem"),
-                    F.lit("pyproject.toml").alias("manifest"), F.lit(1).alias("src_rank"),
-                    "item_ord"))
-
-
-def script_entrypoints(files: DataFrame, index: DataFrame, lines: DataFrame | None = None
+    included) are skipped; version from a string, or from ``version`` of a table
+    (inline, dotted or of its own)."""
+    rows = rows if rows is not None else toml_rows(files)
+    groups = F.array_distinct(F.transform(F.filter(
+        "entries", lambda e: _below("tool", "poetry", "group")(e) & (F.try_element_at(e["path"], F.lit(5)) == "dependencies")),
+        lambda e: e["path"][3]))
+    found = (rows.select("repo_id", groups.alias("groups"), F.explode(F.filter("entries", _below("tool", "poetry")))
+                         .alias("e")).select("repo_id", "groups", "e.ord", "e.path", "e.value")
+             .withColumn("kind", F.try_element_at("path", F.lit(3))))
+    in_group = F.col("kind") == "group"
+    rank = (F.when(F.col("kind") == "dependencies", 0).when(F.col("kind") == "dev-dependencies", 1)
+            .when(in_group & (F.try_element_at("path", F.lit(5)) == "dependencies"), 2))
+    found = found.withColumn("rank", rank).where("rank is not null").withColumn(
+        "at", F.when(in_group, F.slice("path", 6, F.size("path"))).otherwise(F.slice("path", 4, F.size("path"))))
+    version = F.when((F.size("at") == 1) | ((F.size("at") == 2) & (F.try_element_at("at", F.lit(2)) == "version")),
+                     TM.string_value(F.col("value")))
+    items = found.where(F.size("at") > 0).select(
+        "repo_id", F.col("at")[0].alias("name"), F.when(version != "", version).alias("version"),
+        F.col("rank").alias("rank"), F.when(in_group, F.array_position("groups", F.col("path")[3])).otherwise(0)
+        .alias("nth"), "ord")
+    # a dependency's table may have several pairs: its place is the first, its version any
+    items = items.groupBy("repo_id", "rank", "nth", "name").agg(F.min("ord").alias("ord"), F.max("version").alias("version"))
+    items = items.select("repo_id", "name", "version", _place(F.col("rank") + 1, "nth", "ord"))
+    items = items.where(F.col("name") != "python").join(
+        pep621_deps(files, rows).select("repo_id", "name"), ["repo_id", "name"], "left_anti")
+    return _first_of_name(items, "pypi", "pyproject.toml", 1)
+
+
+def script_values(rows: DataFrame) -> DataFrame:
+    """(repo_id, ord3, poetry, val, module) of the strings in both script tables."""
+    parts = []
+    for poetry, path in ((False, ("project", "scripts")), (True, ("tool", "poetry", "scripts"))):
+        own = F.filter("entries", lambda e: _below(*path)(e) & (F.size(e["path"]) == len(path) + 1))
+        parts.append(rows.select("repo_id", F.explode(own).alias("e")).select(
+            "repo_id", F.col("e.ord").alias("ord3"), TM.string_value(F.col("e.value")).alias("val"),
+            F.lit(poetry).alias("poetry")))
+    return parts[0].unionByName(parts[1]).where(F.col("val").isNotNull()).withColumn(
+        "module", T.py_strip(F.split("val", ":", 2).getItem(0)))
+
+
+def script_entrypoints(files: DataFrame, index: DataFrame, rows: DataFrame | None = None
                        ) -> DataFrame:
     """``[project.scripts]`` then ``[tool.poetry.scripts]`` values (module before ':')
     mapped to ``<m>.py`` / ``<m>/__init__.py`` at the root; kind cli; a poetry script is
     skipped when its file already has an entry."""
-    lines = lines if lines is not None else toml_lines(files)
-    sec = F.col("section")
-    vals = (lines.where(sec.isin("project.scripts", "tool.poetry.scripts")
-                        & (F.col("header") == "") & (F.col("key") != ""))
-            .withColumn("val", _toml_string("value")).where(F.col("val").isNotNull())
-            .withColumn("module", T.py_strip(F.split("val", ":", 2).getItem(0)))
-            .withColumn("poetry", sec == "tool.poetry.scripts"))
-    hit = module_to_file(vals, index, "module", ["repo_id", "line_no"]).where(
+    rows = rows if rows is not None else toml_rows(files)
+    hit = module_to_file(script_values(rows), index, "module", ["repo_id", "ord3"]).where(
         F.col("target_id").isNotNull())
     label = F.when(F.col("poetry"), F.lit("pyproject [tool.poetry.scripts]: ")).otherwise(
         F.lit("pyproject [project.scripts]: "))
-    ent = hit.select("repo_id", F.col("target_id").alias("file_id"), F.lit("cli").alias("kind"),
-                     F.concat(label, "val").alias("evidence"), "poetry", "line_no")
+    ent = hit.select("repo_id", F.col("target_id").alias("file_id"), F.concat(label, "val").alias("evidence"),
+                     "poetry", "ord3")
     pep = ent.where(~F.col("poetry"))
     poe = ent.where(F.col("poetry")).join(pep.select("repo_id", "file_id"),
                                            ["repo_id", "file_id"], "left_anti")
-    first = Window.partitionBy("repo_id", "file_id").orderBy("line_no")
-    poe = poe.withColumn("_r", F.row_number().over(first)).where(F.col("_r") == 1).drop("_r")
+    poe = poe.groupBy("repo_id", "file_id").agg(F.min(F.struct("ord3", "evidence")).alias("first")).select(
+        "repo_id", "file_id", F.col("first.evidence").alias("evidence"), F.lit(True).alias("poetry"),
+        F.col("first.ord3").alias("ord3"))
     return (pep.unionByName(poe)
-            .select("repo_id", "file_id", "kind", "evidence",
-                    F.lit(2).alias("ord"), F.col("poetry").cast("int").alias("ord2"),
-                    F.col("line_no").alias("ord3"))
+            .select("repo_id", "file_id", F.lit("cli").alias("kind"), "evidence",
+                    F.lit(2).alias("ord"), F.col("poetry").cast("int").alias("ord2"), "ord3")
             .withColumn("manifest", F.lit("pyproject.toml")))
 
 
@@ -237,9 +221,9 @@ def script_entrypoints(files: DataFrame, index: DataFrame, lines: DataFrame | No
 def merge_deps(files: DataFrame) -> DataFrame:
     """All manifests concatenated, with ``dep_ord`` = order by (name, ecosystem,
     manifest), ties in manifest order. The same name may come from two manifests."""
-    lines = toml_lines(files)
-    allv = (npm_deps(files).unionByName(pep621_deps(files, lines))
-            .unionByName(poetry_deps(files, lines)).unionByName(requirements_deps(files)))
+    rows = store(toml_rows(files), "toml")
+    allv = (npm_deps(files).unionByName(pep621_deps(files, rows))
+            .unionByName(poetry_deps(files, rows)).unionByName(requirements_deps(files)))
     return positional_ids(allv, ["repo_id"], ["name", "ecosystem", "manifest", "src_rank", "item_ord"],
                           "dep_ord")
 
@@ -248,77 +232,8 @@ def declared_entrypoints(files: DataFrame, index: DataFrame) -> DataFrame:
     """Manifest entries deduped on (file, kind), first wins."""
     e = node_entrypoints(files, index).unionByName(script_entrypoints(files, index),
                                                    allowMissingColumns=True)
-    w = Window.partitionBy("repo_id", "file_id", "kind").orderBy("manifest", "ord", "ord2", "ord3")
-    return e.withColumn("_r", F.row_number().over(w)).where(F.col("_r") == 1).drop("_r")
-
-
-# ------------------------------------------------------------------ planned manifests
-MORE_MANIFESTS = ["go.mod", "Cargo.toml", "Gemfile", "composer.json"]
-
-
-def line_manifest_deps(files: DataFrame) -> DataFrame:
-    """Dependencies of go.mod (``require`` lines and blocks), Cargo.toml
-    (``[dependencies]``/``[dev-dependencies]``), Gemfile (``gem 'name', 'version'``) and
-    composer.json (``require``/``require-dev`` without ``php``/``ext-*``). Planned in the
-    reference, not implemented there; root manifests only."""
-    root = files.where(F.col("path").isin(*MORE_MANIFESTS)).select("repo_id", "path", "content")
-    lines = explode_lines(root.where(F.col("path") != "composer.json"), "content",
-                          ("repo_id", "path"))
-    w = Window.partitionBy("repo_id", "path").orderBy("line_no")
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    t = F.col("text")
-    # go.mod: a "require (" block runs until ")"
-    go_event = (F.when(t.rlike(r"^\s*require\s*\(\s*$"), F.lit("open"))
-                .when(t.rlike(r"^\s*\)\s*$"), F.lit("close")))
-    cargo_section = F.regexp_extract(t, r"^\s*\[\s*([^\]]+?)\s*\]\s*$", 1)
-    lines = (lines.withColumn("_go", F.last(go_event, ignorenulls=True).over(upto))
-             .withColumn("_sec", F.last(F.when(cargo_section != "", cargo_section),
-                                        ignorenulls=True).over(upto)))
-    go_single = r"^\s*require\s+([^\s()]+)\s+(\S+)"
-    go_block = r"^\s*([^\s()]+)\s+(v\S+)"
-    go = (lines.where(F.col("path") == "go.mod")
-          .withColumn("name", F.when(t.rlike(go_single), F.regexp_extract(t, go_single, 1))
-                      .when((F.col("_go") == "open") & t.rlike(go_block),
-                            F.regexp_extract(t, go_block, 1)))
-          .withColumn("version", F.when(t.rlike(go_single), F.regexp_extract(t, go_single, 2))
-                      .otherwise(F.regexp_extract(t, go_block, 2)))
-          .withColumn("ecosystem", F.lit("go")))
-    cargo_pair = r"""^\s*([\w-]+)\s*=\s*(?:"([^"]*)"|\{.*?version\s*=\s*"([^"]*)".*\}|.*)$"""
-    cargo = (lines.where((F.col("path") == "Cargo.toml")
-                         & F.col("_sec").isin("dependencies", "dev-dependencies")
-                         & (cargo_section == "") & t.rlike(r"^\s*[\w-]+\s*="))
-             .withColumn("name", F.regexp_extract(t, cargo_pair, 1))
-             .withColumn("version", F.coalesce(
-                 F.when(F.regexp_extract(t, cargo_pair, 2) != "", F.regexp_extract(t, cargo_pair, 2)),
-                 F.when(F.regexp_extract(t, cargo_pair, 3) != "", F.regexp_extract(t, cargo_pair, 3))))
-             .withColumn("ecosystem", F.lit("cargo")))
-    gem_re = r"""^\s*gem\s+['"]([^'"]+)['"](?:\s*,\s*['"]([^'"]+)['"])?"""
-    gem = (lines.where((F.col("path") == "Gemfile") & t.rlike(gem_re))
-           .withColumn("name", F.regexp_extract(t, gem_re, 1))
-           .withColumn("version", F.regexp_extract(t, gem_re, 2))
-           .withColumn("ecosystem", F.lit("rubygems")))
-    cols = ["repo_id", "name", "version", "ecosystem", F.col("path").alias("manifest"),
-            _place("line_no")]
-    txt = _union([go.where(F.col("name").isNotNull()).select(*cols), cargo.select(*cols),
-                   gem.select(*cols)])
-    comp = root.where(F.col("path") == "composer.json").select(
-        "repo_id", F.try_parse_json("content").alias("doc")).where(F.col("doc").isNotNull())
-    parts = []
-    for rank, section in enumerate(["require", "require-dev"]):
-        m = F.try_variant_get("doc", f"$.{section}", "map<string,variant>")
-        parts.append(comp.select("repo_id", F.lit(rank).alias("section"),
-                                 F.posexplode(m).alias("pos", "name", "val")))
-    cj = (parts[0].unionByName(parts[1])
-          .where((F.col("name") != "php") & ~F.col("name").startswith("ext-"))
-          .select("repo_id", "name", F.variant_get("val", "$", "string").alias("version"),
-                  F.lit("packagist").alias("ecosystem"), F.lit("composer.json").alias("manifest"),
-                  _place("section", "pos")))
-    out = txt.unionByName(cj)
-    return out.withColumn("version", F.when(F.col("version") != "", F.col("version")))
-
-
-def _union(frames: list[DataFrame]) -> DataFrame:
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out
+    place = [F.coalesce(c, F.lit(-1)).cast("long").alias(c) for c in ("ord", "ord2", "ord3")]
+    first = e.groupBy("repo_id", "file_id", "kind").agg(
+        F.min(F.struct("manifest", *place, "evidence")).alias("first"))
+    return first.select("repo_id", "file_id", "kind", F.col("first.evidence").alias("evidence"),
+                        *[F.col(f"first.{c}").alias(c) for c in ("manifest", "ord", "ord2", "ord3")])

@@ -562,3 +562,47 @@ def m_more_manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
         part = a.select("repo_id", F.lit(path).alias("path"), col.alias("content"))
         out = part if out is None else out.unionByName(part)
     return out
+
+
+def m_nested_manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pom.xml, App.csproj with Directory.Packages.props, setup.cfg and build.gradle per repo from
+    ``supplier``: k % 3 decides whether a version is written, a property, or managed elsewhere."""
+    s = m_suppliers(spark, sf_dir)
+    k = F.col("k")
+    ver, third = F.concat(F.lit("1."), k, F.lit(".0")), k % 3
+    put = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    cells = {
+        "pom_props": F.when(third == 1, put("<v", k, ">${base", k, "}</v", k, "><base", k, ">", ver, "</base", k, ">")),
+        "pom": put("<dependency><groupId>org.x</groupId><artifactId>", F.col("name"), "</artifactId>",
+                   F.when(third == 0, put("<version>", ver, "</version>"))
+                   .when(third == 1, put("<version>${v", k, "}</version>")).otherwise(F.lit("")), "</dependency>"),
+        "pom_managed": F.when(third == 2, put("<dependency><groupId>org.x</groupId><artifactId>", F.col("name"),
+                                              "</artifactId><version>", ver, "</version></dependency>")),
+        "net_props": F.when(third == 1, put("<V", k, ">", ver, "</V", k, ">")),
+        "net": put('<PackageReference Include="', F.col("name"), '"',
+                   F.when(third == 0, put(' Version="', ver, '"/>'))
+                   .when(third == 1, put("><Version>$(V", k, ")</Version></PackageReference>")).otherwise(F.lit("/>"))),
+        "net_central": F.when(third == 2, put('<PackageVersion Include="', F.col("name"), '" Version="', ver, '"/>')),
+        "cfg": put("    ", F.col("name"), F.when(third == 0, put("==", ver)).otherwise(F.lit(">=1"))),
+        "gradle_vars": F.when(third == 1, put("def v", k, " = '", ver, "'")),
+        "gradle": put("    implementation ", F.when(third == 0, put("'org.x:", F.col("name"), ":", ver, "'"))
+                      .when(third == 1, put('"org.x:', F.col("name"), ":${v", k, '}"'))
+                      .otherwise(put("group: 'org.x', name: '", F.col("name"), "', version: '", ver, "'")))}
+    a = s.groupBy("repo_id").agg(*[
+        F.concat_ws("\n", _joined(F.collect_list(F.when(c.isNotNull(), F.struct(k.alias("o"), c.alias("v")))))).alias(n)
+        for n, c in cells.items()])
+    texts = {
+        "pom.xml": put('<?xml version="1.0"?><project xmlns="http://maven.apache.org/POM/4.0.0"><properties>', F.col("pom_props"),
+                       "</properties><dependencyManagement><dependencies>", F.col("pom_managed"),
+                       "</dependencies></dependencyManagement><dependencies>", F.col("pom"), "</dependencies></project>"),
+        "App.csproj": put("<Project><PropertyGroup>", F.col("net_props"), "</PropertyGroup><ItemGroup>", F.col("net"),
+                          "</ItemGroup></Project>"),
+        "Directory.Packages.props": put("<Project><ItemGroup>", F.col("net_central"), "</ItemGroup></Project>"),
+        "setup.cfg": put("[metadata]\nname = x\n\n[options]\npackages = find:\ninstall_requires =\n", F.col("cfg"),
+                         "\npython_requires = >=3.9\n"),
+        "build.gradle": put("plugins { id 'java' }\n", F.col("gradle_vars"), "\ndependencies {\n", F.col("gradle"), "\n}\n")}
+    out = None
+    for path, content in texts.items():
+        part = a.select("repo_id", F.lit(path).alias("path"), content.alias("content"))
+        out = part if out is None else out.unionByName(part)
+    return out

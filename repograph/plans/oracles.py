@@ -904,3 +904,9 @@ UNION ALL SELECT repo_id, name, CASE WHEN k % 2 = 0 THEN '1.' || k || '.0' END,
 UNION ALL SELECT repo_id, name, '1.' || k || '.0', 'cargo', 'Cargo.toml' FROM m_s
 UNION ALL SELECT repo_id, 'vendor/' || name, '^1.' || k || '.0', 'packagist', 'composer.json' FROM m_s
 """
+ORACLES["nested_manifests"] = DM + """
+SELECT repo_id, 'org.x:' || name AS name, '1.' || k || '.0' AS version, 'maven' AS ecosystem,
+       unnest(['pom.xml', 'build.gradle']) AS manifest FROM m_s
+UNION ALL SELECT repo_id, name, '1.' || k || '.0', 'nuget', 'App.csproj' FROM m_s
+UNION ALL SELECT repo_id, name, CASE WHEN k % 3 = 0 THEN '1.' || k || '.0' END, 'pypi', 'setup.cfg' FROM m_s
+"""

@@ -348,6 +348,7 @@ def q_module_dependencies(spark, sf_dir):
 
 # ------------------------------------------------------------------ manifests, entrypoints
 from repograph.operators import entrypoints as EP  # noqa: E402
+from repograph.operators import build_files as BF  # noqa: E402
 from repograph.operators import manifests as MF  # noqa: E402
 from repograph.operators import report as RP  # noqa: E402
 
@@ -431,12 +432,8 @@ def q_poetry_script_entry(spark, sf_dir):
 @query("script_entry_join")
 def q_script_entry_join(spark, sf_dir):
     f = facts_dm(spark, sf_dir)
-    lines = MF.toml_lines(f.raw_files)
-    vals = (lines.where(F.col("section").isin("project.scripts", "tool.poetry.scripts")
-                        & (F.col("key") != ""))
-            .withColumn("module", F.split(F.regexp_extract("value", r'^"(.*)"$', 1), ":")
-                        .getItem(0)))
-    return R.module_to_file(vals, f.files, "module", ["repo_id", "line_no"]).select(
+    vals = MF.script_values(MF.toml_rows(f.raw_files))
+    return R.module_to_file(vals, f.files, "module", ["repo_id", "ord3"]).select(
         "repo_id", "module", "target_id")
 
 
@@ -1023,8 +1020,15 @@ def q_main_guard_entry(spark, sf_dir):
         "repo_id", "path", "kind")
 
 
+@query("nested_manifests")
+def q_nested_manifests(spark, sf_dir):
+    """pom.xml, .csproj, setup.cfg and build.gradle per repo, versions through properties."""
+    files = C.corpus_d(spark, sf_dir).files.unionByName(C.m_nested_manifests(spark, sf_dir))
+    return BF.nested_manifest_deps(files).select("repo_id", "name", "version", "ecosystem", "manifest")
+
+
 @query("more_manifests")
 def q_more_manifests(spark, sf_dir):
     files = C.corpus_d(spark, sf_dir).files.unionByName(C.m_more_manifests(spark, sf_dir))
-    return MF.line_manifest_deps(files).select("repo_id", "name", "version", "ecosystem",
+    return BF.line_manifest_deps(files).select("repo_id", "name", "version", "ecosystem",
                                                "manifest")
