@@ -37,8 +37,10 @@ JS_TOKENS = (
 JS_SPEC_CONTEXT = r"(?:\bfrom|\bimport|\brequire\s*\(\s*)\s*$"
 
 
-def _nl(c: Column) -> Column:
-    return F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit("")))
+def bind(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once. A plain column that is read inside a lambda
+    may be merged into it by the optimizer and is then computed again for every element."""
+    return F.transform(F.array(value), use)[0]
 
 
 def mask_tokens(text: Column, token_regex: str, keep_after: str | None = None) -> Column:
@@ -65,8 +67,11 @@ def match_lines(text: Column, regex: str) -> Column:
     opened, closed = "\u0001", "\u0002"
     clean = F.translate(text, opened + closed, "")
     marked = F.regexp_replace(clean, regex, f"{opened}$0{closed}")
-    hits = F.regexp_extract_all(marked, F.lit(f"{opened}([^{closed}]*){closed}"), 1)
     count = lambda line: F.length(line) - F.length(F.replace(line, F.lit(opened), F.lit("")))
-    lines = F.flatten(F.transform(F.split(marked, "\n", -1),
-                                  lambda line, i: F.array_repeat(i + 1, count(line))))
-    return F.zip_with(lines, hits, lambda at, hit: F.struct(at.cast("int").alias("line"), hit.alias("match")))
+
+    def found(text: Column) -> Column:
+        hits = F.regexp_extract_all(text, F.lit(f"{opened}([^{closed}]*){closed}"), 1)
+        lines = F.flatten(F.transform(F.split(text, "\n", -1),
+                                      lambda line, i: F.array_repeat(i + 1, count(line))))
+        return F.zip_with(lines, hits, lambda at, hit: F.struct(at.cast("int").alias("line"), hit.alias("match")))
+    return bind(marked, found)

@@ -63,7 +63,8 @@ def _py_line_mods(x: Column) -> Column:
     else ``import a, b`` gives one per item (an ``as`` alias ends the list)."""
     items = F.filter(F.transform(F.split(F.regexp_extract(x, PY_IMPORT_LINE, 1), ","),
                                  lambda s: T.py_strip(s)), lambda s: s != "")
-    return F.when(x.rlike(PY_FROM_LINE), F.array(F.struct(
+    none = F.array().cast("array<struct<level:int,module:string>>")
+    return F.when(~x.contains("import"), none).when(x.rlike(PY_FROM_LINE), F.array(F.struct(
         F.length(F.regexp_extract(x, PY_FROM_LINE, 1)).alias("level"),
         F.regexp_extract(x, PY_FROM_LINE, 2).alias("module")))).otherwise(
         F.transform(items, lambda m: F.struct(F.lit(0).alias("level"), m.alias("module"))))
@@ -89,9 +90,10 @@ def _js_line_specs(x: Column) -> Column:
     stmt = stripped.startswith("import") | stripped.startswith("export")
     from_spec = F.regexp_extract(x, JS_FROM, 1)
     bare = F.regexp_extract(x, JS_BARE_IMPORT, 1)
+    none = F.array().cast("array<string>")
     first = F.when(stmt & (from_spec != ""), from_spec).when(stmt & (bare != ""), bare)
-    return F.concat(F.when(first.isNotNull(), F.array(first)).otherwise(
-        F.array().cast("array<string>")), F.regexp_extract_all(x, F.lit(JS_REQUIRE), 1))
+    required = F.when(x.contains("require"), F.regexp_extract_all(x, F.lit(JS_REQUIRE), 1)).otherwise(none)
+    return F.concat(F.when(first.isNotNull(), F.array(first)).otherwise(none), required)
 
 
 def scanned_files(contents: DataFrame) -> DataFrame:
@@ -105,36 +107,39 @@ def scanned_files(contents: DataFrame) -> DataFrame:
     specifier; the statement may span lines), bare ``import '...'``, and ``require(<string>)``
     calls (line of the call); dynamic ``import()`` is not captured.
     """
-    family, lines, masked = F.col("family"), F.col("lines"), F.col("masked")
-    src = scan_eligible(contents).select(
-        "repo_id", "path", "family", T.split_lines("content").alias("lines"),
-        F.when(F.col("family") == "python", S.mask_tokens(F.col("content"), S.PY_TOKENS))
-        .otherwise(S.mask_tokens(F.col("content"), S.JS_TOKENS, S.JS_SPEC_CONTEXT)).alias("masked"))
-
-    py_stmt = F.flatten(F.transform(S.match_lines(masked, PY_STMT), lambda m, i: F.transform(
-        _py_stmt_mods(m["match"]), lambda d, k: _item(m["line"], _evidence(lines, m["line"]), i, k,
-                                                      d["level"], d["module"]))))
-    py_line = F.flatten(F.transform(lines, lambda x, i: F.transform(
-        _py_line_mods(x), lambda d, k: _item(i + 1, x, F.lit(0), k, d["level"], d["module"]))))
+    src = scan_eligible(contents)
+    python, lines = F.col("family") == "python", T.split_lines("content")
 
-    def specs(regex: str, at_end: bool) -> Column:
+    def py_stmt(b: Column) -> Column:
+        return F.flatten(F.transform(S.match_lines(b["masked"], PY_STMT), lambda m, i: F.transform(
+            _py_stmt_mods(m["match"]), lambda d, k: _item(m["line"], _evidence(b["lines"], m["line"]), i, k,
+                                                          d["level"], d["module"]))))
+
+    def specs(masked: Column, regex: str, at_end: bool) -> Column:
         def one(m):
             below = F.length(m["match"]) - F.length(F.replace(m["match"], F.lit("\n"), F.lit("")))
             return F.struct((m["line"] + below if at_end else m["line"]).alias("line"),
                             F.regexp_extract(m["match"], regex, 2).alias("spec"))
         return F.transform(S.match_lines(masked, regex), one)
 
-    js_all = F.concat(specs(JS_STMT_FROM, True), specs(JS_STMT_BARE, False),
-                      specs(JS_STMT_REQUIRE, False))
-    js_stmt = F.filter(F.transform(js_all, lambda m, i: _item(
-        m["line"], _evidence(lines, m["line"]), i, F.lit(0), F.lit(0), m["spec"])),
-        lambda r: r["module"] != "")
+    def js_stmt(b: Column) -> Column:
+        found = F.concat(specs(b["masked"], JS_STMT_FROM, True), specs(b["masked"], JS_STMT_BARE, False),
+                         specs(b["masked"], JS_STMT_REQUIRE, False))
+        return F.filter(F.transform(found, lambda m, i: _item(
+            m["line"], _evidence(b["lines"], m["line"]), i, F.lit(0), F.lit(0), m["spec"])),
+            lambda r: r["module"] != "")
+
+    def read_once(masked: Column, use) -> Column:
+        return S.bind(F.struct(lines.alias("lines"), masked.alias("masked")), use)
+
+    stmt = F.when(python, read_once(S.mask_tokens(F.col("content"), S.PY_TOKENS), py_stmt)).otherwise(
+        read_once(S.mask_tokens(F.col("content"), S.JS_TOKENS, S.JS_SPEC_CONTEXT), js_stmt))
+    py_line = F.flatten(F.transform(lines, lambda x, i: F.transform(
+        _py_line_mods(x), lambda d, k: _item(i + 1, x, F.lit(0), k, d["level"], d["module"]))))
     js_line = F.flatten(F.transform(lines, lambda x, i: F.transform(
         _js_line_specs(x), lambda sp, k: _item(i + 1, x, F.lit(0), k, F.lit(0), sp))))
-    python = family == "python"
     return src.select("repo_id", "path", F.when(python, F.lit("python")).otherwise(F.lit("js")).alias("lang"),
-                      F.when(python, py_stmt).otherwise(js_stmt).alias("s"),
-                      F.when(python, py_line).otherwise(js_line).alias("l"))
+                      stmt.alias("s"), F.when(python, py_line).otherwise(js_line).alias("l"))
 
 
 def _item_rows(scanned: DataFrame, items: str, lang: str, extractor: str) -> DataFrame:
