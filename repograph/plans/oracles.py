@@ -868,6 +868,12 @@ SELECT event_id, user_id AS file_id FROM events
 WHERE user_id NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 3 <> 0)
 """
 
+ORACLES["stream_orphan_refs_changing"] = """
+SELECT c.event_id, c.user_id AS file_id FROM events c WHERE c.event_type = 'click' AND NOT EXISTS (
+  SELECT 1 FROM events v WHERE v.event_type = 'view' AND v.user_id = c.user_id
+  AND v.ts >= c.ts - INTERVAL 2 HOUR AND v.ts <= c.ts + INTERVAL 1 HOUR)
+"""
+
 # ------------------------------------------------------------------ planned extensions
 ORACLES["snapshot_diff"] = D_WITH + """
 SELECT repo_id, path, CASE WHEN partkey % 5 = 0 THEN 'added' WHEN partkey % 7 = 0 THEN 'removed'

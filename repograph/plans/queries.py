@@ -955,22 +955,41 @@ def _event_touches(spark, sf_dir) -> DataFrame:
                      F.col("user_id").alias("file_id"))
 
 
+def _run_to_end(spark, streams: list[DataFrame], build) -> DataFrame:
+    """Append-mode rows of ``build`` over streams that get an end mark after all their input."""
+    out, state = _stream_dirs(spark)
+    ended = [s.union(ST.end_marks(spark, f"{out}-marks", s)) for s in streams]
+    ST.run_append(build(*ended), out, state)
+    ST.write_end_mark(spark, f"{out}-marks", streams[0])
+    ST.run_append(build(*ended), out, state)
+    return spark.read.parquet(out)
+
+
 @query("stream_churn")
 def q_stream_churn(spark, sf_dir):
-    out, state = _stream_dirs(spark)
-    ST.run_update(ST.stream_churn(_event_touches(spark, sf_dir)), out, state)
-    return ST.latest_per_key(spark, out, ["file_id", "window_start"]).select(
-        "file_id", ST.utc_text(spark, "window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"),
-        "touches")
+    rows = _run_to_end(spark, [_event_touches(spark, sf_dir)], ST.stream_churn)
+    return rows.select("file_id", ST.utc_text(spark, "window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"),
+                       "touches")
 
 
 @query("stream_last_touch")
 def q_stream_last_touch(spark, sf_dir):
     out, state = _stream_dirs(spark)
-    ST.run_update(ST.stream_last_touch(_event_touches(spark, sf_dir)), out, state)
-    r = ST.latest_per_key(spark, out, ["file_id"])
-    return r.select("file_id", ST.utc_text(spark, "last_ts", "yyyy-MM-dd HH:mm:ss.SSSSSS")
-                    .alias("last_ts"), "last_event_id")
+    key, order = ["file_id"], ["last_ts", "last_event_id"]
+    ST.run_update(ST.stream_last_touch(_event_touches(spark, sf_dir)), out, state, key, order)
+    return ST.latest_per_key(spark, out, key, order).select(
+        "file_id", ST.utc_text(spark, "last_ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("last_ts"), "last_event_id")
+
+
+@query("stream_orphan_refs_changing")
+def q_stream_orphan_refs_changing(spark, sf_dir):
+    """Clicks on a file that nobody viewed in the two hours before or the hour after."""
+    def kind(name: str) -> DataFrame:
+        return ST.parquet_stream(spark, sf_dir, "events.parquet").where(F.col("event_type") == name).select(
+            "event_id", ST.ntz_as_utc(spark, "ts").alias("ts"), F.col("user_id").alias("file_id"))
+    rows = _run_to_end(spark, [kind("click"), kind("view")], lambda refs, seen: ST.stream_orphan_refs_changing(
+        refs, seen, keep="2 hours", wait="1 hour"))
+    return rows.select("event_id", "file_id")
 
 
 @query("stream_orphan_refs")
