@@ -719,6 +719,7 @@ LEFT JOIN ec ON ec.perspective_id = n.perspective_id AND ec.node_id = n.node_id
 ORACLES["commit_log_rows"] = D_WITH + """
 SELECT repo_id, 'c' || commit_id AS commit_hash, seq, committed_at, path FROM d_touch
 """
+ORACLES["commit_log_export"] = ORACLES["commit_log_rows"]
 _DOCS = DN + """,
 nd AS (SELECT perspective_id, ord, node_id, c, perspective_id || '#' || (c // 40) AS doc_id FROM n_nodes),
 pid AS (SELECT DISTINCT doc_id, perspective_id AS p FROM nd

@@ -5,6 +5,7 @@ Computed columns carry the same names as the matching oracle SQL.
 """
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -796,6 +797,14 @@ def q_commit_log_rows(spark, sf_dir):
     return rows.select("repo_id", "commit_hash", "seq", "committed_at", "path")
 
 
+@query("commit_log_export")
+def q_commit_log_export(spark, sf_dir):
+    """The same history from exported files, split between tasks at record separators."""
+    root = ensure_checkpoint_dir(spark).rstrip("/") + f"/log-{uuid.uuid4().hex}"
+    GL.write_log_exports(d_log_chunks(spark, sf_dir), root)
+    return GL.read_log_exports(spark, root).select("repo_id", "commit_hash", "seq", "committed_at", "path")
+
+
 def _n_docs(spark, sf_dir) -> DataFrame:
     """The serialized narrative documents - stored input, materialised once."""
     return C.materialize(spark, ("n_docs", sf_dir), lambda: C.n_documents(spark, sf_dir))
@@ -869,7 +878,6 @@ def q_facts_document(spark, sf_dir):
 
 @query("write_facts")
 def q_write_facts(spark, sf_dir):
-    import uuid
     path = ensure_checkpoint_dir(spark).rstrip("/") + f"/facts-{uuid.uuid4().hex}"
     SK.write_facts(_dm_records(spark, sf_dir), path)
     return _facts_by_value(SK.read_facts(spark, path))
@@ -942,7 +950,6 @@ from repograph.streaming import signals as ST  # noqa: E402
 
 
 def _stream_dirs(spark) -> tuple[str, str]:
-    import uuid
     base = ensure_checkpoint_dir(spark).rstrip("/") + f"/stream-{uuid.uuid4().hex}"
     return base + "/out", base + "/state"
 

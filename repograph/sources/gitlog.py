@@ -1,14 +1,15 @@
 """Commit history from exported log text (``git log --no-renames --name-only`` with a
 record separator before each commit and a field separator between hash and date).
 
-The export arrives as chunks ``(repo_id, chunk_no, text)``; chunks are in log order
-(chunk 0 holds the newest commits) and each chunk holds whole records. Parsing is a
-pair of ``split`` + ``posexplode`` steps; ``seq`` (1 = newest) is a positional id over
-(chunk_no, position in chunk), computed without a per-repo sort in one task.
+The export arrives as files of any size (``read_log_exports``: Spark's text source splits at the
+record separator, so one file is read by many tasks), or as chunks ``(repo_id, chunk_no, text)``
+in log order (chunk 0 holds the newest commits) of whole records (``commit_log_rows``). ``seq``
+(1 = newest) is a positional id over the records' places, computed without a per-repo sort in
+one task.
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from repograph.functions import text as T
@@ -19,30 +20,54 @@ RECORD_SEP = "\u001e"
 FIELD_SEP = "\u001f"
 
 
-def commit_log_rows(chunks: DataFrame) -> DataFrame:
-    """(repo_id, commit_id, seq, committed_at, path): one row per (commit, path).
-    Blank lines are dropped; a record whose header lacks the field separator is
-    dropped."""
-    blocks = (chunks.select("repo_id", "chunk_no",
-                            F.posexplode(F.split("text", RECORD_SEP, -1)).alias("pos", "block"))
-              .withColumn("block", F.regexp_replace("block", r"^\n+|\n+$", "")))
-    blocks = blocks.where(F.col("block") != "")
+def _commit_rows(records: DataFrame, place: list[str]) -> DataFrame:
+    """(repo_id, commit_hash, seq, committed_at, path) of ``records(repo_id, block, *place)``."""
+    records = records.withColumn("block", F.regexp_replace("block", r"^\n+|\n+$", "")).where(F.col("block") != "")
     header = F.substring_index("block", "\n", 1)
     body = F.when(F.instr("block", "\n") > 0,
                   F.expr("substring(block, instr(block, '\n') + 1)")).otherwise(F.lit(""))
-    recs = (blocks.select("repo_id", "chunk_no", "pos", header.alias("header"), body.alias("body"))
+    recs = (records.select("repo_id", *place, header.alias("header"), body.alias("body"))
             .where(F.instr("header", FIELD_SEP) > 0)
-            .select("repo_id", "chunk_no", "pos",
+            .select("repo_id", *place,
                     F.substring_index("header", FIELD_SEP, 1).alias("commit_hash"),
                     F.expr(f"substring(header, instr(header, '{FIELD_SEP}') + 1)")
                     .alias("committed_at"), "body"))
-    recs = positional_ids(recs, ["repo_id"], ["chunk_no", "pos"], "seq")
+    recs = positional_ids(recs, ["repo_id"], place, "seq")
     rows = recs.select("repo_id", "commit_hash", "seq", "committed_at",
                        F.explode(T.split_lines("body")).alias("raw"))
     return (rows.withColumn("path", T.py_strip("raw")).where(F.col("path") != "")
             .drop("raw"))
 
 
+def commit_log_rows(chunks: DataFrame) -> DataFrame:
+    """One row per (commit, path) of export chunks. Blank lines are dropped; a record whose
+    header lacks the field separator is dropped."""
+    return _commit_rows(chunks.select("repo_id", "chunk_no", F.posexplode(F.split("text", RECORD_SEP, -1))
+                                      .alias("pos", "block")), ["chunk_no", "pos"])
+
+
+def read_log_exports(spark: SparkSession, root: str) -> DataFrame:
+    """The same rows from exported files ``<root>/<repo_id>/<file>`` (or ``repo_id=<id>``); the
+    files of a repository follow one another in the order of their names.
+
+    A file is split at record separators between tasks of ``spark.sql.files.maxPartitionBytes``.
+    A record's place is its file, the start of its split, and its number inside the task that
+    reads the split.
+    """
+    read = spark.read.option("lineSep", RECORD_SEP).option("recursiveFileLookup", "true").text(root)
+    folder = F.regexp_extract("_metadata.file_path", r"([^/]+)/[^/]*$", 1)
+    records = read.select(F.try_url_decode(F.regexp_replace(folder, "^repo_id=", "")).alias("repo_id"),
+                          F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"),
+                          F.monotonically_increasing_id().alias("nth"), F.col("value").alias("block"))
+    return _commit_rows(records, ["file", "split", "nth"])
+
+
+def write_log_exports(chunks: DataFrame, root: str) -> None:
+    """Write chunks as export files that ``read_log_exports`` reads, in log order."""
+    (chunks.repartitionByRange("repo_id", "chunk_no").sortWithinPartitions("repo_id", "chunk_no")
+     .select("repo_id", F.col("text").alias("value")).write.partitionBy("repo_id").option("lineSep", RECORD_SEP).text(root))
+
+
 def log_chunks_from_commits(commits: DataFrame, chunk_commits: int = 500) -> DataFrame:
     """Render commits(repo_id, commit_hash, committed_at, sort_ts, tiebreak, path) as
     export chunks of ``chunk_commits`` commits each, newest first (sort_ts then tiebreak

@@ -75,6 +75,31 @@ def test_commit_log_rows(spark):
         ("h3", 1, "2020-03-01", "b.py")]
 
 
+def test_one_large_export_is_read_by_many_tasks(spark):
+    """Rows, numbers and order equal those of the same text in chunks, wherever files are cut."""
+    import os
+    import tempfile
+    rs, fs = GL.RECORD_SEP, GL.FIELD_SEP
+    text = "".join(f"{rs}h{i}{fs}2020-01-{i % 28 + 1:02d}\n\n" + "".join(f"dir é/f{i % 7 + k}.py\n" for k in range(i % 4))
+                   + "\n" for i in range(3000)) + f"{rs}junk header\nx.py\n"
+    root = tempfile.mkdtemp(prefix="repograph-log-", dir="/tmp")
+    cut = text.index(rs, len(text) // 3)
+    for repo, name, part in (("big repo", "a.log", text[:cut]), ("big repo", "b.log", text[cut:]), ("s", "x", f"{rs}h{fs}d\np\n")):
+        os.makedirs(f"{root}/{repo}", exist_ok=True)
+        with open(f"{root}/{repo}/{name}", "w", encoding="utf-8") as f:
+            f.write(part)
+    chunks = spark.createDataFrame([("big repo", 0, text), ("s", 0, f"{rs}h{fs}d\np\n")], "repo_id string, chunk_no int, text string")
+    cols = ["repo_id", "commit_hash", "seq", "committed_at", "path"]
+    expected = rows(GL.commit_log_rows(chunks), *cols)
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "5000")
+        assert spark.read.option("lineSep", rs).option("recursiveFileLookup", "true").text(root).rdd.getNumPartitions() > 20
+        assert rows(GL.read_log_exports(spark, root), *cols) == expected
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+
+
 def test_positional_ids_stable_across_partitioning(spark):
     from repograph.operators.ids import positional_ids
     df = spark.range(5000).select(F.concat(F.lit("r"), (F.col("id") % 3).cast("string")).alias("g"),
