@@ -11,6 +11,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from repograph.functions.scan import bind
+
 #: The three base kinds in report order, with the pattern and the shortest
 #: length (of group 2 for ``assign``, else of the match).
 BASE_KINDS = ("assign", "access", "hex")
@@ -48,32 +50,39 @@ ALLOW_LIST = (
 def max_window_entropy(candidate: Column, alphabet: str, window: int = WINDOW) -> Column:
     """Largest Shannon entropy (bits per character) over all windows of ``candidate``.
 
-    Counts and the sum of c*log2(c) are updated as a character enters and one leaves, so a
-    step costs the same at any length. Characters outside ``alphabet`` share one extra slot.
-    Strings shorter than ``window`` are one window.
+    The counts are a string with a character for each slot, whose code is the count. As a
+    character enters the window and one leaves, one character of it is replaced each and the
+    sum of c*log2(c) is updated: a step costs the same at any length and any position.
+    Characters outside ``alphabet`` share one extra slot. Strings shorter than ``window`` are
+    one window.
     """
     w = F.least(F.lit(window), F.length(candidate))
     clog = F.array(*[F.lit(n * math.log2(n) if n else 0.0) for n in range(window + 1)])
     slots = F.transform(F.filter(F.split(candidate, ""), lambda c: c != ""),
-                        lambda c: F.instr(F.lit(alphabet), c))
-    start = F.struct(F.array_repeat(F.lit(0), len(alphabet) + 1).alias("n"),
+                        lambda c: F.instr(F.lit(alphabet), c) + 1)
+    zero = 48
+    start = F.struct(F.lit(chr(zero) * (len(alphabet) + 1)).alias("n"),
                      F.lit(0.0).alias("s"), F.lit(float("inf")).alias("least"))
 
+    def put(counts: Column, slot: Column, n: Column) -> Column:
+        return F.overlay(counts, F.char(n + zero), slot, 1)
+
     def step(st, x):
         into, out = x["into"], x["out"]
-        same = into == out
-        n_in, n_out = st["n"][into], F.when(out >= 0, st["n"][out]).otherwise(0)
+        same, leaves = into == out, out >= 0
+        n_in = F.ascii(F.substr(st["n"], into, F.lit(1))) - zero
+        n_out = F.ascii(F.substr(st["n"], out, F.lit(1))) - zero
         s = F.when(same, st["s"]).otherwise(
             st["s"] + clog[n_in + 1] - clog[n_in]
-            + F.when(out >= 0, clog[n_out - 1] - clog[n_out]).otherwise(0.0))
-        counts = F.when(same, st["n"]).otherwise(F.transform(
-            st["n"], lambda c, j: c + F.when(j == into, 1).when(j == out, -1).otherwise(0)))
+            + F.when(leaves, clog[n_out - 1] - clog[n_out]).otherwise(0.0))
+        entered = put(st["n"], into, n_in + 1)
+        counts = F.when(same, st["n"]).when(leaves, put(entered, out, n_out - 1)).otherwise(entered)
         return F.struct(counts.alias("n"), s.alias("s"),
                         F.when(x["full"], F.least(st["least"], s)).otherwise(st["least"]).alias("least"))
 
-    steps = F.transform(slots, lambda c, i: F.struct(
-        c.alias("into"), F.when(i >= w, slots[i - w]).otherwise(-1).alias("out"),
-        (i + 1 >= w).alias("full")))
+    steps = bind(F.struct(slots.alias("at"), w.alias("w")), lambda b: F.transform(b["at"], lambda c, i: F.struct(
+        c.alias("into"), F.when(i >= b["w"], b["at"][i - b["w"]]).otherwise(-1).alias("out"),
+        (i + 1 >= b["w"]).alias("full"))))
     total = F.aggregate(steps, start, step, lambda st: st["least"])
     return F.log2(w.cast("double")) - total / w
 
@@ -111,8 +120,8 @@ def _matches(text: Column, kind: str, pattern: str) -> Column:
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
     empty = F.array().cast("array<struct<kind:string,nth:int,gap:int,hit:string>>")
-    return F.when(F.size(found) == 0, empty).otherwise(F.transform(found, lambda m, i: F.struct(
-        F.lit(kind).alias("kind"), i.alias("nth"), F.length(gaps[i]).alias("gap"), m.alias("hit"))))
+    return F.when(F.size(found) == 0, empty).otherwise(bind(gaps, lambda g: F.transform(found, lambda m, i: F.struct(
+        F.lit(kind).alias("kind"), i.alias("nth"), F.length(g[i]).alias("gap"), m.alias("hit")))))
 
 
 def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",

@@ -91,3 +91,19 @@ def test_allow_list_is_applied_to_parts(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: [(s.start, s.end) for s in r.spans] for r in secret_spans(df).collect()}
     assert got == {0: [(0, 8 + len(key))], 1: [(0, 12 + len(key))], 2: [], 3: [], 4: []}
+
+
+def test_time_is_linear_in_the_length_of_a_run(spark):
+    """One run of a megabyte (an embedded image), and as many short matches in one text."""
+    import time
+    r = random.Random(4)
+    alphabet = string.ascii_letters + string.digits + "+"
+    run = "".join(r.choice(alphabet) for _ in range(1_000_000))
+    dull = "aB1" * 333_333
+    many = " ".join("token=abcdefgh%d" % (i % 10) for i in range(20_000))
+    df = spark.createDataFrame(list(enumerate([run, dull, many])), "doc_id long, text string").repartition(3)
+    t = time.time()
+    found = {row.doc_id: [tuple(s) for s in row.spans] for row in secret_spans(df).collect()}
+    assert time.time() - t < 60
+    assert found[0] == [(0, 4, "entropy", len(run))] and found[1] == []
+    assert [s[0] for s in found[2]] == [i * 16 for i in range(20_000)]
