@@ -216,5 +216,7 @@ def read_token_shards(manifest: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)],
                                           names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    files = manifest.select("file", F.col("base").cast("long")).repartition("file")
+    # as many tasks as shards; a fixed number is not merged again however small the manifest is
+    files = manifest.select("file", F.col("base").cast("long"))
+    files = files.repartitionByRange(max(1, files.count()), "base", "file")
     return files.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -220,3 +220,14 @@ def test_packing_edge_rows(spark):
         r.doc_tokens for r in out.where("start = 0").collect())
     assert out.where("start = 0").count() == len(rows)
     assert pack_documents(empty_docs(spark), VOCAB).count() == 0
+
+
+def test_shards_are_read_back_by_as_many_tasks(spark):
+    docs = spark.createDataFrame([(i, words(50, i)) for i in range(400)], "doc_id long, text string")
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        manifest = write_token_shards(docs.repartition(8), VOCAB)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    assert manifest.count() > 1 and read_token_shards(manifest).rdd.getNumPartitions() == manifest.count()
