@@ -27,6 +27,7 @@ from repograph.llm.common import arrow_batches, open_fs, shared_path, stored
 
 BLOCK_LINES = 1000            # captures in a compressed block of the index
 FILE_BYTES = 1 << 30          # an archive file is closed beyond this size
+TASK_CAPTURES = 2048          # captures that one task reads back
 OPEN_FILES = 32
 KEPT_BYTES = 16 << 20         # payloads of responses that a task keeps for their revisits
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -113,8 +114,10 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"),
                         html.alias("html"), F.sha1(html).alias("digest"),
                         F.octet_length(html).alias("size"))
-    first = rows.where(F.col("size") >= min_bytes).groupBy("digest", "size").agg(
-        F.max(F.struct("id", "url")).alias("first"))
+    # stored, so that a payload of very many pages can be split in the join
+    first = stored(rows.where(F.col("size") >= min_bytes).groupBy("digest", "size").agg(
+        F.max(F.struct("id", "url")).alias("first"), F.count("*").alias("n"))
+        .where(F.col("n") > 1).drop("n"), "payloads")
     rows = rows.join(first, ["digest", "size"], "left").select(
         "id", "url", "html", F.col("first.id").alias("to"), F.col("first.url").alias("to_url"),
         (F.col("first").isNotNull() & ~F.col("first.id").eqNullSafe(F.col("id"))).alias("revisit"))
@@ -285,10 +288,13 @@ def read_captures(requests: DataFrame, shards: DataFrame, id_col: str = "page_id
     """Look up distinct (id, url) requests: a row for each capture found, with ``page_id``,
     ``url``, ``record_type``, ``refers_to``, ``payload`` and ``payload_digest``.
 
-    Requests are range-partitioned by key, so a task's lookups go through neighbouring blocks.
-    The list of shards (one row for each task that wrote the index) goes to every task.
+    Requests are range-partitioned by key, so a task's lookups go through neighbouring blocks;
+    the number of tasks follows the number of captures. The list of shards (one row for each
+    task that wrote the index) goes to every task.
     """
-    firsts = [(r["first"], r["file"]) for r in shards.select("first", "file").collect()]
+    listed = shards.select("first", "file", "captures").collect()
+    firsts = [(r["first"], r["file"]) for r in listed]
+    tasks = max(1, -(-sum(r["captures"] for r in listed) // TASK_CAPTURES))
 
     def key(ids, urls):
         return pa.array([capture_key(u, i) for i, u in zip(ids.to_pylist(), urls.to_pylist())], pa.string())
@@ -322,7 +328,7 @@ def read_captures(requests: DataFrame, shards: DataFrame, id_col: str = "page_id
                                                  "payload", "payload_digest"])
 
     keys = requests.select(F.col(id_col).cast("long"), F.col(url_col)).mapInArrow(keyed, "key string").distinct()
-    return keys.repartitionByRange("key").sortWithinPartitions("key").mapInArrow(
+    return keys.repartitionByRange(tasks, "key").sortWithinPartitions("key").mapInArrow(
         read, "page_id long, url string, record_type string, refers_to long, payload binary, "
               "payload_digest string")
 
