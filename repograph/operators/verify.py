@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 VIOLATION_COLS = ["repo_id", "severity", "check", "scope", "subject", "ref"]
 
+SLICE = 10_000                # repeats of one key that one row makes
+
 
 def _v(df: DataFrame, severity: str, check: str, scope, subject, ref=None) -> DataFrame:
     def c(x):
@@ -30,9 +32,13 @@ def union_all(frames: list[DataFrame]) -> DataFrame:
 
 
 def _repeats(df: DataFrame, keys: list[str]) -> DataFrame:
-    """One row per occurrence after the first of each key (n - 1 rows)."""
-    return (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1)
-            .select(*keys, F.explode(F.sequence(F.lit(2), F.col("_n"))).alias("occurrence")))
+    """One row per occurrence after the first of each key (n - 1 rows), made in slices so that
+    no array grows with a key's repeats."""
+    counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1)
+    slices = counted.select(*keys, "_n", F.explode(F.sequence(F.lit(2).cast("long"), F.col("_n"),
+                                                              F.lit(SLICE).cast("long"))).alias("_from"))
+    return slices.select(*keys, F.explode(F.sequence("_from", F.least(F.col("_from") + SLICE - 1, F.col("_n"))))
+                         .alias("occurrence"))
 
 
 # ------------------------------------------------------------------ structure

@@ -1,3 +1,5 @@
+import pytest
+
 import __spark_entry__ as E
 
 
@@ -20,13 +22,16 @@ def test_small_query_runs_on_whole_table(spark):
     assert df.count() == docs.count()
 
 
-def test_entry_works_without_the_corpus_package(monkeypatch):
+@pytest.mark.parametrize("missing", [("repograph.llm.queries", "corpus_pipeline"), ("public_tokenizers",)])
+def test_entry_works_without_the_corpus_package(monkeypatch, missing):
+    """Without the folders, or without a module that they import."""
     import importlib
-    import importlib.util
-    find = importlib.util.find_spec
-    gone = ("repograph.llm", "corpus_pipeline")
+    import sys
     with monkeypatch.context() as m:
-        m.setattr(importlib.util, "find_spec", lambda n, *a: None if n.startswith(gone) else find(n, *a))
+        for name in [n for n in sys.modules if n.startswith("repograph.llm") or n == "corpus_pipeline"]:
+            m.delitem(sys.modules, name)
+        for name in missing:
+            m.setitem(sys.modules, name, None)
         bare = set(importlib.reload(E).queries())
     importlib.reload(E)
     assert len(bare) >= 90 and not any(k.startswith("op") or k == "pipeline" for k in bare)
