@@ -129,3 +129,17 @@ t AS (SELECT page_id, url, array_to_string(list_filter(list_transform(parts, lam
     '\s+', ' ', 'g'))), lambda x: x <> ''), chr(10)) AS text FROM b)
 SELECT page_id, url, text, length(text) AS n_chars FROM t
 """
+
+#: Every pair of a label compared, components by following all links: for small tables.
+OP10_EMBEDDING_DEDUP = """
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE label IS NOT NULL
+  AND len(list_filter(embedding, lambda x: coalesce(isfinite(x), false))) = len(embedding)
+  AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+  AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+r(vec_id, root) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT l.x, r.root FROM r JOIN links l ON l.y = r.vec_id),
+c AS (SELECT vec_id, min(root) AS component_id FROM r GROUP BY vec_id),
+n AS (SELECT x AS vec_id, count(*) AS n_links FROM links GROUP BY x)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM c LEFT JOIN n USING (vec_id)
+"""

@@ -125,6 +125,9 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
+ORACLES["op10_embedding_dedup"] = oracles.OP10_EMBEDDING_DEDUP
+
+
 @_query
 def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     codes, codebook = vector_codes(table(spark, sf_dir, "embeddings"), parts=16, entries=64, rounds=2)
