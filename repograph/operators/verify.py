@@ -13,6 +13,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from repograph.session import store
+
 VIOLATION_COLS = ["repo_id", "severity", "check", "scope", "subject", "ref"]
 
 SLICE = 10_000                # repeats of one key that one row makes
@@ -126,16 +128,40 @@ def covered_files(node_refs: DataFrame, module_files: DataFrame, files: DataFram
             .join(files.select("repo_id", "file_id"), ["repo_id", "file_id"], "left_semi"))
 
 
+def coverage_bitmaps(node_refs: DataFrame, module_files: DataFrame, files: DataFrame) -> DataFrame:
+    """(repo_id, perspective_id, bucket, bits): the covered files of each perspective as bitmaps
+    over the numbers in their positional ids (``f0001``), 32,768 files a bucket; stored.
+
+    A module's files become bitmaps once, so a reference to a module is joined to one row for
+    each bucket and not for each file. Perspectives and the total are read from the same rows by
+    merging bitmaps: files that several references cover need no distinct.
+    """
+    number = F.regexp_extract("file_id", "([0-9]+)$", 1).cast("bigint")
+    place = [F.bitmap_bucket_number(number).alias("bucket"), F.bitmap_bit_position(number).alias("bit")]
+    known = files.select("repo_id", "file_id")
+    members = module_files.join(known, ["repo_id", "file_id"], "left_semi").select("repo_id", "module_id", *place)
+    members = members.groupBy("repo_id", "module_id", "bucket").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    refs = node_refs.select("repo_id", "perspective_id", "ref_kind", "ref_id").distinct()
+    direct = (refs.where(F.col("ref_kind") == "file").withColumnRenamed("ref_id", "file_id")
+              .join(known, ["repo_id", "file_id"], "left_semi").select("repo_id", "perspective_id", *place)
+              .groupBy("repo_id", "perspective_id", "bucket").agg(F.bitmap_construct_agg("bit").alias("bits")))
+    via = (refs.where(F.col("ref_kind") == "module").withColumnRenamed("ref_id", "module_id")
+           .join(members, ["repo_id", "module_id"]).select("repo_id", "perspective_id", "bucket", "bits"))
+    return store(direct.unionByName(via).groupBy("repo_id", "perspective_id", "bucket")
+                 .agg(F.bitmap_or_agg("bits").alias("bits")), "coverage")
+
+
 def _pct(c, t) -> F.Column:
     return F.when(t > 0, F.bround(F.lit(100.0) * c / t, 2)).otherwise(F.lit(0.0))
 
 
 def coverage_by_perspective(perspectives: DataFrame, nodes: DataFrame, covered: DataFrame,
                             files: DataFrame) -> DataFrame:
+    """Files that each perspective covers, from ``coverage_bitmaps``."""
     total = files.groupBy("repo_id").agg(F.count(F.lit(1)).alias("total_files"))
     n = nodes.groupBy("repo_id", "perspective_id").agg(F.count(F.lit(1)).alias("node_count"))
     c = covered.groupBy("repo_id", "perspective_id").agg(
-        F.count(F.lit(1)).alias("files_covered"))
+        F.sum(F.bitmap_count("bits")).alias("files_covered"))
     p = perspectives.select("repo_id", "perspective_id").distinct()
     out = (p.join(n, ["repo_id", "perspective_id"], "left")
            .join(c, ["repo_id", "perspective_id"], "left").join(total, "repo_id", "left")
@@ -148,9 +174,10 @@ def coverage_by_perspective(perspectives: DataFrame, nodes: DataFrame, covered:
 
 def coverage_total(repos: DataFrame, nodes: DataFrame, covered: DataFrame, files: DataFrame,
                    edges: DataFrame) -> DataFrame:
+    """Files that any perspective covers, from ``coverage_bitmaps``."""
     n = nodes.groupBy("repo_id").agg(F.count(F.lit(1)).alias("node_count"))
-    c = covered.select("repo_id", "file_id").distinct().groupBy("repo_id").agg(
-        F.count(F.lit(1)).alias("files_covered"))
+    c = covered.groupBy("repo_id", "bucket").agg(F.bitmap_or_agg("bits").alias("bits")).groupBy("repo_id").agg(
+        F.sum(F.bitmap_count("bits")).alias("files_covered"))
     t = files.groupBy("repo_id").agg(F.count(F.lit(1)).alias("total_files"))
     u = edges.groupBy("repo_id").agg(
         F.count_if(F.col("resolution") == "unresolved").alias("unresolved_edges"))

@@ -66,7 +66,7 @@ def run_gate(facts: Facts, docs: DataFrame, present_paths: DataFrame | None = No
             "repo_id", F.col("doc_id").alias("narrative_id"), "based_on_facts_commit")
         checks.append(V.commit_match(narr, head_commits))
     violations = V.union_all(checks)
-    covered = V.covered_files(refs, mf, files)
+    covered = V.coverage_bitmaps(refs, mf, files)
     by_p = V.coverage_by_perspective(persp, nodes, covered, files)
     total = V.coverage_total(files.select("repo_id").distinct(), nodes, covered, files,
                              facts.edges)

@@ -546,14 +546,14 @@ def q_covered_files(spark, sf_dir):
 @query("coverage_by_perspective")
 def q_coverage_by_perspective(spark, sf_dir):
     n, f = _n(spark, sf_dir)
-    cov = V.covered_files(n.node_refs, f.module_files, f.files)
+    cov = V.coverage_bitmaps(n.node_refs, f.module_files, f.files)
     return V.coverage_by_perspective(n.perspectives, n.nodes, cov, f.files)
 
 
 @query("coverage_total")
 def q_coverage_total(spark, sf_dir):
     n, f = _n(spark, sf_dir)
-    cov = V.covered_files(n.node_refs, f.module_files, f.files)
+    cov = V.coverage_bitmaps(n.node_refs, f.module_files, f.files)
     return V.coverage_total(f.repos, n.nodes, cov, f.files, f.edges)
 
 

@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from conftest import rows
@@ -48,7 +50,7 @@ def test_gate_checks(spark):
     cov = V.covered_files(refs, mf, files)
     assert rows(cov, "file_id") == [("f0001",)]  # m404 is unknown, so no module members
     persp = spark.createDataFrame([("r", "p")], "repo_id string, perspective_id string")
-    c = V.coverage_by_perspective(persp, nodes, cov, files).first()
+    c = V.coverage_by_perspective(persp, nodes, V.coverage_bitmaps(refs, mf, files), files).first()
     assert (c.node_count, c.files_covered, c.coverage_pct) == (5, 1, 50.0)
     viol = V.union_all([V.dup_node_ids(nodes), V.commit_match(
         spark.createDataFrame([("r", "x", None)], "repo_id string, narrative_id string, "
@@ -58,6 +60,28 @@ def test_gate_checks(spark):
     assert (g.n_errors, g.n_warnings, g.status) == (1, 0, "FAIL")
 
 
+def test_bitmap_coverage_equals_distinct_files(spark):
+    """Buckets of 32,768 files, files covered several times over, unknown ids, by perspective and in all."""
+    r = random.Random(5)
+    n = 100_000
+    files = spark.range(1, n + 1).select(F.lit("r").alias("repo_id"), F.format_string("f%04d", "id").alias("file_id"))
+    mf = files.withColumn("module_id", F.concat(F.lit("m"), F.xxhash64("file_id") % 50))
+    refs = [("r", p, "file", f"f{r.randrange(1, n + 5000):04d}") for p in "pq" for _ in range(500)]
+    refs += [("r", p, "module", f"m{k}") for p, ks in (("p", (1, 2, 2, -3, 99)), ("q", (2, 3))) for k in ks]
+    refs = spark.createDataFrame(refs + refs[:50], "repo_id string, perspective_id string, ref_kind string, ref_id string")
+    rows_ = V.covered_files(refs, mf, files)
+    bits = V.coverage_bitmaps(refs, mf, files)
+    persp = spark.createDataFrame([("r", "p"), ("r", "q"), ("r", "none")], "repo_id string, perspective_id string")
+    nodes = persp.withColumn("node_id", F.lit("n"))
+    expected = {x.perspective_id: x.n for x in rows_.groupBy("perspective_id").agg(F.count("*").alias("n")).collect()}
+    got = {x.perspective_id: x.files_covered for x in V.coverage_by_perspective(persp, nodes, bits, files).collect()}
+    assert got == {**expected, "none": 0}
+    edges = spark.createDataFrame([], "repo_id string, resolution string")
+    total = V.coverage_total(persp, nodes, bits, files, edges).first().files_covered
+    assert total == rows_.select("file_id").distinct().count()
+    assert bits.count() <= 2 * 5
+
+
 def test_coverage_rounds_half_to_even(spark):
     df = spark.createDataFrame([(1, 32)], "c long, t long")
     assert df.select(V._pct(F.col("c"), F.col("t")).alias("p")).first().p == 3.12
