@@ -963,10 +963,9 @@ def _event_touches(spark, sf_dir) -> DataFrame:
 
 
 def _run_to_end(spark, streams: list[DataFrame], build) -> DataFrame:
-    """Append-mode rows of ``build`` over streams that get an end mark after all their input."""
+    """Append-mode rows of ``build`` over streams whose input is there and has ended."""
     out, state = _stream_dirs(spark)
     ended = [s.union(ST.end_marks(spark, f"{out}-marks", s)) for s in streams]
-    ST.run_append(build(*ended), out, state)
     ST.write_end_mark(spark, f"{out}-marks", streams[0])
     ST.run_append(build(*ended), out, state)
     return spark.read.parquet(out)
