@@ -139,15 +139,19 @@ def _first_of_name(rows: DataFrame, ecosystem: str, manifest: str, src_rank: int
                       F.col("first.item_ord").alias("item_ord"))
 
 
-def pep621_deps(files: DataFrame, rows: DataFrame | None = None) -> DataFrame:
-    """``[project].dependencies`` strings; first occurrence of a name wins."""
-    rows = rows if rows is not None else toml_rows(files)
+def _pep621_items(rows: DataFrame) -> DataFrame:
     items = F.flatten(F.transform(F.filter("entries", _at("project", "dependencies")),
                                   lambda e: TM.array_strings(e["value"])))
     items = rows.select("repo_id", F.posexplode(items).alias("pos", "item")).select(
         "repo_id", T.requirement_name("item").alias("name"), T.requirement_version("item").alias("version"),
         _place(0, "pos"))
-    return _first_of_name(items.where(F.col("name") != ""), "pypi", "pyproject.toml", 1)
+    return items.where(F.col("name") != "")
+
+
+def pep621_deps(files: DataFrame, rows: DataFrame | None = None) -> DataFrame:
+    """``[project].dependencies`` strings; first occurrence of a name wins."""
+    rows = rows if rows is not None else toml_rows(files)
+    return _first_of_name(_pep621_items(rows), "pypi", "pyproject.toml", 1)
 
 
 def poetry_deps(files: DataFrame, rows: DataFrame | None = None) -> DataFrame:
@@ -177,7 +181,7 @@ def poetry_deps(files: DataFrame, rows: DataFrame | None = None) -> DataFrame:
     items = items.groupBy("repo_id", "rank", "nth", "name").agg(F.min("ord").alias("ord"), F.max("version").alias("version"))
     items = items.select("repo_id", "name", "version", _place(F.col("rank") + 1, "nth", "ord"))
     items = items.where(F.col("name") != "python").join(
-        pep621_deps(files, rows).select("repo_id", "name"), ["repo_id", "name"], "left_anti")
+        _pep621_items(rows).select("repo_id", "name"), ["repo_id", "name"], "left_anti")
     return _first_of_name(items, "pypi", "pyproject.toml", 1)
 
 
