@@ -3,12 +3,13 @@
 Each language has a probability for every piece of a fixed public vocabulary (byte strings of
 up to 8 bytes of a byte-level BPE rank file). A word's likelihood in a language is the sum,
 over all ways to cut it into pieces, of the product of the pieces' probabilities: a forward
-pass over its bytes, in numpy for all new words and all languages at once. A text scores the
-sum of its words' log-likelihoods plus the language's prior.
+pass over its bytes, in numpy for all new words and all languages at once. Words of any length
+are summed whole: the last forward values are carried and scaled, so that nothing underflows. A
+text scores the sum of its words' log-likelihoods plus the language's prior.
 
 Piece probabilities are learned by expectation maximisation: forward-backward gives the
 expected piece counts over all segmentations. The rows learned from are a bounded sample
-(``sample_rows`` labelled documents of each language, the smallest hashes of their id); priors
+(``sample_rows`` labelled documents of each language, the smallest hashes of id and text); priors
 count all labelled rows. Scoring reads every text whole.
 """
 from __future__ import annotations
@@ -28,7 +29,10 @@ from pyspark.sql import functions as F
 from repograph.llm.common import arrow_batches, stored
 
 PIECE_BYTES = 8               # longest piece
-RUN_BYTES = 32                # words are cut into runs of at most so many bytes
+SHORT_BYTES = 16              # words up to this are summed without scaling
+BLOCK_BYTES = 1 << 16         # bytes of a long word whose pieces are looked up at once
+CACHED_BYTES = 64             # longest word whose scores are kept
+BUCKETS = 64                  # parts of a language's rows that choose their sample on their own
 CACHE_WORDS = 500_000         # words whose scores a process keeps
 SAMPLE_FILES = 24             # files of the sample's word counts
 UNKNOWN = "und"
@@ -71,29 +75,24 @@ class Pieces:
         return out
 
 
-def _runs(words: list[str]) -> tuple[list[bytes], np.ndarray]:
-    """Words as byte runs (a space in front, at most RUN_BYTES each) and each run's word."""
-    runs, of = [], []
-    for i, w in enumerate(words):
-        raw = b" " + w.encode("utf-8", "surrogatepass")
-        for j in range(0, len(raw), RUN_BYTES):
-            runs.append(raw[j:j + RUN_BYTES])
-            of.append(i)
-    return runs, np.array(of, np.int64)
+def _raw(word: str) -> bytes:
+    """A word's bytes, with a space in front."""
+    return b" " + word.encode("utf-8", "surrogatepass")
 
 
-def _by_length(runs: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(positions, byte matrix) for each length, in pieces of bounded size."""
-    size = np.fromiter(map(len, runs), np.int64, len(runs))
-    for s in np.unique(size):
-        at = np.flatnonzero(size == s)
-        for i in range(0, len(at), 20_000):
-            part = at[i:i + 20_000]
-            yield part, np.frombuffer(b"".join([runs[k] for k in part.tolist()]), np.uint8).reshape(-1, s)
+def _by_length(words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(positions, byte matrix) for each length, in pieces of bounded size or a single word."""
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    for s in np.unique(size).tolist():
+        at, step = np.flatnonzero(size == s), max(1, min(20_000, 640_000 // s))
+        for i in range(0, len(at), step):
+            part = at[i:i + step]
+            yield part, np.frombuffer(b"".join([words[k] for k in part.tolist()]), np.uint8).reshape(-1, s)
 
 
 def forward(pieces: Pieces, words: np.ndarray, prob: np.ndarray) -> tuple[list[np.ndarray], list]:
-    """Forward sums: alpha[t] (words, languages) over all segmentations of the first t bytes.
+    """Forward sums: alpha[t] (words, languages) over all segmentations of the first t bytes,
+    unscaled, for short words.
     ``prob`` is (pieces + 1, languages); its last row is zero, for bytes that are no piece."""
     ids = pieces.lookup(words)
     n, size = words.shape
@@ -106,34 +105,77 @@ def forward(pieces: Pieces, words: np.ndarray, prob: np.ndarray) -> tuple[list[n
     return alpha, ids
 
 
+def _rescaled(last: list[np.ndarray], scale: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Divide the carried values by their largest, whose logarithm goes to ``scale``."""
+    top = np.max(last, axis=0)
+    return [x / top for x in last], scale + np.log(top)
+
+
+def log_forward(pieces: Pieces, words: np.ndarray, prob: np.ndarray) -> np.ndarray:
+    """Logarithm of the forward sum of whole words of any length (words, languages). Only the
+    last PIECE_BYTES values are carried; they are scaled together every PIECE_BYTES bytes."""
+    n, size = words.shape
+    last, scale = [np.ones((n, prob.shape[1]))], np.zeros((n, prob.shape[1]))     # the latest first
+    for at in range(0, size, BLOCK_BYTES):
+        lo, hi = max(0, at - PIECE_BYTES + 1), min(size, at + BLOCK_BYTES)
+        ids = pieces.lookup(words[:, lo:hi])
+        for t in range(at + 1, hi + 1):
+            total = sum(last[k - 1] * prob[ids[k - 1][:, t - k - lo]]
+                        for k in range(1, min(t - lo, PIECE_BYTES) + 1))
+            last = [total, *last[:PIECE_BYTES - 1]]
+            if t % PIECE_BYTES == 0:
+                last, scale = _rescaled(last, scale)
+    return scale + np.log(last[0])
+
+
 def word_scores(pieces: Pieces, words: list[str], prob: np.ndarray) -> np.ndarray:
     """Log-likelihood of each word in each language, all segmentations summed."""
-    runs, of = _runs(words)
     out = np.zeros((len(words), prob.shape[1]))
-    for at, m in _by_length(runs):
-        alpha, _ = forward(pieces, m, prob)
-        np.add.at(out, of[at], np.log(alpha[-1]))
+    for at, m in _by_length([_raw(w) for w in words]):
+        short = m.shape[1] <= SHORT_BYTES
+        out[at] = np.log(forward(pieces, m, prob)[0][-1]) if short else log_forward(pieces, m, prob)
     return out
 
 
 def expected_counts(pieces: Pieces, words: list[str], n: np.ndarray, prob: np.ndarray) -> np.ndarray:
-    """Expected count of every piece in words of one language (``prob``: one column)."""
-    runs, of = _runs(words)
-    out = np.zeros(pieces.n + 1)
-    for at, m in _by_length(runs):
-        alpha, ids = forward(pieces, m, prob)
-        size, weight = m.shape[1], n[of[at]]
-        beta = [None] * size + [np.ones((len(m), 1))]
+    """Expected count of every piece in words of one language (``prob``: one column), by a scaled
+    forward and backward pass. Words above BLOCK_BYTES are learned from in parts of that size."""
+    prob, parts, of = prob[:, 0], [], []
+    for i, w in enumerate(words):
+        raw = _raw(w)
+        cut = [raw[j:j + BLOCK_BYTES] for j in range(0, len(raw), BLOCK_BYTES)]
+        parts += cut
+        of += [i] * len(cut)
+    of, out = np.array(of, np.int64), np.zeros(pieces.n + 1)
+    for at, m in _by_length(parts):
+        ids, size = pieces.lookup(m), m.shape[1]
+        last, scale = [np.ones(len(m))], np.zeros(len(m))
+        alpha = [scale]                                     # logarithms
+        for t in range(1, size + 1):
+            total = sum(last[k - 1] * prob[ids[k - 1][:, t - k]] for k in range(1, min(t, PIECE_BYTES) + 1))
+            last = [total, *last[:PIECE_BYTES - 1]]
+            if t % PIECE_BYTES == 0:
+                last, scale = _rescaled(last, scale)
+            alpha.append(np.log(last[0]) + scale)
+        whole = alpha[-1]
+        last, scale = [np.ones(len(m))], np.zeros(len(m))
+        piece, value = [], []
         for t in range(size - 1, -1, -1):
-            beta[t] = sum(prob[ids[k - 1][:, t]] * beta[t + k]
-                          for k in range(1, min(size - t, PIECE_BYTES) + 1))
-        for t in range(size):
+            before = np.exp(alpha[t] + scale - whole) * n[of[at]]
+            total = np.zeros(len(m))
             for k in range(1, min(size - t, PIECE_BYTES) + 1):
                 i = ids[k - 1][:, t]
-                p = alpha[t] * prob[i] * beta[t + k] / alpha[size]
-                out += np.bincount(i, weights=p[:, 0] * weight, minlength=pieces.n + 1) \
-                    if (i >= 0).all() else np.bincount(np.where(i < 0, pieces.n, i),
-                                                       weights=p[:, 0] * weight, minlength=pieces.n + 1)
+                after = prob[i] * last[k - 1]
+                total += after
+                piece.append(i)
+                value.append(before * after)
+            last = [total, *last[:PIECE_BYTES - 1]]
+            if t % PIECE_BYTES == 0:
+                last, scale = _rescaled(last, scale)
+            if t == 0 or len(piece) * len(m) > 1 << 20:
+                i = np.concatenate(piece)
+                out += np.bincount(np.where(i < 0, pieces.n, i), np.concatenate(value), pieces.n + 1)
+                piece, value = [], []
     out[pieces.n] = 0
     return out
 
@@ -184,7 +226,7 @@ class LanguageModel:
             got = word_scores(pieces, sub.to_numpy(zero_copy_only=False).tolist(), self.prob)
             rows[new] = len(cache.words) + np.arange(len(new))
             out = np.concatenate([cache.scores, got])[rows]
-            short = pc.less_equal(pc.binary_length(sub), 2 * RUN_BYTES).to_numpy(zero_copy_only=False)
+            short = pc.less_equal(pc.binary_length(sub), CACHED_BYTES).to_numpy(zero_copy_only=False)
             cache.words = pa.concat_arrays([cache.words, sub.filter(pa.array(short))])
             cache.scores = np.concatenate([cache.scores, got[short]])
             return out
@@ -213,7 +255,7 @@ def train(rows: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: st
     """A model of the languages of labelled ``rows``; None if no row has a text and a label.
 
     ``sample_rows`` bounds the documents of each language that piece probabilities are learned
-    from. The word counts of the sample are a stored table; each round of expectation
+    from, repeated rows counted once and rows without id like any other. The word counts of the sample are a stored table; each round of expectation
     maximisation is one pass over it, and its result is at most languages x pieces numbers.
     """
     rows = rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
@@ -222,10 +264,14 @@ def train(rows: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: st
     if not share:
         return None
     languages = sorted(share)
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    chosen = rows.select("id", "lang").distinct().withColumn("nth", F.row_number().over(order))
-    chosen = chosen.where(F.col("nth") <= sample_rows).select("id", "lang")
-    sample = rows.join(F.broadcast(chosen), ["id", "lang"])       # bounded: sample_rows x languages
+    # each part of a language keeps its smallest hashes, then the language does among those
+    rows = rows.select("lang", "text", F.xxhash64("id", "text").alias("key"))
+    chosen = rows.select("lang", "key").distinct().withColumn("part", F.pmod("key", F.lit(BUCKETS)))
+    for by in (["lang", "part"], ["lang"]):
+        order = Window.partitionBy(*by).orderBy("key")
+        chosen = chosen.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= sample_rows)
+    chosen = F.broadcast(chosen.select("lang", "key"))            # bounded: sample_rows x languages
+    sample = rows.join(chosen, ["lang", "key"]).groupBy("lang", "key").agg(F.first("text").alias("text"))
 
     def count(batches: Iterator) -> Iterator:
         for b in arrow_batches(batches):

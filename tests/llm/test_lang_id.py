@@ -1,4 +1,5 @@
 import itertools
+import math
 import zlib
 
 import numpy as np
@@ -6,7 +7,7 @@ import pyarrow as pa
 import public_tokenizers
 
 from repograph.llm.lang_id import (LanguageModel, Pieces, expected_counts, forward, held_out, identified_documents,
-                                   predict, train, word_scores, _pieces)
+                                   log_forward, predict, split_words, train, word_scores, _pieces)
 from repograph.llm.queries import QUERIES
 from .helpers import edge_docs, empty_docs
 
@@ -50,6 +51,85 @@ def test_long_words_are_scored_whole():
     assert b < 50 * a < 0 and np.isfinite(b)
 
 
+def slow_score(pieces, word, prob, language):
+    """Log forward sum by exact fractions of a word's pieces, one at a time."""
+    raw, known = b" " + word.encode(), {}
+    alpha = [(1.0, 0)]                                     # mantissa and exponent
+    for t in range(1, len(raw) + 1):
+        terms = []
+        for k in range(1, min(t, 8) + 1):
+            part = raw[t - k:t]
+            if part not in known:
+                known[part] = int(pieces.lookup(np.frombuffer(part, np.uint8)[None, :])[k - 1][0, 0])
+            if known[part] >= 0:
+                m, e = alpha[t - k]
+                terms.append((m * prob[known[part], language], e))
+        top = max(e for _, e in terms)
+        m, e = math.frexp(sum(math.ldexp(x, y - top) for x, y in terms))
+        alpha.append((m, e + top))
+    return math.log(alpha[-1][0]) + alpha[-1][1] * math.log(2)
+
+
+THAI = "ภาษาไทยเป็นภาษาที่มีระดับเสียงของคำแน่นอนหรือวรรณยุกต์เช่นเดียวกับภาษาจีน"
+
+
+def small_model(smallest=1e-12):
+    pieces, r = _pieces(RANKS), np.random.RandomState(5)
+    prob = smallest ** r.rand(pieces.n, 3)
+    return pieces, np.vstack([prob / prob.sum(axis=0), np.zeros((1, 3))])
+
+
+def test_words_of_any_length_equal_brute_force(monkeypatch):
+    pieces, prob = small_model()
+    words = ["a", THAI, "x" * 31, "x" * 32, "é" * 200, "Donaudampfschifffahrtsgesellschaftskapitän", "ab" * 700]
+    want = [[slow_score(pieces, w, prob, k) for k in range(3)] for w in words]
+    assert np.allclose(word_scores(pieces, words, prob), want, rtol=1e-9)
+    monkeypatch.setattr("repograph.llm.lang_id.BLOCK_BYTES", 13)          # blocks carry their last values
+    assert np.allclose(word_scores(pieces, words, prob), want, rtol=1e-9)
+    m = np.frombuffer(b" kurz", np.uint8)[None, :]
+    assert np.allclose(log_forward(pieces, m, prob), np.log(forward(pieces, m, prob)[0][-1]))
+
+
+def test_tiny_probabilities_do_not_underflow():
+    pieces = _pieces(RANKS)
+    prob = np.vstack([np.full((pieces.n, 1), 1e-15), np.zeros((1, 1))])
+    assert np.isfinite(word_scores(pieces, ["\u0e01" * 5000, "q" * 16, "zq" * 100], prob)).all()
+    got = expected_counts(pieces, ["zq" * 3000], np.array([1.0]), prob)
+    assert np.isfinite(got).all() and got.sum() > 0
+
+
+def test_expected_counts_of_long_words_cover_every_byte():
+    pieces, prob = small_model()
+    got = expected_counts(pieces, [THAI, "ab" * 500], np.array([2.0, 1.0]), prob[:, :1])
+    size = np.zeros(pieces.n)
+    for length, (keys, base) in enumerate(zip(pieces.keys, pieces.base), 1):
+        size[base:base + len(keys)] = length
+    assert np.isclose((got[:-1] * size).sum(), 2 * (1 + len(THAI.encode())) + 1001)
+
+
+def test_predictions_equal_brute_force(spark):
+    pieces, prob = small_model(1e-6)
+    model = LanguageModel(RANKS, ["a", "b", "c"], np.log([0.5, 0.3, 0.2]), prob)
+    texts = [THAI + " " + THAI[:9], "the cat sat", "ab" * 90 + " x", "É é", "a", "z", "", None, "1 2"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in predict(df, model).collect():
+        found = [w for w in split_words(pa.array([texts[r.doc_id]]))[0].as_py() if w]
+        logs = np.array([p + sum(slow_score(pieces, w, prob, k) for w in found) for k, p in enumerate(model.prior)])
+        if not found:
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+        else:
+            assert r.lang_pred == "abc"[logs.argmax()]
+            assert np.isclose(r.score, 1 / np.exp(logs - logs.max()).sum(), rtol=1e-6)
+
+
+def test_sample_is_bounded_and_takes_rows_without_id(spark):
+    rows = [(None, f"wort{i} und", "de") for i in range(40)] + [(7, "the same", "en")] * 50
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = train(df, RANKS, sample_rows=10)
+    assert model.languages == ["de", "en"] and np.allclose(np.exp(model.prior), [40 / 90, 50 / 90])
+    assert [r.lang_pred for r in predict(df.dropDuplicates(), model).orderBy("lang_pred").collect()] == ["de"] * 40 + ["en"]
+
+
 def test_edge_rows(spark):
     df, rows, _ = edge_docs(spark)
     model = train(df, RANKS)
