@@ -1,7 +1,7 @@
 """Lexical retrieval packing: windows filled with a seed document's BM25 neighbours.
 
-Documents are tokenized once (a stored table of ids). Document frequencies of all token ids
-over all documents come from a partial aggregate, bounded by the vocabulary. Lexically near
+Documents are tokenized once (a stored table of ids); the tasks that do it count document
+frequencies too, and their sums over all documents are bounded by the vocabulary. Lexically near
 documents are then routed to one bucket of about ``shard_tokens`` ids by a tree of two-means
 cuts over sketches of their BM25 weights, wherever they are stored. Each bucket is a shard with
 an inverted index (postings with BM25 impacts under the global frequencies), and windows are
@@ -30,26 +30,33 @@ DENSE_CELLS = 1 << 20         # cells of a shard's dense matrix
 
 def tokenized(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: str = "text",
               end_id: int = 1) -> DataFrame:
-    """Stored (id, ids): each document's ids as little-endian unsigned 16- or 32-bit integers
-    (16 where the vocabulary allows; ``width`` says how many bytes), with ``end_id`` at the end."""
+    """Stored (id, width, ids, counts): each document's ids as little-endian unsigned 16- or
+    32-bit integers (16 where the vocabulary allows; ``width`` says how many bytes), with
+    ``end_id`` at the end. A last row of each task has ``counts`` in place of a document: its
+    document frequencies, read by ``term_statistics``."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator) -> Iterator:
-        encoder = None
+        encoder, counted, like = None, TermCounts(), None
         for b in arrow_batches(batches, 4 << 20):
             encoder = encoder or chunk_encoder(vocab_path)
             width = 2 if encoder.bits <= 16 else 4
             ids, counts = with_end_ids(*encoder.encode(b.column(1)), end_id)
             ends = np.r_[0, np.cumsum(counts) * width]
+            ids, like = ids.astype(f"<u{width}"), b.column(0).type
+            counted.add(ids, ends // width)
             data = pa.LargeBinaryArray.from_buffers(
-                pa.large_binary(), len(counts),
-                [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(ids.astype(f"<u{width}"))])
+                pa.large_binary(), len(counts), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(ids)])
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(np.full(len(counts), width, np.int32)), data.cast(pa.binary())],
-                names=["id", "width", "ids"])
+                [b.column(0), pa.array(np.full(len(counts), width, np.int32)), data.cast(pa.binary()),
+                 pa.nulls(len(counts), pa.binary())], names=["id", "width", "ids", "counts"])
+        if like is not None:
+            yield pa.RecordBatch.from_arrays(
+                [pa.nulls(1, like), pa.array([0], pa.int32()), pa.array([b""]), pa.array([counted.packed()])],
+                names=["id", "width", "ids", "counts"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return stored(rows.mapInArrow(run, f"id {kind}, width int, ids binary"), "token-ids")
+    return stored(rows.mapInArrow(run, f"id {kind}, width int, ids binary, counts binary"), "token-ids")
 
 
 def _arrays(batch) -> list[np.ndarray]:
@@ -57,26 +64,44 @@ def _arrays(batch) -> list[np.ndarray]:
             zip(batch.column(1).to_pylist(), batch.column(2))]
 
 
+class TermCounts:
+    """Document frequency by id, number of documents and their ids in all (end ids not counted)."""
+
+    def __init__(self):
+        self.df, self.held, self.docs, self.length = np.zeros(0, np.int64), np.zeros(0, bool), 0, 0
+
+    def add(self, ids: np.ndarray, ends: np.ndarray) -> None:
+        """Documents ``ids[ends[i]:ends[i + 1]]``, each with its end id, which is no term."""
+        top = int(ids.max(initial=0)) + 1
+        if top > len(self.df):
+            self.df = np.r_[self.df, np.zeros(top - len(self.df), np.int64)]
+            self.held = np.zeros(top, bool)
+        for i, j in zip(ends[:-1].tolist(), (ends[1:] - 1).tolist()):
+            self.held[ids[i:j]] = True
+            terms = np.flatnonzero(self.held)
+            self.df[terms] += 1
+            self.held[terms] = False
+        self.docs += len(ends) - 1
+        self.length += int(ends[-1] - ends[0]) - (len(ends) - 1)
+
+    def packed(self) -> bytes:
+        """(term, n) pairs as 64-bit integers; terms -1 and -2 are the documents and their ids."""
+        terms = np.flatnonzero(self.df)
+        pairs = np.stack([np.r_[terms, -1, -2], np.r_[self.df[terms], self.docs, self.length]], axis=1)
+        return pairs.astype("<i8").tobytes()
+
+
 def term_statistics(tokens: DataFrame) -> tuple[np.ndarray, int, float]:
-    """Document frequency by id, number of documents and their mean length, over all rows."""
+    """Document frequency by id, number of documents and their mean length, over all rows: the
+    sum of what the tokenizing tasks counted, at most the vocabulary and two numbers."""
     def run(batches: Iterator) -> Iterator:
-        df, held, docs, length = np.zeros(0, np.int64), np.zeros(0, bool), 0, 0
-        for b in arrow_batches(batches, 4 << 20):
-            for ids in _arrays(b):
-                ids = ids[:-1]                         # the end id is no term
-                docs, length, top = docs + 1, length + len(ids), int(ids.max(initial=0)) + 1
-                if top > len(df):
-                    df, held = np.r_[df, np.zeros(top - len(df), np.int64)], np.zeros(top, bool)
-                held[ids] = True
-                terms = np.flatnonzero(held)
-                df[terms] += 1
-                held[terms] = False
-        terms = np.flatnonzero(df)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.r_[terms, -1, -2]), pa.array(np.r_[df[terms], docs, length])], names=["term", "n"])
-
-    found = tokens.mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    rows = {r["term"]: r["n"] for r in found.collect()}      # at most the vocabulary, and two
+        for b in batches:
+            for row in b.column(0):
+                pairs = np.frombuffer(row.as_buffer(), "<i8").reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["term", "n"])
+
+    found = tokens.where(F.col("counts").isNotNull()).select("counts").mapInArrow(run, "term long, n long")
+    rows = {r["term"]: r["n"] for r in found.groupBy("term").agg(F.sum("n").alias("n")).collect()}
     docs, length = rows.pop(-1, 0), rows.pop(-2, 0)
     df = np.zeros(max(rows, default=0) + 1, np.int64)
     df[list(rows)] = list(rows.values())
@@ -86,9 +111,10 @@ def term_statistics(tokens: DataFrame) -> tuple[np.ndarray, int, float]:
 def impacts(docs: list[np.ndarray], idf: np.ndarray, mean_length: float):
     """(term, document, BM25 impact) of each distinct id of each document, by term, then document."""
     n, lengths = len(docs), np.array([len(d) for d in docs], np.int64)
-    pair = np.concatenate(docs).astype(np.int64) * n + np.repeat(np.arange(n), lengths)
+    kind = np.uint32 if len(idf) * n < 1 << 32 else np.int64          # half the bytes to sort
+    pair = np.concatenate(docs).astype(kind) * kind(n) + np.repeat(np.arange(n, dtype=kind), lengths)
     pair, tf = np.unique(pair, return_counts=True)
-    term, doc = np.divmod(pair, n)
+    term, doc = (x.astype(np.int64) for x in np.divmod(pair, kind(n)))
     norm = K1 * (1 - B + B * lengths / max(mean_length, 1.0))
     return term, doc, (idf[term] * tf * (K1 + 1) / (tf + norm[doc])).astype(np.float32)
 
@@ -170,6 +196,7 @@ def routed(tokens: DataFrame, idf: np.ndarray, mean_length: float, n_docs: int,
     tokens_in_all = mean_length * n_docs
     wanted = min(ROUTE_SAMPLE, 128 * (1 + int(tokens_in_all / shard_tokens)) + 4096)
     share = min(1.0, wanted / max(1, n_docs))
+    rows = tokens.where(F.col("counts").isNull()).select("id", "width", "ids")
 
     def sketch(batches: Iterator) -> Iterator:
         for b in arrow_batches(batches, 4 << 20):
@@ -181,10 +208,10 @@ def routed(tokens: DataFrame, idf: np.ndarray, mean_length: float, n_docs: int,
 
     routes = Routes(np.zeros((0, SKETCH), np.float32), np.zeros(0), shard_tokens)
     if tokens_in_all > shard_tokens:
-        rows = tokens.sample(share, seed=7).mapInArrow(sketch, "n long, x binary").collect()
-        if rows:
-            x = np.frombuffer(b"".join(r["x"] for r in rows), np.float32).reshape(-1, SKETCH)
-            routes = Routes(x, np.array([r["n"] for r in rows]) / share, shard_tokens)
+        taken = rows.sample(share, seed=7).mapInArrow(sketch, "n long, x binary").collect()
+        if taken:
+            x = np.frombuffer(b"".join(r["x"] for r in taken), np.float32).reshape(-1, SKETCH)
+            routes = Routes(x, np.array([r["n"] for r in taken]) / share, shard_tokens)
     held = spark.sparkContext.broadcast(routes)
 
     def run(batches: Iterator) -> Iterator:
@@ -201,7 +228,7 @@ def routed(tokens: DataFrame, idf: np.ndarray, mean_length: float, n_docs: int,
                 [*b.columns, pa.array(bucket), pa.array(leaf), pa.array(rid)],
                 names=["id", "width", "ids", "bucket", "leaf", "rid"])
 
-    out = tokens.mapInArrow(run, f"id {kind}, width int, ids binary, bucket long, leaf long, rid long")
+    out = rows.mapInArrow(run, f"id {kind}, width int, ids binary, bucket long, leaf long, rid long")
     return out.repartition("bucket").sortWithinPartitions("bucket", "leaf", "rid").drop("leaf", "rid")
 
 
@@ -211,42 +238,54 @@ class Bm25Shard:
     Terms with the longest postings are rows of a dense matrix, the others are lists."""
 
     def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean_length: float):
-        self.n = len(docs)
-        self.term, self.doc, self.impact = impacts(docs, idf, mean_length)
-        self.start = np.searchsorted(self.term, np.arange(len(idf) + 1))
-        self.size = np.diff(self.start)
-        small = np.uint16 if self.n <= 1 << 16 else np.int64          # 16 bits sort by radix
-        self.order = np.argsort(self.doc.astype(small), kind="stable")
-        self.first = np.cumsum(np.r_[0, np.bincount(self.doc, minlength=self.n)])
-        dense = np.argsort(-self.size, kind="stable")[:DENSE_CELLS // max(1, self.n)]
-        dense = dense[self.size[dense] > self.n // 16]
-        self.row = np.full(len(idf), -1)
+        n, self.vocab = len(docs), len(idf)
+        term, doc, impact = impacts(docs, idf, mean_length)
+        order = np.argsort(doc.astype(np.uint16 if n <= 1 << 16 else np.int64), kind="stable")   # 16 bits: radix
+        self.terms, self.first = term[order], np.cumsum(np.r_[0, np.bincount(doc, minlength=n)])
+        size = np.bincount(term, minlength=self.vocab)
+        dense = np.argsort(-size, kind="stable")[:DENSE_CELLS // max(1, n)]
+        dense = dense[size[dense] > n // 16]
+        self.row = np.full(self.vocab, -1)
         self.row[dense] = np.arange(len(dense))
-        self.dense = np.zeros((len(dense), self.n), np.float32)
-        at = self.row[self.term]
-        self.dense[at[at >= 0], self.doc[at >= 0]] = self.impact[at >= 0]
+        self.dense = np.zeros((len(dense), n), np.float32)
+        at = self.row[term]
+        self.dense[at[at >= 0], doc[at >= 0]] = impact[at >= 0]
+        self.live = np.arange(n)             # the documents that are indexed, and their columns
+        self._lists(term[at < 0], doc[at < 0], impact[at < 0])
+
+    def _lists(self, term: np.ndarray, doc: np.ndarray, impact: np.ndarray) -> None:
+        self.term, self.doc, self.impact = term, doc, impact
+        self.start = np.cumsum(np.r_[0, np.bincount(term, minlength=self.vocab)])
+
+    def drop_used(self, free: np.ndarray) -> None:
+        """Take documents out of the postings that are not ``free`` any more. They can still be
+        seeds; what a seed finds among the others stays the same."""
+        stay = free[self.live]
+        kept, column = stay[self.doc], np.cumsum(stay) - 1
+        self.live, self.dense = self.live[stay], np.ascontiguousarray(self.dense[:, stay])
+        self._lists(self.term[kept], column[self.doc[kept]], self.impact[kept])
 
     def scores(self, seed: int) -> np.ndarray:
-        """BM25 of each document for all distinct terms of the seed's text."""
-        terms = self.term[self.order[self.first[seed]:self.first[seed + 1]]]
+        """BM25 of each document of ``live`` for all distinct terms of the seed's text."""
+        terms = self.terms[self.first[seed]:self.first[seed + 1]]
         row = self.row[terms]
         query = np.zeros(len(self.dense), np.float32)
         query[row[row >= 0]] = 1
         terms = terms[row < 0]
-        size = self.size[terms]
+        size = self.start[terms + 1] - self.start[terms]
         at = np.repeat(self.start[terms] - np.cumsum(size) + size, size) + np.arange(size.sum())
-        return query @ self.dense + np.bincount(self.doc[at], self.impact[at], self.n).astype(np.float32)
+        return query @ self.dense + np.bincount(self.doc[at], self.impact[at], len(self.live)).astype(np.float32)
 
     def neighbours(self, seed: int, free: np.ndarray) -> Iterator[int]:
         """Documents of ``free`` that share a term with the seed, best BM25 first (then in order)."""
-        score = self.scores(seed)
-        found = np.flatnonzero((score > 0) & free)
+        score, live = self.scores(seed), self.live
+        found = np.flatnonzero((score > 0) & free[live])
         while len(found):                              # the best are sorted first, the rest on demand
             value = score[found]
             top = np.ones(len(found), bool)
             if len(found) > 512:
                 top = value >= np.partition(value, len(found) - 256)[len(found) - 256]
-            yield from found[top][np.argsort(-value[top], kind="stable")].tolist()
+            yield from live[found[top][np.argsort(-value[top], kind="stable")]].tolist()
             found = found[~top]
 
 
@@ -283,12 +322,14 @@ class Packer:
 
     def shard(self, names: list, docs: list[np.ndarray]) -> None:
         index = Bm25Shard([d[:-1] for d in docs], self.idf, self.mean)
-        free = np.ones(len(docs), bool)
+        free, unused = np.ones(len(docs), bool), len(docs)
         nxt, seed, cached = 0, None, None
         while True:
             pick = None
             if self.filled and seed is not None:              # a neighbour of the window's seed
                 if cached is None or cached[0] != seed:
+                    if unused < 0.8 * len(index.live):
+                        index.drop_used(free)
                     cached = seed, index.neighbours(seed, free.copy())
                 pick = next((d for d in cached[1] if free[d]), None)
             if pick is None:                                   # nothing shares a term: next in order
@@ -298,6 +339,7 @@ class Packer:
                     return
                 pick = nxt
             free[pick] = False
+            unused -= 1
             opened = self.sequence
             self._place(names[pick], docs[pick])
             if self.sequence != opened or seed is None:

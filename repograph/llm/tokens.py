@@ -55,11 +55,14 @@ class ChunkEncoder:
     ``encode_special_tokens`` is the library's switch: whether the strings of special tokens are
     plain text. The operators leave it off, as the library does."""
 
-    def __init__(self, vocab_path: str, encode_special_tokens: bool = True):
+    def __init__(self, vocab_path: str, encode_special_tokens: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(vocab_path)
         self.tokenizer.encode_special_tokens = encode_special_tokens
+        resize = getattr(self.tokenizer.model, "_resize_cache", None)
+        if resize:
+            resize(0)              # stems come once: the library's own word cache only costs time
         added = [t for t in self.tokenizer.get_added_tokens_decoder().values()
                  if t.content and not (t.special and encode_special_tokens)]
         # tokens that are matched in the text: chunks with one go to the library as they are; a
@@ -197,12 +200,17 @@ class ChunkEncoder:
         sep = np.ones(n, np.int8)
         sep[piece_at[:-1]] = 2
         sep[text_at[:-1]] = 0
-        seps = pa.DictionaryArray.from_arrays(pa.array(sep), pa.array(["", " ", "\n"], _TEXT))
-        chunks = pc.binary_join_element_wise(seps.cast(_TEXT), flat, pa.scalar("", _TEXT))
-        coded = chunks.dictionary_encode()
-        del lines, pieces, flat, seps, sep
-        ids, ends, edge = self._chunk_ids(coded.dictionary)
-        rows = coded.indices.to_numpy().astype(np.int64)
+        # a chunk is a separator and a piece: only the distinct ones become strings
+        coded = flat.dictionary_encode()
+        key = coded.indices.to_numpy().astype(np.int64) * 3 + sep
+        used = np.zeros(3 * len(coded.dictionary), bool)
+        used[key] = True
+        rows, distinct = (np.cumsum(used) - 1)[key], np.flatnonzero(used)
+        chunks = pc.binary_join_element_wise(
+            pa.array(["", " ", "\n"], _TEXT).take(pa.array(distinct % 3)),
+            coded.dictionary.take(pa.array(distinct // 3)), pa.scalar("", _TEXT))
+        del lines, pieces, flat, sep, coded, key, used, distinct
+        ids, ends, edge = self._chunk_ids(chunks)
         if not (edge == 3).all():                      # some spaces tie chunks together
             edge = edge[rows]
             cut = np.r_[True, (edge[1:] & 1 == 1) & (edge[:-1] & 2 == 2)][:n]
@@ -210,13 +218,13 @@ class ChunkEncoder:
             first = np.flatnonzero(cut)
             last = np.r_[first[1:], n]
             tied = np.flatnonzero(last - first > 1)
-            more, stop = self._encode(["".join(chunks[i:j].to_pylist())
+            more, stop = self._encode(["".join(chunks.take(pa.array(rows[i:j])).to_pylist())
                                        for i, j in zip(first[tied].tolist(), last[tied].tolist())])
             rows = rows[first]
             rows[tied] = len(ends) - 1 + np.arange(len(tied))
             ids, ends = np.concatenate([ids, more]), np.concatenate([ends, ends[-1] + stop[1:]])
             text_at = np.searchsorted(first, text_at)
         out, total = gather(ids, ends, rows)
-        del chunks, coded
+        del chunks
         pa.default_memory_pool().release_unused()
         return out, np.diff(total[text_at])
