@@ -205,6 +205,20 @@ n = [["x", "y"], ['z']]
         k: flat(v) if isinstance(v, list) else v if isinstance(v, str) else None for k, v in expected.items()}
 
 
+def test_large_pyproject_is_linear(spark):
+    """Neither the file nor its list of groups is read again for each of its pairs."""
+    import time
+    n = 4000
+    text = "[tool.poetry.dependencies]\n" + "".join(f'd{i} = "^{i}"\n' for i in range(n)) + "".join(
+        f'[tool.poetry.group.g{i}.dependencies]\nx{i} = {{ version = "{i}" }}\nd{i} = "0"\n' for i in range(n, 0, -1))
+    f = files_df(spark, {"r": {"pyproject.toml": text}, "s": {"pyproject.toml": text}})
+    t = time.time()
+    got = MF.poetry_deps(f).where("repo_id = 's'").orderBy("item_ord").collect()
+    assert time.time() - t < 40
+    assert [(r["name"], r["version"]) for r in got] == [(f"d{i}", f"^{i}") for i in range(n)] + [
+        (f"x{n}", str(n)), (f"d{n}", "0")] + [(f"x{i}", str(i)) for i in range(n - 1, 0, -1)]
+
+
 def test_manifest_plans_have_no_window(spark):
     f = files_df(spark, {"r": {"pyproject.toml": FORMS, "pkg/cli.py": ""}})
     index = Facts(f).files
