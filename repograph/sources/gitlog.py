@@ -22,7 +22,7 @@ FIELD_SEP = "\u001f"
 
 def _commit_rows(records: DataFrame, place: list[str]) -> DataFrame:
     """(repo_id, commit_hash, seq, committed_at, path) of ``records(repo_id, block, *place)``."""
-    records = records.withColumn("block", F.regexp_replace("block", r"^\n+|\n+$", "")).where(F.col("block") != "")
+    records = records.withColumn("block", F.btrim("block", F.lit("\n"))).where(F.col("block") != "")
     header = F.substring_index("block", "\n", 1)
     body = F.when(F.instr("block", "\n") > 0,
                   F.expr("substring(block, instr(block, '\n') + 1)")).otherwise(F.lit(""))
@@ -55,7 +55,7 @@ def read_log_exports(spark: SparkSession, root: str) -> DataFrame:
     reads the split.
     """
     read = spark.read.option("lineSep", RECORD_SEP).option("recursiveFileLookup", "true").text(root)
-    folder = F.regexp_extract("_metadata.file_path", r"([^/]+)/[^/]*$", 1)
+    folder = F.substring_index(F.substring_index("_metadata.file_path", "/", -2), "/", 1)
     records = read.select(F.try_url_decode(F.regexp_replace(folder, "^repo_id=", "")).alias("repo_id"),
                           F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"),
                           F.monotonically_increasing_id().alias("nth"), F.col("value").alias("block"))

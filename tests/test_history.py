@@ -124,3 +124,16 @@ def test_facts_without_history(spark):
     assert rows(f.files_with_signals, "path", "churn", "last_modified") == [
         ("a.py", 0, None), ("b.py", 0, None)]
     assert f.coupling.count() == 0
+
+
+def test_log_records_are_trimmed_in_linear_time(spark):
+    """Line feeds inside a record are passed once; those at its ends are no part of it."""
+    import time
+    from repograph.sources import gitlog as GL
+    gap = "\n" * 300_000
+    text = f"{GL.RECORD_SEP}\n\nc2{GL.FIELD_SEP}d2\n\na.py{gap}b.py\n\n{GL.RECORD_SEP}c1{GL.FIELD_SEP}d1\nc.py\n"
+    chunks = spark.createDataFrame([("r", 0, text)], "repo_id string, chunk_no long, text string")
+    t = time.time()
+    got = [tuple(r) for r in GL.commit_log_rows(chunks).select("commit_hash", "seq", "committed_at", "path").collect()]
+    assert sorted(got) == [("c1", 2, "d1", "c.py"), ("c2", 1, "d2", "a.py"), ("c2", 1, "d2", "b.py")]
+    assert time.time() - t < 20
