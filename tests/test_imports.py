@@ -180,3 +180,13 @@ def test_focus_shrinks_the_index(spark):
     got = sorted((r.file, r.resolution) for r in f.edges.collect())
     assert got == [("src/a.py", "unresolved"), ("src/c.py", "unresolved")]
     assert sorted(r.path for r in f.files.collect()) == ["src/a.py", "src/c.py"]
+
+
+def test_lines_are_scanned_only_where_no_statement_is_found(spark):
+    c = files_df(spark, {"r": {"a.py": "import os\n", "b.py": 's = """\nimport sys\n"""\n', "c.js": "import x from './y';\n",
+                               "d.js": "`\nimport './z'\n`\n"}})
+    lazy, whole = M.scanned_files(c, fallback=True), M.scanned_files(c)
+    assert {r["path"] for r in lazy.where("l IS NOT NULL").collect()} == {"b.py", "d.js"}
+    cols = M.merge_edges(whole).columns
+    assert rows(M.merge_edges(lazy), *cols) == rows(M.merge_edges(whole), *cols)
+    assert rows(M.file_imports(c), *cols) == rows(M.merge_edges(whole), *cols)
