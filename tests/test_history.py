@@ -137,3 +137,15 @@ def test_log_records_are_trimmed_in_linear_time(spark):
     got = [tuple(r) for r in GL.commit_log_rows(chunks).select("commit_hash", "seq", "committed_at", "path").collect()]
     assert sorted(got) == [("c1", 2, "d1", "c.py"), ("c2", 1, "d2", "a.py"), ("c2", 1, "d2", "b.py")]
     assert time.time() - t < 30
+
+
+def test_recurring_pairs_are_counted_where_commits_are_read(spark):
+    rnd = random.Random(3)
+    commits = [(f"c{i}", "2020-01-01", rnd.sample([f"m{k}" for k in range(9)], rnd.choice([1, 2, 3, 7]))) for i in range(80)]
+    t = _touches(spark, commits)
+    for group in (3, 1 << 22):
+        got = H.cochange_pairs(t, group_pairs=group, recurring=True)
+        assert rows(got, "a", "b", "co_change_count") == _brute(commits), group
+    mods = spark.createDataFrame([("r", f"m{k}", f"m{k}") for k in range(9)], "repo_id string, file_id string, module_id string")
+    plan = H.module_coupling(t, mods)._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression" not in plan
