@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as Ty
 
+from repograph.session import store
+
 S = Ty.StringType()
 REFS = Ty.StructType([Ty.StructField("moduleIds", Ty.ArrayType(S)),
                       Ty.StructField("fileIds", Ty.ArrayType(S))])
@@ -90,8 +92,11 @@ def normalize_perspectives(parsed: DataFrame) -> DataFrame:
     return parsed.select("doc_id", F.posexplode(ps).alias("ord", "p"))
 
 
-def read_narrative(docs: DataFrame) -> NarrativeTables:
+def read_narrative(docs: DataFrame, once: bool = True) -> NarrativeTables:
+    """All tables of the documents. With ``once`` the parsed documents are stored, so the JSON is
+    read a single time; a caller of one or two tables may have it read for each instead."""
     parsed = parse_documents(docs)
+    parsed = store(parsed, "narratives") if once else parsed
     per = normalize_perspectives(parsed)
     perspectives = per.select("doc_id", "ord", F.col("p.id").alias("perspective_id"),
                               F.col("p.name").alias("name"), F.col("p.kind").alias("kind"),
