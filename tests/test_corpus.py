@@ -1,4 +1,5 @@
 """Derived tables are built when they are read, and their shuffles grow in number of partitions."""
+import json
 import tempfile
 
 from pyspark.sql import functions as F
@@ -32,3 +33,46 @@ def test_partitions_grow_with_the_stored_table(spark, monkeypatch):
     monkeypatch.setattr(C, "PART_BYTES", 1 << 14)
     many = C.spread(t, t, "id").rdd.getNumPartitions()
     assert few == spark.sparkContext.defaultParallelism and many > 2 * few
+
+
+def _odd_tables(spark):
+    """Orders that share a key, lack a customer, a key or a priority, and lines without a part."""
+    d = tempfile.mkdtemp(prefix="repograph-odd-", dir="/tmp")
+    for name, schema, rows in [
+            ("orders", "o_orderkey long, o_custkey long, o_orderpriority string",
+             [(10, 1, "1-URGENT"), (10, 42, "1-URGENT"), (10, 1, "2-HIGH"), (20, None, "3-MEDIUM"),
+              (None, 4, "5-LOW"), (30, 3, None), (17, 2, "1-URGENT"), (21, 80, "4-NOT")]),
+            ("lineitem", "l_orderkey long, l_partkey long, l_linenumber int",
+             [(10, 2, 1), (10, 1, 2), (10, None, 3), (10, 2, None), (None, 1, 1), (20, 2, 1), (21, 1, 1)]),
+            ("part", "p_partkey long, p_brand string, p_type string, p_size int",
+             [(1, "Brand#12", "ECONOMY", 5), (2, "Brand#13", None, 5), (2, "Brand#13", "PROMO", 5)])]:
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{d}/{name}.parquet")
+    return d
+
+
+def test_documents_carry_all_orders_of_shared_and_missing_keys(spark):
+    docs = [(r.doc_id, json.loads(r.json)) for r in C.n_documents(spark, _odd_tables(spark)).collect()]
+    assert sorted((k or "" for k, _ in docs)) == ["", "", "1-URGENT#0", "1-URGENT#1", "2-HIGH#0", "4-NOT#2", "5-LOW#0"]
+    by_id = dict(docs)
+    first, second = by_id["1-URGENT#0"]["perspectives"][0]["nodes"]
+    assert [first["id"], second["id"]] == ["n1", "n2"]
+    # Two orders of one key and priority: every line and edge twice, a package once a customer.
+    files, mods = ["f0002", "f0002", "f0001", "fnull"], [None, "pkg_economy", "pkg_promo"]
+    assert first["factRefs"] == {"fileIds": [f for f in files for _ in range(2)],
+                                 "moduleIds": [m for m in mods for _ in range(2)]}
+    assert second["factRefs"] == {"moduleIds": [], "fileIds": []} and second["children"] == ["n3", "n4"]
+    edges = lambda k: [r["factEdgeIds"] for r in by_id[k]["perspectives"][0]["relationships"]]
+    assert edges("1-URGENT#0") == [["e10", "e10"], []]
+    assert edges("2-HIGH#0") == [["e10"]]
+    assert by_id["2-HIGH#0"]["perspectives"][0]["nodes"][0]["factRefs"] == {"fileIds": files, "moduleIds": mods}
+    assert by_id["4-NOT#2"]["businessBrief"]["problem"]["factRefs"]["fileIds"] == ["f0001"]
+    apart = [d for k, d in docs if k is None]
+    assert sorted((len(d["perspectives"][0]["nodes"]), len(d["perspectives"][0]["relationships"]))
+                  for d in apart) == [(0, 1), (1, 0)] and not any("businessBrief" in d for d in apart)
+    assert [n["id"] for n in by_id["5-LOW#0"]["nodes"]] == ["n4"] and by_id["5-LOW#0"]["relationships"][0]["factEdgeIds"] == []
+
+
+def test_documents_need_no_stored_tables(spark, monkeypatch):
+    monkeypatch.setattr(C, "_MATERIALIZED", {})
+    Q.QUERIES["normalize_perspectives"](spark, SF).count()
+    assert _built(spark) == {("n_docs", SF)}
