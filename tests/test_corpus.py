@@ -1,5 +1,6 @@
 """Derived tables are built when they are read, and their shuffles grow in number of partitions."""
 import json
+import re
 import tempfile
 
 from pyspark.sql import functions as F
@@ -76,3 +77,12 @@ def test_documents_need_no_stored_tables(spark, monkeypatch):
     monkeypatch.setattr(C, "_MATERIALIZED", {})
     Q.QUERIES["normalize_perspectives"](spark, SF).count()
     assert _built(spark) == {("n_docs", SF)}
+
+
+def test_import_rows_meet_their_files_in_partitions_that_grow(spark, monkeypatch):
+    Q.QUERIES["merge_edges"](spark, SF).count()  # its tables are stored
+    monkeypatch.setattr(C, "PART_BYTES", 1 << 9)
+    for name in ("merge_edges", "js_imports_line"):
+        plan = Q.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+        dealt = [int(n) for n in re.findall(r"hashpartitioning\(repo_id#\d+, path#\d+, (\d+)\), REPARTITION_BY_NUM", plan)]
+        assert dealt and min(dealt) > 4 * int(spark.conf.get("spark.sql.shuffle.partitions")), plan
