@@ -2,10 +2,11 @@ import json
 import random
 
 import pytest
+from pyspark.sql.functions import xxhash64
 
-from repograph.llm import dom
+from repograph.llm import dom, html_text
 from repograph.llm.dom import Group, grouped, parse
-from repograph.llm.html_text import extract_main_text, host_of, induce, main_text
+from repograph.llm.html_text import extract_main_text, host_of, host_wrappers, induce, main_text
 from tests.llm.helpers import words
 
 CHROME = ("<!DOCTYPE html><html><head><title>t</title><style>p{}</style><script>var t='</p>';</script></head><body>"
@@ -81,6 +82,57 @@ def test_constant_text_in_articles_needs_many_pages():
     assert main_text(other, wrapper) == "x\nFollow us"
 
 
+def test_all_pages_of_a_host_take_part(spark, monkeypatch):
+    """A line of a third of the pages is no template, whichever pages a sample would take; one of
+    two thirds is; also with more layouts than one task merges."""
+    monkeypatch.setattr(html_text, "FAN", 2)
+    rows, truth = [], {}
+    for seed in range(12):
+        r = random.Random(seed)
+        some, many = r.sample(range(24), 8), r.sample(range(24), 16)
+        for i in range(24):
+            body = paragraphs(3, 1000 * seed + i) + (["Shared by some"] if i in some else [])
+            html = f"<div>{'<h2></h2><ul></ul>' * (i % 5)}</div><div>" + "".join(f"<p>{p}</p>" for p in body) + "</div>"
+            html += "<h3>Shared by many</h3>" if i in many else "<h3></h3>"
+            rows.append((100 * seed + i, f"http://host{seed}/", html))
+            truth[100 * seed + i] = "\n".join(body)
+    assert {x["page_id"]: x["text"] for x in extract_main_text(frame(spark, rows)).collect()} == truth
+
+def test_wrappers_by_keys_equal_those_of_a_host_in_memory(spark):
+    """Near copies of pages and of each other, equal pages, marked and unmarked articles."""
+    r = random.Random(8)
+    of_host: dict = {}
+    for host in range(6):
+        texts = [words(r.randrange(3, 30), 77 * host + i) for i in range(25)]
+        for _ in range(60):
+            tag = r.choice(["article", "div", "div"])
+            page = "".join(f"<{t}>{r.choice(texts)}</{t}>" for t in r.choices(["p", "h2", "li"], k=r.randrange(1, 9)))
+            of_host.setdefault(f"h{host}", []).append(
+                f"<div>Top</div><{tag}>{page}<p>Below</p></{tag}>" + ("<main>m</main>" if r.random() < 0.1 else ""))
+    rows = [(i, f"http://{h}/", p) for h, pages in of_host.items() for i, p in enumerate(pages)]
+    df = frame(spark, rows)
+    in_order: dict = {}
+    for x in df.select(host_of(df["url"]).alias("host"), "html").orderBy(xxhash64("html")).collect():
+        in_order.setdefault(x["host"], []).append(x["html"])
+    found = dict(host_wrappers(df).collect())
+    assert {h: places(w) for h, w in found.items()} == {
+        h: places(w) for h, pages in in_order.items() if (w := induce(pages))}
+
+
+def places(wrapper):
+    """Template texts with the labels on the way to them."""
+    out = set()
+
+    def walk(kind, way, node):
+        out.update((kind, way, t) for t in node[1])
+        for c in node[2]:
+            walk(kind, (*way, c[0]), c)
+    for kind, tree in enumerate(json.loads(wrapper)):
+        if tree:
+            walk(kind, (tree[0],), tree)
+    return out
+
+
 def test_edge_rows(spark):
     deep = "<div>" * 3000 + "deep" + "</div>" * 3000
     long = "<article>" + "<p>word &lt;1&gt;</p>" * 50_000 + "</article>"
