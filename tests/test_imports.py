@@ -190,3 +190,21 @@ def test_lines_are_scanned_only_where_no_statement_is_found(spark):
     cols = M.merge_edges(whole).columns
     assert rows(M.merge_edges(lazy), *cols) == rows(M.merge_edges(whole), *cols)
     assert rows(M.file_imports(c), *cols) == rows(M.merge_edges(whole), *cols)
+
+
+def test_text_is_scanned_once(spark):
+    """The optimizer tests before an explode whether there are items; for that it would scan the
+    text, find the candidates and check the rules once more."""
+    from repograph.functions.scan import PY_TOKENS
+    from repograph.operators.constraints import check_rules
+    df = files_df(spark, {"r": PY_APP})
+
+    def plan(out):
+        return out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(M.file_imports(df)).count(PY_TOKENS) == 2          # the pieces between, and the tokens
+    assert plan(M.python_imports_stmt(df)).count(PY_TOKENS) == 2
+    f = Facts(df)
+    assert plan(R.first_hit(R.js_candidates(f.merged), f.files)).count("/index.mjs") == 1
+    rule = check_rules(f.files, "files", ["path"], {"odd": F.col("loc") % 971 == 1})
+    assert plan(rule).count("971") == 1
+    assert sorted(r["key"] for r in rule.collect()) == sorted(r.path for r in f.files.collect() if r.loc != 1)
