@@ -149,3 +149,32 @@ def test_recurring_pairs_are_counted_where_commits_are_read(spark):
     mods = spark.createDataFrame([("r", f"m{k}", f"m{k}") for k in range(9)], "repo_id string, file_id string, module_id string")
     plan = H.module_coupling(t, mods)._jdf.queryExecution().optimizedPlan().toString()
     assert "RepartitionByExpression" not in plan
+
+
+def test_export_records_are_neither_shuffled_nor_stored(spark, monkeypatch, tmp_path):
+    """Only the places of splits are; files in one task, cut files and files without a record are numbered in order."""
+    from pyspark.sql.readwriter import DataFrameWriter
+    rs, fs = GL.RECORD_SEP, GL.FIELD_SEP
+    expected, seq = [], {"r": 0, "s": 0}
+    for i in range(40):
+        repo = "r" if i % 3 else "s"
+        text = "" if i % 5 == 0 else "junk\n"
+        for k in range(0 if i % 7 == 0 else i):
+            seq[repo] += 1
+            text += f"{rs}h{i}-{k}{fs}d{i}\n\na{k}.py\nb.py\n{rs}no header\nx\n"
+            expected += [(repo, f"h{i}-{k}", seq[repo], f"d{i}", p) for p in (f"a{k}.py", "b.py")]
+        (tmp_path / f"repo_id={repo}").mkdir(exist_ok=True)
+        (tmp_path / f"repo_id={repo}" / f"part-{i:02d}.txt").write_text(text)
+    written, write = [], DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, path, **kw: written.append(self._df.columns) or write(self, path, **kw))
+    cols = ["repo_id", "commit_hash", "seq", "committed_at", "path"]
+    for size in ("200", "3000", "100000000"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            out = GL.read_log_exports(spark, str(tmp_path))
+            assert rows(out, *cols) == sorted(expected)
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == plan.count("Exchange rangepartitioning") == 0
+    assert written == [["repo_id", "file", "split", "shift"]] * 3
